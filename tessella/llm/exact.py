@@ -20,7 +20,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,7 @@ class Fingerprint:
 
 def normalise(texts: pa.Array) -> list[bytes]:
     """UTF-8 with A-Z in lower case."""
-    return pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")).cast(pa.large_binary()).to_pylist()
+    return [(t or "").encode().lower() for t in texts.to_pylist()]  # bytes.lower() is ASCII's
 
 
 def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, packing, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm import exact, language_id, packing, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
 from tessella.storage import new_folder
 
 PACK_END, FILE_END, TOKEN_LIMIT = 2, 1, 1024
@@ -33,6 +33,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and whether decoding them gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def pack_pieces(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), PACK_END)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -67,10 +75,31 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    profiles = language_id.fit(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, profiles).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_substring_dedup, op2_simhash_dedup, op4_packing, op5_toxicity, op6_token_counts, op7_token_files, op8_exact_dedup)
+    own = (
+        op1_substring_dedup,
+        op2_simhash_dedup,
+        op3_sentencepiece,
+        op4_packing,
+        op5_toxicity,
+        op6_token_counts,
+        op7_token_files,
+        op8_exact_dedup,
+        op9_language_id,
+        op10_quality_rules,
+    )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

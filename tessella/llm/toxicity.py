@@ -35,8 +35,11 @@ from tessella.storage import materialize
 FIT_ROWS = 20_000
 #: Most entries of the lexicon.
 LEXICON = 3000
-#: Smallest log-likelihood ratio of an entry.
-LEAST_RATIO = 28.0
+#: Smallest log-likelihood ratio of an entry, and smallest share of the toxic texts that have it: what
+#: stands out in fewer is mostly the subject of a few copies.
+LEAST_RATIO, LEAST_SHARE = 28.0, 0.02
+#: Times that an entry is likelier in a toxic text than in a clean one, at least.
+LEAST_EXCESS = 100
 #: Groups that lexicon entries are dealt to; each group is a voter.
 WORD_GROUPS, START_GROUPS = 12, 6
 START_SIZES = (4, 5)
@@ -112,10 +115,11 @@ class LabelModel:
         posterior = np.where(balance > 0, 0.9, 0.02)
         self.weights = np.ones(m)
         self.tables = np.zeros((2, m, 3))
-        for _ in range(self.rounds):
+        for step in range(self.rounds):
             for y, p in enumerate((1 - posterior, posterior)):
                 self.tables[y] = (np.einsum("n,nmv->mv", p, onehot) + 0.5) / (p.sum() + 1.5)
-            self.weights = self._independence(votes, posterior)
+            if step >= self.rounds // 2:  # correlations mean something once the classes have formed
+                self.weights = self._independence(votes, posterior)
             posterior = self.posterior(onehot)
         #: accuracy of a voter: how often it is right when it votes
         toxic, clean = self.share, 1 - self.share
@@ -126,12 +130,13 @@ class LabelModel:
     def _independence(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
         """Weight of each voter: one over the number of voters it moves with, given the class."""
         total = np.zeros((votes.shape[1], votes.shape[1]))
-        for p in (posterior, 1 - posterior):
-            mass = max(p.sum(), 1e-9)
-            centred = votes - (p @ votes) / mass
-            cov = (centred * p[:, None]).T @ centred / mass
+        for inside in (posterior > 0.5, posterior <= 0.5):
+            if inside.sum() < 20:
+                continue
+            centred = votes[inside] - votes[inside].mean(axis=0)
+            cov = centred.T @ centred / inside.sum()
             scale = np.sqrt(np.outer(cov.diagonal(), cov.diagonal()))
-            total = np.maximum(total, np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-9))
+            total = np.maximum(total, np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-2))
         self.correlation = total
         return 1 / (1 + np.where(total > 0.2, total, 0).sum(axis=1) - np.where(total.diagonal() > 0.2, total.diagonal(), 0))
 
@@ -196,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([totals[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
 
     counts = texts.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where(F.col("toxic") >= 3).withColumn("ratio", _ratio(F.col("toxic"), F.col("clean"), sizes[1], sizes[0]))
-    excess = F.col("toxic") * sizes[0] > 4 * F.col("clean") * sizes[1]
+    counts = counts.where(F.col("toxic") >= max(3, LEAST_SHARE * sizes[1])).withColumn("ratio", _ratio(F.col("toxic"), F.col("clean"), sizes[1], sizes[0]))
+    excess = F.col("toxic") * sizes[0] > LEAST_EXCESS * F.col("clean") * sizes[1]
     entries = counts.where(excess & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(LEXICON).select("term").collect()
     lexicon = Lexicon({r["term"]: i for i, r in enumerate(entries)})
 

@@ -99,7 +99,9 @@ class WordEncoder:
         for token in self.special:  # their strings inside a text are the library's own matter
             marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
-        chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        # bytes.lower() is ASCII's; a fresh array, as Arrow's own lower-casing goes wrong on slices
+        lowered = pa.array([t.encode().lower() for t in plain.to_pylist()], pa.large_binary()).cast(pa.large_string())
+        chunks = pc.ascii_split_whitespace(lowered)
         keyed = chunks.flatten().dictionary_encode()
         bounds = chunks.offsets.to_numpy()
         names, index = keyed.dictionary.to_pylist(), keyed.indices.to_numpy().astype(np.int64)
