@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def wrap(x: Column, bits: int, signed: bool = True) -> Column:
     """x modulo 2^bits, as a number of that width."""
     m = 1 << bits

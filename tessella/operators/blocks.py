@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lanes import let
 
 def dct_basis(n: int) -> list[list[float]]:
     """Orthonormal DCT-II: row k is the k-th frequency."""
@@ -22,17 +23,17 @@ def basis_literal(m: list[list[float]]) -> Column:
 
 
 def _rows(block: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(block, i * n + 1, n))
+    return let(block, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(b, i * n + 1, n)))
 
 
 def transpose_block(block: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.element_at(block, ((i % n) * n + F.floor(i / n) + 1).cast("int")))
+    return let(block, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.element_at(b, ((i % n) * n + F.floor(i / n) + 1).cast("int"))))
 
 
 def _times(block: Column, basis: Column, n: int) -> Column:
     """Each row of the block times the basis, written as rows of the transposed result: (block basis^T)^T."""
     dot = lambda row, b: F.aggregate(F.zip_with(row, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.flatten(F.transform(basis, lambda b: F.transform(_rows(block, n), lambda row: dot(row, b))))
+    return let(_rows(block, n), lambda rows: F.flatten(F.transform(basis, lambda b: F.transform(rows, lambda row: dot(row, b)))))
 
 
 def dct2d(block: Column, n: int = 8) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,14 +95,23 @@ def givens(x: float, y: float) -> tuple[float, float]:
 
 
 def gram(vectors: DataFrame, column: str) -> np.ndarray:
-    """Sum of outer products over all rows: partial sums per task, one n x n array at the driver."""
-    n = len(vectors.select(column).first()[0])
-    sums = [F.sum(F.element_at(column, i + 1).cast("double") * F.element_at(column, j + 1)).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-    row = vectors.agg(*sums).first()
+    """Sum of outer products over all rows: each task sums its own, and only n x n cells are shuffled."""
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack([np.asarray(v, float) for v in pdf[column]])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": total.ravel()})
+
+    cells = vectors.select(column).mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    n = 1 + max((r["i"] for r in cells), default=-1)
     out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            out[i, j] = out[j, i] = row[f"g{i}_{j}"]
+    for r in cells:
+        out[r["i"], r["j"]] = r["v"]
     return out
 
 

@@ -529,12 +529,15 @@ def dot_product(spark, sf_dir):
 @query("SELECT vec_id, i, v FROM (SELECT vec_id, UNNEST([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS i, UNNEST([1, 0, 0, 0, 1, 0, 0, 0, 1]) AS v FROM embeddings)", "vec_id:l i:l v:d", 4)
 def inverse3x3(spark, sf_dir):
     """A matrix times its inverse."""
+    from tessella.functions.lanes import let
+
     eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
-    m = _embeddings(spark, sf_dir).select("vec_id", F.zip_with(F.slice("block", 1, 9), eye, lambda a, b: a + 2 * b).alias("a"))
     at = lambda a, i, j: F.element_at(a, 3 * i + j + 1)
-    both = m.withColumn("b", linalg.inverse3(F.col("a")))
-    product = F.array(*[sum((at(F.col("a"), i, k) * at(F.col("b"), k, j) for k in (1, 2)), at(F.col("a"), i, 0) * at(F.col("b"), 0, j)) for i in range(3) for j in range(3)])
-    return both.select("vec_id", F.posexplode(product).alias("i", "v"))
+    cell = lambda a, b, i, j: at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j)
+    product = lambda a, b: F.array(*[cell(a, b, i, j) for i in range(3) for j in range(3)])
+    a = F.zip_with(F.slice("block", 1, 9), eye, lambda x, y: x + 2 * y)
+    whole = let(a, lambda a: let(linalg.inverse3(a), lambda b: product(a, b)))
+    return _embeddings(spark, sf_dir).select("vec_id", F.posexplode(whole).alias("i", "v"))
 
 
 @query()
