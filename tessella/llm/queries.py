@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact, language_id, packing, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm.sql import oracle_sql  # noqa: F401  registered with the queries
 from tessella.storage import new_folder
 
 PACK_END, FILE_END, TOKEN_LIMIT = 2, 1, 1024
@@ -102,6 +103,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
