@@ -118,8 +118,8 @@ class LabelModel:
         for step in range(self.rounds):
             for y, p in enumerate((1 - posterior, posterior)):
                 self.tables[y] = (np.einsum("n,nmv->mv", p, onehot) + 0.5) / (p.sum() + 1.5)
-            if step >= self.rounds // 2:  # correlations mean something once the classes have formed
-                self.weights = self._independence(votes, posterior)
+            if step >= self.rounds - 5:  # correlations mean something once the classes have formed
+                self.weights = self._independence(votes, onehot)
             posterior = self.posterior(onehot)
         #: accuracy of a voter: how often it is right when it votes
         toxic, clean = self.share, 1 - self.share
@@ -127,18 +127,28 @@ class LabelModel:
         self.accuracy = right / (right + toxic * self.tables[1, :, 0] + clean * self.tables[0, :, 2])
         return posterior
 
-    def _independence(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """Weight of each voter: one over the number of voters it moves with, given the class."""
-        total = np.zeros((votes.shape[1], votes.shape[1]))
-        for inside in (posterior > 0.5, posterior <= 0.5):
-            if inside.sum() < 20:
-                continue
-            centred = votes[inside] - votes[inside].mean(axis=0)
-            cov = centred.T @ centred / inside.sum()
-            scale = np.sqrt(np.outer(cov.diagonal(), cov.diagonal()))
-            total = np.maximum(total, np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-2))
-        self.correlation = total
-        return 1 / (1 + np.where(total > 0.2, total, 0).sum(axis=1) - np.where(total.diagonal() > 0.2, total.diagonal(), 0))
+    def _independence(self, votes: np.ndarray, onehot: np.ndarray) -> np.ndarray:
+        """Weight of each voter: one over the number of voters it moves with, given the class.
+
+        What a pair has in common beyond the class is judged by the class that the other voters see.
+        """
+        n, m = votes.shape
+        parts = np.einsum("nmv,mv,m->nm", onehot, np.log(self.tables[1] / self.tables[0]), self.weights)
+        odds = math.log(self.share / (1 - self.share)) + parts.sum(axis=1)
+        self.correlation = np.eye(m)
+        for i in range(m):
+            for j in range(i):
+                toxic = odds - parts[:, i] - parts[:, j] > 0
+                found = 0.0
+                for inside in (toxic, ~toxic):
+                    if inside.sum() < 20:
+                        continue
+                    a, b = votes[inside, i], votes[inside, j]
+                    spread = math.sqrt(a.var() * b.var())
+                    if spread > 1e-2:
+                        found = max(found, float(((a - a.mean()) * (b - b.mean())).mean()) / spread)
+                self.correlation[i, j] = self.correlation[j, i] = found
+        return 1 / np.where(self.correlation > 0.2, self.correlation, 0).sum(axis=1)
 
     def posterior(self, onehot: np.ndarray) -> np.ndarray:
         odds = math.log(self.share / (1 - self.share)) + np.einsum("nmv,mv,m->n", onehot, np.log(self.tables[1] / self.tables[0]), self.weights)
