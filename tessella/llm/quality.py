@@ -2,10 +2,10 @@
 
 Each rule rejects texts whose figure lies beyond a cutoff. Cutoffs are chosen per stratum (the text's
 language) on labelled texts: a cutoff is valid if an exact binomial test rejects the hypothesis that it
-falsely rejects more than RISK of the stratum's good texts, at level ERROR divided by the number of
-(stratum, rule, cutoff) tests. So with probability 1 - ERROR no chosen cutoff anywhere falsely rejects
-more than RISK of a stratum's good texts. Of a rule's valid cutoffs the strictest is taken; a rule
-without one is not applied in that stratum.
+falsely rejects more than its rule's share of RISK (RISK divided by the number of rules) of the
+stratum's good texts, at level ERROR divided by the number of (stratum, rule, cutoff) tests. So with
+probability 1 - ERROR all rules together falsely reject at most RISK of the good texts of every stratum.
+Of a rule's valid cutoffs the strictest is taken; a rule without one is not applied in that stratum.
 
 Null and empty texts have no words and fail the base rules. A null language is a stratum of its own;
 strata without labelled texts have no rules. Repeated rows are judged alike; texts with contradicting
@@ -120,9 +120,10 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error
     counts = materialize(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over), "quality-counts")  # a row per stratum
     tests = [F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{cut}").alias("k")) for rule, (_, cuts) in RULES.items() for cut in cuts]
     long = counts.select("stratum", "n", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "t.*")
+    share = risk / len(RULES)
     level = error / max(1, counts.count() * len(tests))
     # binomial_tail is walked only where k can pass at all
-    valid = long.where((F.col("k") <= F.col("n") * risk) & (F.when(F.col("k") <= F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk)) <= level))
+    valid = long.where((F.col("k") <= F.col("n") * share) & (F.when(F.col("k") <= F.col("n") * share, binomial_tail(F.col("k"), F.col("n"), share)) <= level))
     return valid.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 

@@ -25,7 +25,8 @@ def quality() -> str:
     figure = {rule: sql.replace(" div ", " // ") for rule, (sql, _) in RULES.items()}
     count = lambda chars: f"length(t) - length({_without('t', chars)})"
     unions = " UNION ALL ".join(f"SELECT stratum, n, '{rule}' AS rule, {cut} AS cutoff, COUNT(*) FILTER (WHERE {figure[rule]} > {cut}) AS k FROM good JOIN sizes USING (stratum) GROUP BY stratum, n" for rule, cut in tests)
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))"
+    share = RISK / len(RULES)
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))"
     reject = " OR ".join(f"COALESCE(n_words > 0 AND CASE WHEN n_words > 0 THEN {sql} > (SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{rule}') END, false)" for rule, sql in figure.items())
     return f"""WITH base AS (SELECT doc_id, COALESCE(lang, '') AS stratum, COALESCE(text, '') AS t FROM documents),
 parts AS (SELECT doc_id, stratum, t, {_words('t')} AS words, list_filter(string_split(t, chr(10)), lambda x: length({_without('x', _BLANKS)}) > 0) AS lines FROM base),
@@ -39,7 +40,7 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 good AS (SELECT j.* FROM judged j JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING MIN(quality) = 1) USING (doc_id) WHERE NOT base_failed),
 sizes AS (SELECT stratum, COUNT(*) AS n FROM good GROUP BY stratum),
 tests AS ({unions}),
-tails AS (SELECT stratum, rule, cutoff, (SELECT SUM({term}) FROM (SELECT unnest(range(0, k + 1)) AS i)) AS tail FROM tests WHERE k <= n * {RISK}),
+tails AS (SELECT stratum, rule, cutoff, (SELECT SUM({term}) FROM (SELECT unnest(range(0, k + 1)) AS i)) AS tail FROM tests WHERE k <= n * {share!r}),
 chosen AS (SELECT stratum, rule, MIN(cutoff) AS cutoff FROM tails WHERE tail <= {ERROR} / ((SELECT COUNT(*) FROM sizes) * {len(tests)}) GROUP BY stratum, rule)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   base_failed, NOT base_failed AND NOT ({reject}) AS kept FROM judged f"""

@@ -110,13 +110,13 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_quality_rejects_junk_and_controls_false_rejections(spark):
-    good = [prose(60, 3000 + k) for k in range(600)]
+    good = [prose(60, 3000 + k) for k in range(1800)]
     junk = [" ".join(w + "***" for w in prose(60, 5000 + k).split()) for k in range(60)]
     docs = frame(spark, good + junk + [None, "few words"])
-    labels = spark.createDataFrame([(i, 1) for i in range(500)] + [(600 + i, 0) for i in range(40)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(1800 + i, 0) for i in range(40)] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
-    assert not any(got[600 + i]["kept"] for i in range(60))
-    assert sum(not got[i]["kept"] for i in range(600)) <= 0.05 * 600
-    assert got[660]["base_failed"] and got[661]["base_failed"] and not got[660]["kept"]
+    assert not any(got[1800 + i]["kept"] for i in range(60))
+    assert sum(not got[i]["kept"] for i in range(1800)) <= 0.05 * 1800
+    assert got[1860]["base_failed"] and got[1861]["base_failed"] and not got[1860]["kept"]
     assert quality.judge(docs.where("false"), labels).count() == 0
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, labels.where("false")).collect())
