@@ -10,8 +10,9 @@ class's representative chunk by chunk. Members that differ start a class of thei
 compared again until nobody differs.
 
 Texts are equal when they are identical after lower-casing A-Z. Null counts as empty and is equal to
-it. Of equal texts the row with the largest doc_id stays; equal doc_ids (or null ones, which count as
-smallest) stay together or go together. An empty table gives no rows; other columns are ignored.
+it. Of equal texts the row with the largest doc_id stays, with its repetitions; null doc_ids count as
+smallest. Different texts under one doc_id are judged apart, but drop_exact_duplicates, which goes by
+doc_id, keeps both if one stays. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def normalise(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode().lower() for t in texts.to_pylist()]  # bytes.lower() is ASCII's
 
 
-def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, fingerprint, text_sha256) of every row."""
+def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK, texts: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, text_sha256) of every row; with texts, the text instead of its digest."""
 
     def run(batches):
         own = Fingerprint(primes, chunk)
@@ -74,10 +75,12 @@ def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int =
             for data in normalise(batch.column("text")):
                 n, residues = own.of(data)
                 prints.append(n.to_bytes(8, "big") + b"".join(x.to_bytes(4, "big") for x in residues))
-                digests.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(digests, pa.string())], names=["doc_id", "fingerprint", "text_sha256"])
+                if not texts:
+                    digests.append(hashlib.sha256(data).hexdigest())
+            last = batch.column("text") if texts else pa.array(digests, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), last], names=["doc_id", "fingerprint", "text" if texts else "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint binary, text_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, fingerprint binary, {'text' if texts else 'text_sha256'} string")
 
 
 def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
@@ -85,30 +88,32 @@ def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, classes, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "class", "members"))
-            for one, cls, members, data in zip(ids, classes, sizes, normalise(batch.column("text")), strict=True):
+            ids, prints, classes, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "fingerprint", "class", "members"))
+            for one, mark, cls, members, data in zip(ids, prints, classes, sizes, normalise(batch.column("text")), strict=True):
                 cuts = range(0, max(1, len(data)), chunk)
+                n = len(cuts)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [one] * len(cuts), "class": [cls] * len(cuts), "members": [members] * len(cuts), "chunk": list(range(len(cuts))), "data": [data[a : a + chunk] for a in cuts]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())]),
+                    {"doc_id": [one] * n, "fingerprint": [mark] * n, "class": [cls] * n, "members": [members] * n, "chunk": list(range(n)), "data": [data[a : a + chunk] for a in cuts]},
+                    schema=pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("class", pa.int64()), ("members", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())]),
                 )
 
-    return docs.select("doc_id", "class", "members", "text").mapInArrow(run, "doc_id long, class long, members long, chunk int, data binary")
+    return docs.select("doc_id", "fingerprint", "class", "members", "text").mapInArrow(run, "doc_id long, fingerprint binary, class long, members long, chunk int, data binary")
 
 
-def differing(docs: DataFrame, members: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_ids of members (doc_id, class, members) whose text is not that of the document named by class.
+def differing(docs: DataFrame, members: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, fingerprint) of members (doc_id, fingerprint, class, members) whose text is not that of the
+    document that class names.
 
     The representative's chunks are copied once per few hundred members, and members are dealt out
     over the copies: a class that holds a third of all rows is compared by many tasks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("shuffle_hash"), "doc_id")
+    rows = fingerprints(docs, primes, chunk, texts=True).join(members.hint("shuffle_hash"), ["doc_id", "fingerprint"])
     cut = _chunks(rows, chunk)
     salts = F.ceil(F.col("members") / SALT_MEMBERS).cast("int")
     own = cut.where("doc_id != class").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts.cast("long")).cast("int"))
-    representative = cut.where("doc_id = class").select("class", "chunk", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("data").alias("first"))
-    same = own.join(representative, ["class", "chunk", "salt"], "left")
-    return same.where(F.col("first").isNull() | (F.col("first") != F.col("data"))).select("doc_id").distinct()
+    representative = cut.where("doc_id = class").select("fingerprint", "class", "chunk", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("data").alias("first")).distinct()
+    same = own.join(representative, ["fingerprint", "class", "chunk", "salt"], "left")
+    return same.where(F.col("first").isNull() | (F.col("first") != F.col("data"))).select("doc_id", "fingerprint").distinct()
 
 
 def exact_duplicates(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
@@ -120,13 +125,13 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: i
     while True:
         groups = open_.groupBy("fingerprint").agg(F.max("key").alias("class"), F.count(F.lit(1)).alias("members"))
         shared = materialize(open_.drop("class").join(groups.where("members > 1"), "fingerprint"), "classes")
-        wrong = materialize(differing(docs, shared.where("doc_id is not null").select("doc_id", "class", "members").distinct(), chunk), "differing")
+        wrong = materialize(differing(docs, shared.where("doc_id is not null").select("doc_id", "fingerprint", "class", "members").distinct(), primes, chunk), "differing")
         if wrong.isEmpty():
             break
         # Whoever agrees with the representative is settled under its class; the others go round again.
-        agreed = open_.drop("class").join(wrong, "doc_id", "left_anti").join(groups, "fingerprint").withColumn("fingerprint", F.concat("fingerprint", F.col("class").cast("string").cast("binary"))).select(settled.columns)
+        agreed = open_.drop("class").join(wrong, ["doc_id", "fingerprint"], "left_anti").join(groups, "fingerprint").withColumn("fingerprint", F.concat("fingerprint", F.col("class").cast("string").cast("binary"))).select(settled.columns)
         done = agreed if done is None else done.unionByName(agreed)
-        open_ = materialize(open_.join(wrong, "doc_id", "left_semi"), "open")
+        open_ = materialize(open_.join(wrong, ["doc_id", "fingerprint"], "left_semi"), "open")
     settled = open_ if done is None else materialize(done.unionByName(open_), "settled")
     groups = settled.groupBy("fingerprint").agg(F.max("doc_id").alias("keep_id"), F.max("key").alias("top"), F.count(F.lit(1)).alias("group_size"))
     many = groups.where("group_size > 1")

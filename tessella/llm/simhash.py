@@ -198,6 +198,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each component; all columns are kept."""
+    """The rows of docs with the smallest doc_id of each component, and those without one; all columns are kept."""
     stay = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == F.col("stays"), "left_semi")
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == F.col("stays"), "left_semi").unionByName(docs.where("doc_id is null"))

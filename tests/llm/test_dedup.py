@@ -49,6 +49,11 @@ def test_exact_null_ids_and_repeated_rows(spark):
     assert {r["kept"] for r in got if r["doc_id"] == 4} == {False}
 
 
+def test_exact_judges_different_texts_under_one_id_apart(spark):
+    got = exact.exact_duplicates(frame(spark, [(3, "x"), (3, "y"), (5, "X"), (1, "y")])).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(3, 5, 2), (3, 3, 2), (5, 5, 2), (1, 3, 2)}
+
+
 def test_fingerprints_combine():
     f = exact.Fingerprint(chunk=16)
     data = bytes(range(200))
@@ -149,6 +154,8 @@ def test_near_duplicates_keep_the_smallest_of_each_component(spark):
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert 0 in ids and 2 in ids
+    nulls = simhash.drop_near_duplicates(frame(spark, [(None, base), (1, base)]))
+    assert nulls.count() == 2
 
 
 def test_compact_windows_are_those_of_the_cartesian_tree():
