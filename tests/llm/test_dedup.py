@@ -220,3 +220,13 @@ def test_cut_passages_leaves_one_copy_and_the_rest_untouched(spark):
     assert got[5]["text"] == prose(80, 805) + " " + prose(90, 905)
     assert got[5]["n_chars"] == len(got[5]["text"])
     assert 12 not in got  # nothing was left of the copy
+
+
+def test_passages_inside_heavily_edited_copies(spark):
+    words = prose(400, 42).split()
+    copy = list(words)
+    for k in (20, 31, 40, 100, 108, 119, 180, 300, 309, 318, 330, 345):
+        copy[k] = "edited"
+    found = substring.passages(frame(spark, [" ".join(words), " ".join(copy)])).collect()
+    covered = {k for r in found for k in range(r["start"], r["end"])}
+    assert set(range(41, 100)) <= covered and set(range(120, 180)) <= covered and set(range(181, 300)) <= covered
