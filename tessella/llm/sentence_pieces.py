@@ -31,9 +31,9 @@ from tessella.llm.wordids import by_bytes, worker_once
 
 SPACE = "▁"
 #: Stretches of text whose ids a worker keeps, and the longest of them.
-CACHE_SPANS, CACHE_LENGTH = 400_000, 48
+CACHE_SPANS, CACHE_LENGTH = 300_000, 48
 #: Pairs of pieces whose compatibility is kept.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 400_000
 #: Characters between two looks for a boundary that all paths share.
 COMMIT_EVERY = 64
 
