@@ -53,6 +53,13 @@ class StreamingEncoder:
         self.longest = max(map(len, self.ids))
         self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] or "\n" in p[:-1] for p in self.ids)
         self.before = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.ending: dict = {}  # pieces that their own merges lead to, by their characters from the last to the first
+        for piece in self.ids:
+            if self.merged(piece) == [piece]:
+                node = self.ending
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = piece
         self.pairs: dict[tuple[str, str], bool] = {}
         self.spans: dict[str, list[int]] = {}
 
@@ -77,7 +84,7 @@ class StreamingEncoder:
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
     # the search --------------------------------------------------------------------------------
@@ -101,18 +108,16 @@ class StreamingEncoder:
             yield from self._path(last, len(last) - 1)
 
     def _ending(self, text: str, i: int, last: list[str], previous: str) -> str:
-        if text[i - 1] not in self.ids and not any(text[i - k : i] in self.ids for k in range(2, min(self.longest, i) + 1)):
-            return text[i - 1]  # a character without a piece stands alone
-        for k in range(min(self.longest, i), 0, -1):
-            piece = text[i - k : i]
-            if k > 1 and piece not in self.ids:
-                continue
-            if not self.compatible("", piece):
-                continue
-            before = last[i - k] or previous
+        node, found, j = self.ending, [], i
+        while j and (node := node.get(text[j - 1])) is not None:
+            j -= 1
+            if "" in node:
+                found.append(node[""])
+        for piece in reversed(found):
+            before = last[i - len(piece)] or previous
             if not before or self.compatible(before, piece):
                 return piece
-        raise AssertionError("no piece ends here")
+        return text[i - 1]  # a character without a piece stands alone
 
     def _shared(self, last: list[str]) -> int:
         """The last boundary that the paths of all positions of the window lead through, 0 if there is none."""
