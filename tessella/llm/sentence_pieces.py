@@ -31,9 +31,9 @@ from tessella.llm.wordids import by_bytes, worker_once
 
 SPACE = "▁"
 #: Stretches of text whose ids a worker keeps, and the longest of them.
-CACHE_SPANS, CACHE_LENGTH = 300_000, 48
+CACHE_SPANS, CACHE_LENGTH = 150_000, 48
 #: Pairs of pieces whose compatibility is kept.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 150_000
 #: Characters between two looks for a boundary that all paths share.
 COMMIT_EVERY = 64
 
@@ -227,7 +227,9 @@ def decode(rows: DataFrame, model_file: str, column: str = "piece_ids", to: str
     def run(batches):
         decoder = worker_once("unpieces", model_file, lambda: Decoder(model_file))
         for batch in batches:
-            texts = pa.array([decoder.decode(x) for x in batch.column(column).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, to])
+            lists, texts = batch.column(column), []
+            for at in range(0, len(lists), 64):  # ids as Python numbers take many times their Arrow size
+                texts += [decoder.decode(x) for x in lists.slice(at, 64).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
     return rows.select(kept).mapInArrow(run, schema)
