@@ -14,8 +14,9 @@ signature: n cells give at most n - 1 links, never all pairs. A task first links
 itself and sends on one of each kind, so a passage that a third of all documents share arrives once per
 task.
 
-Every linked pair of documents is verified on its tokens: the passage is the densest run of shared
-tokens, and counts if it holds MIN_WORDS words and the similarity of the two runs is at least 0.8.
+Every linked pair of documents is verified on its tokens: runs of equal tokens grow over gaps in either
+text, and a stretch counts if it holds MIN_WORDS words and its similarity to that of the other text is at
+least 0.8.
 
 Null, empty and shorter texts have no passages. Passages that repeat inside one document only are not
 reported; rows with equal doc_ids are not compared with each other, and null doc_ids not at all. An
@@ -24,6 +25,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,8 @@ BANDS = 3
 BLOCK_TOKENS = 1 << 19
 #: Cells that a task links before it sends them on.
 POOL_CELLS = 1 << 20
+#: Pairs of equal tokens of two texts that are looked at at once.
+PAIRS = 1 << 20
 
 _SEEDS = np.random.default_rng(20240).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -274,43 +279,105 @@ def candidate_pairs(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WO
     return rows.mapInArrow(gather, _CELL).repartition(n, "bucket").mapInArrow(meet, _CELL).repartition(n, "bucket").mapInArrow(distinct, "doc_id long, other long")
 
 
-def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """Dense runs of tokens of `mine` that `other` has too: (start, end, start in other, end in other, similarity)."""
-    hit = np.isin(mine, other)
-    if hit.sum() < width * similarity:
-        return []
-    # Runs of hits, joined over gaps of misses while the joined run stays dense enough for the similarity
-    # (a miss on one side usually is one on the other side as well).
-    dense = 2 * similarity / (1 + similarity)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    pure = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-    runs: list[list[int]] = []  # start, end, hits
-    for a, b in pure:
-        runs.append([a, b, b - a])
-        while len(runs) > 1 and runs[-2][2] + runs[-1][2] >= dense * (runs[-1][1] - runs[-2][0]):
-            y = runs.pop()
-            runs[-1] = [runs[-1][0], y[1], runs[-1][2] + y[2]]
-
-    def alike(a: int, b: int) -> list[tuple[int, int, int, int, float]]:
-        """What of [a, b) is similar to one stretch of the other text, which ends where its own gaps are wide."""
-        places, out = np.flatnonzero(np.isin(other, mine[a:b])), []
-        for stretch in np.split(places, np.flatnonzero(np.diff(places) > 2 * WORDS) + 1):
-            c, d = int(stretch[0]), int(stretch[-1]) + 1
-            own = np.flatnonzero(np.isin(mine[a:b], other[c:d]))
-            if not len(own):
-                continue
-            s, e = a + int(own[0]), a + int(own[-1]) + 1
-            first, second = np.unique(mine[s:e]), np.unique(other[c:d])
-            both = len(np.intersect1d(first, second, assume_unique=True))
-            likeness = both / (len(first) + len(second) - both)
-            if e - s >= width and likeness >= similarity:
-                out.append((s, e, c, d, likeness))
-        return out
+def _diagonals(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, start in other, length) of all maximal runs of equal tokens, by start.
 
-    out = []
-    for a, b, _ in runs:
-        if b - a >= width:
-            out += alike(a, b) or [x for p, q in pure if a <= p and q <= b and q - p >= width for x in alike(p, q)]
+    Pairs of equal tokens are looked at a slice at a time; only where runs begin and end is kept.
+    """
+    order = np.argsort(other, kind="stable")
+    low = np.searchsorted(other[order], mine, "left")
+    count = np.searchsorted(other[order], mine, "right") - low
+    upto = np.concatenate(([0], np.cumsum(count)))
+    ends: list[list[np.ndarray]] = [[], []]
+    at = 0
+    while at < len(mine):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        j = order[np.arange(upto[at], upto[to]) - upto[i] + low[i]]
+        for found, step, last_i, last_j in ((ends[0], -1, 0, 0), (ends[1], 1, len(mine) - 1, len(other) - 1)):
+            edge = (i == last_i) | (j == last_j)
+            inner = ~edge
+            edge[inner] = mine[i[inner] + step] != other[j[inner] + step]
+            found.append(np.stack((i[edge], j[edge])))
+        at = to
+    (i, j), (k, m) = (np.concatenate(x, axis=1) for x in ends)
+    first, last = np.lexsort((i, i - j)), np.lexsort((k, k - m))  # runs of a diagonal begin and end by turns
+    i, j, n = i[first], j[first], k[last] - i[first] + 1
+    order = np.lexsort((j, -n, i))
+    return i[order], j[order], n[order]
+
+
+def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: float = SIMILARITY, words=None) -> list[tuple[int, int, int, int, float]]:
+    """Stretches of `mine` similar to a stretch of `other`: (start, end, start in other, end in other, similarity).
+
+    From every run of equal tokens a stretch of both sequences grows over gaps on either side, to the
+    nearest run that follows. It may fall below the similarity by what a passage of `width` tokens can make
+    good again; a longer passage behind would be found without it. The longest stretch that is similar and
+    reaches what isn't covered yet counts. One that is too short for a passage is judged with the tokens
+    next to it (a changed word at the edge of a passage leaves fewer equal tokens); words() gives the hashes
+    of both texts' words, by which it leans to the side that has more of them in common.
+    """
+    if np.isin(mine, other).sum() < width * similarity:
+        return []
+    i, j, n = _diagonals(mine, other)
+    slack = (1 - similarity) * width
+    reach = int((i + n).max())
+
+    def likeness(s: int, e: int, c: int, d: int) -> float:
+        first, second = np.unique(mine[s:e]), np.unique(other[c:d])
+        both = len(np.intersect1d(first, second, assume_unique=True))
+        return both / (len(first) + len(second) - both)
+
+    def surplus(s: int, e: int, c: int, d: int) -> float:
+        first, second = np.unique(mine[s:e]), np.unique(other[c:d])
+        return (1 + similarity) * len(np.intersect1d(first, second, assume_unique=True)) - similarity * (len(first) + len(second))
+
+    def widened(s: int, e: int, c: int, d: int) -> tuple[int, int, int, int]:
+        """The stretch with as many tokens beside it as a passage needs."""
+        lacks = width - (e - s)
+        least, most = max(0, lacks - (len(mine) - e)), min(lacks, s)
+        left = max(least, min(most, lacks - (len(other) - d)))
+        if words is not None and least < most:
+            a, b = words()
+            long = len(a) - len(mine)  # words of a shingle beyond its first
+            common = [sum(s >= k and c >= k and a[s - k] == b[c - k] for k in range(1, x + 1)) + sum(e + long + k < len(a) and d + long + k < len(b) and a[e + long + k] == b[d + long + k] for k in range(lacks - x)) for x in range(least, most + 1)]
+            left = least + int(np.argmax(common))
+        return s - left, e + lacks - left, max(0, c - left), min(len(other), d + lacks - left)
+
+    out: list[tuple[int, int, int, int, float]] = []
+    covered = 0
+    for p in range(len(i)):
+        if covered >= reach:
+            break
+        box = (int(i[p]), int(i[p] + n[p]), int(j[p]), int(j[p] + n[p]))
+        matched, steps = int(n[p]), [box]
+        while True:
+            s, e, c, d = box
+            score = (1 + similarity) * matched - similarity * (e - s + d - c)
+            stop = np.searchsorted(i, e + (max(0.0, score) + slack) / similarity + width, "right")
+            q = np.arange(p + 1, stop)
+            q = q[i[q] + n[q] > e]
+            if not len(q):
+                break
+            aside = np.maximum(0, j[q] - d) + np.maximum(0, c - j[q] - n[q])
+            best = q[np.lexsort((-n[q], np.maximum(0, i[q] - e) + aside))[0]]
+            box = (s, int(i[best] + n[best]), min(c, int(j[best])), max(d, int(j[best] + n[best])))
+            matched += box[1] - max(e, int(i[best]))
+            if (1 + similarity) * matched - similarity * (box[1] - s + box[3] - box[2]) < -slack and surplus(*box) < -slack:
+                break
+            steps.append(box)
+        for box in reversed(steps):
+            if box[1] <= covered:
+                break
+            if box[1] - box[0] < width:
+                if width - (box[1] - box[0]) > (1 - similarity) * width or len(mine) < width:
+                    break
+                box = widened(*box)
+            x = likeness(*box)
+            if x >= similarity:
+                out.append((*box, x))
+                covered = box[1]
+                break
     return out
 
 
@@ -323,6 +390,10 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, min_words: int
 
     def run(batches):
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+
+        def single(i, texts, other_texts):
+            return functools.cache(lambda: (tokens(texts[i].as_py(), 1), tokens(other_texts[i].as_py(), 1)))
+
         for batch in batches:
             rows = []
             ids, others, texts, other_texts = (batch.column(c) for c in ("doc_id", "other", "text", "other_text"))
@@ -332,7 +403,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, min_words: int
                     held = other, tokens(other_texts[i].as_py(), words)
                 mine = tokens(texts[i].as_py(), words)
                 if len(mine) >= width and len(held[1]) >= width:
-                    rows += [(ids[i].as_py(), other, s, e + words - 1, c, d + words - 1, x) for s, e, c, d, x in shared_runs(mine, held[1], width, similarity)]
+                    rows += [(ids[i].as_py(), other, s, e + words - 1, c, d + words - 1, x) for s, e, c, d, x in shared_runs(mine, held[1], width, similarity, single(i, texts, other_texts))]
             if rows:
                 names = [x.split()[0] for x in PASSAGES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if n == "similarity" else pa.int64()) for n, v in zip(names, zip(*rows, strict=True), strict=True)], names=names)
