@@ -72,3 +72,24 @@ def test_random_edits_are_found_as_by_brute_force():
         mine, other, found = pair(around(" ".join(copy), 200 + k), around(" ".join(words), 300 + k))
         covered = {i for s, e, *_ in found for i in range(s, e)}
         assert coverable(mine, other) <= covered
+
+
+def test_an_accepted_stretch_does_not_hide_rejected_ones():
+    line = prose(9, 50).split()
+    parts = [prose(60, k).split() for k in (11, 12, 13)]
+    for part in parts[:2]:
+        part[25:34] = line
+    a, b, c = (" ".join(p) for p in parts)
+    _, _, found = pair(" ".join((a, b, c)), " ".join((a, prose(30, 21), b, prose(30, 22), c)))
+    assert [x[:4] for x in found] == [(0, 56, 0, 56), (60, 116, 90, 146), (120, 176, 180, 236)]
+
+
+def test_copies_among_repeated_lines():
+    line = prose(9, 60)
+    for k in range(10):
+        parts = [f"{line} {prose(52, 70 + 3 * k + i)} {line}" for i in range(3)]
+        filler = [f"{prose(20, 400 + 5 * k + i)} {line} {prose(20, 600 + 5 * k + i)}" for i in range(4)]
+        mine, other, found = pair(" ".join(parts), " ".join(x for p in zip(filler, parts[::-1]) for x in p))
+        covered = {i for s, e, *_ in found for i in range(s, e)}
+        for i in range(3):
+            assert set(range(70 * i, 70 * i + 66)) <= covered
