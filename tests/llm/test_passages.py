@@ -93,3 +93,31 @@ def test_copies_among_repeated_lines():
         covered = {i for s, e, *_ in found for i in range(s, e)}
         for i in range(3):
             assert set(range(70 * i, 70 * i + 66)) <= covered
+
+
+def candidate(a, b, bands):
+    values = [substring.tokens(t) for t in (a, b)]
+    owner = np.repeat([0, 1], [len(v) for v in values])
+    key, _, first = substring.cells(np.concatenate(values), owner, WIDTH, bands)
+    return bool(len(np.intersect1d(key[owner[first] == 0], key[owner[first] == 1])))
+
+
+def near_fifty(k):
+    """Two texts around a 50-word passage, in one of which a word of its middle is changed: similarity 41/51."""
+    words = prose(50, 5000 + k).split()
+    copy = list(words)
+    copy[5 + k % 40] = "changed"
+    return around(" ".join(copy), 10 * k), around(" ".join(words), 10 * k + 5)
+
+
+def test_recall_of_fifty_words_with_one_changed():
+    pairs = [near_fifty(k) for k in range(1000)]
+    assert sum(candidate(a, b, substring.BANDS) for a, b in pairs) >= 997
+    assert all(pair(a, b)[2] for a, b in pairs[:200])
+
+
+def test_recall_of_fifty_words_in_the_whole_plan(spark):
+    texts = [t for k in range(100) for t in near_fifty(k)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["other"], r["doc_id"]) for r in substring.passages(docs).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(100)}
