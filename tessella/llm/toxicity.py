@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 1. A lexicon is induced from labelled training rows: words and word beginnings that stand out in toxic
-   texts by a log-likelihood ratio.
+   texts by a log-likelihood ratio of their counts. Near copies among those rows
+   (equal in a min-hash) count as one text.
 2. Voters look at a text: groups of lexicon entries, and patterns (an insult in a phrase that addresses
    somebody, repeated hits, shouting, exclamation marks, no hit at all). Each votes toxic, clean or
    abstains.
@@ -30,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.substring import WORDS, tokens
 from tessella.storage import materialize
 
 FIT_ROWS = 20_000
 #: Most entries of the lexicon.
 LEXICON = 3000
-#: Smallest log-likelihood ratio of an entry, and smallest share of the toxic texts that have it: what
-#: stands out in fewer is mostly the subject of a few copies.
-LEAST_RATIO, LEAST_SHARE = 28.0, 0.02
-#: Times that an entry is likelier in a toxic text than in a clean one, at least.
-LEAST_EXCESS = 100
+#: Smallest log-likelihood ratio of an entry (one in ten million by chance), and fewest distinct toxic texts that
+#: have it. Neither depends on how many other toxic texts there are.
+LEAST_RATIO, LEAST_TEXTS = 28.0, 3
+#: Standard errors by which a text with an entry must be likelier toxic than clean, were both equally frequent.
+SURE = 3.0
 #: Groups that lexicon entries are dealt to; each group is a voter.
 WORD_GROUPS, START_GROUPS = 12, 6
 START_SIZES = (4, 5)
@@ -191,6 +193,24 @@ def _ratio(toxic, clean, all_toxic: int, all_clean: int):
     return 2 * (part(toxic, n * share) + part(clean, n * (1 - share)) + part(rest_t, rest * share) + part(rest_c, rest * (1 - share)))
 
 
+def _mark(text: str | None) -> int:
+    """The smallest hash of a text's five-word shingles (of its words, if it is shorter), which near copies share."""
+    for words in (WORDS, 1):
+        if len(found := tokens(text, words)):
+            return int(found.min().astype(np.int64))
+    return -1
+
+
+def _tells(toxic, clean, all_toxic: int, all_clean: int):
+    """Whether the logarithm of an entry's rate in toxic texts over that in clean ones is surely above 0, as a Column.
+
+    Half a text is added to each count, so that an entry that no clean text has is judged by its count as well.
+    """
+    t, c = toxic + 0.5, clean + 0.5
+    error = F.sqrt(1 / t + 1 / c - 1 / (all_toxic + 1.0) - 1 / (all_clean + 1.0))
+    return F.log(t / (all_toxic + 1.0)) - F.log(c / (all_clean + 1.0)) > SURE * error
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """A model from the labelled rows (doc_id, toxic); None if they don't show both classes."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -200,6 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     if not sizes.get(0) or not sizes.get(1):
         return None
 
+    def mark(batches):
+        for batch in batches:
+            marks = [_mark(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"])
+
+    # copies of a text, most near ones too, say no more than the text
+    marked = texts.mapInArrow(mark, "toxic int, text string, mark long")
+    distinct = materialize(marked.groupBy("toxic", "mark").agg(F.min("text").alias("text")).drop("mark"), "toxicity-distinct")
+    kinds = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def count(batches):
         for batch in batches:
             totals: tuple[Counter, Counter] = (Counter(), Counter())
@@ -210,10 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
             names = list(totals[0])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([totals[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
 
-    counts = texts.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where(F.col("toxic") >= max(3, LEAST_SHARE * sizes[1])).withColumn("ratio", _ratio(F.col("toxic"), F.col("clean"), sizes[1], sizes[0]))
-    excess = F.col("toxic") * sizes[0] > LEAST_EXCESS * F.col("clean") * sizes[1]
-    entries = counts.where(excess & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(LEXICON).select("term").collect()
+    counts = distinct.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    counts = counts.where(toxic >= LEAST_TEXTS).withColumn("ratio", _ratio(toxic, clean, kinds[1], kinds[0]))
+    entries = counts.where(_tells(toxic, clean, kinds[1], kinds[0]) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "term").limit(LEXICON).select("term").collect()
     lexicon = Lexicon({r["term"]: i for i, r in enumerate(entries)})
 
     def look(batches):
