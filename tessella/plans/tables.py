@@ -151,16 +151,13 @@ def p_norm7(spark, sf_dir):
 
 @query()
 def half_sample_mode(spark, sf_dir):
-    """Robust mode of each event type's values. The values of a type are first counted to a grid of 1/8, so
-    that a group handed to the kernel has a bounded number of rows, then weighed back by repetition."""
-    v = F.round(F.col("value") * 8) / 8
-    counted = table(spark, sf_dir, "events").groupBy("event_type", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """Robust mode of each event type's values, from its distinct values and their counts."""
+    counted = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
     def mode(pdf):
         import pandas as pd
 
-        values = [v for v, n in sorted(zip(pdf["v"], pdf["n"], strict=True)) for _ in range(n)]
-        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "mode": [kernels.half_sample_mode(values)]})
+        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "mode": [kernels.half_sample_mode_of_counts(pdf["v"], pdf["n"])]})
 
     return kernels.by_group(counted, ["event_type"], mode, "event_type string, mode double")
 
