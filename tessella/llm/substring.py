@@ -345,39 +345,61 @@ def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: flo
             left = least + int(np.argmax(common))
         return s - left, e + lacks - left, max(0, c - left), min(len(other), d + lacks - left)
 
+    # Without repeated tokens the equal ones of a stretch are those of its runs.
+    plain = len(np.unique(mine)) == len(mine) and len(np.unique(other)) == len(other)
     out: list[tuple[int, int, int, int, float]] = []
-    covered = 0
-    for p in range(len(i)):
-        if covered >= reach:
-            break
-        box = (int(i[p]), int(i[p] + n[p]), int(j[p]), int(j[p] + n[p]))
-        matched, steps = int(n[p]), [box]
-        while True:
+    starts, others, sizes = i.tolist(), j.tolist(), n.tolist()
+    stops = i + n
+    covered, p, again = 0, 0, -1
+    while True:
+        if again >= 0:  # once more from inside the last stretch
+            at, again = again, -1
+        else:
+            while p < len(starts) and starts[p] + sizes[p] <= covered:
+                p += 1
+            if p == len(starts) or covered >= reach:
+                break
+            at, p = p, p + 1
+        box = (starts[at], starts[at] + sizes[at], others[at], others[at] + sizes[at])
+        matched, steps = sizes[at], [(box, (1 - similarity) * sizes[at], at)]
+        while box[1] < reach:
             s, e, c, d = box
-            score = (1 + similarity) * matched - similarity * (e - s + d - c)
+            score = steps[-1][1]
             stop = np.searchsorted(i, e + (max(0.0, score) + slack) / similarity + width, "right")
-            q = np.arange(p + 1, stop)
-            q = q[i[q] + n[q] > e]
+            q = at + 1 + np.flatnonzero(stops[at + 1 : stop] > e)
             if not len(q):
                 break
-            aside = np.maximum(0, j[q] - d) + np.maximum(0, c - j[q] - n[q])
-            best = q[np.lexsort((-n[q], np.maximum(0, i[q] - e) + aside))[0]]
-            box = (s, int(i[best] + n[best]), min(c, int(j[best])), max(d, int(j[best] + n[best])))
-            matched += box[1] - max(e, int(i[best]))
-            if (1 + similarity) * matched - similarity * (box[1] - s + box[3] - box[2]) < -slack and surplus(*box) < -slack:
+            if len(q) > 1:
+                cost = np.maximum(0, i[q] - e) + np.maximum(0, j[q] - d) + np.maximum(0, c - j[q] - n[q])
+                near = q[cost == cost.min()]
+                best = int(near[np.argmax(n[near])])
+            else:
+                best = int(q[0])
+            box = (s, starts[best] + sizes[best], min(c, others[best]), max(d, others[best] + sizes[best]))
+            matched += box[1] - max(e, starts[best])
+            score = (1 + similarity) * matched - similarity * (box[1] - s + box[3] - box[2])
+            if score < -slack and (plain or surplus(*box) < -slack):
                 break
-            steps.append(box)
-        for box in reversed(steps):
+            steps.append((box, score, best))
+        for k in range(len(steps) - 1, -1, -1):
+            box, score, _ = steps[k]
             if box[1] <= covered:
                 break
-            if box[1] - box[0] < width:
-                if width - (box[1] - box[0]) > (1 - similarity) * width or len(mine) < width:
-                    break
+            short = width - (box[1] - box[0])
+            if short > slack or len(mine) < width:
+                break
+            if plain and score < 0:
+                continue
+            if short > 0:
                 box = widened(*box)
             x = likeness(*box)
             if x >= similarity:
                 out.append((*box, x))
                 covered = box[1]
+                # What the stretch gains behind its worst beginning reaches farther than the whole, if anything does.
+                worst = min(range(k + 1), key=lambda m: steps[m][1] - (1 - similarity) * sizes[steps[m][2]])
+                if worst > 0:
+                    again = steps[worst][2]
                 break
     return out
 
