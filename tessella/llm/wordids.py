@@ -1,14 +1,18 @@
 """Token ids of whole texts through the tokenizers library, with each distinct word encoded once.
 
 The vocabulary `word_bpe_49k.json` drops white space and never joins what stands on both sides of
-it, so a text's ids are those of its white-space chunks in order. A chunk that begins with letters
-and goes on with another ASCII character is two independent parts as well. Ids of parts are kept in
-a bounded table per Python worker; everything else is vectorised.
+it, so a text's ids are those of its white-space chunks in order. Chunks go to the library as they
+are written (but for the case of ASCII letters that stand alone): it normalises and looks for special
+strings. A chunk that begins with letters and goes on with another ASCII character is two independent
+parts, if the library's own normalisation leaves letters of those letters (a letter may become a letter
+and a mark, which joins what follows). Ids of parts are kept in a bounded table per Python worker;
+everything else is vectorised.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +24,7 @@ CACHE_WORDS = 400_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 6 << 20
 
+_LETTERS = re.compile(r"[^\W\d_]*")
 _open: dict[tuple[str, str], object] = {}
 
 
@@ -74,15 +79,20 @@ class WordEncoder:
                 self.cache.update((p, self._exact(p)) for p in some)
         self.cache.update((p, self._exact(p)) for p in parts if not p.isalpha())
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """The independent parts of a chunk; ASCII letters alone can be lower-cased here, all else is the library's."""
         if word.isalpha():
-            return (word,)
-        n = next(i for i, c in enumerate(word) if not c.isalpha())
-        return (word[:n], word[n:]) if n and word[n] < "\x80" else (word,)
+            return (word.lower() if word.isascii() else word,)
+        start = _LETTERS.match(word)[0]
+        if start and start.isalpha() and word[len(start)] < "\x80":
+            if start.isascii():
+                return (start.lower(), word[len(start) :])
+            if self.tokenizer.normalizer.normalize_str(start).isalpha():
+                return (start, word[len(start) :])
+        return (word,)
 
     def words(self, words: list[str]) -> list[bytes]:
-        parts = [self._parts(w) for w in words]
+        parts = list(map(self._parts, words))
         get = self.cache.get
         if missing := {p for ps in parts for p in ps if get(p) is None}:
             if len(self.cache) + len(missing) > self.cache_words:
@@ -99,9 +109,7 @@ class WordEncoder:
         for token in self.special:  # their strings inside a text are the library's own matter
             marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
-        # bytes.lower() is ASCII's; a fresh array, as Arrow's own lower-casing goes wrong on slices
-        lowered = pa.array([t.encode().lower() for t in plain.to_pylist()], pa.large_binary()).cast(pa.large_string())
-        chunks = pc.ascii_split_whitespace(lowered)
+        chunks = pc.ascii_split_whitespace(plain)
         keyed = chunks.flatten().dictionary_encode()
         bounds = chunks.offsets.to_numpy()
         names, index = keyed.dictionary.to_pylist(), keyed.indices.to_numpy().astype(np.int64)

@@ -33,6 +33,23 @@ def test_word_encoder_is_the_library(texts, cache):
         assert flat[at[i] : at[i + 1]].tolist() == library_ids(WORD, t)
 
 
+ODD_CHARACTERS = [*"abzAZ'st.,;:!-<|>/*0129 \t\n\x0b\x1c\x85 ", "\u0130", "\u0131", "ß", "Σ", "ς", "é", "e\u0301", "\u0301", "\u0307", "\u0959", "\u0a36", "\u093c", "ﬁ", "日本", "½", "ª", "\u212a", "\u200d", "🙂"]
+ODD_CHARACTERS += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "don't", "'LL"]
+
+
+def test_word_encoder_is_the_library_on_any_characters():
+    from tokenizers import Tokenizer
+
+    r, library = random.Random(7), Tokenizer.from_file(WORD)
+    planes = [(0x20, 0x250), (0x250, 0x3000), (0xA000, 0xD7FF), (0xF900, 0xFFFF), (0x10000, 0x1FFFF)]
+    draw = lambda: r.choice(ODD_CHARACTERS) if r.random() < 0.6 else chr(r.randrange(*r.choice(planes)))
+    texts = ["A <|ENDOFTEXT|> b", "aİ.", "\u0959 .", "\u0a36/"] + ["".join(draw() for _ in range(r.randrange(1, 14))) for _ in range(10_000)]
+    flat, counts = WordEncoder(WORD, 3000).encode(pa.array(texts))
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for i, t in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_packing_places_each_id_once(spark, texts):
     texts = texts + [prose(4000, 5), prose(9000, 6)]
     docs = frame(spark, texts)
