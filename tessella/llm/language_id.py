@@ -6,9 +6,9 @@ language is the sum, over the text's n-grams, of how far out of place each is, a
 language lacks counting as the profile's length. The nearest language wins; ties go to the name that
 sorts first.
 
-Training takes at most FIT_ROWS rows of each language, chosen by the smallest hashes of doc_id. Whole
-texts are profiled, in training and in prediction. lang, source and doc_id are never inputs of a
-prediction. A text that is null or has no letter gives `und` with score 0; without any training row
+Training takes at most FIT_ROWS texts of each language, those with the smallest hashes of doc_id; of rows
+that share a language and a doc_id the text that sorts first is taken. Whole texts are
+profiled, in training and in prediction. lang, source and doc_id are never inputs of a prediction. A text that is null or has no letter gives `und` with score 0; without any training row
 every text does. Equal frequencies rank by the n-gram itself. Repeated rows are predicted alike; an
 empty table gives no rows; other columns are ignored.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessella.storage import materialize
 
 FIT_ROWS = 2_000
+#: Names in `lang` up to which a table with a row per name is broadcast; beyond it is joined by a shuffle.
+MOST_LANGUAGES = 10_000
 #: n-grams of a profile.
 PROFILE = 300
 SIZES = (1, 2, 3)
@@ -122,15 +124,24 @@ def _bytes(codes: np.ndarray) -> list[bytes]:
     return [c.to_bytes(8, "big", signed=True) for c in codes.tolist()]
 
 
+def _small(rows: DataFrame, name: str) -> DataFrame:
+    """A table of one row per language, broadcast if its rows are as few as languages are."""
+    rows = materialize(rows, name)
+    return F.broadcast(rows) if rows.count() <= MOST_LANGUAGES else rows
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """Profiles of the languages in docs (doc_id, text, lang), null languages and texts aside."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # The cutoff of each language's hashes is one number per language; a row-number window would sort all rows of a language in one task.
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("n"))
-    low = F.lit(-(2.0**63)) + share * F.lit(2.0**64)
-    limits = sizes.select("lang", low.alias("limit"))
-    texts = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").cast("double").alias("h")).join(limits, "lang").where("h <= limit").select("lang", "text")
+    known = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
+    narrow = known.select("lang", "h")
+    # The texts don't move: a number per language picks them where they are read. First a cutoff that leaves about twice
+    # the rows, so that only those few are ranked, then the hash of the last row that fits.
+    sizes = _small(narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    share = F.least(F.lit(1.0), F.lit(2.0 * fit_rows + 100) / F.col("n"))
+    near = narrow.join(sizes, "lang").where(F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)).select("lang", "h")
+    ranks = near.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= fit_rows)
+    limits = _small(ranks.groupBy("lang").agg(F.max("h").alias("limit")), "language-limits")
+    texts = known.join(limits, "lang").where("h <= limit").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
         for batch in batches:

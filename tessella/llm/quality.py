@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Each rule rejects texts whose figure lies beyond a cutoff. Cutoffs are chosen per stratum (the text's
-language) on labelled texts: a cutoff is valid if an exact binomial test rejects the hypothesis that it
-falsely rejects more than its rule's share of RISK (RISK divided by the number of rules) of the
-stratum's good texts, at level ERROR divided by the number of (stratum, rule, cutoff) tests. So with
-probability 1 - ERROR all rules together falsely reject at most RISK of the good texts of every stratum.
-Of a rule's valid cutoffs the strictest is taken; a rule without one is not applied in that stratum.
+A rule rejects texts whose figure lies beyond its cutoff. The cutoffs of all rules form one path of
+levels from lenient to strict: a text that a level rejects is rejected by every stricter one. Per
+stratum (the text's language) a level of the path is chosen on labelled texts: level after level, an
+exact binomial test must reject, at level ERROR divided by the number of strata, that all rules together
+falsely reject more than RISK of the stratum's good texts; the first level that fails ends the walk, and
+the level before it is taken. Hypotheses that are tested in a fixed order up to the first failure need no
+correction among each other, and Bonferroni's over the strata makes the whole family: with probability
+1 - ERROR at most RISK of the good texts of every stratum are rejected. A stratum whose first level fails
+has no rules; with four strata and no false rejection 86 good labelled texts are enough for a rule.
 
 Null and empty texts have no words and fail the base rules. A null language is a stratum of its own;
 strata without labelled texts have no rules. Repeated rows are judged alike; texts with contradicting
@@ -24,16 +27,17 @@ from tessella.storage import materialize
 RISK = 0.05
 ERROR = 0.05
 WINDOW = 5
-#: Rule -> (figure as SQL over the columns of `figures`, cutoffs from strict to lenient). Figures are
-#: per 1000; a text is rejected if its figure exceeds the cutoff.
+LEVELS = 6
+#: Rule -> (figure as SQL over the columns of `figures`, the LEVELS cutoffs from lenient to strict). Figures are
+#: per 1000 (long_words: hundredths of a character); a text is rejected if its figure exceeds the cutoff.
 RULES = {
-    "symbols": ("1000 * n_symbols div n_words", (5, 20, 50, 100, 250, 500)),
-    "bars": ("1000 * n_bars div n_words", (5, 20, 50, 100, 250, 500)),
-    "capitals": ("1000 * n_upper div greatest(n_letters, 1)", (100, 150, 200, 300, 500, 700)),
-    "marks": ("1000 * n_marks div n_words", (50, 100, 250, 500, 1000)),
-    "repeated_words": ("1000 * n_repeat_words div n_words", (20, 50, 100, 150)),
-    "repeated_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (50, 100, 200, 300, 500)),
-    "long_words": ("100 * word_chars div n_words", (650, 700, 800, 1000, 1200)),
+    "symbols": ("1000 * n_symbols div n_words", (500, 250, 100, 50, 20, 5)),
+    "bars": ("1000 * n_bars div n_words", (500, 250, 100, 50, 20, 5)),
+    "capitals": ("1000 * n_upper div greatest(word_chars, 1)", (700, 500, 300, 200, 150, 100)),
+    "marks": ("1000 * n_marks div n_words", (1000, 500, 250, 100, 50, 25)),
+    "repeated_words": ("1000 * n_repeat_words div n_words", (175, 150, 125, 100, 50, 20)),
+    "repeated_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (500, 400, 300, 200, 100, 50)),
+    "long_words": ("100 * word_chars div n_words", (1200, 1000, 900, 800, 700, 650)),
 }
 _BLANKS = " \t\n\x0b\f\r"
 _SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -89,7 +93,6 @@ def figures(docs: DataFrame) -> DataFrame:
             (F.length("text") - F.length(_without(F.col("text"), "|"))).cast("long").alias("n_bars"),
             (F.length("text") - F.length(_without(F.col("text"), "!"))).cast("long").alias("n_marks"),
             (F.length("text") - F.length(_without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
-            F.greatest(F.lit(0), tight).cast("long").alias("n_letters"),
         )
     )
 
@@ -112,29 +115,35 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, state, step, lambda s: s["sum"]))
 
 
+def rejected_at(level: Column) -> Column:
+    """Whether any rule rejects a text with `figures` columns at a level of the path, 1 to LEVELS; level 0 rejects nothing."""
+    parts = [F.expr(sql) > F.element_at(F.array(*map(F.lit, cuts)), level) for sql, cuts in RULES.values()]
+    any_ = parts[0]
+    for part in parts[1:]:
+        any_ = any_ | part
+    return F.when((level > 0) & (F.col("n_words") > 0), any_).otherwise(F.lit(False))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest valid cutoff of each rule, from figures and labels (doc_id, quality)."""
+    """(stratum, level): the strictest level of the path that each stratum's labels allow, from figures and labels (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = measured.where(~base_failed()).join(known.where("quality = 1").select("doc_id"), "doc_id")
-    over = [F.count_if(F.expr(f"{sql} > {cut}")).alias(f"{rule}_{cut}") for rule, (sql, cuts) in RULES.items() for cut in cuts]
+    over = [F.count_if(rejected_at(F.lit(level))).alias(f"k{level}") for level in range(1, LEVELS + 1)]
     counts = materialize(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over), "quality-counts")  # a row per stratum
-    tests = [F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{cut}").alias("k")) for rule, (_, cuts) in RULES.items() for cut in cuts]
+    tests = [F.struct(F.lit(level).alias("level"), F.col(f"k{level}").alias("k")) for level in range(1, LEVELS + 1)]
     long = counts.select("stratum", "n", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "t.*")
-    share = risk / len(RULES)
-    level = error / max(1, counts.count() * len(tests))
+    alpha = error / max(1, counts.count())
     # binomial_tail is walked only where k can pass at all
-    valid = long.where((F.col("k") <= F.col("n") * share) & (F.when(F.col("k") <= F.col("n") * share, binomial_tail(F.col("k"), F.col("n"), share)) <= level))
-    return valid.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    passes = F.when(F.col("k") <= F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk) <= alpha).otherwise(F.lit(False))
+    failing = F.min(F.when(~passes, F.col("level")))
+    return long.groupBy("stratum").agg((F.coalesce(failing, F.lit(LEVELS + 1)) - 1).alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The base columns of every row, base_failed and kept."""
-    measured = materialize(figures(docs), "quality-figures")  # narrow: twelve numbers per text
-    chosen = thresholds(measured, labels, risk, error).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    measured = materialize(figures(docs), "quality-figures")  # narrow: eleven numbers per text
     # A row per language; whether it is broadcast is decided by its size as written.
-    judged = measured.withColumnRenamed("stratum", "s").join(materialize(chosen, "quality-cutoffs"), F.col("s") == F.col("stratum"), "left")
-    rejected = F.lit(False)
-    for rule, (sql, _) in RULES.items():
-        rejected = rejected | F.coalesce(F.when(F.col("n_words") > 0, F.expr(sql)) > F.col(rule), F.lit(False))
-    judged = judged.withColumn("base_failed", base_failed())
+    chosen = materialize(thresholds(measured, labels, risk, error).withColumnRenamed("stratum", "s"), "quality-levels")
+    judged = measured.join(chosen, F.col("s") == F.col("stratum"), "left").withColumn("base_failed", base_failed())
+    rejected = rejected_at(F.coalesce("level", F.lit(0)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))

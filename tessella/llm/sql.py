@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm.quality import ERROR, RISK, RULES, WINDOW
+from tessella.llm.quality import ERROR, LEVELS, RISK, RULES, WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -20,14 +20,13 @@ def _words(text: str) -> str:
 
 
 def quality() -> str:
-    """Figures, cutoffs by exact binomial tails, and the verdict."""
-    tests = [(rule, cut) for rule, (_, cuts) in RULES.items() for cut in cuts]
+    """Figures, levels by exact binomial tails, and the verdict."""
     figure = {rule: sql.replace(" div ", " // ") for rule, (sql, _) in RULES.items()}
     count = lambda chars: f"length(t) - length({_without('t', chars)})"
-    unions = " UNION ALL ".join(f"SELECT stratum, n, '{rule}' AS rule, {cut} AS cutoff, COUNT(*) FILTER (WHERE {figure[rule]} > {cut}) AS k FROM good JOIN sizes USING (stratum) GROUP BY stratum, n" for rule, cut in tests)
-    share = RISK / len(RULES)
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))"
-    reject = " OR ".join(f"COALESCE(n_words > 0 AND CASE WHEN n_words > 0 THEN {sql} > (SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{rule}') END, false)" for rule, sql in figure.items())
+    over = lambda level: " OR ".join(f"{figure[rule]} > {cuts[level - 1]}" for rule, (_, cuts) in RULES.items())
+    unions = " UNION ALL ".join(f"SELECT stratum, COUNT(*) AS n, {level} AS level, COUNT(*) FILTER (WHERE {over(level)}) AS k FROM good GROUP BY stratum" for level in range(1, LEVELS + 1))
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r}))"
+    reject = " ".join(f"WHEN {level} THEN {over(level)}" for level in range(1, LEVELS + 1))
     return f"""WITH base AS (SELECT doc_id, COALESCE(lang, '') AS stratum, COALESCE(text, '') AS t FROM documents),
 parts AS (SELECT doc_id, stratum, t, {_words('t')} AS words, list_filter(string_split(t, chr(10)), lambda x: length({_without('x', _BLANKS)}) > 0) AS lines FROM base),
 spans AS (SELECT doc_id, unnest(range(0, len(words) - {WINDOW - 1})) AS i, words FROM parts WHERE len(words) >= {WINDOW}),
@@ -35,15 +34,14 @@ windows AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + {WINDOW}], ' ')
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, w) AS k FROM windows) WHERE k > 1),
 covered AS (SELECT doc_id, COUNT(DISTINCT i + d) AS n FROM again, (SELECT range AS d FROM range({WINDOW})) GROUP BY doc_id),
 figures AS (SELECT p.doc_id, stratum, len(words) AS n_words, length({_without('t', _BLANKS)}) AS word_chars, {count("'#*$%&|<>'")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-  COALESCE(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, {count("'|'")} AS n_bars, {count("'!'")} AS n_marks, {count(f"'{_UPPER}'")} AS n_upper, length({_without('t', _BLANKS)}) AS n_letters FROM parts p LEFT JOIN covered c ON p.doc_id = c.doc_id),
+  COALESCE(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, {count("'|'")} AS n_bars, {count("'!'")} AS n_marks, {count(f"'{_UPPER}'")} AS n_upper FROM parts p LEFT JOIN covered c ON p.doc_id = c.doc_id),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures),
 good AS (SELECT j.* FROM judged j JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING MIN(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-sizes AS (SELECT stratum, COUNT(*) AS n FROM good GROUP BY stratum),
 tests AS ({unions}),
-tails AS (SELECT stratum, rule, cutoff, (SELECT SUM({term}) FROM (SELECT unnest(range(0, k + 1)) AS i)) AS tail FROM tests WHERE k <= n * {share!r}),
-chosen AS (SELECT stratum, rule, MIN(cutoff) AS cutoff FROM tails WHERE tail <= {ERROR} / ((SELECT COUNT(*) FROM sizes) * {len(tests)}) GROUP BY stratum, rule)
+tails AS (SELECT stratum, level, CASE WHEN k <= n * {RISK!r} THEN (SELECT SUM({term}) FROM (SELECT unnest(range(0, k + 1)) AS i)) ELSE 1 END AS tail FROM tests),
+chosen AS (SELECT stratum, COALESCE(MIN(level) FILTER (WHERE tail > {ERROR} / (SELECT COUNT(DISTINCT stratum) FROM tests)), {LEVELS + 1}) - 1 AS level FROM tails GROUP BY stratum)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND NOT ({reject}) AS kept FROM judged f"""
+  base_failed, NOT base_failed AND NOT (CASE WHEN n_words > 0 THEN CASE level {reject} ELSE false END ELSE false END) AS kept FROM judged f LEFT JOIN chosen USING (stratum)"""
 
 
 def oracle_sql() -> dict[str, str]:

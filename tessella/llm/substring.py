@@ -3,24 +3,27 @@
 The tokens of a text are its five-word shingles. Under one hash function the Cartesian tree of a text's
 token hashes groups its subsequences by their smallest token: node c stands for all subsequences
 [i, j] with l <= i <= c <= j <= r, a *compact window* (l, c, r). Only nodes that are wide enough to hold
-a passage of MIN_WORDS words are kept. Subsequences of two windows under different hash functions are
-the intersection of their intervals; such a cell shares two min-hashes at once. Cells of two hash
-functions (a band) are formed inside the document, by an interval join of both lists of windows, so
-that only pairs of signatures travel.
-
-Cells with equal signatures are brought together. Those that agree in the next band's signature too,
-so have like surroundings, link to the smallest doc_id among them, and that one to the smallest of the
-signature: n cells give at most n - 1 links, never all pairs. A task first links the cells it holds
-itself and sends on one of each kind, so a passage that a third of all documents share arrives once per
-task.
-
-Every linked pair of documents is verified on its tokens: runs of equal tokens grow over gaps in either
-text, and a stretch counts if it holds MIN_WORDS words and its similarity to that of the other text is at
-least 0.8.
+a passage of MIN_WORDS words are kept. Windows of several hash functions are found; each is indexed under
+its token, and carries what stands SEED_GAP tokens before and after it.
+
+Windows that agree in their token and in a neighbour, a *kind*, link to the one of the smallest doc_id:
+n windows give at most n - 1 links, never all pairs. Windows whose whole surroundings of one passage's
+length are equal are collapsed first, by each task and again where they meet, so a passage that a third of
+all documents share arrives once per task. The links of a pair of documents from all hash functions and
+windows are joined, and the pair is verified once on its tokens: runs of equal tokens grow over gaps in
+either text, and a stretch counts if it holds MIN_WORDS words and its similarity to that of the other text
+is at least 0.8.
+
+A link that no verified stretch of its pair covers says that a window met a representative that is not its
+like. Such windows go round again, under a kind that names the first token in which they differ from that
+representative, so that those which go on alike meet each other; representatives have been compared with
+everybody and leave. Rounds end when no link fails: no pair of windows that agree beyond what they share
+with a representative is lost to it.
 
 Null, empty and shorter texts have no passages. Passages that repeat inside one document only are not
-reported; rows with equal doc_ids are not compared with each other, and null doc_ids not at all. An
-empty table gives no rows; other columns are ignored.
+reported; rows with equal doc_ids are not compared with each other, and null doc_ids not at all. Repeated
+rows give the same passages once. An empty table gives no rows; other columns are ignored. Working memory
+is proportional to the longest text (some tens of bytes a character).
 """
 
 from __future__ import annotations
@@ -37,17 +40,25 @@ from tessella.storage import materialize
 WORDS = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-#: Pairs of hash functions. Fifty words have one run of tokens, so one cell a band: at a similarity of 0.8 they become
-#: candidates with 1 - (1 - 0.8^2)^BANDS, 0.9997 for 8.
-BANDS = 8
+#: Hash functions. Fifty words have one run of tokens, so one window each. At a similarity of 0.8 it is shared with a
+#: neighbour in about 0.76 of all cases, so that all HASHES miss in fewer than 2 of 10,000.
+HASHES = 6
+#: Tokens from a window's token to the neighbours that are compared with it.
+SEED_GAP = 5
 #: Tokens whose windows are found at once.
 BLOCK_TOKENS = 1 << 19
-#: Cells that a task links before it sends them on.
-POOL_CELLS = 1 << 20
+#: Windows that a task collapses before it sends them on.
+POOL_WINDOWS = 1 << 20
+#: Pairs of documents up to which the texts that are needed are picked by a broadcast of their ids.
+BROADCAST_PAIRS = 10_000
+#: Members of a document's pairs that are verified with one copy of its text.
+SALT_PAIRS = 256
+#: Tokens of representatives that a worker keeps.
+KEPT_TOKENS = 1 << 20
 #: Pairs of equal tokens of two texts that are looked at at once.
 PAIRS = 1 << 20
 
-_SEEDS = np.random.default_rng(20240).integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(20240).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
@@ -145,83 +156,101 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[
     return low, center, high, node
 
 
-def cells(values: np.ndarray, owner: np.ndarray, width: int, bands: int = BANDS):
-    """(signature, signature of the next band, first token) of every cell of every band."""
-    keys = []
-    for k in range(2 * bands):
-        _, center, _, node = compact_windows(_mix(values ^ _SEEDS[k]), owner, width)
-        keys.append((node, values[center] if len(center) else center.astype(np.uint64)))
-    signatures, firsts = [], []
-    for b in range(bands):
-        (n1, v1), (n2, v2) = keys[2 * b], keys[2 * b + 1]
-        runs = np.flatnonzero(n1 >= 0)
-        # both windows hold the run: the interval join of the two lists, one entry for each pair that meets
-        change = np.concatenate(([True], (n1[runs][1:] != n1[runs][:-1]) | (n2[runs][1:] != n2[runs][:-1]))) if len(runs) else np.zeros(0, bool)
-        firsts.append(runs[change])
-        signatures.append((runs, _mix(v1[n1[runs]] + _mix(v2[n2[runs]] + np.uint64(b + 1))) if len(runs) else np.zeros(0, np.uint64)))
-    out = []
-    for b in range(bands):
-        runs, own = signatures[b]
-        other = signatures[(b + 1) % bands][1]
-        pick = np.searchsorted(runs, firsts[b])
-        out.append((own[pick], other[pick], firsts[b]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _seed_arrays(values: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Digest of the `width` tokens around each position, and of where it stands in them; first and last are its document's bounds."""
+    start = np.clip(at - width // 2, first, last - width)
+    return (_mix(prefix[start + width] - prefix[start] + (at - start).astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(32)).astype(np.uint32)
+
 
+def _short(values: np.ndarray) -> np.ndarray:
+    """16 bits of each token, never 0."""
+    return np.maximum(values >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
-def link_runs(key: np.ndarray, like: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(larger doc, smaller doc) of the links of equal keys, and which entries stand for their (key, like).
 
-    Entries that also agree in `like` link to the smallest doc of their kind, and each kind's smallest to
-    the key's: n entries give at most n - 1 links.
+def windows(values: np.ndarray, owner: np.ndarray, width: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
+    """(key, right, left, near, position) of the compact windows of every hash function; positions are in values.
+
+    right and left are 16 bits of the tokens SEED_GAP after and before, 0 at the text's end.
     """
-    order = np.lexsort((doc, like, key))
-    key, like, doc = key[order], like[order], doc[order]
-    if not len(key):
-        return doc, doc, order
-    other_key = np.concatenate(([True], key[1:] != key[:-1]))
-    other_kind = other_key | np.concatenate(([True], like[1:] != like[:-1]))
-    kinds = np.flatnonzero(other_kind)
-    least = doc[kinds]
-    of_key = np.flatnonzero(other_key[kinds])
-    lowest = np.repeat(np.minimum.reduceat(least, of_key), np.diff(np.append(of_key, len(kinds))))
-    high = np.concatenate((doc, least))
-    low = np.concatenate((least[np.cumsum(other_kind) - 1], lowest))
-    pairs = np.unique(np.stack((high, low), 1)[high != low], axis=0)
-    return pairs[:, 0], pairs[:, 1], order[kinds]
-
-
-_CELL = "bucket int, pairs boolean, a binary, b binary, c binary"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["bucket", "pairs", "a", "b", "c"])
-
-
-def candidate_pairs(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, buckets: int | None = None) -> DataFrame:
-    """(doc_id, other) with other < doc_id: documents that share a cell, linked sparsely."""
-    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    sizes = np.bincount(owner)
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    keys, places = [], []
+    for k in range(hashes):
+        _, center, _, _ = compact_windows(_mix(values ^ _SEEDS[k]), owner, width)
+        keys.append(_mix(values[center] + np.uint64(k + 1)))
+        places.append(center)
+    key, at = np.concatenate(keys), np.concatenate(places)
+    first, last = begin[owner[at]], begin[owner[at]] + sizes[owner[at]]
+    right = np.where(at + SEED_GAP < last, _short(values[np.minimum(at + SEED_GAP, len(values) - 1)]), 0).astype(np.uint16)
+    left = np.where(at - SEED_GAP >= first, _short(values[np.maximum(at - SEED_GAP, 0)]), 0).astype(np.uint16)
+    return key, right, left, _seed_arrays(values, prefix, first, last, at, width), at
+
+
+def star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the index of the entry of its key with the smallest doc, and which entries those are."""
+    order = np.lexsort((doc, key))
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, bool)
+    heads = order[new]
+    out = np.empty(len(key), np.int64)
+    out[order] = heads[np.cumsum(new) - 1]
+    return out, heads
+
+
+_SEED = "bucket int, links boolean, key binary, right binary, left binary, near binary, doc binary, at binary"
+_SEED_TYPES = (pa.int32(), pa.bool_()) + (pa.binary(),) * 6
+_SEED_NAMES = [x.split()[0] for x in _SEED.split(", ")]
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SEED_TYPES, strict=True)], names=_SEED_NAMES)
+
+
+def _by_bucket(bucket: np.ndarray, doc: np.ndarray, buckets: int):
+    """(bucket, indexes of its entries by doc) of every bucket that has any."""
+    order = np.lexsort((doc, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _entry_rows(key, right, left, near, doc, at, buckets: int) -> list[tuple]:
+    """Entries packed by bucket; within a bucket 32 bits of the key and 16 of a neighbour tell kinds apart."""
+    short = (key >> np.uint64(32)).astype(np.uint32)
+    return [(k, False, *(x[i].tobytes() for x in (short, right, left, near, doc, at))) for k, i in _by_bucket((key % np.uint64(buckets)).astype(np.int64), doc, buckets)]
+
+
+def _link_rows(doc, other, at, place, buckets: int) -> list[tuple]:
+    """Links (doc, other, position in doc, position in other) packed by doc."""
+    return [(k, True, b"", b"", b"", b"", np.stack((doc[i], other[i])).tobytes(), np.stack((at[i], place[i])).tobytes()) for k, i in _by_bucket(doc % buckets, doc, buckets)]
+
+
+def _links(of: np.ndarray, to: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    use = doc[of] != doc[to]
+    of, to = of[use], to[use]
+    return doc[of], doc[to], at[of], at[to]
+
+
+def _collapse(key, right, left, near, doc, at):
+    """The entries that stand for those with equal surroundings, and the links of the others to them."""
+    same = _mix(key.astype(np.uint64) + _mix(near.astype(np.uint64) + (right.astype(np.uint64) << np.uint64(32)) + (left.astype(np.uint64) << np.uint64(48))))
+    head, stand = star(same, doc)
+    return stand, _links(np.arange(len(doc)), head, doc, at)
+
+
+def gather(docs: DataFrame, buckets: int, words: int = WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """Windows of all texts, packed by bucket, and the links of those that a task has collapsed."""
     width = min_words - words + 1
 
-    def gather(batches):
+    def run(batches):
         pool: list[tuple] = []
         size = 0
 
         def send():
-            key, like, doc = (np.concatenate(x) for x in zip(*pool, strict=True))
-            high, low, stand = link_runs(key, like, doc)
-            rows = []
-            if len(high):
-                rows.append((int(high[0] % n), True, high.tobytes(), low.tobytes(), b""))
-            key, like, doc = key[stand], like[stand], doc[stand]
-            bucket = (key % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((doc, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[k] : cuts[k + 1]]
-                rows.append((k, False, key[at].tobytes(), (like[at] >> np.uint64(32)).astype(np.uint32).tobytes(), doc[at].tobytes()))
-            yield _batch(rows)
+            entries = tuple(np.concatenate(x) for x in zip(*pool, strict=True))
+            stand, found = _collapse(*entries)
+            yield _packed(_link_rows(*found, buckets) + _entry_rows(*(x[stand] for x in entries), buckets))
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
@@ -234,50 +263,77 @@ def candidate_pairs(docs: DataFrame, words: int = WORDS, min_words: int = MIN_WO
                         parts.append((ids[at], values))
                         total += len(values)
                     at += 1
-                if parts:
-                    values = np.concatenate([v for _, v in parts])
-                    owner = np.repeat(np.arange(len(parts)), [len(v) for _, v in parts])
-                    key, like, first = cells(values, owner, width)
-                    pool.append((key, like, np.array([i for i, _ in parts], np.int64)[owner[first]]))
-                    size += len(key)
-                if size >= POOL_CELLS:
+                if not parts:
+                    continue
+                sizes = [len(v) for _, v in parts]
+                owner = np.repeat(np.arange(len(parts)), sizes)
+                key, right, left, near, place = windows(np.concatenate([v for _, v in parts]), owner, width)
+                whose = owner[place]
+                begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                pool.append((key, right, left, near, np.array([i for i, _ in parts], np.int64)[whose], (place - begin[whose]).astype(np.int32)))
+                size += len(key)
+                if size >= POOL_WINDOWS:
                     yield from send()
                     pool, size = [], 0
         if pool:
             yield from send()
 
-    def meet(batches):
-        key, like, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        found = []
-        for batch in batches:
-            for pairs, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("pairs", "a", "b", "c")), strict=True):
-                if pairs:
-                    found.append(np.stack((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)), 1))
-                else:
-                    key.append(np.frombuffer(a, np.uint64))
-                    like.append(np.frombuffer(b, np.uint32))
-                    doc.append(np.frombuffer(c, np.int64))
-        high, low, _ = link_runs(np.concatenate(key), np.concatenate(like), np.concatenate(doc))
-        pairs = np.unique(np.concatenate([*found, np.stack((high, low), 1)]), axis=0)
-        # A pair shares many signatures, which meet in many tasks: pairs travel packed to the task of their doc.
-        home = pairs[:, 0] % n
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(n + 1))
-        rows = [(k, True, pairs[order[cuts[k] : cuts[k + 1]], 0].tobytes(), pairs[order[cuts[k] : cuts[k + 1]], 1].tobytes(), b"") for k in np.flatnonzero(np.diff(cuts)).tolist()]
-        if rows:
-            yield _batch(rows)
-
-    def distinct(batches):
-        found = [np.zeros((0, 2), np.int64)]
-        for batch in batches:
-            found += [np.stack((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)), 1) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        for at in range(0, len(pairs), 1 << 16):
-            some = pairs[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["doc_id", "other"])
-
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(gather, _CELL).repartition(n, "bucket").mapInArrow(meet, _CELL).repartition(n, "bucket").mapInArrow(distinct, "doc_id long, other long")
+    return rows.mapInArrow(run, _SEED)
+
+
+def _unpacked(batches, links: bool):
+    kinds = (np.uint32, np.uint16, np.uint16, np.uint32, np.int64, np.int32)
+    got: list[list] = [[np.zeros(0, t)] for t in kinds]
+    passed = []
+    for batch in batches:
+        for row in zip(*(batch.column(x).to_pylist() for x in _SEED_NAMES[1:]), strict=True):
+            if row[0]:
+                passed.append(row)
+            else:
+                for out, data, kind in zip(got, row[1:], kinds, strict=True):
+                    out.append(np.frombuffer(data, kind))
+    if not links:
+        return [np.concatenate(x) for x in got], passed
+    pairs = [np.zeros((2, 0), np.int64)] + [np.frombuffer(row[5], np.int64).reshape(2, -1) for row in passed]
+    places = [np.zeros((2, 0), np.int32)] + [np.frombuffer(row[6], np.int32).reshape(2, -1) for row in passed]
+    return np.concatenate(pairs, axis=1), np.concatenate(places, axis=1)
+
+
+def linked(entries: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, other, links): pairs of documents with other < doc_id, and the positions of their links, from packed entries."""
+
+    def meet(batches):
+        entry, passed = _unpacked(batches, links=False)
+        for row in passed:  # links that a task has found on its way; they are dealt out by doc
+            yield _packed(_link_rows(*np.frombuffer(row[5], np.int64).reshape(2, -1), *np.frombuffer(row[6], np.int32).reshape(2, -1), buckets))
+        stand, found = _collapse(*entry)
+        if not len(stand):
+            return
+        out = [found]
+        key, right, left, _, doc, at = (x[stand] for x in entry)
+        for side, neighbour in enumerate((right, left)):
+            use = np.flatnonzero(neighbour)
+            kind = (key[use].astype(np.uint64) << np.uint64(32)) | (neighbour[use].astype(np.uint64) << np.uint64(1)) | np.uint64(side)
+            head, _ = star(kind, doc[use])
+            out.append(_links(use, use[head], doc, at))
+        yield _packed(_link_rows(*(np.concatenate(x) for x in zip(*out, strict=True)), buckets))
+
+    def pairs(batches):
+        (doc, other), (at, place) = _unpacked(batches, links=True)
+        order = np.lexsort((place, at, other, doc))
+        rows = np.stack((doc[order], other[order], at[order], place[order]))
+        rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))] if rows.shape[1] else rows
+        new = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, np.int64)
+        ends = np.append(new[1:], rows.shape[1])
+        places = np.ascontiguousarray(rows[2:].T.astype(np.int32))
+        for k in range(0, len(new), 4096):
+            some = slice(k, k + 4096)
+            links = [places[a:b].tobytes() for a, b in zip(new[some].tolist(), ends[some].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, new[some]]), pa.array(rows[1, new[some]]), pa.array(links, pa.binary())], names=["doc_id", "other", "links"])
+
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entries.repartition(n, "bucket").mapInArrow(meet, _SEED).repartition(n, "bucket").mapInArrow(pairs, "doc_id long, other long, links binary")
 
 
 def _diagonals(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -405,43 +461,136 @@ def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: flo
 
 
 PASSAGES = "doc_id long, other long, start long, end long, other_start long, other_end long, similarity double"
+_JUDGED = f"{PASSAGES}, {_SEED}"
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Passages of pairs (doc_id, other), in words: [start, end) of doc_id's text and of the other's."""
+def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """(key, neighbour, digest of the surroundings, position) of the links' windows, under the first token on either side that isn't the representative's."""
+    out = []
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mine, dtype=np.uint64)))
+    for p, q in links.tolist():
+        for side, (a, b) in enumerate(((mine[p:], other[q:]), (mine[p::-1], other[q::-1]))):
+            n = min(len(a), len(b))
+            differs = a[:n] != b[:n]
+            y = int(np.argmax(differs)) if differs.any() else n
+            if y < len(a):
+                at = np.array([p])
+                near = _seed_arrays(mine, prefix, np.zeros(1, np.int64), np.array([len(mine)]), at, width)
+                key = _mix(mine[at] + _mix(np.array([2 * y + side + (1 << 32)], np.uint64)))
+                out.append((int(key[0]), int(_short(a[y : y + 1])[0]), int(near[0]), p))
+    return out
+
+
+class _Kept:
+    """Tokens of texts that many rows share, up to a number of tokens."""
+
+    def __init__(self):
+        self.by_text: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def get(self, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens in order of size)."""
+        found = self.by_text.get(text)
+        if found is None:
+            values = tokens(text, words)
+            if self.size + len(values) > KEPT_TOKENS:
+                self.by_text.clear()
+                self.size = 0
+            found = self.by_text[text] = values, np.sort(values)
+            self.size += len(values)
+        return found
+
+
+def pair_passages(mine: np.ndarray, other: np.ndarray, ordered: np.ndarray, width: int, similarity: float = SIMILARITY, words=None) -> list[tuple[int, int, int, int, float]]:
+    """shared_runs, with what is quick to say said first; ordered is other in order of size."""
+    if len(mine) == len(other) and (mine == other).all():
+        return [(0, len(mine), 0, len(other), 1.0)]
+    at = np.minimum(np.searchsorted(ordered, mine), len(ordered) - 1)
+    hits = np.concatenate(([0], np.cumsum(ordered[at] == mine)))
+    if hits[-1] < width * similarity:
+        return []
+    # A stretch without repeated tokens has `similarity` of its tokens in other, and so some run of `width` tokens at least
+    # half of that: n tokens are cut into no more than 2 n / width runs.
+    if (hits[width:] - hits[:-width]).max() < width * similarity / 2 and len(np.unique(mine)) == len(mine):
+        return []
+    return shared_runs(mine, other, width, similarity, words)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, buckets: int, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Passages of pairs (doc_id, other, links), in words: [start, end) of doc_id's text and of the other's; and, as packed
+    entries (similarity is null), the windows whose links no passage covers."""
     width = min_words - words + 1
 
     def run(batches):
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        kept = _Kept()
+        again: list[tuple] = []  # (key, neighbour, digest, doc, position)
 
-        def single(i, texts, other_texts):
-            return functools.cache(lambda: (tokens(texts[i].as_py(), 1), tokens(other_texts[i].as_py(), 1)))
+        def send():
+            key, right, near, doc, at = (np.array(x, t) for x, t in zip(zip(*again, strict=True), (np.uint64, np.uint16, np.uint32, np.int64, np.int32), strict=True))
+            entries = key, right, np.zeros(len(key), np.uint16), near, doc, at
+            stand, found = _collapse(*entries)
+            packed = _packed(_link_rows(*found, buckets) + _entry_rows(*(x[stand] for x in entries), buckets))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(packed.num_rows, t) for t in _PASSAGE_TYPES), *packed.columns], names=[*_PASSAGE_NAMES, *_SEED_NAMES])
 
         for batch in batches:
             rows = []
-            ids, others, texts, other_texts = (batch.column(c) for c in ("doc_id", "other", "text", "other_text"))
+            ids, others, links, texts, other_texts = (batch.column(c) for c in ("doc_id", "other", "links", "text", "other_text"))
             for i in range(batch.num_rows):
-                other = others[i].as_py()
-                if held[0] != other:
-                    held = other, tokens(other_texts[i].as_py(), words)
-                mine = tokens(texts[i].as_py(), words)
-                if len(mine) >= width and len(held[1]) >= width:
-                    rows += [(ids[i].as_py(), other, s, e + words - 1, c, d + words - 1, x) for s, e, c, d, x in shared_runs(mine, held[1], width, similarity, single(i, texts, other_texts))]
+                doc, text, other_text = ids[i].as_py(), texts[i].as_py(), other_texts[i].as_py()
+                theirs, ordered = kept.get(other_text, words)
+                mine = theirs if text == other_text else tokens(text, words)
+                seeds = np.frombuffer(links[i].as_py(), np.int32).reshape(-1, 2)
+                seeds = seeds[(seeds[:, 0] < len(mine)) & (seeds[:, 1] < len(theirs))]
+                seeds = seeds[mine[seeds[:, 0]] == theirs[seeds[:, 1]]]  # other rows of these doc_ids have other texts
+                if not len(seeds):
+                    continue
+                single = functools.cache(lambda a=text, b=other_text: (tokens(a, 1), tokens(b, 1)))
+                found = pair_passages(mine, theirs, ordered, width, similarity, single)
+                rows += [(doc, others[i].as_py(), s, e + words - 1, c, d + words - 1, x) for s, e, c, d, x in found]
+                covered = np.zeros(len(mine), bool)
+                for s, e, *_ in found:
+                    covered[s:e] = True
+                again += [(key, token, near, doc, p) for key, token, near, p in _open_windows(mine, theirs, seeds[~covered[seeds[:, 0]]], width)]
             if rows:
-                names = [x.split()[0] for x in PASSAGES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if n == "similarity" else pa.int64()) for n, v in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+                columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PASSAGE_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(rows), t) for t in _SEED_TYPES)], names=[*_PASSAGE_NAMES, *_SEED_NAMES])
+            if len(again) >= POOL_WINDOWS // 8:
+                yield send()
+                again.clear()
+        if again:
+            yield send()
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
-    some = materialize(texts.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "passage-texts")
-    left = pairs.hint("shuffle_hash").join(some, "doc_id")
-    right = some.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
-    return left.join(right, "other").select("doc_id", "other", "text", "other_text").mapInArrow(run, PASSAGES).distinct()
+    few = pairs.count() <= BROADCAST_PAIRS  # then their ids are, too
+    if few:
+        needed = pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
+        texts = texts.join(F.broadcast(needed), "doc_id", "left_semi")
+    # A document that very many others are compared with is copied, and they are dealt out over the copies.
+    salts = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts"))
+    right = texts.join(salts.withColumnRenamed("other", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = pairs.join(salts.hint("shuffle_hash"), "other").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int")).drop("salts")
+    left = salted.hint("shuffle_hash").join(texts, "doc_id")
+    return left.join(right.hint("shuffle_hash"), ["other", "salt"]).select("doc_id", "other", "links", "text", "other_text").mapInArrow(run, _JUDGED)
+
+
+_PASSAGE_NAMES = [x.split()[0] for x in PASSAGES.split(", ")]
+_PASSAGE_TYPES = (pa.int64(),) * 6 + (pa.float64(),)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """Passages of MIN_WORDS words or more that a document shares with another of smaller doc_id."""
-    return verify(docs, materialize(candidate_pairs(docs), "passage-pairs"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries, found = gather(docs, buckets), None
+    while True:
+        pairs = materialize(linked(entries, buckets), "passage-pairs")
+        if found is not None and pairs.isEmpty():
+            return found.distinct()
+        judged = materialize(verify(docs, pairs, buckets), "passages")
+        new = judged.where("similarity is not null").select(_PASSAGE_NAMES)
+        found = new if found is None else found.unionByName(new)
+        entries = judged.where("similarity is null").select(_SEED_NAMES)
+        if entries.isEmpty():
+            return found.distinct()
 
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
