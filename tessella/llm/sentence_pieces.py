@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding in bounded memory.
 
-The encoder walks a text once, as a Viterbi search whose window is the longest piece. At every
-position it keeps one backpointer: the piece that ends there. In a BPE vocabulary the best path to a
-position is the one whose neighbouring pieces are all *compatible*, that is, whose last two pieces are
-what the merges make of their joined text; exactly one piece per position passes, because what the
-merges make of a text's beginning does not depend on what follows. So paths need no scores of their
-own, and the result is that of merging, piece for piece.
-
-Ids are committed whenever the backpointer paths of all positions in the window lead through one
-boundary; only the window and the uncommitted stretch are held, whatever the length of the text.
-Boundaries that no piece of the vocabulary can cross (white space after a word, line feeds) are such
-places for every text, so stretches between them are looked up in a bounded table first.
+The encoder is a Viterbi search that walks a text once, chunk by chunk. At every position it keeps one
+backpointer: the piece that ends there. In a BPE vocabulary the best path to a position is the one whose
+neighbouring pieces are all *compatible*, that is, whose last two pieces are what the merges make of their
+joined text; exactly one piece per position passes, because what the merges make of a text's beginning
+does not depend on what follows. So paths need no scores of their own, and the result is that of merging,
+piece for piece.
+
+The window holds the positions from which a piece may still go on beyond the last character read, at most
+as many as the longest piece has characters. Only their paths survive; where all of them lead through one
+boundary, the ids before it are committed and forgotten. What is held is a chunk, the window and the
+uncommitted stretch, whatever the length of the text.
+
+What a walk commits between two places where the window is empty depends on the characters between them
+alone, so it is kept in a bounded table. Blanks before a word and line feeds are such places if no piece of
+the vocabulary holds them further in; a walk that starts there and is in the table is not repeated.
 
 Characters outside the vocabulary become the byte pieces of their UTF-8 form. Decoding joins pieces and
 bytes; bytes that aren't UTF-8 become U+FFFD, control pieces vanish. Null texts and empty ones have no
@@ -21,8 +25,10 @@ gives no rows. Other columns are kept, but for one named like the result, which
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,40 +36,44 @@ from pyspark.sql import functions as F
 from tessella.llm.wordids import by_bytes, worker_once
 
 SPACE = "▁"
-#: Stretches of text whose ids a worker keeps, and the longest of them.
-CACHE_SPANS, CACHE_LENGTH = 150_000, 48
+#: Walks between two empty windows whose ids a worker keeps, and the longest of them in characters.
+CACHE_WALKS, CACHE_LENGTH = 400_000, 48
 #: Pairs of pieces whose compatibility is kept.
-CACHE_PAIRS = 150_000
+CACHE_PAIRS = 200_000
+#: Characters of a text that are read at once.
+CHUNK = 1 << 15
 #: Characters between two looks for a boundary that all paths share.
 COMMIT_EVERY = 64
+#: Ids that are decoded at once.
+DECODE_IDS = 1 << 19
 
-Piece = tuple[str, tuple[int, ...]]
 
+class Vocabulary:
+    """Pieces, merges and the tree of pieces by their characters."""
 
-class StreamingEncoder:
     def __init__(self, model_file: str):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        #: whether a piece holds a blank behind other characters or a line feed beside any
         self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] or "\n" in p[:-1] for p in self.ids)
-        self.before = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.ending: dict = {}  # pieces that their own merges lead to, by their characters from the last to the first
+        #: neighbouring characters that some piece holds
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.tree: dict = {}  # a node has its characters' nodes, and under "" the piece that ends there
         for piece in self.ids:
-            if self.merged(piece) == [piece]:
-                node = self.ending
-                for c in reversed(piece):
-                    node = node.setdefault(c, {})
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            if self.merged(piece) == [piece]:  # the others are never what merges lead to
                 node[""] = piece
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.spans: dict[str, list[int]] = {}
-
-    # merges ------------------------------------------------------------------------------------
 
     def merged(self, text: str) -> list[str]:
         """Pieces that the merges make of a short text: always the pair with the best score, leftmost first."""
@@ -87,42 +97,47 @@ class StreamingEncoder:
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
-    # the search --------------------------------------------------------------------------------
-
-    def stream(self, chunks):
-        """Yield committed pieces of the text that the chunks make up; holds the window and what is uncommitted."""
-        text, base = "", 0  # text from the last committed boundary on; base counts what came before
-        last: list[str] = [""]  # last[i]: the piece that ends at position i of text
-        previous = ""  # the piece before text
-        for chunk in chunks:
-            text += chunk
-            while len(last) <= len(text):
-                i = len(last)
-                last.append(self._ending(text, i, last, previous))
-                if i % COMMIT_EVERY == 0 and (cut := self._shared(last)):
-                    pieces = self._path(last, cut)
-                    yield from pieces
-                    previous, text, last = pieces[-1], text[cut:], ["", *last[cut + 1 :]]
-                    base += cut
-        if len(last) > 1:
-            yield from self._path(last, len(last) - 1)
-
-    def _ending(self, text: str, i: int, last: list[str], previous: str) -> str:
-        node, found, j = self.ending, [], i
-        while j and (node := node.get(text[j - 1])) is not None:
-            j -= 1
-            if "" in node:
-                found.append(node[""])
-        for piece in reversed(found):
-            before = last[i - len(piece)] or previous
-            if not before or self.compatible(before, piece):
-                return piece
-        return text[i - 1]  # a character without a piece stands alone
-
-    def _shared(self, last: list[str]) -> int:
-        """The last boundary that the paths of all positions of the window lead through, 0 if there is none."""
-        top = len(last) - 1
-        heap = [-i for i in range(max(0, top - self.longest + 1), top + 1)]
+    def packed(self, pieces: Iterable[str]) -> bytes:
+        """Ids of pieces; a character that is no piece has those of its bytes."""
+        out = []
+        for piece in pieces:
+            known = self.ids.get(piece)
+            out += [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
+        return np.array(out, self.dtype).tobytes()
+
+
+class Window:
+    """The search over one stretch of text: characters in, committed pieces out."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.last: list[str] = [""]  # the piece that ends at each position since the last commit
+        self.open: list[tuple[int, dict]] = []  # window: positions where a piece may have begun that still goes on, with its node
+        self.previous = ""  # the piece before the first position
+
+    def push(self, text: str) -> Iterator[str]:
+        tree, compatible, last, window = self.vocabulary.tree, self.vocabulary.compatible, self.last, self.open
+        for c in text:
+            end = len(last)
+            going, best = [], None
+            window.append((end - 1, tree))
+            for begin, node in window:  # the longest piece first
+                if (node := node.get(c)) is not None:
+                    going.append((begin, node))
+                    if best is None and (piece := node.get("")) is not None:
+                        before = last[begin] or self.previous
+                        if not before or compatible(before, piece):
+                            best = piece
+            last.append(best or c)  # a character without a piece stands alone
+            window = self.open = going
+            if end % COMMIT_EVERY == 0 and (cut := self.converged()):
+                yield from self._commit(cut)
+                last, window = self.last, self.open
+
+    def converged(self) -> int:
+        """The last boundary that the paths of all positions of the window, and of the end, lead through."""
+        last = self.last
+        heap = [1 - len(last), *(-begin for begin, _ in self.open)]
         heapify(heap)
         seen = set(heap)
         while len(heap) > 1:
@@ -135,51 +150,107 @@ class StreamingEncoder:
                 heappush(heap, -j)
         return -heap[0]
 
-    @staticmethod
-    def _path(last: list[str], end: int) -> list[str]:
-        out = []
+    def _commit(self, cut: int) -> list[str]:
+        pieces, end = [], cut
         while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
-    # ids ---------------------------------------------------------------------------------------
-
-    def piece_ids(self, piece: str) -> list[int]:
-        known = self.ids.get(piece)
-        return [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-
-    def _search(self, text: str) -> list[int]:
-        return [i for piece in self.stream((text,)) for i in self.piece_ids(piece)]
+            pieces.append(self.last[end])
+            end -= len(self.last[end])
+        self.previous = pieces[0]
+        self.last = ["", *self.last[cut + 1 :]]
+        self.open = [(begin - cut, node) for begin, node in self.open]
+        return pieces[::-1]
+
+    def finish(self) -> list[str]:
+        """The rest of the text's pieces; the window starts anew."""
+        self.open = []
+        cut = self.converged()
+        pieces = self._commit(cut) if cut else []
+        self.previous = ""
+        return pieces
 
-    def _span(self, span: str) -> list[int]:
-        """Ids of a stretch that no piece can cross into; a final mark that no piece joins is apart."""
-        if len(span) > CACHE_LENGTH:
-            return self._search(span)
-        if len(span) > 1 and not span[-1].isalnum() and span[-1] != SPACE and span[-2:] not in self.before:
-            return self._kept(span[:-1]) + self._kept(span[-1])
-        return self._kept(span)
 
-    def _kept(self, span: str) -> list[int]:
-        known = self.spans.get(span)
-        if known is None:
-            if len(self.spans) >= CACHE_SPANS:
-                self.spans.clear()
-            known = self.spans[span] = self._search(span)
-        return known
+class StreamingEncoder:
+    def __init__(self, model_file: str):
+        self.vocabulary = Vocabulary(model_file)
+        self.walks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> list[int]:
+    def pieces(self, chunks: Iterable[str]) -> Iterator[str]:
+        """The pieces of the text that the chunks make up, by the search alone."""
+        window = Window(self.vocabulary)
+        for chunk in chunks:
+            yield from window.push(chunk)
+        yield from window.finish()
+
+    def _walk(self, stretch: str) -> bytes:
+        """Ids of a stretch between two places where the window is empty."""
+        if (known := self._known(stretch)) is not None:
+            return known
+        inside, at, parts = self.vocabulary.inside, 0, []
+        for i in range(1, len(stretch)):
+            if stretch[i - 1 : i + 1] not in inside:  # no piece goes on over this place: the window is empty here, too
+                parts.append(stretch[at:i])
+                at = i
+        parts.append(stretch[at:])
+        out = []
+        for part in parts:
+            ids = self._known(part) if len(parts) > 1 else None
+            if ids is None:
+                ids = self.vocabulary.packed(self.pieces((part,)))
+                if len(part) <= CACHE_LENGTH:
+                    self._keep(part, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def _known(self, stretch: str) -> bytes | None:
+        ids = self.walks.get(stretch)
+        if ids is None and (ids := self.older.get(stretch)) is not None:
+            self._keep(stretch, ids)
+        return ids
+
+    def _keep(self, stretch: str, ids: bytes) -> None:
+        if len(self.walks) >= CACHE_WALKS // 2:  # what was not asked for since the last time is forgotten
+            self.older, self.walks = self.walks, {}
+        self.walks[stretch] = ids
+
+    def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Committed ids of the text that the chunks make up."""
+        if self.vocabulary.crossing:
+            for piece in self.pieces(chunks):
+                yield self.vocabulary.packed((piece,))
+            return
+        rest, window = "", None  # the stretch that may go on in the next chunk; a long one is in a window already
+        for chunk in chunks:
+            if window is not None:
+                cut = _GOES_ON.match(chunk).end() if words else _BLANKS_GO_ON.match(chunk).end()
+                words = words or not chunk[:cut].strip(SPACE) == ""
+                yield self.vocabulary.packed(window.push(chunk[:cut]))
+                if cut == len(chunk):
+                    continue
+                yield self.vocabulary.packed(window.finish())
+                chunk, window = chunk[cut:], None
+            stretches = _STRETCHES.findall(rest + chunk)
+            rest = stretches.pop() if stretches else ""
+            known = list(map(self.walks.get, stretches))
+            yield b"".join(self._walk(x) if ids is None else ids for x, ids in zip(stretches, known, strict=True))
+            if len(rest) > CHUNK and rest != "\n":
+                window, words = Window(self.vocabulary), rest.strip(SPACE) != ""
+                yield self.vocabulary.packed(window.push(rest))
+                rest = ""
+        if window is not None:
+            yield self.vocabulary.packed(window.finish())
+        elif rest:
+            yield self._walk(rest)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, in the vocabulary's integer type."""
         if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        if self.crossing:
-            return self._search(marked)
-        spans = _SPANS.findall(marked)
-        found = list(map(self.spans.get, spans))
-        return [i for span, ids in zip(spans, found, strict=True) for i in (self._span(span) if ids is None else ids)]
+            return b""
+        return b"".join(self.stream((SPACE * (at == 0) + text[at : at + CHUNK].replace(" ", SPACE) for at in range(0, len(text), CHUNK))))
 
 
-_SPANS = re.compile(f"\n|{SPACE}*[^\n{SPACE}]+|{SPACE}+")
+_STRETCHES = re.compile(f"\n|{SPACE}*[^\n{SPACE}]+|{SPACE}+")
+_GOES_ON, _BLANKS_GO_ON = re.compile(f"[^\n{SPACE}]*"), re.compile(f"{SPACE}*[^\n{SPACE}]*")
 
 
 class Decoder:
@@ -187,21 +258,32 @@ class Decoder:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
-        self.table = []
+        table = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_control(i):
-                self.table.append(b"")
+                table.append(b"")
             elif model.is_byte(i):
-                self.table.append(bytes([int(piece[3:5], 16)]))
+                table.append(bytes([int(piece[3:5], 16)]))
             elif model.is_unknown(i):
-                self.table.append(" ⁇ ".encode())
+                table.append(" ⁇ ".encode())
             else:
-                self.table.append(piece.replace(SPACE, " ").encode())
+                table.append(piece.replace(SPACE, " ").encode())
+        self.sizes = np.array([len(x) for x in table], np.int64)
+        self.begins = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.pool = np.frombuffer(b"".join(table), np.uint8)
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.table.__getitem__, ids or ())).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.asarray([] if ids is None else ids, np.int64), [0, 0 if ids is None else len(ids)])[0]
+
+    def decode_all(self, ids: np.ndarray, bounds) -> list[str]:
+        """Texts of ids[a:b] for each two neighbouring bounds."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        data = self.pool[np.repeat(self.begins[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.asarray(bounds)].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def encode(docs: DataFrame, model_file: str, column: str = "text", to: str = "piece_ids") -> DataFrame:
@@ -211,9 +293,12 @@ def encode(docs: DataFrame, model_file: str, column: str = "text", to: str = "pi
 
     def run(batches):
         encoder = worker_once("pieces", model_file, lambda: StreamingEncoder(model_file))
+        dtype = encoder.vocabulary.dtype
         for batch in batches:
             for part in by_bytes(batch, column, 2 << 20):
-                ids = pa.array([encoder.encode(t) for t in part.column(column).to_pylist()], pa.list_(pa.int32()))
+                coded = [encoder.encode(text.as_py()) for text in part.column(column)]
+                bounds = np.concatenate(([0], np.cumsum([len(x) // dtype.itemsize for x in coded]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), dtype).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, to])
 
     return docs.select(kept).mapInArrow(run, schema)
@@ -227,9 +312,12 @@ def decode(rows: DataFrame, model_file: str, column: str = "piece_ids", to: str
     def run(batches):
         decoder = worker_once("unpieces", model_file, lambda: Decoder(model_file))
         for batch in batches:
-            lists, texts = batch.column(column), []
-            for at in range(0, len(lists), 64):  # ids as Python numbers take many times their Arrow size
-                texts += [decoder.decode(x) for x in lists.slice(at, 64).to_pylist()]
+            lists, texts, at = batch.column(column).fill_null([]), [], 0
+            bounds, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            while at < len(lists):
+                to_row = max(at + 1, int(np.searchsorted(bounds, bounds[at] + DECODE_IDS, "right")) - 1)
+                texts += decoder.decode_all(ids[bounds[at] : bounds[to_row]].astype(np.int64), bounds[at : to_row + 1] - bounds[at])
+                at = to_row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
     return rows.select(kept).mapInArrow(run, schema)

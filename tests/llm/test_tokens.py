@@ -137,13 +137,50 @@ def test_pieces_are_the_library_s(spark, texts):
     assert sentence_pieces.encode(docs.where("false"), PIECE).count() == 0
 
 
+def piece_library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECE)
+
+
 def test_streaming_does_not_depend_on_the_chunks():
     encoder, r = sentence_pieces.StreamingEncoder(PIECE), random.Random(3)
-    text = "▁" + "".join(r.choice("abcdeorstin▁▁.,()=é") for _ in range(3000))
-    whole = list(encoder.stream((text,)))
+    text = "▁" + "".join(r.choice("abcdeorstin▁▁.,()=é\n") for _ in range(3000))
+    whole = list(encoder.pieces((text,)))
     assert "".join(whole) == text
-    cuts = sorted(r.sample(range(len(text)), 40))
-    assert list(encoder.stream(text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True))) == whole
+    want = piece_library().encode(text[1:].replace("▁", " "))
+    for n in (1, 40, 900):
+        cuts = sorted(r.sample(range(len(text)), n))
+        chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        assert list(encoder.pieces(chunks)) == whole
+        assert np.frombuffer(b"".join(encoder.stream(chunks)), encoder.vocabulary.dtype).tolist() == want
+
+
+def test_paths_converge_and_little_is_held(monkeypatch):
+    """Ids are committed on the way, in texts with and without blanks; the uncommitted stretch stays short."""
+    encoder, most, commits = sentence_pieces.StreamingEncoder(PIECE), 0, 0
+    commit = sentence_pieces.Window._commit
+
+    def counted(self, cut):
+        nonlocal most, commits
+        most, commits = max(most, len(self.last)), commits + 1
+        return commit(self, cut)
+
+    monkeypatch.setattr(sentence_pieces.Window, "_commit", counted)
+    for text in (prose(2000, 5), "abcdefgh" * 3000, "日本語テキスト" * 2000):
+        commits = 0
+        assert np.frombuffer(encoder.vocabulary.packed(encoder.pieces(("▁" + text.replace(" ", "▁"),))), "<u2").tolist() == piece_library().encode(text)
+        assert commits > len(text) // 200
+    assert most <= 4 * sentence_pieces.COMMIT_EVERY
+
+
+def test_long_stretches_run_over_chunks(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "CHUNK", 50)
+    encoder, library, r = sentence_pieces.StreamingEncoder(PIECE), piece_library(), random.Random(9)
+    texts = [" " * 400 + "end", "ab" * 300 + "\n" + "x" * 170, "🙂" * 400, " " * 49 + "a" * 51 + " " * 120 + "\n\n", "a" + " " * 300]
+    texts += ["".join(r.choice(["a", "b", " ", " ", "\n", "é", ".", "the", "ing ", "🙂", " " * 60, "z" * 70]) for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), encoder.vocabulary.dtype).tolist() == library.encode(t), ascii(t)
 
 
 def test_decoder_takes_odd_ids():
@@ -151,6 +188,7 @@ def test_decoder_takes_odd_ids():
 
     decoder, model = sentence_pieces.Decoder(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     assert decoder.decode(None) == decoder.decode([]) == ""
+    assert decoder.decode_all(np.array([5, 6, 300], np.int64), [0, 0, 2, 3]) == ["", decoder.decode([5, 6]), decoder.decode([300])]
     byte = model.piece_to_id("<0xE2>")
     assert "�" in decoder.decode([byte])
     assert zlib.crc32(decoder.decode(model.encode("plain text")).encode()) == zlib.crc32(b"plain text")
