@@ -156,7 +156,7 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[
     return low, center, high, node
 
 
-def _seed_arrays(values: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def _surroundings(prefix: np.ndarray, first: np.ndarray | int, last: np.ndarray | int, at: np.ndarray, width: int) -> np.ndarray:
     """Digest of the `width` tokens around each position, and of where it stands in them; first and last are its document's bounds."""
     start = np.clip(at - width // 2, first, last - width)
     return (_mix(prefix[start + width] - prefix[start] + (at - start).astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(32)).astype(np.uint32)
@@ -184,7 +184,7 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int, hashes: int = HAS
     first, last = begin[owner[at]], begin[owner[at]] + sizes[owner[at]]
     right = np.where(at + SEED_GAP < last, _short(values[np.minimum(at + SEED_GAP, len(values) - 1)]), 0).astype(np.uint16)
     left = np.where(at - SEED_GAP >= first, _short(values[np.maximum(at - SEED_GAP, 0)]), 0).astype(np.uint16)
-    return key, right, left, _seed_arrays(values, prefix, first, last, at, width), at
+    return key, right, left, _surroundings(prefix, first, last, at, width), at
 
 
 def star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,14 +336,14 @@ def linked(entries: DataFrame, buckets: int) -> DataFrame:
     return entries.repartition(n, "bucket").mapInArrow(meet, _SEED).repartition(n, "bucket").mapInArrow(pairs, "doc_id long, other long, links binary")
 
 
-def _diagonals(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _diagonals(mine: np.ndarray, theirs: Sorted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, start in other, length) of all maximal runs of equal tokens, by start.
 
     Pairs of equal tokens are looked at a slice at a time; only where runs begin and end is kept.
     """
-    order = np.argsort(other, kind="stable")
-    low = np.searchsorted(other[order], mine, "left")
-    count = np.searchsorted(other[order], mine, "right") - low
+    other, order = theirs.values, theirs.order
+    low = np.searchsorted(theirs.ordered, mine, "left")
+    count = np.searchsorted(theirs.ordered, mine, "right") - low
     upto = np.concatenate(([0], np.cumsum(count)))
     ends: list[list[np.ndarray]] = [[], []]
     at = 0
@@ -364,8 +364,26 @@ def _diagonals(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndar
     return i[order], j[order], n[order]
 
 
-def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: float = SIMILARITY, words=None) -> list[tuple[int, int, int, int, float]]:
-    """Stretches of `mine` similar to a stretch of `other`: (start, end, start in other, end in other, similarity).
+class Sorted:
+    """Tokens of a text with their order."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.order = values, np.argsort(values, kind="stable")
+        self.ordered = values[self.order]
+        self.single = bool((self.ordered[1:] != self.ordered[:-1]).all())  # no token is repeated
+
+
+def _previous(values: np.ndarray) -> np.ndarray:
+    """For each position that of the same value before it, -1 if there is none."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1, np.int64)
+    again = np.flatnonzero(values[order][1:] == values[order][:-1]) + 1
+    out[order[again]] = order[again - 1]
+    return out
+
+
+def shared_runs(mine: np.ndarray, theirs: Sorted, width: int, similarity: float = SIMILARITY, words=None) -> list[tuple[int, int, int, int, float]]:
+    """Stretches of `mine` similar to a stretch of `theirs`: (start, end, start in theirs, end in theirs, similarity).
 
     From every run of equal tokens a stretch of both sequences grows over gaps on either side, to the
     nearest run that follows. It may fall below the similarity by what a passage of `width` tokens can make
@@ -374,13 +392,29 @@ def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: flo
     next to it (a changed word at the edge of a passage leaves fewer equal tokens); words() gives the hashes
     of both texts' words, by which it leans to the side that has more of them in common.
     """
-    if np.isin(mine, other).sum() < width * similarity:
+    other = theirs.values
+    if len(mine) < width or len(other) < width:
+        return []
+    if len(mine) == len(other) and (mine == other).all():
+        return [(0, len(mine), 0, len(other), 1.0)]
+    place = np.minimum(np.searchsorted(theirs.ordered, mine), len(other) - 1)
+    inside = theirs.ordered[place] == mine
+    hits = np.concatenate(([0], np.cumsum(inside)))
+    if hits[-1] < width * similarity:
+        return []
+    ordered = np.sort(mine)
+    single = bool((ordered[1:] != ordered[:-1]).all())
+    # A stretch without repeated tokens has `similarity` of its tokens in theirs, and so some run of `width` tokens at least
+    # half of that: n tokens are cut into no more than 2 n / width runs.
+    if single and (hits[width:] - hits[:-width]).max() < width * similarity / 2:
         return []
-    i, j, n = _diagonals(mine, other)
     slack = (1 - similarity) * width
-    reach = int((i + n).max())
 
     def likeness(s: int, e: int, c: int, d: int) -> float:
+        if plain:
+            match = theirs.order[place[s:e][inside[s:e]]]
+            both = int(((match >= c) & (match < d)).sum())
+            return both / (e - s + d - c - both)
         first, second = np.unique(mine[s:e]), np.unique(other[c:d])
         both = len(np.intersect1d(first, second, assume_unique=True))
         return both / (len(first) + len(second) - both)
@@ -402,61 +436,131 @@ def shared_runs(mine: np.ndarray, other: np.ndarray, width: int, similarity: flo
         return s - left, e + lacks - left, max(0, c - left), min(len(other), d + lacks - left)
 
     # Without repeated tokens the equal ones of a stretch are those of its runs.
-    plain = len(np.unique(mine)) == len(mine) and len(np.unique(other)) == len(other)
+    plain = single and theirs.single
+    if not single:
+        gain, before = np.where(inside, 1 - similarity, -similarity), _previous(mine)
+
+    @functools.cache
+    def hopeless(s: int) -> bool:
+        """Whether no stretch from s on has enough of its different tokens anywhere in other."""
+        return np.cumsum(np.where(before[s:] < s, gain[s:], 0))[max(0, int(width - slack) - 1) :].max(initial=-1.0) < -1e-9
+
+    def parts(at: np.ndarray) -> list[np.ndarray]:
+        """Positions with an equal token, parted where more lack one than the rest can outweigh."""
+        done, todo = [], [at]
+        while todo:
+            at = todo.pop()
+            if len(at) < width * similarity:
+                continue
+            cuts = np.flatnonzero((np.diff(at) - 1) * similarity > (1 - similarity) * len(at) + 1e-9) + 1
+            if len(cuts):
+                todo += np.split(at, cuts)
+            else:
+                done.append(at)
+        return sorted(done, key=lambda x: x[0])
+
     out: list[tuple[int, int, int, int, float]] = []
-    starts, others, sizes = i.tolist(), j.tolist(), n.tolist()
-    stops = i + n
-    covered, p, again = 0, 0, -1
-    while True:
-        if again >= 0:  # once more from inside the last stretch
-            at, again = again, -1
-        else:
-            while p < len(starts) and starts[p] + sizes[p] <= covered:
-                p += 1
-            if p == len(starts) or covered >= reach:
-                break
-            at, p = p, p + 1
-        box = (starts[at], starts[at] + sizes[at], others[at], others[at] + sizes[at])
-        matched, steps = sizes[at], [(box, (1 - similarity) * sizes[at], at)]
-        while box[1] < reach:
-            s, e, c, d = box
-            score = steps[-1][1]
-            stop = np.searchsorted(i, e + (max(0.0, score) + slack) / similarity + width, "right")
-            q = at + 1 + np.flatnonzero(stops[at + 1 : stop] > e)
-            if not len(q):
-                break
-            if len(q) > 1:
-                cost = np.maximum(0, i[q] - e) + np.maximum(0, j[q] - d) + np.maximum(0, c - j[q] - n[q])
-                near = q[cost == cost.min()]
-                best = int(near[np.argmax(n[near])])
+
+    def grow(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> None:
+        starts, others, sizes = i.tolist(), j.tolist(), n.tolist()
+        stops = i + n
+        reach = int(stops.max())
+        covered, p, again = 0, 0, -1
+        while True:
+            if again >= 0:  # once more from inside the last stretch
+                at, again = again, -1
             else:
-                best = int(q[0])
-            box = (s, starts[best] + sizes[best], min(c, others[best]), max(d, others[best] + sizes[best]))
-            matched += box[1] - max(e, starts[best])
-            score = (1 + similarity) * matched - similarity * (box[1] - s + box[3] - box[2])
-            if score < -slack and (plain or surplus(*box) < -slack):
-                break
-            steps.append((box, score, best))
-        for k in range(len(steps) - 1, -1, -1):
-            box, score, _ = steps[k]
-            if box[1] <= covered:
-                break
-            short = width - (box[1] - box[0])
-            if short > slack or len(mine) < width:
-                break
-            if plain and score < 0:
+                while p < len(starts) and starts[p] + sizes[p] <= covered:
+                    p += 1
+                if p == len(starts) or covered >= reach:
+                    break
+                at, p = p, p + 1
+            if not single and hopeless(starts[at]):
                 continue
-            if short > 0:
-                box = widened(*box)
-            x = likeness(*box)
-            if x >= similarity:
-                out.append((*box, x))
-                covered = box[1]
-                # What the stretch gains behind its worst beginning reaches farther than the whole, if anything does.
-                worst = min(range(k + 1), key=lambda m: steps[m][1] - (1 - similarity) * sizes[steps[m][2]])
-                if worst > 0:
-                    again = steps[worst][2]
-                break
+            box = (starts[at], starts[at] + sizes[at], others[at], others[at] + sizes[at])
+            matched, steps = sizes[at], [(box, (1 - similarity) * sizes[at], at)]
+            while box[1] < reach:
+                s, e, c, d = box
+                score = steps[-1][1]
+                stop = np.searchsorted(i, e + (max(0.0, score) + slack) / similarity + width, "right")
+                q = at + 1 + np.flatnonzero(stops[at + 1 : stop] > e)
+                if not len(q):
+                    break
+                if len(q) > 1:
+                    cost = np.maximum(0, i[q] - e) + np.maximum(0, j[q] - d) + np.maximum(0, c - j[q] - n[q])
+                    near = q[cost == cost.min()]
+                    best = int(near[np.argmax(n[near])])
+                else:
+                    best = int(q[0])
+                box = (s, starts[best] + sizes[best], min(c, others[best]), max(d, others[best] + sizes[best]))
+                matched += box[1] - max(e, starts[best])
+                score = (1 + similarity) * matched - similarity * (box[1] - s + box[3] - box[2])
+                if score < -slack and (plain or surplus(*box) < -slack):
+                    break
+                steps.append((box, score, best))
+            for k in range(len(steps) - 1, -1, -1):
+                box, score, _ = steps[k]
+                if box[1] <= covered:
+                    break
+                short = width - (box[1] - box[0])
+                if short > slack or len(mine) < width:
+                    break
+                if plain and score < 0:
+                    continue
+                if short > 0:
+                    box = widened(*box)
+                x = likeness(*box)
+                if x >= similarity:
+                    out.append((*box, x))
+                    covered = box[1]
+                    # What the stretch gains behind its worst beginning reaches farther than the whole, if anything does.
+                    worst = min(range(k + 1), key=lambda m: steps[m][1] - (1 - similarity) * sizes[steps[m][2]])
+                    if worst > 0:
+                        again = steps[worst][2]
+                    break
+
+    def line(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> None:
+        """The same for runs that follow one another in both texts, without repeated tokens: a stretch's score is a difference of two sums."""
+        ends, other_ends = i + n, j + n
+        upto = np.cumsum(n)
+        last = (1 + similarity) * upto - similarity * (ends + other_ends)
+        first = (1 + similarity) * (upto - n) - similarity * (i + j)
+        covered = 0
+        for a in range(len(i)):
+            for b in (a + np.flatnonzero(last[a:] >= first[a] - 1e-9))[::-1].tolist():
+                box = int(i[a]), int(ends[b]), int(j[a]), int(other_ends[b])
+                short = width - (box[1] - box[0])
+                if box[1] <= covered or short > slack or len(mine) < width:
+                    break
+                if short > 0:
+                    box = widened(*box)
+                    x = likeness(*box)
+                else:
+                    both = int(upto[b] - upto[a] + n[a])
+                    x = both / (box[1] - box[0] + box[3] - box[2] - both)
+                if x >= similarity:
+                    out.append((*box, x))
+                    covered = box[1]
+                    break
+
+    if plain:
+        i = np.flatnonzero(inside)
+        j = theirs.order[place[i]]
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1, [len(i)]))
+        i, j, n = i[cuts[:-1]], j[cuts[:-1]], np.diff(cuts)
+    else:
+        i, j, n = _diagonals(mine, theirs)
+    for part in parts(np.flatnonzero(inside)) if single else [np.array([0, len(mine)])]:
+        here = (i >= part[0]) & (i <= part[-1])
+        runs = i[here], j[here], n[here]
+        # The longest stretch that could be is all there is to find, if it is similar.
+        box = int(runs[0].min()), int((runs[0] + runs[2]).max()), int(runs[1].min()), int((runs[1] + runs[2]).max())
+        if box[1] - box[0] >= width and (x := likeness(*box)) >= similarity:
+            out.append((*box, x))
+        elif plain and (runs[1][1:] >= (runs[1] + runs[2])[:-1]).all():
+            line(*runs)
+        else:
+            grow(*runs)
     return out
 
 
@@ -466,56 +570,45 @@ _JUDGED = f"{PASSAGES}, {_SEED}"
 
 def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     """(key, neighbour, digest of the surroundings, position) of the links' windows, under the first token on either side that isn't the representative's."""
-    out = []
+    out: list[tuple[int, int, int, int]] = []
+    if not len(links):
+        return out
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mine, dtype=np.uint64)))
+    places = np.unique(links[:, 0]).astype(np.int64)
+    nears = dict(zip(places.tolist(), _surroundings(prefix, 0, len(mine), places, width).tolist(), strict=True))
+    keys, sides = [], []
     for p, q in links.tolist():
         for side, (a, b) in enumerate(((mine[p:], other[q:]), (mine[p::-1], other[q::-1]))):
             n = min(len(a), len(b))
             differs = a[:n] != b[:n]
             y = int(np.argmax(differs)) if differs.any() else n
             if y < len(a):
-                at = np.array([p])
-                near = _seed_arrays(mine, prefix, np.zeros(1, np.int64), np.array([len(mine)]), at, width)
-                key = _mix(mine[at] + _mix(np.array([2 * y + side + (1 << 32)], np.uint64)))
-                out.append((int(key[0]), int(_short(a[y : y + 1])[0]), int(near[0]), p))
-    return out
+                keys.append(p)
+                sides.append(2 * y + side + (1 << 32))
+                out.append((0, max(1, int(a[y]) >> 48), nears[p], p))
+    mixed = _mix(mine[keys] + _mix(np.array(sides, np.uint64))).tolist() if keys else []
+    return [(key, *x[1:]) for key, x in zip(mixed, out, strict=True)]
 
 
 class _Kept:
     """Tokens of texts that many rows share, up to a number of tokens."""
 
     def __init__(self):
-        self.by_text: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_text: dict[str, Sorted] = {}
         self.size = 0
 
-    def get(self, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, tokens in order of size)."""
+    def get(self, text: str, words: int) -> Sorted:
         found = self.by_text.get(text)
         if found is None:
-            values = tokens(text, words)
-            if self.size + len(values) > KEPT_TOKENS:
+            found = Sorted(tokens(text, words))
+            if self.size + len(found.values) > KEPT_TOKENS:
                 self.by_text.clear()
                 self.size = 0
-            found = self.by_text[text] = values, np.sort(values)
-            self.size += len(values)
+            self.by_text[text] = found
+            self.size += len(found.values)
         return found
 
 
-def pair_passages(mine: np.ndarray, other: np.ndarray, ordered: np.ndarray, width: int, similarity: float = SIMILARITY, words=None) -> list[tuple[int, int, int, int, float]]:
-    """shared_runs, with what is quick to say said first; ordered is other in order of size."""
-    if len(mine) == len(other) and (mine == other).all():
-        return [(0, len(mine), 0, len(other), 1.0)]
-    at = np.minimum(np.searchsorted(ordered, mine), len(ordered) - 1)
-    hits = np.concatenate(([0], np.cumsum(ordered[at] == mine)))
-    if hits[-1] < width * similarity:
-        return []
-    # A stretch without repeated tokens has `similarity` of its tokens in other, and so some run of `width` tokens at least
-    # half of that: n tokens are cut into no more than 2 n / width runs.
-    if (hits[width:] - hits[:-width]).max() < width * similarity / 2 and len(np.unique(mine)) == len(mine):
-        return []
-    return shared_runs(mine, other, width, similarity, words)
-
-
 def verify(docs: DataFrame, pairs: DataFrame, buckets: int, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Passages of pairs (doc_id, other, links), in words: [start, end) of doc_id's text and of the other's; and, as packed
     entries (similarity is null), the windows whose links no passage covers."""
@@ -537,20 +630,20 @@ def verify(docs: DataFrame, pairs: DataFrame, buckets: int, words: int = WORDS,
             ids, others, links, texts, other_texts = (batch.column(c) for c in ("doc_id", "other", "links", "text", "other_text"))
             for i in range(batch.num_rows):
                 doc, text, other_text = ids[i].as_py(), texts[i].as_py(), other_texts[i].as_py()
-                theirs, ordered = kept.get(other_text, words)
-                mine = theirs if text == other_text else tokens(text, words)
+                theirs = kept.get(other_text, words)
+                mine = theirs.values if text == other_text else tokens(text, words)
                 seeds = np.frombuffer(links[i].as_py(), np.int32).reshape(-1, 2)
-                seeds = seeds[(seeds[:, 0] < len(mine)) & (seeds[:, 1] < len(theirs))]
-                seeds = seeds[mine[seeds[:, 0]] == theirs[seeds[:, 1]]]  # other rows of these doc_ids have other texts
+                seeds = seeds[(seeds[:, 0] < len(mine)) & (seeds[:, 1] < len(theirs.values))]
+                seeds = seeds[mine[seeds[:, 0]] == theirs.values[seeds[:, 1]]]  # other rows of these doc_ids have other texts
                 if not len(seeds):
                     continue
                 single = functools.cache(lambda a=text, b=other_text: (tokens(a, 1), tokens(b, 1)))
-                found = pair_passages(mine, theirs, ordered, width, similarity, single)
+                found = shared_runs(mine, theirs, width, similarity, single)
                 rows += [(doc, others[i].as_py(), s, e + words - 1, c, d + words - 1, x) for s, e, c, d, x in found]
                 covered = np.zeros(len(mine), bool)
                 for s, e, *_ in found:
                     covered[s:e] = True
-                again += [(key, token, near, doc, p) for key, token, near, p in _open_windows(mine, theirs, seeds[~covered[seeds[:, 0]]], width)]
+                again += [(key, token, near, doc, p) for key, token, near, p in _open_windows(mine, theirs.values, seeds[~covered[seeds[:, 0]]], width)]
             if rows:
                 columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PASSAGE_TYPES, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(rows), t) for t in _SEED_TYPES)], names=[*_PASSAGE_NAMES, *_SEED_NAMES])

@@ -15,7 +15,7 @@ def jaccard(a, b):
 
 def pair(a, b):
     mine, other = (substring.tokens(t) for t in (a, b))
-    found = substring.pair_passages(mine, other, np.sort(other), WIDTH)
+    found = substring.shared_runs(mine, substring.Sorted(other), WIDTH)
     for s, e, c, d, x in found:
         assert e - s >= WIDTH and x >= substring.SIMILARITY
         assert abs(jaccard(mine[s:e], other[c:d]) - x) < 1e-12
@@ -139,7 +139,7 @@ def test_no_link_is_lost_to_a_representative(spark):
 def linked_by_brute_force(texts):
     """Pairs of texts with a similar stretch, by looking at all of them."""
     values = [substring.tokens(t) for t in texts]
-    return {(i, j) for j in range(len(texts)) for i in range(j) if len(values[i]) >= WIDTH and len(values[j]) >= WIDTH and substring.shared_runs(values[j], values[i], WIDTH)}
+    return {(i, j) for j in range(len(texts)) for i in range(j) if len(values[i]) >= WIDTH and len(values[j]) >= WIDTH and substring.shared_runs(values[j], substring.Sorted(values[i]), WIDTH)}
 
 
 def roots(n, pairs):
