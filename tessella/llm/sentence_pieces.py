@@ -24,6 +24,7 @@ gives no rows. Other columns are kept, but for one named like the result, which
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -39,7 +40,7 @@ SPACE = "▁"
 #: Walks between two empty windows whose ids a worker keeps, and the longest of them in characters.
 CACHE_WALKS, CACHE_LENGTH = 400_000, 48
 #: Pairs of pieces whose compatibility is kept.
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 500_000
 #: Characters of a text that are read at once.
 CHUNK = 1 << 15
 #: Characters between two looks for a boundary that all paths share.
@@ -60,50 +61,53 @@ class Vocabulary:
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.codes = [self.dtype.type(i).tobytes() for i in range(n)]
+        self.byte_codes = [self.dtype.type(model.piece_to_id(f"<0x{b:02X}>")).tobytes() for b in range(256)]
         self.longest = max(map(len, self.ids))
         #: whether a piece holds a blank behind other characters or a line feed beside any
         self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] or "\n" in p[:-1] for p in self.ids)
         #: neighbouring characters that some piece holds
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.tree: dict = {}  # a node has its characters' nodes, and under "" the piece that ends there
+        self.tree: dict = {}  # a node has its characters' nodes, under 0 its depth, and under "" the id of the piece that ends there
         for piece in self.ids:
             node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
+            for depth, c in enumerate(piece, 1):
+                node = node.setdefault(c, {0: depth})
             if self.merged(piece) == [piece]:  # the others are never what merges lead to
-                node[""] = piece
-        self.pairs: dict[tuple[str, str], bool] = {}
+                node[""] = self.ids[piece]
+        self.pieces = [model.id_to_piece(i) for i in range(n)]
+        self.sizes = list(map(len, self.pieces))
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces that the merges make of a short text: always the pair with the best score, leftmost first."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        score, never = self.scores.get, -math.inf
+        parts = list(text)
+        pairs = [score(a + b, never) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > never:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], never)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], never)
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+    def compatible(self, a: int, b: int) -> bool:
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        first, second = self.pieces[a], self.pieces[b]
+        fits = self.pairs[a << 32 | b] = self.merged(first + second) == [first, second]
+        return fits
 
-    def packed(self, pieces: Iterable[str]) -> bytes:
-        """Ids of pieces; a character that is no piece has those of its bytes."""
-        out = []
-        for piece in pieces:
-            known = self.ids.get(piece)
-            out += [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-        return np.array(out, self.dtype).tobytes()
+    def packed(self, pieces: Iterable[int]) -> bytes:
+        """Ids of pieces; a character that is no piece, -1 less its code point, has those of its bytes."""
+        codes, byte_codes = self.codes, self.byte_codes
+        return b"".join([codes[x] if x >= 0 else b"".join([byte_codes[b] for b in chr(-1 - x).encode("utf-8", "replace")]) for x in pieces])
+
+    def text(self, pieces: Iterable[int]) -> str:
+        return "".join(self.pieces[x] if x >= 0 else chr(-1 - x) for x in pieces)
 
 
 class Window:
@@ -111,61 +115,73 @@ class Window:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.last: list[str] = [""]  # the piece that ends at each position since the last commit
-        self.open: list[tuple[int, dict]] = []  # window: positions where a piece may have begun that still goes on, with its node
-        self.previous = ""  # the piece before the first position
-
-    def push(self, text: str) -> Iterator[str]:
-        tree, compatible, last, window = self.vocabulary.tree, self.vocabulary.compatible, self.last, self.open
+        self.last: list[int] = [0]  # the piece that ends at each position since the last commit; a character that is none is negative
+        self.open: list[dict] = []  # window: nodes of what may still go on, from the earliest beginning to the latest
+        self.previous = -1  # the piece before the first position
+
+    def push(self, text: str) -> list[int]:
+        """Read text; returns the pieces that are committed."""
+        vocabulary = self.vocabulary
+        tree, known, compatible, sizes = vocabulary.tree, vocabulary.pairs, vocabulary.compatible, vocabulary.sizes
+        last, window, out = self.last, self.open, []
         for c in text:
             end = len(last)
-            going, best = [], None
-            window.append((end - 1, tree))
-            for begin, node in window:  # the longest piece first
-                if (node := node.get(c)) is not None:
-                    going.append((begin, node))
-                    if best is None and (piece := node.get("")) is not None:
-                        before = last[begin] or self.previous
-                        if not before or compatible(before, piece):
-                            best = piece
-            last.append(best or c)  # a character without a piece stands alone
-            window = self.open = going
-            if end % COMMIT_EVERY == 0 and (cut := self.converged()):
-                yield from self._commit(cut)
-                last, window = self.last, self.open
+            window.append(tree)
+            window = [below for node in window if (below := node.get(c)) is not None]
+            best = None
+            for node in window:  # the longest piece first
+                if (piece := node.get("")) is not None:
+                    begin = end - sizes[piece]
+                    before = last[begin] if begin else self.previous
+                    if before >= 0:  # beside a character that is no piece all goes
+                        fits = known.get(before << 32 | piece)
+                        if not (compatible(before, piece) if fits is None else fits):
+                            continue
+                    best = piece
+                    break
+            last.append(-1 - ord(c) if best is None else best)
+            if end % COMMIT_EVERY == 0:
+                self.open = window
+                if cut := self.converged():
+                    out += self._commit(cut)
+                    last = self.last
+        self.open = window
+        return out
+
+    def _size(self, piece: int) -> int:
+        return self.vocabulary.sizes[piece] if piece >= 0 else 1
 
     def converged(self) -> int:
         """The last boundary that the paths of all positions of the window, and of the end, lead through."""
         last = self.last
-        heap = [1 - len(last), *(-begin for begin, _ in self.open)]
+        heap = [1 - len(last), *(1 - len(last) + node[0] for node in self.open)]
         heapify(heap)
         seen = set(heap)
         while len(heap) > 1:
             i = -heappop(heap)
             if i == 0:
                 return 0
-            j = i - len(last[i])
+            j = i - self._size(last[i])
             if -j not in seen:
                 seen.add(-j)
                 heappush(heap, -j)
         return -heap[0]
 
-    def _commit(self, cut: int) -> list[str]:
+    def _commit(self, cut: int) -> list[int]:
         pieces, end = [], cut
         while end:
             pieces.append(self.last[end])
-            end -= len(self.last[end])
+            end -= self._size(self.last[end])
         self.previous = pieces[0]
-        self.last = ["", *self.last[cut + 1 :]]
-        self.open = [(begin - cut, node) for begin, node in self.open]
+        self.last = [0, *self.last[cut + 1 :]]
         return pieces[::-1]
 
-    def finish(self) -> list[str]:
+    def finish(self) -> list[int]:
         """The rest of the text's pieces; the window starts anew."""
         self.open = []
         cut = self.converged()
         pieces = self._commit(cut) if cut else []
-        self.previous = ""
+        self.previous = -1
         return pieces
 
 
@@ -175,7 +191,7 @@ class StreamingEncoder:
         self.walks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, chunks: Iterable[str]) -> Iterator[str]:
+    def pieces(self, chunks: Iterable[str]) -> Iterator[int]:
         """The pieces of the text that the chunks make up, by the search alone."""
         window = Window(self.vocabulary)
         for chunk in chunks:
