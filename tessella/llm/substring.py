@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import unused
 from tessella.storage import materialize
 
 WORDS = 5
@@ -441,9 +442,13 @@ def shared_runs(mine: np.ndarray, theirs: Sorted, width: int, similarity: float
         gain, before = np.where(inside, 1 - similarity, -similarity), _previous(mine)
 
     @functools.cache
+    def poor(s: int) -> bool:
+        """Whether no passage from s on has enough of its different tokens anywhere in theirs."""
+        return np.cumsum(np.where(before[s:] < s, gain[s:], 0))[width - 1 :].max(initial=-1.0) < -1e-9
+
     def hopeless(s: int) -> bool:
-        """Whether no stretch from s on has enough of its different tokens anywhere in other."""
-        return np.cumsum(np.where(before[s:] < s, gain[s:], 0))[max(0, int(width - slack) - 1) :].max(initial=-1.0) < -1e-9
+        """The same for a stretch from s on, which may get some tokens before it."""
+        return all(poor(x) for x in range(s, max(-1, s - int(slack) - 1), -1))
 
     def parts(at: np.ndarray) -> list[np.ndarray]:
         """Positions with an equal token, parted where more lack one than the rest can outweigh."""
@@ -695,7 +700,8 @@ def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows that share a doc_id are cut alike. White space before a cut word goes with it; the rest of the text is untouched. All columns are
     kept, and n_chars, where it exists, is that of the new text.
     """
-    spans = found.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_set(F.struct("start", "end")).alias("_cut_spans"))
+    cut_id, cut_spans = unused(docs, "_cut_id", "_cut_spans")
+    spans = found.groupBy(F.col("doc_id").alias(cut_id)).agg(F.collect_set(F.struct("start", "end")).alias(cut_spans))
     columns = docs.columns
 
     def run(batches):
@@ -704,7 +710,7 @@ def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), []
-            for text, cuts in zip(texts, batch.column("_cut_spans").to_pylist(), strict=True):
+            for text, cuts in zip(texts, batch.column(cut_spans).to_pylist(), strict=True):
                 if not cuts or not text:
                     out.append(text)
                     continue
@@ -719,10 +725,10 @@ def cut_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                 out.append("".join(kept).lstrip())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == F.col("_cut_id"), "left").drop("_cut_id")
+    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == F.col(cut_id), "left").drop(cut_id)
     schema = joined.schema
     done = joined.mapInArrow(run, schema)
-    done = done.where(F.col("_cut_spans").isNull() | F.col("text").rlike(_WORD)).drop("_cut_spans")
+    done = done.where(F.col(cut_spans).isNull() | F.col("text").rlike(_WORD)).drop(cut_spans)
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(columns)
