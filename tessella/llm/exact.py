@@ -2,8 +2,9 @@
 
 A text is cut into chunks of fixed size. The hash of a chunk is a polynomial in its bytes modulo a
 prime, and two hashes combine by length-shifted arithmetic: hash(AB) = hash(A) * r^len(B) + hash(B).
-So the chunks of a huge document are hashed on their own and in any grouping, and the result is that
-of the whole. Three primes of 31 bits give about 93 bits, which with the length are a fingerprint.
+So the chunks of a huge document are dealt out over all tasks, hashed on their own, and combined in the
+order of the document; the result is that of hashing it from end to end. Three primes of 31 bits give
+about 93 bits, which with the length are a fingerprint.
 
 Texts with equal fingerprints are not yet taken as equal: every member of a class is compared with the
 class's representative chunk by chunk. Members that differ start a class of their own, and are
@@ -11,8 +12,13 @@ compared again until nobody differs.
 
 Texts are equal when they are identical after lower-casing A-Z. Null counts as empty and is equal to
 it. Of equal texts the row with the largest doc_id stays, with its repetitions; null doc_ids count as
-smallest. Different texts under one doc_id are judged apart, but drop_exact_duplicates, which goes by
-doc_id, keeps both if one stays. An empty table gives no rows; other columns are ignored.
+smallest, and are compared like any other. Different texts under one doc_id are judged apart, but
+drop_exact_duplicates, which goes by doc_id, keeps both if one stays. An empty table gives no rows; other
+columns are ignored (drop_exact_duplicates keeps them all). A text is held whole by the task that reads it,
+three times over.
+
+The rows of one large class meet in one task where their count comes back to them. They are narrow
+(numbers and digests, no texts), and adaptive execution splits that join when they grow.
 """
 
 from __future__ import annotations
@@ -21,16 +27,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import unused
+from tessella.llm.wordids import by_bytes
 from tessella.storage import materialize
 
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASE = 1_000_003
 CHUNK = 1 << 16
+#: Bytes of a text beyond which its chunks are hashed by many tasks.
+HUGE = 16 << 20
 #: Members of a class that are compared with one copy of the representative's chunk.
 SALT_MEMBERS = 512
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Fingerprint:
@@ -65,86 +77,150 @@ def normalise(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode().lower() for t in texts.to_pylist()]  # bytes.lower() is ASCII's
 
 
-def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK, texts: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, text_sha256) of every row; with texts, the text instead of its digest."""
+def _whole_text(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
+
+
+def _who(doc_id: Column, digest: Column) -> Column:
+    """The number of a row in comparisons, by which and its digest it is known: its doc_id, or for a null one a number from the digest."""
+    return F.coalesce(doc_id, -1 - F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+
+
+def _cut(docs: DataFrame, primes: tuple[int, ...], chunk: int, huge: int) -> DataFrame:
+    """A row per text with its fingerprint, or, for texts of more than `huge` bytes, a row per chunk of it."""
+
+    def run(batches):
+        own, task = Fingerprint(primes, chunk), TaskContext.get().partitionId() << 40
+        types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                rows: list[tuple] = []
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), normalise(part.column("text")), strict=True):
+                    digest = hashlib.sha256(data).hexdigest()
+                    if len(data) > huge:
+                        rows += [(doc_id, digest, task, None, k, data[at : at + chunk]) for k, at in enumerate(range(0, len(data), chunk))]
+                    else:
+                        n, residues = own.of(data)
+                        rows.append((doc_id, digest, task, n.to_bytes(8, "big") + b"".join(x.to_bytes(4, "big") for x in residues), None, None))
+                    task += 1
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_sha256", "row", "fingerprint", "chunk", "data"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_sha256 string, row long, fingerprint binary, chunk int, data binary")
+
+
+def combined(chunks: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, text_sha256, fingerprint) of texts given as rows (doc_id, text_sha256, row, chunk, data): hashed in parallel, then combined."""
 
     def run(batches):
         own = Fingerprint(primes, chunk)
         for batch in batches:
-            prints, digests = [], []
-            for data in normalise(batch.column("text")):
-                n, residues = own.of(data)
-                prints.append(n.to_bytes(8, "big") + b"".join(x.to_bytes(4, "big") for x in residues))
-                if not texts:
-                    digests.append(hashlib.sha256(data).hexdigest())
-            last = batch.column("text") if texts else pa.array(digests, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), last], names=["doc_id", "fingerprint", "text" if texts else "text_sha256"])
+            hashed = [own.of_chunk(x) for x in batch.column("data").to_pylist()]
+            sizes = [n for n, _ in hashed]
+            shifts = [[pow(BASE, n, p) for p in primes] for n in sizes]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "text_sha256", "row", "chunk")), pa.array(sizes, pa.int64()), pa.array([list(r) for _, r in hashed], pa.list_(pa.int64())), pa.array(shifts, pa.list_(pa.int64()))],
+                names=["doc_id", "text_sha256", "row", "chunk", "size", "residues", "shifts"],
+            )
+
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = chunks.select("doc_id", "text_sha256", "row", "chunk", "data").repartition(n, "row", "chunk").mapInArrow(run, "doc_id long, text_sha256 string, row long, chunk int, size long, residues array<long>, shifts array<long>")
+    whole = hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("chunk", "residues", "shifts"))).alias("parts"))
+    digits = [F.lpad(F.hex("size"), 16, "0")]
+    for k, p in enumerate(primes):
+        residue = F.aggregate("parts", F.lit(0).cast("long"), lambda x, part, k=k, p=p: (x * part["shifts"][k] + part["residues"][k]) % p)
+        digits.append(F.lpad(F.hex(residue), 8, "0"))
+    return whole.select("doc_id", "text_sha256", F.unhex(F.concat(*digits)).alias("fingerprint"))
+
+
+def fingerprints(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
+    """(doc_id, who, fingerprint, text_sha256) of every row."""
+    cut = materialize(_cut(docs, primes, chunk, huge), "fingerprints")
+    whole = cut.where("chunk is null").select("doc_id", "text_sha256", "fingerprint")
+    chunks = cut.where("chunk is not null")
+    if not chunks.isEmpty():
+        whole = whole.unionByName(combined(chunks, primes, chunk))
+    return whole.withColumn("who", _who(F.col("doc_id"), F.col("text_sha256")))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(who, text_sha256, text) of every row; of rows that repeat a task sends on one."""
+    digest = F.sha2(_whole_text(F.col("text")), 256)
+    rows = docs.select(_who(F.col("doc_id").cast("long"), digest).alias("who"), digest.alias("text_sha256"), "text")
+
+    def run(batches):
+        seen: set[tuple[int, str]] = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column("who").to_pylist(), batch.column("text_sha256").to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "who long, text_sha256 string, text string")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, fingerprint binary, {'text' if texts else 'text_sha256'} string")
+_CHUNK = "who long, text_sha256 string, fingerprint binary, class_who long, class_sha256 string, members long, chunk int, data binary"
 
 
-def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
+def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
     """Every chunk of every text, lower-cased; an empty text has one empty chunk."""
+    names = [x.split()[0] for x in _CHUNK.split(", ")]
 
     def run(batches):
         for batch in batches:
-            ids, prints, classes, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "fingerprint", "class", "members"))
-            for one, mark, cls, members, data in zip(ids, prints, classes, sizes, normalise(batch.column("text")), strict=True):
-                cuts = range(0, max(1, len(data)), chunk)
-                n = len(cuts)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [one] * n, "fingerprint": [mark] * n, "class": [cls] * n, "members": [members] * n, "chunk": list(range(n)), "data": [data[a : a + chunk] for a in cuts]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("class", pa.int64()), ("members", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())]),
-                )
+            for i, data in enumerate(normalise(batch.column("text"))):
+                parts = [data[at : at + chunk] for at in range(0, max(1, len(data)), chunk)]
+                kept = [pa.array([batch.column(c)[i].as_py()] * len(parts), batch.column(c).type) for c in names[:-2]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select("doc_id", "fingerprint", "class", "members", "text").mapInArrow(run, "doc_id long, fingerprint binary, class long, members long, chunk int, data binary")
+    return rows.select(*names[:-2], "text").mapInArrow(run, _CHUNK)
 
 
-def differing(docs: DataFrame, members: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, fingerprint) of members (doc_id, fingerprint, class, members) whose text is not that of the
-    document that class names.
+def differing(docs: DataFrame, members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(who, text_sha256, fingerprint) of members (who, text_sha256, fingerprint, class_who, class_sha256, members)
+    whose text is not that of the row that class_who and class_sha256 name.
 
     The representative's chunks are copied once per few hundred members, and members are dealt out
     over the copies: a class that holds a third of all rows is compared by many tasks.
     """
-    rows = fingerprints(docs, primes, chunk, texts=True).join(members.hint("shuffle_hash"), ["doc_id", "fingerprint"])
-    cut = _chunks(rows, chunk)
+    cut = _chunks(_texts(docs).join(members.hint("shuffle_hash"), ["who", "text_sha256"]), chunk)
     salts = F.ceil(F.col("members") / SALT_MEMBERS).cast("int")
-    own = cut.where("doc_id != class").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts.cast("long")).cast("int"))
-    representative = cut.where("doc_id = class").select("fingerprint", "class", "chunk", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("data").alias("first")).distinct()
-    same = own.join(representative, ["fingerprint", "class", "chunk", "salt"], "left")
-    return same.where(F.col("first").isNull() | (F.col("first") != F.col("data"))).select("doc_id", "fingerprint").distinct()
+    itself = (F.col("who") == F.col("class_who")) & (F.col("text_sha256") == F.col("class_sha256"))
+    own = cut.where(~itself).withColumn("salt", F.pmod(F.xxhash64("who", "text_sha256"), salts.cast("long")).cast("int"))
+    representative = cut.where(itself).select("fingerprint", "class_who", "class_sha256", "chunk", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("data").alias("first")).distinct()
+    same = own.join(representative, ["fingerprint", "class_who", "class_sha256", "chunk", "salt"], "left")
+    return same.where(F.col("first").isNull() | (F.col("first") != F.col("data"))).select("who", "text_sha256", "fingerprint").distinct()
 
 
-def exact_duplicates(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
-    prints = materialize(fingerprints(docs, primes, chunk).withColumn("class", F.lit(0).cast("long")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))), "fingerprints")
-    settled = prints
-    open_ = prints
+    key = ["who", "text_sha256", "fingerprint"]
+    open_ = materialize(fingerprints(docs, primes, chunk, huge).select("doc_id", *key), "prints")
     done = None
     while True:
-        groups = open_.groupBy("fingerprint").agg(F.max("key").alias("class"), F.count(F.lit(1)).alias("members"))
-        shared = materialize(open_.drop("class").join(groups.where("members > 1"), "fingerprint"), "classes")
-        wrong = materialize(differing(docs, shared.where("doc_id is not null").select("doc_id", "fingerprint", "class", "members").distinct(), primes, chunk), "differing")
+        groups = open_.groupBy("fingerprint").agg(F.max(F.struct("who", "text_sha256")).alias("class"), F.count(F.lit(1)).alias("members")).select("fingerprint", F.col("class.who").alias("class_who"), F.col("class.text_sha256").alias("class_sha256"), "members")
+        shared = materialize(open_.join(groups.where("members > 1"), "fingerprint").select(*key, "class_who", "class_sha256", "members").distinct(), "classes")
+        wrong = materialize(differing(docs, shared, chunk), "differing")
         if wrong.isEmpty():
             break
         # Whoever agrees with the representative is settled under its class; the others go round again.
-        agreed = open_.drop("class").join(wrong, ["doc_id", "fingerprint"], "left_anti").join(groups, "fingerprint").withColumn("fingerprint", F.concat("fingerprint", F.col("class").cast("string").cast("binary"))).select(settled.columns)
+        agreed = open_.join(wrong, key, "left_anti").join(groups, "fingerprint").withColumn("fingerprint", F.concat("fingerprint", F.col("class_who").cast("string").cast("binary"), F.col("class_sha256").cast("binary"))).select(open_.columns)
         done = agreed if done is None else done.unionByName(agreed)
-        open_ = materialize(open_.join(wrong, ["doc_id", "fingerprint"], "left_semi"), "open")
+        open_ = materialize(open_.join(wrong, key, "left_semi"), "open")
     settled = open_ if done is None else materialize(done.unionByName(open_), "settled")
-    groups = settled.groupBy("fingerprint").agg(F.max("doc_id").alias("keep_id"), F.max("key").alias("top"), F.count(F.lit(1)).alias("group_size"))
-    many = groups.where("group_size > 1")
+    first = F.coalesce("doc_id", F.lit(-(2**63)))
+    many = settled.groupBy("fingerprint").agg(F.max("doc_id").alias("keep_id"), F.max(first).alias("top"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return settled.join(many, "fingerprint", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("key") == F.col("top"), F.lit(True)).alias("kept"),
+        F.coalesce(first == F.col("top"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id stays; all columns are kept."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("stays")), "left_semi")
+    (stays,) = unused(docs, "stays")
+    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(stays)).distinct()
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(stays)), "left_semi")

@@ -132,7 +132,7 @@ def _small(rows: DataFrame, name: str) -> DataFrame:
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """Profiles of the languages in docs (doc_id, text, lang), null languages and texts aside."""
-    known = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
     narrow = known.select("lang", "h")
     # The texts don't move: a number per language picks them where they are read. First a cutoff that leaves about twice
     # the rows, so that only those few are ranked, then the hash of the last row that fits.

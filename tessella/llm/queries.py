@@ -8,22 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, language_id, packing, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm import exact, language_id, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm.production import FILE_END, TOKEN_LIMIT, pack_pieces, remainder, toxicity_model
 from tessella.llm.sql import oracle_sql  # noqa: F401  registered with the queries
 from tessella.storage import new_folder
 
-PACK_END, FILE_END, TOKEN_LIMIT = 2, 1, 1024
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _remainder(n: int):
-    """crc32 of doc_id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document shares with one of smaller doc_id."""
     return substring.passages(_documents(spark, sf_dir))
@@ -42,24 +36,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
-def pack_pieces(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), PACK_END)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
-
-
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(_documents(spark, sf_dir))
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model | None:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(3) != 1)
-    return toxicity.fit(docs, labels)
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
-    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +62,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    profiles = language_id.fit(docs.where(_remainder(4) != 2).select("doc_id", "text", "lang"))
-    return language_id.predict(docs, profiles).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    profiles = language_id.fit(docs.where(remainder(4) != 2).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, profiles).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

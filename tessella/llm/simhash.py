@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import unused
 from tessella.llm.graph import components
 from tessella.storage import materialize
 
@@ -198,6 +199,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each component, and those without one; all columns are kept."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == F.col("stays"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of docs with the smallest doc_id of each component, and those without one; all columns are kept.
+
+    Rows that share a doc_id stay or go together: if the text of one of them stays, all do.
+    """
+    (stays,) = unused(docs, "stays")
+    stay = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == F.col(stays), "left_semi").unionByName(docs.where("doc_id is null"))

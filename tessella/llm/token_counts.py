@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from tessella.llm.wordids import by_bytes, load_tokenizer, worker_once
 from tessella.storage import drop_folder, materialize
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+#: Missing digests up to which they are broadcast (of about 50 bytes each).
+BROADCAST_ROWS = 10_000
 #: Counts of word pieces that a worker keeps.
 CACHE_PARTS = 500_000
 
@@ -69,14 +70,32 @@ class PartCounter:
 def _encode(texts: DataFrame, path: str) -> DataFrame:
     def run(batches):
         counter = worker_once("counts", path, lambda: PartCounter(path))
+        done: set[bytes] = set()  # repeated rows of one doc_id come to one task
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                counts = np.fromiter(map(counter.count, part.column("text").to_pylist()), np.int64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts)], names=["digest", "n_tokens"])
+                digests, counts = [], []
+                for digest, text in zip(part.column("digest").to_pylist(), part.column("text"), strict=True):
+                    if digest not in done:
+                        done.add(digest)
+                        digests.append(digest)
+                        counts.append(counter.count(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return texts.mapInArrow(run, "digest binary, n_tokens long")
 
 
+def _append(texts: DataFrame, missing: DataFrame, n: int, tokenizer_path: str, version: str, cache: str) -> None:
+    """Encode one text of each of the n missing (digest, doc_id) and store the counts.
+
+    Few of them are picked by a broadcast, where the texts are read; of many the narrow side is the hash table of
+    a shuffled join, and the texts stream past it unsorted.
+    """
+    one = (texts["doc_id"].eqNullSafe(missing["doc_id"])) & (texts["digest"] == missing["digest"])
+    chosen = texts.join(F.broadcast(missing) if n <= BROADCAST_ROWS else missing.hint("shuffle_hash"), one, "left_semi")
+    fresh = _encode(chosen.select("digest", "text"), tokenizer_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of docs; `cache` is the folder of stored counts."""
     spark = docs.sparkSession
@@ -85,11 +104,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     keys = materialize(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    missing = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    # One text per missing digest goes to the encoder. The narrow side is the hash table, the texts stream past it unsorted.
-    chosen = texts.join(missing.hint("shuffle_hash"), (texts["doc_id"].eqNullSafe(missing["doc_id"])) & (texts["digest"] == missing["digest"]), "left_semi")
-    fresh = _encode(chosen.select("digest", "text"), tokenizer_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    missing = materialize(keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti"), "missing")
+    if (n := missing.count()):  # with a full cache no text moves
+        _append(texts, missing, n, tokenizer_path, version, cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 

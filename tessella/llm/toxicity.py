@@ -12,7 +12,7 @@
    labels. It scores every text.
 
 Training takes at most FIT_ROWS labelled rows, those with the smallest hashes of doc_id; scoring covers
-every whole text. Labels, lang, source and doc_id are never inputs of a score. Null and empty texts get
+every whole text; of rows that share a doc_id the fit takes one text. Labels, lang, source and doc_id are never inputs of a score. Null and empty texts get
 the score of a text without any hit. Repeated rows are scored alike; labels that contradict each other
 count as toxic; without labelled rows, or without a toxic one, every text scores 0. An empty table
 gives no rows; other columns are ignored.
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import unused
 from tessella.llm.substring import WORDS, tokens
 from tessella.storage import materialize
 
@@ -50,6 +51,7 @@ VOTERS = WORD_GROUPS + START_GROUPS + PATTERNS
 THRESHOLD = 0.7
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_CAPITALS = re.compile("[%s]+" % "".join(c for c in map(chr, range(0x2FFF)) if c.isupper()))
 _FRAME = re.compile(r"\b(?:is|are|you|your|such|an?|the|est|ist|es|un|une|ein|eine|der|la|le|el)\s+(?:\w+\s+)?([^\W\d_]+)")
 
 
@@ -88,7 +90,7 @@ class Lexicon:
             name = names[at]
             group = zlib.crc32(name.encode())
             votes[WORD_GROUPS + group % START_GROUPS if name.endswith("*") else group % WORD_GROUPS] = 1
-        letters = sum(map(str.isupper, text))
+        letters = len(text) - len(_CAPITALS.sub("", text))
         shout, marks = letters / max(1, len(text)) > 0.3, text.count("!") / max(1, text.count(" ")) > 0.3
         framed = bool(hits) and any(m in self.index for m in _FRAME.findall(text.lower()))
         total = sum(hits.values())
@@ -215,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     """A model from the labelled rows (doc_id, toxic); None if they don't show both classes."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # its bound is what lets it be broadcast
-    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-fit")
+    # of rows that share a doc_id the text that sorts first is taken, so that there are no more texts than chosen labels
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-fit")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
@@ -265,16 +268,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     return Model(lexicon, weights, bias)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the columns score and predicted; all other columns are kept."""
+def score(docs: DataFrame, model: Model | None, score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:
+    """docs with the columns score and predicted, under the given names; all other columns are kept."""
+    kept = [c for c in docs.columns if c not in (score_as, predicted_as)]
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(kept).withColumn("score", F.lit(0.0).cast("double")).schema
+        return docs.select(kept).withColumn(score_as, F.lit(0.0)).withColumn(predicted_as, F.lit(0))
+    schema = docs.select(kept).withColumn(score_as, F.lit(0.0).cast("double")).schema
 
     def run(batches):
         for batch in batches:
             scores = [model.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_as])
 
-    return docs.select(kept).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.select(kept).mapInArrow(run, schema).withColumn(predicted_as, (F.col(score_as) >= THRESHOLD).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that are not predicted as toxic; all columns are kept, ones named score and predicted, too."""
+    names = unused(docs, "score", "predicted")
+    return score(docs, model, *names).where(F.col(names[1]) == 0).select(docs.columns)
