@@ -125,10 +125,11 @@ def combined(chunks: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int = C
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = chunks.select("doc_id", "text_sha256", "row", "chunk", "data").repartition(n, "row", "chunk").mapInArrow(run, "doc_id long, text_sha256 string, row long, chunk int, size long, residues array<long>, shifts array<long>")
     whole = hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("chunk", "residues", "shifts"))).alias("parts"))
-    digits = [F.lpad(F.hex("size"), 16, "0")]
-    for k, p in enumerate(primes):
-        residue = F.aggregate("parts", F.lit(0).cast("long"), lambda x, part, k=k, p=p: (x * part["shifts"][k] + part["residues"][k]) % p)
-        digits.append(F.lpad(F.hex(residue), 8, "0"))
+
+    def residue(k: int) -> Column:
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda x, part: (x * part["shifts"][k] + part["residues"][k]) % primes[k])
+
+    digits = [F.lpad(F.hex("size"), 16, "0"), *(F.lpad(F.hex(residue(k)), 8, "0") for k in range(len(primes)))]
     return whole.select("doc_id", "text_sha256", F.unhex(F.concat(*digits)).alias("fingerprint"))
 
 
