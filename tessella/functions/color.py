@@ -123,3 +123,56 @@ def heat(score: Column, good: float, bad: float, stops: tuple[tuple[float, ...],
 def describe(space: Column, white: Column, primaries: Column, intent: Column, transfer: Column) -> Column:
     """Short name of an encoding, such as RGB_D65_SRG_Rel_Lin."""
     return F.concat_ws("_", space, white, primaries, intent, transfer)
+
+
+# The opponent luma space on cube-root-like responses: absorbance of linear r, g, b from 0 to 1, the
+# weight of the first response (the second has what is missing to 2), the centre and radius of the red-green axis,
+# the scales of its channels, and the toe of its transfer function.
+OPSIN_YUV = ((0.355028246972028, 0.589422218034148, 0.055549534993826), (0.250871605395556, 0.714937756329137, 0.034190638275308), (0.091915449087840, 0.165250230906774, 0.742834320005384))
+OPSIN_YUV_RED, OPSIN_YUV_CENTRE, OPSIN_YUV_RADIUS = 1.001746913108605, 0.008714601398, 0.035065606236
+OPSIN_YUV_SCALES = (219 / 255, 112 / 255 * 0.5, 112 / 255 * 0.3 / OPSIN_YUV_RADIUS)
+OPSIN_TOE, OPSIN_SLOPE = 0.04, 29.16
+
+
+def opsin_yuv(r: Column, g: Column, b: Column, bits: int = 8) -> tuple[Column, ...]:
+    """Opponent luma and differences of gamma-coded r, g, b from 0 to 1, rounded and clamped to the bit depth."""
+    linear = [srgb_to_linear(255 * x) / 255 for x in (r, g, b)]
+    response = []
+    for row in OPSIN_YUV:
+        v = sum((row[k] * linear[k] for k in (1, 2)), row[0] * linear[0])
+        response.append(F.when(v < OPSIN_TOE / OPSIN_SLOPE, v * OPSIN_SLOPE).otherwise(F.cbrt(v) * 1.08 - 0.08))
+    red, green = OPSIN_YUV_RED * response[0], (2 - OPSIN_YUV_RED) * response[1]
+    luma = (red + green) * 0.5
+    parts = (0.0625 + OPSIN_YUV_SCALES[0] * luma, 0.5 + OPSIN_YUV_SCALES[1] * (response[2] - luma), 0.5 + OPSIN_YUV_SCALES[2] * ((red - green) * 0.5 - OPSIN_YUV_CENTRE))
+    top = (1 << bits) - 1
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(top), F.floor(0.5 + top * x))).cast("int") for x in parts)
+
+
+def opsin_yuv_to_rgb(y: Column, u: Column, v: Column, bits: int = 8) -> tuple[Column, ...]:
+    """Inverse of opsin_yuv, from 0 to 1."""
+    top = (1 << bits) - 1
+    luma, blue, axis = (y / top - 0.0625) / OPSIN_YUV_SCALES[0], (u / top - 0.5) / OPSIN_YUV_SCALES[1], (v / top - 0.5) / OPSIN_YUV_SCALES[2]
+    responses = (luma + axis + OPSIN_YUV_CENTRE) / OPSIN_YUV_RED, (luma - axis - OPSIN_YUV_CENTRE) / (2 - OPSIN_YUV_RED), blue + luma
+    cones = [F.when(x < OPSIN_TOE, x / OPSIN_SLOPE).otherwise(F.pow((x + 0.08) / 1.08, F.lit(3))) for x in responses]
+    return tuple(linear_to_srgb(255 * sum((row[k] * cones[k] for k in (1, 2)), row[0] * cones[0])) / 255 for row in inverse3(OPSIN_YUV))
+
+
+def xyz_matrix(primaries: tuple[float, ...], white: tuple[float, float]) -> tuple[tuple[float, ...], ...]:
+    """Linear r, g, b of a space to XYZ: columns are the primaries, scaled so that equal parts are white."""
+    columns = [(x / y, 1.0, (1 - x - y) / y) for x, y in zip(primaries[::2], primaries[1::2], strict=True)]
+    m = tuple(tuple(c[i] for c in columns) for i in range(3))
+    target = (white[0] / white[1], 1.0, (1 - white[0] - white[1]) / white[1])
+    scale = [sum(row[k] * target[k] for k in range(3)) for row in inverse3(m)]
+    return tuple(tuple(m[i][j] * scale[j] for j in range(3)) for i in range(3))
+
+
+def between_spaces(source: tuple[float, ...], to: tuple[float, ...], white: tuple[float, float]) -> tuple[tuple[float, ...], ...]:
+    """Matrix of linear r, g, b from one set of primaries to another of the same white."""
+    a, b = xyz_matrix(source, white), inverse3(xyz_matrix(to, white))
+    return tuple(tuple(sum(b[i][k] * a[k][j] for k in range(3)) for j in range(3)) for i in range(3))
+
+
+def transform(rgb: tuple[Column, Column, Column], matrix, decode=srgb_to_linear, encode=linear_to_srgb) -> tuple[Column, ...]:
+    """r, g, b from 0 to 255 through decoding, a matrix on linear light, and encoding."""
+    linear = [decode(x) for x in rgb]
+    return tuple(encode(row[0] * linear[0] + row[1] * linear[1] + row[2] * linear[2]) for row in matrix)

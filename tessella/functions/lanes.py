@@ -101,3 +101,88 @@ def median5(a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
 def half_up(x: Column) -> Column:
     """Integer half, rounding up."""
     return F.floor((x + 1) / 2).cast("long")
+
+
+# Fused arithmetic, roots and reciprocals -------------------------------------------------------------
+
+
+def mul_add(a: Column, b: Column, c: Column) -> Column:
+    return a * b + c
+
+
+def nmul_add(a: Column, b: Column, c: Column) -> Column:
+    return c - a * b
+
+
+def mul_subtract(a: Column, b: Column, c: Column) -> Column:
+    return a * b - c
+
+
+def nmul_subtract(a: Column, b: Column, c: Column) -> Column:
+    return -(a * b) - c
+
+
+def reciprocal(x: Column) -> Column:
+    return F.when(x != 0, 1 / x)
+
+
+def reciprocal_sqrt(x: Column) -> Column:
+    return F.when(x > 0, 1 / F.sqrt(x))
+
+
+# Conversions -----------------------------------------------------------------------------------------
+
+
+def nearest_int(x: Column) -> Column:
+    """Nearest integer, halves to the even one."""
+    return F.rint(x).cast("int")
+
+
+def float_bits(x: Column) -> Column:
+    """The bits of a 32-bit float as an unsigned number."""
+    return F.conv(_float_hex(x), 16, 10).cast("long")
+
+
+def _float_hex(x: Column) -> Column:
+    """Hexadecimal bits of a normal 32-bit float, from its sign, exponent and fraction."""
+    size = F.abs(x.cast("float").cast("double"))
+    exponent = F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
+    # the logarithm may be off by one at powers of two
+    exponent = F.when(F.pow(F.lit(2.0), exponent) > size, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= size, exponent + 1).otherwise(exponent)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << 23)).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).otherwise((exponent.cast("long") + 127) * (1 << 23) + fraction)
+    return F.hex(bits + F.when(x < 0, F.lit(1 << 31)).otherwise(F.lit(0)))
+
+
+def u8_from_u32(x: Column) -> Column:
+    """The low bytes of four lanes, as an array of bytes becomes one of numbers."""
+    return F.transform(x, lambda v: F.pmod(v.cast("long"), F.lit(256)))
+
+
+def u32_from_u8(x: Column) -> Column:
+    """Four bytes, the first the lowest, as one unsigned number."""
+    return F.aggregate(F.reverse(x), F.lit(0).cast("long"), lambda s, v: s * 256 + v)
+
+
+# Parts and lane shifts -------------------------------------------------------------------------------
+
+
+def broadcast_lane(x: Column, lane: int) -> Column:
+    """One lane in all places."""
+    return F.transform(x, lambda _: F.element_at(x, lane + 1))
+
+
+def half(x: Column, upper: bool) -> Column:
+    n = F.floor(F.size(x) / 2).cast("int")
+    return F.slice(x, (n + 1) if upper else F.lit(1), n)
+
+
+def shift_lanes(x: Column, n: int) -> Column:
+    """Lanes moved n places up (down for a negative n), zeros coming in."""
+    size = F.size(x)
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.get(x, F.when(i - n < 0, size).otherwise(i - n)), F.lit(0)))
+
+
+def combine_shift_right(high: Column, low: Column, n: int) -> Column:
+    """Lanes n and following of low with high behind it, as many as low has."""
+    return F.slice(F.concat(low, high), n + 1, F.size(low))

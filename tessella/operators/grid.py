@@ -201,3 +201,23 @@ def warp(pixels: DataFrame, width: int, height: int, corners: Sequence[float], e
     taps = wanted.select(*KEY, clamp_border(F.col("sx") + F.col("o.dx"), width).alias("px"), clamp_border(F.col("sy") + F.col("o.dy"), height).alias("py"), (wx * wy).alias("w"))
     source = pixels.select("image_id", "c", F.col("y").alias("py"), F.col("x").alias("px"), "v")
     return taps.join(source, ["image_id", "c", "py", "px"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def reverse_coordinates(x: Column, y: Column, corners: Sequence[float], edge: float, rounds: int = 10) -> Column:
+    """The place that forward_coordinates maps to (x, y), as a struct of u and v, by Newton's method from the middle.
+
+    Each step stays in the square, so places outside its image give a point of its border.
+    """
+
+    def step(s: Column, _: Column) -> Column:
+        u, v = s["u"], s["v"]
+        fx, fy = forward_coordinates(u * edge, v * edge, corners, edge)
+        slope = lambda k, w, a, b: (corners[a + k] - corners[k]) * (1 - w) + (corners[6 + k] - corners[b + k]) * w
+        xu, xv, yu, yv = slope(0, v, 2, 4), slope(0, u, 4, 2), slope(1, v, 2, 4), slope(1, u, 4, 2)
+        det = xu * yv - xv * yu
+        inside = lambda w: F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0))
+        return F.struct(inside(u - (yv * (fx - x) - xv * (fy - y)) / det).alias("u"), inside(v - (xu * (fy - y) - yu * (fx - x)) / det).alias("v"))
+
+    start = F.struct(F.lit(0.5).alias("u"), F.lit(0.5).alias("v"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    return F.transform(F.array(found), lambda s: F.struct((s["u"] * edge).alias("u"), (s["v"] * edge).alias("v")))[0]

@@ -90,14 +90,35 @@ def crop_rect(spark, sf_dir):
     return grid.crop(make(spark, "mix"), grid.Rect(5, 3, 10, 9).inside(W, H))
 
 
-@query(f"SELECT image_id, c, y, x, v FROM {MIX}")
-def pack_unpack(spark, sf_dir):
-    return grid.unpack(grid.pack(make(spark, "mix")), W)
+@query(f"SELECT image_id, c, COUNT(*) AS n, STRING_AGG(CAST(v AS BIGINT), ',' ORDER BY y * {W} + x) AS line FROM {MIX} GROUP BY ALL", "image_id:l c:l n:l line:s")
+def packed_planes(spark, sf_dir):
+    """Planes as rows behind one another."""
+    packed = grid.pack(make(spark, "mix"))
+    (data,) = [f.name for f in packed.schema if f.dataType.typeName() == "array"]
+    return packed.select("image_id", "c", F.size(data).alias("n"), F.array_join(F.transform(data, lambda v: v.cast("long").cast("string")), ",").alias("line"))
 
 
-@query(f"SELECT image_id, c, y, x, v FROM {MIX}")
-def interleave_planes(spark, sf_dir):
-    return grid.deinterleave(grid.interleave(make(spark, "mix")), W)
+@query(f"SELECT image_id, c, y, x, v + 1 AS v FROM {MIX}")
+def unpacked_planes(spark, sf_dir):
+    """Planes from packed rows whose values have grown by one."""
+    packed = grid.pack(make(spark, "mix"))
+    (data,) = [f.name for f in packed.schema if f.dataType.typeName() == "array"]
+    return grid.unpack(packed.withColumn(data, F.transform(data, lambda v: v + 1)), W)
+
+
+@query(f"SELECT image_id, COUNT(*) AS n, STRING_AGG(CAST(v AS BIGINT), ',' ORDER BY (y * {W} + x) * 3 + c) AS line FROM {MIX} GROUP BY ALL", "image_id:l n:l line:s")
+def interleaved_planes(spark, sf_dir):
+    """Three planes cell by cell in one row."""
+    packed = grid.interleave(make(spark, "mix"))
+    (data,) = [f.name for f in packed.schema if f.dataType.typeName() == "array"]
+    return packed.select("image_id", F.size(data).alias("n"), F.array_join(F.transform(data, lambda v: v.cast("long").cast("string")), ",").alias("line"))
+
+
+@query(f"SELECT image_id, c, y, x, v + 1 AS v FROM {MIX}")
+def deinterleaved_planes(spark, sf_dir):
+    packed = grid.interleave(make(spark, "mix"))
+    (data,) = [f.name for f in packed.schema if f.dataType.typeName() == "array"]
+    return grid.deinterleave(packed.withColumn(data, F.transform(data, lambda v: v + 1)), W)
 
 
 @query(f"SELECT image_id, c, x AS y, {H - 1} - y AS x, v FROM {MIX}")
@@ -121,12 +142,17 @@ def plane_statistics(spark, sf_dir):
     return inside.groupBy("image_id", "c").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.sum("v").alias("total"), F.median("v").alias("median"))
 
 
-@query()
+_QUAD = (1.0, 1.0, 20.0, 2.0, 2.0, 20.0, 22.0, 22.0)
+_WARP = [f"((1 - x / 23.0) * (1 - y / 23.0) * {_QUAD[k]} + x / 23.0 * (1 - y / 23.0) * {_QUAD[2 + k]} + (1 - x / 23.0) * (y / 23.0) * {_QUAD[4 + k]} + x / 23.0 * (y / 23.0) * {_QUAD[6 + k]})" for k in range(2)]
+
+
+@query(f"""WITH p AS (SELECT image_id, c, y, x, {_WARP[0]} AS fx, {_WARP[1]} AS fy FROM {MIX}), t AS (SELECT *, LEAST(GREATEST(FLOOR(fx) + dx, 0), {W - 1}) AS px, LEAST(GREATEST(FLOOR(fy) + dy, 0), {H - 1}) AS py, (CASE WHEN dx = 1 THEN fx - FLOOR(fx) ELSE 1 - (fx - FLOOR(fx)) END) * (CASE WHEN dy = 1 THEN fy - FLOOR(fy) ELSE 1 - (fy - FLOOR(fy)) END) AS w FROM p, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+SELECT t.image_id, t.c, t.y, t.x, SUM(t.w * g.v) AS v FROM t JOIN {MIX} g ON g.image_id = t.image_id AND g.c = t.c AND g.x = t.px AND g.y = t.py GROUP BY ALL""")
 def warp_bilinear(spark, sf_dir):
-    return grid.warp(make(spark, "mix"), W, H, (1.0, 1.0, 20.0, 2.0, 2.0, 20.0, 22.0, 22.0), 23.0)
+    return grid.warp(make(spark, "mix"), W, H, _QUAD, 23.0)
 
 
-@query()
+@query(f"WITH w AS (SELECT image_id, c, y, x, v FROM {ODD} UNION ALL SELECT image_id, c, y, nx AS x, AVG(v) AS v FROM {ODD}, (SELECT range AS nx FROM range(13, 16)) WHERE x >= 10 GROUP BY ALL) SELECT image_id, c, y, x, v FROM w UNION ALL SELECT image_id, c, ny AS y, x, AVG(v) AS v FROM w, (SELECT range AS ny FROM range(7, 10)) WHERE y >= 4 GROUP BY ALL")
 def expand_grid(spark, sf_dir):
     return grid.expand(make(spark, "odd"), 13, 7, 16, 10)
 
@@ -174,13 +200,15 @@ def rgb_to_yuv709(spark, sf_dir):
     return _rgb(spark).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(out, ("luma", "u", "v"), strict=True)])
 
 
-@query(f"SELECT image_id, y, x, 1 AS close FROM {_RGB}", "image_id:l y:l x:l close:l")
-def yuv709_round_trip(spark, sf_dir):
-    """Whether decoding gives each channel back to within two steps."""
+_BACK = [" + ".join(f"({m!r}) * ({c} / 255.0 - {add!r})" for m, c, add in zip(row, ("luma", "u", "v"), color.YUV_OFFSET, strict=True)) for row in color.inverse3(color.YUV709)]
+
+
+@query(f"SELECT image_id, y, x, {_BACK[0]} AS r, {_BACK[1]} AS g, {_BACK[2]} AS b FROM (SELECT image_id, y, x, {_YUV[0]} AS luma, {_YUV[1]} AS u, {_YUV[2]} AS v FROM {_RGB})", "image_id:l y:l x:l r:d g:d b:d")
+def yuv709_to_rgb(spark, sf_dir):
+    """What eight bits of each channel decode to."""
     yuv = color.rgb_to_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255)
-    back = color.yuv_to_rgb(*yuv)
-    near = [F.abs(255 * v - F.col(n)) <= 2 for v, n in zip(back, "rgb", strict=True)]
-    return _rgb(spark).select("image_id", "y", "x", (near[0] & near[1] & near[2]).cast("int").alias("close"))
+    coded = _rgb(spark).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(yuv, ("p", "q", "s"), strict=True)])
+    return coded.select("image_id", "y", "x", *[v.alias(n) for v, n in zip(color.yuv_to_rgb(F.col("p"), F.col("q"), F.col("s")), "rgb", strict=True)])
 
 
 @query(
@@ -202,7 +230,11 @@ def alpha_blend(spark, sf_dir):
     return make(spark, "mix").withColumn("v", color.alpha_blend(F.col("v"), F.expr(_A).cast("double"), 255, F.lit(64.0)))
 
 
-@query()
+_STOPS = ((0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 0), (1, 1, 0), (1, 0, 0), (1, 0, 1), (0.5, 0.5, 1.0), (1.0, 0.5, 0.5), (1.0, 1.0, 0.5), (1, 1, 1), (1, 1, 1))
+_HEAT = [f"ROUND(255 * SQRT((1 - m) * {[float(t[k]) for t in _STOPS]}[i + 1] + m * {[float(t[k]) for t in _STOPS]}[i + 2]))" for k in range(3)]
+
+
+@query(f"SELECT image_id, y, x, {_HEAT[0]} AS r, {_HEAT[1]} AS g, {_HEAT[2]} AS b FROM (SELECT *, GREATEST(0, LEAST(1, a - i)) AS m FROM (SELECT *, CAST(FLOOR(a) AS BIGINT) AS i FROM (SELECT image_id, y, x, LEAST(GREATEST(11 * CASE WHEN v < 100 THEN v / 100 * 0.3 WHEN v < 150 THEN 0.3 + (v / 100 - 1) / 0.5 * 0.15 ELSE 0.45 + (v / 100 - 1.5) / 18 * 0.5 END, 0), 10) AS a FROM {MIX} WHERE c = 0)))", "image_id:l y:l x:l r:l g:l b:l")
 def heat_map(spark, sf_dir):
     r, g, b = color.heat(F.col("v") / 100, 1.0, 1.5)
     return make(spark, "mix").where("c = 0").select("image_id", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
@@ -345,12 +377,12 @@ def add_supersampled(spark, sf_dir):
     return stencil.add_supersampled(fine, stencil.subsample(fine), 0.5)
 
 
-def _upsample_sql(grid_: str, w: int, h: int, factor: int) -> str:
+def _upsample_sql(grid_: str, w: int, h: int, factor: int, kernel=stencil.catmull_rom, reach: int = 2) -> str:
     taps = []
     for phase in range(factor):
         centre = (phase + 0.5) / factor - 0.5
         near = math.floor(centre)
-        raw = [(k, stencil.catmull_rom(centre - k)) for k in range(near - 1, near + 3)]
+        raw = [(k, kernel(centre - k)) for k in range(near - reach + 1, near + reach + 1)]
         taps += [f"({phase}, {k}, {v / sum(x for _, x in raw)!r}::DOUBLE)" for k, v in raw]
     t = f"(VALUES {', '.join(taps)})"
     return f"""SELECT g.image_id, g.c, oy * {factor} + b.p AS y, ox * {factor} + a.p AS x, SUM(a.w * b.w * g.v) AS v
@@ -363,7 +395,7 @@ def upsample4(spark, sf_dir):
     return stencil.upsample(make(spark, "odd"), 13, 7, 4)
 
 
-@query()
+@query(_upsample_sql(ODD, 13, 7, 8, stencil.lanczos3, 3))
 def upsample8_lanczos(spark, sf_dir):
     return stencil.upsample(make(spark, "odd"), 13, 7, 8, stencil.lanczos3, 3)
 
@@ -412,7 +444,12 @@ def clamped_gradient(spark, sf_dir):
     return predict.gradient_residual(make(spark, "mix"))
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT *, COALESCE(LAG(v) OVER (PARTITION BY image_id, c, x ORDER BY y), 0) AS n, COALESCE(LAG(v) OVER (PARTITION BY image_id, c, y ORDER BY x), 0) AS w FROM {MIX}), b AS (SELECT *, COALESCE(LAG(n) OVER (PARTITION BY image_id, c, y ORDER BY x), 0) AS nw FROM a),
+g AS (SELECT *, [n, w, FLOOR((n + w) / 2), CASE WHEN nw >= GREATEST(n, w) THEN LEAST(n, w) WHEN nw <= LEAST(n, w) THEN GREATEST(n, w) ELSE n + w - nw END] AS guesses FROM b), k AS (SELECT *, list_transform(guesses, lambda q: ABS(v - q)) AS costs FROM g),
+p AS (SELECT *, LAG(costs) OVER (PARTITION BY image_id, c, y ORDER BY x) AS before FROM k), q AS (SELECT *, COALESCE(list_position(before, list_min(before)), 1) AS choice FROM p) SELECT image_id, c, y, x, v - guesses[choice] AS v, choice - 1 AS predictor FROM q""",
+    "image_id:l c:l y:l x:l v:d predictor:l",
+)
 def best_predictor(spark, sf_dir):
     return predict.best_predictor(make(spark, "mix"))
 
@@ -526,47 +563,50 @@ def dot_product(spark, sf_dir):
     return _embeddings(spark, sf_dir).select("vec_id", dot(F.col("block"), F.col("block")).alias("v"))
 
 
-@query("SELECT vec_id, i, v FROM (SELECT vec_id, UNNEST([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS i, UNNEST([1, 0, 0, 0, 1, 0, 0, 0, 1]) AS v FROM embeddings)", "vec_id:l i:l v:d", 4)
-def inverse3x3(spark, sf_dir):
-    """A matrix times its inverse."""
-    from tessella.functions.lanes import let
+_A9 = [f"(embedding[{k + 1}]::DOUBLE + {2 if k % 4 == 0 else 0})" for k in range(9)]
+_COF = [[f"({_A9[(i + 1) % 3 * 3 + (j + 1) % 3]} * {_A9[(i + 2) % 3 * 3 + (j + 2) % 3]} - {_A9[(i + 1) % 3 * 3 + (j + 2) % 3]} * {_A9[(i + 2) % 3 * 3 + (j + 1) % 3]})" for j in range(3)] for i in range(3)]
+_DET = " + ".join(f"{_A9[j]} * {_COF[0][j]}" for j in range(3))
 
+
+@query(f"SELECT vec_id, i - 1 AS i, [{', '.join(_COF[j][i] for i in range(3) for j in range(3))}][i] / ({_DET}) AS v FROM embeddings, (SELECT range AS i FROM range(1, 10))", "vec_id:l i:l v:d", 5)
+def inverse3x3(spark, sf_dir):
+    """Inverses of matrices of nine values, made well conditioned by twice the unit matrix."""
     eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
-    at = lambda a, i, j: F.element_at(a, 3 * i + j + 1)
-    cell = lambda a, b, i, j: at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j)
-    product = lambda a, b: F.array(*[cell(a, b, i, j) for i in range(3) for j in range(3)])
     a = F.zip_with(F.slice("block", 1, 9), eye, lambda x, y: x + 2 * y)
-    whole = let(a, lambda a: let(linalg.inverse3(a), lambda b: product(a, b)))
-    return _embeddings(spark, sf_dir).select("vec_id", F.posexplode(whole).alias("i", "v"))
+    return _embeddings(spark, sf_dir).select("vec_id", F.posexplode(linalg.inverse3(a)).alias("i", "v"))
 
 
-@query()
+@query(f"SELECT SUM(v * v) AS trace, (SELECT SUM(s * s) FROM (SELECT SUM(a.v * b.v) AS s FROM {_CELLS} a JOIN {_CELLS} b USING (vec_id) GROUP BY a.i, b.i)) AS squares, 64 AS axes FROM {_CELLS}", "trace:d squares:d axes:l", 3)
 def principal_axes(spark, sf_dir):
-    """Eigenvalues of the vectors' second moments: one pass over the table, a 64 x 64 matrix at the driver."""
+    """Sum and squares of the eigenvalues of the vectors' second moments: one pass over the table, a 64 x 64 matrix at the driver."""
     values, _ = linalg.eigen(linalg.gram(_embeddings(spark, sf_dir), "block"))
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.sort(values)[::-1])], "i int, eigenvalue double")
+    return spark.createDataFrame([(float(np.sum(values)), float(np.sum(np.square(values))), len(values))], "trace double, squares double, axes int")
 
 
 # Kernels ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT vec_id, 1 AS same FROM embeddings", "vec_id:l same:l")
-def lossless_round_trip(spark, sf_dir):
-    """Each block as 16-bit integers through the lossless plane code and back."""
+@query(f"SELECT vec_id, i, LEAST(32767, GREATEST(-32768, CAST(round_even(v * 1000, 0) AS BIGINT))) + 32768 AS v FROM {_CELLS}", "vec_id:l i:l v:l")
+def lossless_planes(spark, sf_dir):
+    """Each block as 16-bit integers, as the lossless plane code gives them back."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             planes = [np.clip(np.rint(np.asarray(b).reshape(8, 8) * 1000), -32768, 32767).astype(np.int64) + 32768 for b in pdf["block"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "same": [int((kernels.lossless_decode(kernels.lossless_encode(p)) == p).all()) for p in planes]})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "plane": [kernels.lossless_decode(kernels.lossless_encode(p)).ravel().tolist() for p in planes]})
 
-    return _embeddings(spark, sf_dir).mapInPandas(run, "vec_id long, same int")
+    return _embeddings(spark, sf_dir).mapInPandas(run, "vec_id long, plane array<long>").select("vec_id", F.posexplode("plane").alias("i", "v"))
 
 
-@query("SELECT vec_id, 1 AS huffman, 1 AS ans, 1 AS mtf, 1 AS lehmer FROM embeddings", "vec_id:l huffman:l ans:l mtf:l lehmer:l")
-def entropy_round_trips(spark, sf_dir):
-    """Quantised coefficients through each entropy code and list transform and back."""
+@query(
+    f"WITH s AS (SELECT vec_id, i, LEAST(255, ABS(CAST(round_even(v * 20, 0) AS BIGINT))) AS q FROM {_CELLS}), n AS (SELECT vec_id, q, COUNT(*) AS n FROM s GROUP BY ALL) SELECT vec_id, COUNT(*) AS symbols, SUM(n) AS coded, CEIL(64 * LOG2(64) - SUM(n * LOG2(n)) - 1e-9) AS least FROM n GROUP BY vec_id",
+    "vec_id:l symbols:l coded:l least:l",
+)
+def entropy_code_sizes(spark, sf_dir):
+    """Quantised coefficients through each entropy code and back: different symbols, how many come back right from all of them,
+    and the bits that no code can do without, which the Huffman code must reach."""
 
     def run(batches):
         import pandas as pd
@@ -578,16 +618,15 @@ def entropy_round_trips(spark, sf_dir):
                 counts = np.bincount(q, minlength=256).tolist()
                 depths, ans = kernels.huffman_depths(counts), kernels.RangeAns(counts)
                 order = np.argsort(q, kind="stable").tolist()
-                rows.append((
-                    vec_id,
-                    int(kernels.huffman_decode(kernels.huffman_encode(q, depths), len(q), depths) == q),
-                    int(ans.decode(ans.encode(q), len(q)) == q),
-                    int(kernels.inverse_move_to_front(kernels.move_to_front(q)) == q),
-                    int(kernels.lehmer_decode(kernels.lehmer_encode(order)) == order),
-                ))
-            yield pd.DataFrame(rows, columns=["vec_id", "huffman", "ans", "mtf", "lehmer"])
-
-    return _embeddings(spark, sf_dir).mapInPandas(run, "vec_id long, huffman int, ans int, mtf int, lehmer int")
+                back = (kernels.huffman_decode(kernels.huffman_encode(q, depths), len(q), depths), ans.decode(ans.encode(q), len(q)), kernels.inverse_move_to_front(kernels.move_to_front(q)))
+                right = sum(all(b[k] == x for b in back) for k, x in enumerate(q)) if kernels.lehmer_decode(kernels.lehmer_encode(order)) == order else 0
+                used = [n for n in counts if n]
+                bits = int(np.ceil(sum(n * np.log2(len(q) / n) for n in used) - 1e-9))
+                huffman = sum(n * d for n, d in zip(counts, depths, strict=True))
+                rows.append((vec_id, len(used), right, bits if len(used) == 1 or bits <= huffman <= bits + len(q) else -1))
+            yield pd.DataFrame(rows, columns=["vec_id", "symbols", "coded", "least"])
+
+    return _embeddings(spark, sf_dir).mapInPandas(run, "vec_id long, symbols long, coded long, least long")
 
 
 @query(f"SELECT image_id, c, y, x, v FROM {MIX}")

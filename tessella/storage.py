@@ -1,13 +1,14 @@
 """Tables and folders that all executors share.
 
 Everything an operator writes between its stages goes below ``spark.checkpoint.dir``,
-which the cluster names. A folder of our own is made only where that setting is unset,
-as in a local test session.
+which the cluster names. Where that setting is unset, the warehouse takes its place on a
+cluster, and a folder of our own in a local session.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_base(spark: SparkSession) -> str:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
-        _own_base[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        warehouse = (spark.conf.get("spark.sql.warehouse.dir", None) or "spark-warehouse").rstrip("/")
+        _own_base[app] = "file://" + tempfile.mkdtemp(prefix="tessella-") if local else f"{warehouse}/tessella-{app}"
     return _own_base[app]
 
 
