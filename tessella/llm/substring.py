@@ -451,17 +451,29 @@ def shared_runs(mine: np.ndarray, theirs: Sorted, width: int, similarity: float
         return all(poor(x) for x in range(s, max(-1, s - int(slack) - 1), -1))
 
     def parts(at: np.ndarray) -> list[np.ndarray]:
-        """Positions with an equal token, parted where more lack one than the rest can outweigh."""
-        done, todo = [], [at]
+        """Positions with an equal token, parted where more different tokens lack one than the rest can outweigh."""
+        if single:
+            lack = np.diff(at) - 1
+        else:
+            gone = np.flatnonzero(~inside)
+            gap = np.searchsorted(at, gone) - 1
+            new = (gap >= 0) & (gap < len(at) - 1)
+            gone, gap = gone[new], gap[new]
+            lack = np.bincount(gap[before[gone] <= at[gap]], minlength=len(at))[: len(at) - 1]
+        done, todo = [], [(0, len(at))]
         while todo:
-            at = todo.pop()
-            if len(at) < width * similarity:
+            a, b = todo.pop()
+            some = at[a:b]
+            if some[-1] - some[0] + 1 < width - slack:
+                continue
+            kinds = b - a if single else len(np.unique(mine[some]))
+            if single and kinds < width * similarity:
                 continue
-            cuts = np.flatnonzero((np.diff(at) - 1) * similarity > (1 - similarity) * len(at) + 1e-9) + 1
-            if len(cuts):
-                todo += np.split(at, cuts)
+            cuts = (a + 1 + np.flatnonzero(lack[a : b - 1] * similarity > (1 - similarity) * kinds + 1e-9)).tolist()
+            if cuts:
+                todo += zip([a, *cuts], [*cuts, b], strict=True)
             else:
-                done.append(at)
+                done.append(some)
         return sorted(done, key=lambda x: x[0])
 
     out: list[tuple[int, int, int, int, float]] = []
@@ -555,7 +567,7 @@ def shared_runs(mine: np.ndarray, theirs: Sorted, width: int, similarity: float
         i, j, n = i[cuts[:-1]], j[cuts[:-1]], np.diff(cuts)
     else:
         i, j, n = _diagonals(mine, theirs)
-    for part in parts(np.flatnonzero(inside)) if single else [np.array([0, len(mine)])]:
+    for part in parts(np.flatnonzero(inside)):
         here = (i >= part[0]) & (i <= part[-1])
         runs = i[here], j[here], n[here]
         # The longest stretch that could be is all there is to find, if it is similar.
@@ -675,6 +687,19 @@ _PASSAGE_NAMES = [x.split()[0] for x in PASSAGES.split(", ")]
 _PASSAGE_TYPES = (pa.int64(),) * 6 + (pa.float64(),)
 
 
+def _open_texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of docs that have a window among packed entries."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [np.frombuffer(x, np.int64) for x in batch.column("doc").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else np.zeros(0, np.int64))], names=["doc_id"])
+
+    ids = materialize(entries.select("doc").mapInArrow(run, "doc_id long").distinct(), "open-ids")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids.hint("shuffle_hash"), "doc_id", "left_semi"), "open-texts")
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """Passages of MIN_WORDS words or more that a document shares with another of smaller doc_id."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -689,6 +714,7 @@ def passages(docs: DataFrame) -> DataFrame:
         entries = judged.where("similarity is null").select(_SEED_NAMES)
         if entries.isEmpty():
             return found.distinct()
+        docs = _open_texts(docs, entries)  # the next round needs no other texts
 
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
