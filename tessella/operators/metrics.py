@@ -63,14 +63,10 @@ def fuzzy_class(score_: Column) -> Column:
 
 
 def fuzzy_inverse(value: float) -> float:
-    """The distance whose class is value, by halving steps."""
-    at, step = 0.0, 1.0
-    while step >= 1e-10:
-        near = (2 / (1 + math.exp((at - 1) * CLASS_DOWN)) - 1) * (2 - CLASS_LEVEL) + CLASS_LEVEL
-        far = 2 / (1 + math.exp((at - 1) * CLASS_UP)) * CLASS_LEVEL
-        at += -step if (near if at < 1 else far) < value else step
-        step *= 0.5
-    return at
+    """The distance whose class is value, above 0 and below 2."""
+    if value > CLASS_LEVEL:
+        return 1 + math.log(2 / (1 + (value - CLASS_LEVEL) / (2 - CLASS_LEVEL)) - 1) / CLASS_DOWN
+    return 1 + math.log(2 * CLASS_LEVEL / value - 1) / CLASS_UP
 
 
 def tile_norm(pixels: DataFrame, width: int, height: int, tile: int, margin: int) -> DataFrame:

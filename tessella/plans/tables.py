@@ -157,7 +157,7 @@ def half_sample_mode(spark, sf_dir):
     def mode(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "mode": [kernels.half_sample_mode_of_counts(pdf["v"], pdf["n"])]})
+        return pd.DataFrame({"event_type": [pdf["event_type"].iloc[0]], "mode": [kernels.half_sample_mode(pdf["v"], pdf["n"])]})
 
     return kernels.by_group(counted, ["event_type"], mode, "event_type string, mode double")
 

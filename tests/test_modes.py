@@ -1,4 +1,4 @@
-"""Half-sample modes from counts against the same over all values."""
+"""Robust modes: their definitions over all windows, and properties."""
 
 import random
 
@@ -9,14 +9,40 @@ import __spark_entry__ as entry
 from tessella.operators import kernels
 
 
+def mode_by_all_windows(values):
+    v = sorted(values)
+    while len(v) > 2:
+        take = (len(v) + 1) // 2
+        v = min((v[i : i + take] for i in range(len(v) - take + 1)), key=lambda w: w[-1] - w[0])
+    return (v[0] + v[-1]) / 2
+
+
 @pytest.mark.parametrize("n,kinds", [(1, 1), (2, 2), (3, 2), (4, 4), (5, 1), (17, 6), (100, 30), (999, 40), (1000, 1000), (2500, 700)])
-def test_mode_of_counts_equals_mode_of_values(n, kinds):
-    for seed in range(20):
+def test_mode_of_counts_is_that_of_all_windows(n, kinds):
+    for seed in range(5):
         r = np.random.default_rng(100 * n + seed)
         values = np.round(r.exponential(50, kinds), 2)[r.integers(0, kinds, n)]
         v, c = np.unique(values, return_counts=True)
         mixed = r.permutation(len(v))
-        assert kernels.half_sample_mode_of_counts(v[mixed], c[mixed]) == kernels.half_sample_mode(values)
+        want = mode_by_all_windows(values.tolist())
+        assert kernels.half_sample_mode(v[mixed], c[mixed]) == kernels.half_sample_mode(values) == want
+
+
+def test_mode_moves_and_grows_with_the_sample():
+    r = np.random.default_rng(3)
+    values = np.concatenate((r.normal(40, 1, 700), r.uniform(0, 400, 300)))
+    mode = kernels.half_sample_mode(values)
+    assert abs(mode - 40) < 2
+    assert np.isclose(kernels.half_sample_mode(values * 3 + 5), mode * 3 + 5)
+
+
+def test_half_range_mode_is_in_the_densest_part():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        counts = r.integers(0, 5, 64)
+        counts[20:24] += 60
+        assert 20 <= kernels.half_range_mode(counts) < 24
+    assert kernels.half_range_mode([7]) == 0 and kernels.half_range_mode([0, 0, 9, 0, 0]) == 2
 
 
 def test_query_goes_by_raw_values(spark, tmp_path):
