@@ -4,7 +4,8 @@ The tokens of a text are its five-word shingles. Under one hash function the Car
 token hashes groups its subsequences by their smallest token: node c stands for all subsequences
 [i, j] with l <= i <= c <= j <= r, a *compact window* (l, c, r). Only nodes that are wide enough to hold
 a passage of MIN_WORDS words are kept. Windows of several hash functions are found; each is indexed under
-its token, and carries what stands SEED_GAP tokens before and after it.
+its token, and carries what stands SEED_GAP tokens before and after it. Its bounds don't travel: how far
+two windows go together is seen on the tokens when they are verified.
 
 Windows that agree in their token and in a neighbour, a *kind*, link to the one of the smallest doc_id:
 n windows give at most n - 1 links, never all pairs. Windows whose whole surroundings of one passage's
@@ -47,7 +48,7 @@ HASHES = 6
 #: Tokens from a window's token to the neighbours that are compared with it.
 SEED_GAP = 5
 #: Tokens whose windows are found at once.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 17
 #: Windows that a task collapses before it sends them on.
 POOL_WINDOWS = 1 << 20
 #: Pairs of documents up to which the texts that are needed are picked by a broadcast of their ids.
@@ -113,13 +114,14 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, owner: np.ndarray, width: int, bounds: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of the nodes of the Cartesian trees of all documents that hold `width` tokens or more,
     and for each run of `width` tokens (by its start) the index of its node, -1 across documents.
 
     owner is the document of each token, ascending. A node's bounds are the nearest smaller values on
     either side; they are searched run by run among the nodes, since what bounds a wide window is the
-    smallest value of a neighbouring run.
+    smallest value of a neighbouring run. Without `bounds` l and r are those of the runs that the node is
+    the smallest value of, which is all of a window that can hold a passage of `width` tokens around it.
     """
     at = minima(values, width)
     inside = owner[: len(at)] == owner[width - 1 :]
@@ -133,6 +135,8 @@ def compact_windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[
     center = where[new]
     node[starts] = np.cumsum(new) - 1
     low, high = starts[new], starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1] + width - 1
+    if not bounds:
+        return low, center, high, node
     # The first run of a node starts right after a smaller value, unless the node is that run's last
     # token; then smaller values lie further left. The right side is the mirror image.
     bits = np.uint64(max(1, int(len(values)).bit_length()))
@@ -178,7 +182,7 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int, hashes: int = HAS
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     keys, places = [], []
     for k in range(hashes):
-        _, center, _, _ = compact_windows(_mix(values ^ _SEEDS[k]), owner, width)
+        _, center, _, _ = compact_windows(_mix(values ^ _SEEDS[k]), owner, width, bounds=False)
         keys.append(_mix(values[center] + np.uint64(k + 1)))
         places.append(center)
     key, at = np.concatenate(keys), np.concatenate(places)
@@ -585,6 +589,16 @@ PASSAGES = "doc_id long, other long, start long, end long, other_start long, oth
 _JUDGED = f"{PASSAGES}, {_SEED}"
 
 
+def _equal_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sequences have in common from their first on."""
+    whole = min(len(a), len(b))
+    for n in (min(whole, 64), whole):
+        differs = a[:n] != b[:n]
+        if differs.any():
+            return int(np.argmax(differs))
+    return whole
+
+
 def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     """(key, neighbour, digest of the surroundings, position) of the links' windows, under the first token on either side that isn't the representative's."""
     out: list[tuple[int, int, int, int]] = []
@@ -596,9 +610,7 @@ def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width:
     keys, sides = [], []
     for p, q in links.tolist():
         for side, (a, b) in enumerate(((mine[p:], other[q:]), (mine[p::-1], other[q::-1]))):
-            n = min(len(a), len(b))
-            differs = a[:n] != b[:n]
-            y = int(np.argmax(differs)) if differs.any() else n
+            y = _equal_tokens(a, b)
             if y < len(a):
                 keys.append(p)
                 sides.append(2 * y + side + (1 << 32))
