@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that is reachable.
 
     Large-star and small-star steps alternate until no edge changes. Each step is one aggregate (the
-    smallest neighbour of each node, combined before the shuffle) and one join, so a node with very many
-    neighbours is never gathered in one place. Every round is written to the shared folder. Nulls,
+    smallest neighbour of each node, combined before the shuffle) and one join. The edges of a node with very
+    many neighbours meet in one task of that join, as pairs of numbers that stream past one row, never as a
+    list; adaptive execution splits such a task by its size. Every round is written to the shared folder. Nulls,
     loops and repeated edges are allowed and change nothing; no edges give no rows.
     """
     current = materialize(_tidy(edges.where("a is not null and b is not null and a != b")), "edges")

@@ -12,7 +12,8 @@ position of the difference, or at position 0 if the segments are equal. Inside a
 reduced to a spanning forest, so n fingerprints give at most n - 1 links. Buckets are sorted runs
 inside a shuffle partition and are compared in blocks of bounded memory; a bucket of more than
 SPLIT_BUCKET fingerprints is dealt out again by the bytes of the other segment (at most 3 of whose 32
-bits differ, so one of its 4 bytes is equal), which loses nothing.
+bits differ, so one of its 4 bytes is equal), and what is still too large by the four 6-bit parts of the
+other 24 bits, of which one is equal, too; neither loses anything.
 
 Texts without words, null ones included, have fingerprint zero and link like any other. Repeated rows
 link to each other; a null doc_id counts as no member for the smallest id; an empty table gives no
@@ -118,15 +119,15 @@ def bucket_links(prints: np.ndarray, k: int, most: int = 3) -> Iterator[tuple[in
 def _links(rows: DataFrame, split: int | None) -> DataFrame:
     """Links (a, b) inside the buckets of rows (bucket, key, fp), each a sorted run of one partition.
 
-    A bucket of more than `split` fingerprints is passed on instead, as rows (bucket, fp, over).
+    A bucket of more than `split` fingerprints is passed on instead, as rows (bucket, fp, key, over).
     """
 
     def out(links: list[tuple[int, int]]):
         a, b = ([x[i] for x in links] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(a))], names=["a", "b", "over"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array([False] * len(a))], names=["a", "b", "key", "over"])
 
-    def passed(buckets: np.ndarray, prints: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(prints), pa.array(np.ones(len(prints), bool))], names=["a", "b", "over"])
+    def passed(buckets: np.ndarray, keys: np.ndarray, prints: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(prints), pa.array(keys), pa.array(np.ones(len(prints), bool))], names=["a", "b", "key", "over"])
 
     def emit(bucket: int, prints: np.ndarray):
         for i, j in bucket_links(prints.view(np.uint64), bucket >> 32):
@@ -140,7 +141,7 @@ def _links(rows: DataFrame, split: int | None) -> DataFrame:
             buckets, keys, prints = (np.concatenate(x) for x in zip(rest, new, strict=True))
             if large is not None:
                 n = int(np.argmin(np.append((buckets == large[0]) & (keys == large[1]), False)))
-                yield passed(buckets[:n], prints[:n])
+                yield passed(buckets[:n], keys[:n], prints[:n])
                 buckets, keys, prints = buckets[n:], keys[n:], prints[n:]
                 if not len(buckets):
                     rest = buckets, keys, prints
@@ -152,7 +153,7 @@ def _links(rows: DataFrame, split: int | None) -> DataFrame:
             links: list[tuple[int, int]] = []
             for a, b in zip(starts[many].tolist(), starts[many + 1].tolist(), strict=True):
                 if split and b - a > split:
-                    yield passed(buckets[a:b], prints[a:b])
+                    yield passed(buckets[a:b], keys[a:b], prints[a:b])
                 else:
                     links += emit(int(buckets[a]), prints[a:b])
             if links:
@@ -161,12 +162,12 @@ def _links(rows: DataFrame, split: int | None) -> DataFrame:
             rest = buckets[last:], keys[last:], prints[last:]
             if split and len(rest[0]) > split:
                 large = int(rest[0][0]), int(rest[1][0])
-                yield passed(rest[0], rest[2])
+                yield passed(rest[0], rest[1], rest[2])
                 rest = tuple(x[:0] for x in rest)
         if len(rest[0]) > 1 and (links := list(emit(int(rest[0][0]), rest[2]))):
             yield out(links)
 
-    return rows.mapInArrow(run, "a long, b long, over boolean")
+    return rows.mapInArrow(run, "a long, b long, key long, over boolean")
 
 
 def links(prints: DataFrame, split: int = SPLIT_BUCKET) -> DataFrame:
@@ -182,9 +183,19 @@ def links(prints: DataFrame, split: int = SPLIT_BUCKET) -> DataFrame:
     if large.isEmpty():
         return edges
     other = F.when(F.shiftright("bucket", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    cells = [F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255)) + 256 * i for i in range(4)]
-    dealt = large.select("bucket", "fp", F.explode(F.array(*cells)).alias("key"))
-    return edges.unionByName(_links(placed(dealt), None).select("a", "b"))
+    byte = lambda i: F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255))
+    dealt = large.select("bucket", "fp", F.explode(F.array(*[byte(i) + 256 * i for i in range(4)])).alias("key"))
+    again = materialize(_links(placed(dealt), split), "links")
+    edges = edges.unionByName(again.where("not over").select("a", "b"))
+    large = again.where("over").select(F.col("a").alias("bucket"), F.col("b").alias("fp"), "key")
+    if large.isEmpty():
+        return edges
+    # the three bytes that are not the key's, as one number of 24 bits
+    parts = [F.when(F.col("key") < 256 * (i + 1), byte(i + 1)).otherwise(byte(i)) for i in range(3)]
+    rest = parts[0] + parts[1] * 256 + parts[2] * 65536
+    sixths = F.array(*[F.shiftrightunsigned(rest, 6 * j).bitwiseAND(F.lit(63)) + 64 * j for j in range(4)])
+    finer = large.select("bucket", "fp", "key", F.explode(sixths).alias("part")).withColumn("key", F.col("key") * 256 + F.col("part"))
+    return edges.unionByName(_links(placed(finer), None).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,7 @@ PAIRS = 1 << 20
 
 _SEEDS = np.random.default_rng(20240).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IN_WORD = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -86,16 +87,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def tokens(text: str | None, words: int = WORDS) -> np.ndarray:
-    """64-bit hashes of the word shingles of a text, in order; A-Z count as a-z, white space as one blank."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(parts) < words:
+    """64-bit hashes of the word shingles of a text, in order; A-Z count as a-z, white space of any length parts words.
+
+    A word's hash is a polynomial in its bytes, taken out of running sums over the whole text; a shingle's is one in its words.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    n = len(starts) - words + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(parts), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _power(_ODD, len(data)), dtype=np.uint64)))
-    a, b = starts[: len(parts) - words + 1], ends[words - 1 :]
-    return _mix((prefix[b] - prefix[a]) * _power(_INVERSE, len(data))[a] + (b - a).astype(np.uint64))
+    each = _mix((prefix[ends] - prefix[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    whole = each[:n].copy()
+    for k in range(1, words):
+        whole = whole * np.uint64(_ODD) + each[k : n + k]
+    return _mix(whole)
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -193,12 +203,17 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int, hashes: int = HAS
 
 
 def star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the index of the entry of its key with the smallest doc, and which entries those are."""
-    order = np.lexsort((doc, key))
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, bool)
-    heads = order[new]
+    """For each entry the index of an entry of its key with the smallest doc, and which entries those are."""
+    order = np.argsort(key)
+    if not len(key):
+        return order, order
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    group, docs = np.cumsum(new) - 1, doc[order]
+    least = np.flatnonzero(docs == np.minimum.reduceat(docs, np.flatnonzero(new))[group])
+    one = group[least]
+    heads = order[least[np.concatenate(([True], one[1:] != one[:-1]))]]
     out = np.empty(len(key), np.int64)
-    out[order] = heads[np.cumsum(new) - 1]
+    out[order] = heads[group]
     return out, heads
 
 
@@ -212,9 +227,9 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SEED_TYPES, strict=True)], names=_SEED_NAMES)
 
 
-def _by_bucket(bucket: np.ndarray, doc: np.ndarray, buckets: int):
-    """(bucket, indexes of its entries by doc) of every bucket that has any."""
-    order = np.lexsort((doc, bucket))
+def _by_bucket(bucket: np.ndarray, buckets: int):
+    """(bucket, indexes of its entries as they came) of every bucket that has any."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by digits
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         yield k, order[cuts[k] : cuts[k + 1]]
@@ -223,12 +238,12 @@ def _by_bucket(bucket: np.ndarray, doc: np.ndarray, buckets: int):
 def _entry_rows(key, right, left, near, doc, at, buckets: int) -> list[tuple]:
     """Entries packed by bucket; within a bucket 32 bits of the key and 16 of a neighbour tell kinds apart."""
     short = (key >> np.uint64(32)).astype(np.uint32)
-    return [(k, False, *(x[i].tobytes() for x in (short, right, left, near, doc, at))) for k, i in _by_bucket((key % np.uint64(buckets)).astype(np.int64), doc, buckets)]
+    return [(k, False, *(x[i].tobytes() for x in (short, right, left, near, doc, at))) for k, i in _by_bucket((key % np.uint64(buckets)).astype(np.int64), buckets)]
 
 
 def _link_rows(doc, other, at, place, buckets: int) -> list[tuple]:
     """Links (doc, other, position in doc, position in other) packed by doc."""
-    return [(k, True, b"", b"", b"", b"", np.stack((doc[i], other[i])).tobytes(), np.stack((at[i], place[i])).tobytes()) for k, i in _by_bucket(doc % buckets, doc, buckets)]
+    return [(k, True, b"", b"", b"", b"", np.stack((doc[i], other[i])).tobytes(), np.stack((at[i], place[i])).tobytes()) for k, i in _by_bucket(doc % buckets, buckets)]
 
 
 def _links(of: np.ndarray, to: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -341,14 +356,16 @@ def linked(entries: DataFrame, buckets: int) -> DataFrame:
     return entries.repartition(n, "bucket").mapInArrow(meet, _SEED).repartition(n, "bucket").mapInArrow(pairs, "doc_id long, other long, links binary")
 
 
-def _diagonals(mine: np.ndarray, theirs: Sorted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, start in other, length) of all maximal runs of equal tokens, by start.
+def _diagonals(mine: np.ndarray, theirs: Sorted, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, start in other, length) of all maximal runs of equal tokens of the positions that `use` marks, by start.
+
+    A run is marked as a whole or not at all.
 
     Pairs of equal tokens are looked at a slice at a time; only where runs begin and end is kept.
     """
     other, order = theirs.values, theirs.order
     low = np.searchsorted(theirs.ordered, mine, "left")
-    count = np.searchsorted(theirs.ordered, mine, "right") - low
+    count = np.where(use, np.searchsorted(theirs.ordered, mine, "right") - low, 0)
     upto = np.concatenate(([0], np.cumsum(count)))
     ends: list[list[np.ndarray]] = [[], []]
     at = 0
@@ -564,14 +581,19 @@ def shared_runs(mine: np.ndarray, theirs: Sorted, width: int, similarity: float
                     covered = box[1]
                     break
 
+    found = parts(np.flatnonzero(inside))
+    if not found:
+        return out
     if plain:
         i = np.flatnonzero(inside)
         j = theirs.order[place[i]]
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1, [len(i)]))
         i, j, n = i[cuts[:-1]], j[cuts[:-1]], np.diff(cuts)
     else:
-        i, j, n = _diagonals(mine, theirs)
-    for part in parts(np.flatnonzero(inside)):
+        use = np.zeros(len(mine), bool)
+        use[np.concatenate(found)] = True
+        i, j, n = _diagonals(mine, theirs, use)
+    for part in found:
         here = (i >= part[0]) & (i <= part[-1])
         runs = i[here], j[here], n[here]
         # The longest stretch that could be is all there is to find, if it is similar.

@@ -120,3 +120,61 @@ def test_quality_rejects_junk_and_controls_false_rejections(spark):
     assert got[1860]["base_failed"] and got[1861]["base_failed"] and not got[1860]["kept"]
     assert quality.judge(docs.where("false"), labels).count() == 0
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, labels.where("false")).collect())
+
+
+def slow_profile(text, most=language_id.PROFILE):
+    """A text's n-grams by rank, word by word."""
+    counts = Counter()
+    for word in "".join(c.lower() if c.isalpha() else " " for c in text).split():
+        padded = f" {word} "
+        for size in (1, 2, 3):
+            for i in range(len(padded) - size + 1):
+                gram = padded[i : i + size]
+                if gram != " ":
+                    code = 0
+                    for c in gram:
+                        code = code << 21 | ord(c)
+                    counts[code] += 1
+    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+
+
+def test_language_distances_are_brute_force(spark):
+    train = [(i, speak(lang, 60, i), lang) for i, lang in enumerate(list(LANGUAGES) * 5)]
+    profiles = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    for lang, ranks in zip(profiles.names, profiles.ranks, strict=True):
+        assert ranks.tolist() == slow_profile(" ".join(t for _, t, x in train if x == lang))
+    for text in [speak("xx", 40, 77), "Éa b, cc-d 12 ééé", "a", speak("yy", 3, 5) + " 9 " + speak("zz", 200, 6)]:
+        mine = slow_profile(text)
+        far = []
+        for ranks in profiles.ranks:
+            place = {g: k for k, g in enumerate(ranks.tolist())}
+            far.append(sum(abs(place[g] - k) if g in place else language_id.PROFILE for k, g in enumerate(mine)))
+        assert profiles.distances(np.array(mine, np.int64)).tolist() == far
+        assert profiles.predict(text)[0] == profiles.names[int(np.argmin(far))]
+
+
+def test_label_model_s_posterior_is_bayes_rule():
+    """One table per class and voter, each vote to the power of its voter's weight."""
+    r = np.random.default_rng(2)
+    votes = r.integers(-1, 2, (60, 5)).astype(float)
+    model = toxicity.LabelModel(0.2)
+    model.fit(votes)
+    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    for row, got in zip(votes, model.posterior(onehot), strict=True):
+        odds = math.log(0.2 / 0.8)
+        for k, v in enumerate(row):
+            odds += model.weights[k] * math.log(model.tables[1][k][int(v) + 1] / model.tables[0][k][int(v) + 1])
+        assert abs(got - 1 / (1 + math.exp(-odds))) < 1e-9
+    assert np.allclose(model.tables.sum(axis=2), 1) and ((0 <= model.accuracy) & (model.accuracy <= 1)).all()
+
+
+def test_linear_classifier_goes_down_the_gradient():
+    """On separable features its loss is near 0, and its slope at the end is small."""
+    r = np.random.default_rng(6)
+    present = r.random((300, 8)) < 0.3
+    target = present[:, 0].astype(float)
+    rows, columns = np.nonzero(present)
+    w, bias = toxicity.train_linear(rows, columns, 300, 8, target, steps=600)
+    margin = present @ w + bias
+    assert ((margin > 0) == (target > 0)).all()
+    assert abs(((1 / (1 + np.exp(-margin)) - target) @ present / 300)).max() < 0.02
