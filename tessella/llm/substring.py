@@ -16,10 +16,9 @@ either text, and a stretch counts if it holds MIN_WORDS words and its similarity
 is at least 0.8.
 
 A link that no verified stretch of its pair covers says that a window met a representative that is not its
-like. Such windows go round again, under a kind that names the first token in which they differ from that
-representative, so that those which go on alike meet each other; representatives have been compared with
-everybody and leave. Rounds end when no link fails: no pair of windows that agree beyond what they share
-with a representative is lost to it.
+like. Such windows go round again, without the representative, under a kind that names the first token in
+which they differ from it, so that those which go on alike meet each other, and in two more rounds under
+neighbours further away. Rounds end when no link fails.
 
 Null, empty and shorter texts have no passages. Passages that repeat inside one document only are not
 reported; rows with equal doc_ids are not compared with each other, and null doc_ids not at all. Repeated
@@ -47,6 +46,8 @@ SIMILARITY = 0.8
 HASHES = 6
 #: Tokens from a window's token to the neighbours that are compared with it.
 SEED_GAP = 5
+#: The same in the second and third round, for windows whose link failed.
+GAPS = (12, 22)
 #: Tokens whose windows are found at once.
 BLOCK_TOKENS = 1 << 17
 #: Windows that a task collapses before it sends them on.
@@ -621,24 +622,28 @@ def _equal_tokens(a: np.ndarray, b: np.ndarray) -> int:
     return whole
 
 
-def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
-    """(key, neighbour, digest of the surroundings, position) of the links' windows, under the first token on either side that isn't the representative's."""
-    out: list[tuple[int, int, int, int]] = []
+def _open_windows(mine: np.ndarray, other: np.ndarray, links: np.ndarray, width: int, gap: int | None) -> list[tuple[int, int, int, int, int]]:
+    """(key, right, left, digest of the surroundings, position) of the links' windows for the next round: under the first token
+    on either side that isn't the representative's, and under the tokens `gap` after and before."""
+    out: list[tuple[int, int, int, int, int]] = []
     if not len(links):
         return out
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mine, dtype=np.uint64)))
     places = np.unique(links[:, 0]).astype(np.int64)
     nears = dict(zip(places.tolist(), _surroundings(prefix, 0, len(mine), places, width).tolist(), strict=True))
-    keys, sides = [], []
+    kinds = []
     for p, q in links.tolist():
         for side, (a, b) in enumerate(((mine[p:], other[q:]), (mine[p::-1], other[q::-1]))):
             y = _equal_tokens(a, b)
             if y < len(a):
-                keys.append(p)
-                sides.append(2 * y + side + (1 << 32))
-                out.append((0, max(1, int(a[y]) >> 48), nears[p], p))
-    mixed = _mix(mine[keys] + _mix(np.array(sides, np.uint64))).tolist() if keys else []
-    return [(key, *x[1:]) for key, x in zip(mixed, out, strict=True)]
+                kinds.append(2 * y + side + (1 << 32))
+                out.append((p, max(1, int(a[y]) >> 48), 0, nears[p], p))
+        if gap is not None:
+            kinds.append(gap + (1 << 33))
+            right, left = (max(1, int(mine[at]) >> 48) if 0 <= at < len(mine) else 0 for at in (p + gap, p - gap))
+            out.append((p, right, left, nears[p], p))
+    keys = _mix(mine[[x[0] for x in out]] + _mix(np.array(kinds, np.uint64))).tolist() if out else []
+    return [(key, *x[1:]) for key, x in zip(keys, out, strict=True)]
 
 
 class _Kept:
@@ -660,18 +665,17 @@ class _Kept:
         return found
 
 
-def verify(docs: DataFrame, pairs: DataFrame, buckets: int, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, buckets: int, gap: int | None = None, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Passages of pairs (doc_id, other, links), in words: [start, end) of doc_id's text and of the other's; and, as packed
     entries (similarity is null), the windows whose links no passage covers."""
     width = min_words - words + 1
 
     def run(batches):
         kept = _Kept()
-        again: list[tuple] = []  # (key, neighbour, digest, doc, position)
+        again: list[tuple] = []  # (key, right, left, digest, doc, position)
 
         def send():
-            key, right, near, doc, at = (np.array(x, t) for x, t in zip(zip(*again, strict=True), (np.uint64, np.uint16, np.uint32, np.int64, np.int32), strict=True))
-            entries = key, right, np.zeros(len(key), np.uint16), near, doc, at
+            entries = tuple(np.array(x, t) for x, t in zip(zip(*again, strict=True), (np.uint64, np.uint16, np.uint16, np.uint32, np.int64, np.int32), strict=True))
             stand, found = _collapse(*entries)
             packed = _packed(_link_rows(*found, buckets) + _entry_rows(*(x[stand] for x in entries), buckets))
             return pa.RecordBatch.from_arrays([*(pa.nulls(packed.num_rows, t) for t in _PASSAGE_TYPES), *packed.columns], names=[*_PASSAGE_NAMES, *_SEED_NAMES])
@@ -694,7 +698,7 @@ def verify(docs: DataFrame, pairs: DataFrame, buckets: int, words: int = WORDS,
                 covered = np.zeros(len(mine), bool)
                 for s, e, *_ in found:
                     covered[s:e] = True
-                again += [(key, token, near, doc, p) for key, token, near, p in _open_windows(mine, theirs.values, seeds[~covered[seeds[:, 0]]], width)]
+                again += [(key, right, left, near, doc, p) for key, right, left, near, p in _open_windows(mine, theirs.values, seeds[~covered[seeds[:, 0]]], width, gap)]
             if rows:
                 columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _PASSAGE_TYPES, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(rows), t) for t in _SEED_TYPES)], names=[*_PASSAGE_NAMES, *_SEED_NAMES])
@@ -737,12 +741,12 @@ def _open_texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """Passages of MIN_WORDS words or more that a document shares with another of smaller doc_id."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries, found = gather(docs, buckets), None
+    entries, found, gaps = gather(docs, buckets), None, iter(GAPS)
     while True:
         pairs = materialize(linked(entries, buckets), "passage-pairs")
         if found is not None and pairs.isEmpty():
             return found.distinct()
-        judged = materialize(verify(docs, pairs, buckets), "passages")
+        judged = materialize(verify(docs, pairs, buckets, next(gaps, None)), "passages")
         new = judged.where("similarity is not null").select(_PASSAGE_NAMES)
         found = new if found is None else found.unionByName(new)
         entries = judged.where("similarity is null").select(_SEED_NAMES)
