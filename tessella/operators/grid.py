@@ -221,3 +221,20 @@ def reverse_coordinates(x: Column, y: Column, corners: Sequence[float], edge: fl
     start = F.struct(F.lit(0.5).alias("u"), F.lit(0.5).alias("v"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
     return F.transform(F.array(found), lambda s: F.struct((s["u"] * edge).alias("u"), (s["v"] * edge).alias("v")))[0]
+
+
+def mixed_at(pixels: DataFrame, places: DataFrame, width: int, height: int) -> DataFrame:
+    """Bilinear mix of the four cells around each place (image_id, c, y, x, px, py)."""
+    corner = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)])).alias("o")
+    wanted = places.select("*", corner)
+    part = lambda at, d: F.when(F.col(d) == 1, F.col(at) - F.floor(at)).otherwise(1 - (F.col(at) - F.floor(at)))
+    taps = wanted.select(*KEY, clamp_border(F.floor("px").cast("int") + F.col("o.dx"), width).alias("sx"), clamp_border(F.floor("py").cast("int") + F.col("o.dy"), height).alias("sy"), (part("px", "o.dx") * part("py", "o.dy")).alias("w"))
+    source = pixels.select("image_id", "c", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    return taps.join(source, ["image_id", "c", "sy", "sx"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def warp_back(pixels: DataFrame, width: int, height: int, corners: Sequence[float], edge: float) -> DataFrame:
+    """Each cell takes the mix around the place that the forward map sends to it."""
+    back = reverse_coordinates(F.col("x"), F.col("y"), corners, edge)
+    places = pixels.select(*KEY, back.alias("_b")).select(*KEY, F.col("_b.u").alias("px"), F.col("_b.v").alias("py"))
+    return mixed_at(pixels, places, width, height)

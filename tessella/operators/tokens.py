@@ -94,3 +94,21 @@ def zero_runs(values: Column) -> Column:
     """Runs of equal values as (value, length), in order."""
     starts = F.filter(F.transform(values, lambda x, i: F.struct(i.alias("at"), x.alias("value"), F.coalesce(x == F.get(values, i - 1), F.lit(False)).alias("same"))), lambda s: ~s["same"])
     return let(starts, lambda xs: F.transform(xs, lambda s, i: F.struct(s["value"].alias("value"), (F.coalesce(F.get(xs, i + 1)["at"], F.size(values)) - s["at"]).alias("length"))))
+
+
+def from_front(places: Column, symbols: int) -> Column:
+    """Inverse of move_to_front for numbers below `symbols`."""
+    start = F.struct(F.sequence(F.lit(0), F.lit(symbols - 1)).cast("array<bigint>").alias("list"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, place: Column) -> Column:
+        at = place.cast("int")
+        x = F.get(s["list"], at)
+        rest = F.concat(F.slice(s["list"], 1, at), F.slice(s["list"], at + 2, symbols))
+        return F.struct(F.concat(F.array(x), rest).alias("list"), F.concat(s["out"], F.array(x)).alias("out"))
+
+    return F.aggregate(places, start, step, lambda s: s["out"])
+
+
+def from_runs(runs: Column) -> Column:
+    """Inverse of zero_runs."""
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["value"], r["length"].cast("int"))))

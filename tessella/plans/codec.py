@@ -179,6 +179,17 @@ def warp_places(spark, sf_dir):
     return placed.withColumn("back", back).select("image_id", "c", "y", "x", "fx", "fy", F.col("back.u").alias("u"), F.col("back.v").alias("v"))
 
 
+_UP = "LEAST(GREATEST((12 * (x - 1) - (y - 1)) / 227.0, 0), 1) * 23"
+_VP = "LEAST(GREATEST((19 * (y - 1) - (x - 1)) / 227.0, 0), 1) * 23"
+
+
+@query(f"""WITH p AS (SELECT image_id, c, y, x, {_UP} AS fx, {_VP} AS fy FROM {MIX}), t AS (SELECT *, LEAST(GREATEST(FLOOR(fx) + dx, 0), {W - 1}) AS px, LEAST(GREATEST(FLOOR(fy) + dy, 0), {H - 1}) AS py, (CASE WHEN dx = 1 THEN fx - FLOOR(fx) ELSE 1 - (fx - FLOOR(fx)) END) * (CASE WHEN dy = 1 THEN fy - FLOOR(fy) ELSE 1 - (fy - FLOOR(fy)) END) AS w FROM p, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+SELECT t.image_id, t.c, t.y, t.x, SUM(t.w * g.v) AS v FROM t JOIN {MIX} g ON g.image_id = t.image_id AND g.c = t.c AND g.x = t.px AND g.y = t.py GROUP BY ALL""", "image_id:l c:l y:l x:l v:d", 4)
+def warp_back(spark, sf_dir):
+    """The way back from a parallelogram, whose inverse SQL can say in closed form."""
+    return grid.warp_back(make(spark, "mix"), W, H, (1.0, 1.0, 20.0, 2.0, 2.0, 13.0, 21.0, 14.0), 23.0)
+
+
 # Blocks and strategies ----------------------------------------------------------------------------------
 
 
@@ -366,6 +377,15 @@ def alpha_runs(spark, sf_dir):
     return runs.select("vec_id", F.size("r").alias("runs"), F.array_max(F.transform("r", lambda x: x["length"])).alias("longest"), F.least(2 * F.size("r"), F.col("plain")).alias("bytes"))
 
 
+@query(f"SELECT vec_id, i, s, s + 1 AS t FROM {_SYMBOLS}", "vec_id:l i:l s:l t:l")
+def maps_restored(spark, sf_dir):
+    """Symbols from their places in the list, and from runs whose values have grown by one."""
+    s = F.transform(F.slice("block", 1, 32), lambda v: F.floor(F.abs(v) * 20 + 0.5).cast("long"))
+    coded = _embeddings(spark, sf_dir).select("vec_id", tokens.move_to_front(s).alias("places"), F.transform(tokens.zero_runs(s), lambda r: F.struct((r["value"] + 1).alias("value"), r["length"].alias("length"))).alias("runs"))
+    both = F.arrays_zip(tokens.from_front(F.col("places"), 64).alias("s"), tokens.from_runs(F.col("runs")).alias("t"))
+    return coded.select("vec_id", F.posexplode(both).alias("i", "z")).select("vec_id", "i", "z.*")
+
+
 # Predictions, quantisation and fields ---------------------------------------------------------------------
 
 

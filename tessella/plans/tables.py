@@ -364,12 +364,13 @@ def sample_lookup(spark, sf_dir):
     return draws.join(spans, "cell").where((F.col("draw") > F.col("start")) & (F.col("draw") <= F.col("end"))).select("draw", F.col("k").alias("p_partkey"))
 
 
-def offsets(sizes: DataFrame, cells: int = 64) -> DataFrame:
+def offsets(sizes: DataFrame, cells: int = 256) -> DataFrame:
     """(k, n, start): sum of n over all smaller k, without one global sort: cells of k are summed first, their
-    few sums are run up, and each cell then counts from its own base."""
-    ends = sizes.agg(F.min("k").alias("low"), F.max("k").alias("high"))
-    at = F.floor((F.col("k") - F.col("low")) * cells / (F.col("high") - F.col("low") + 1)).cast("int")
-    placed = sizes.crossJoin(F.broadcast(ends)).withColumn("cell", at).drop("low", "high")  # one row
+    few sums are run up, and each cell then counts from its own base. Cells are cut at approximate quantiles of k, so
+    that each holds about as many rows however k is spread; a large table wants as many as it has tasks."""
+    bounds = sizes.agg(F.percentile_approx("k", [i / cells for i in range(1, cells)], 20 * cells).alias("bounds"))
+    at = F.size(F.filter("bounds", lambda b: b < F.col("k")))
+    placed = sizes.crossJoin(F.broadcast(bounds)).withColumn("cell", at).drop("bounds")  # one row
     sums = placed.groupBy("cell").agg(F.sum("n").alias("s"))
     bases = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -418,3 +419,10 @@ def distance_for_rate(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", metrics.approximate_distance(F.col("o_totalprice") / 10000 + 0.1).alias("distance"))
 
 
+@query("SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS hour, COUNT(value) AS n, MIN(value) AS low, MAX(value) AS high, SUM(value) AS s1, SUM(value * value) / 1000 AS s2 FROM events GROUP BY ALL", "event_type:s hour:l n:l low:d high:d s1:d s2:d", 3)
+def windowed_sums(spark, sf_dir):
+    """The streaming aggregate over the table at rest: power sums of each event type and hour."""
+    from tessella.streaming.events import windowed_power_sums
+
+    sums = windowed_power_sums(table(spark, sf_dir, "events"))
+    return sums.select("event_type", F.unix_timestamp("window.start").alias("hour"), "n", "low", "high", "s1", (F.col("s2") / 1000).alias("s2"))
