@@ -52,6 +52,8 @@ GAPS = (12, 22)
 BLOCK_TOKENS = 1 << 17
 #: Windows that a task collapses before it sends them on.
 POOL_WINDOWS = 1 << 20
+#: Windows that a task links in later rounds, which have fewer and fewer.
+WINDOWS_A_TASK = 1 << 16
 #: Pairs of documents up to which the texts that are needed are picked by a broadcast of their ids.
 BROADCAST_PAIRS = 10_000
 #: Members of a document's pairs that are verified with one copy of its text.
@@ -321,7 +323,7 @@ def _unpacked(batches, links: bool):
     return np.concatenate(pairs, axis=1), np.concatenate(places, axis=1)
 
 
-def linked(entries: DataFrame, buckets: int) -> DataFrame:
+def linked(entries: DataFrame, buckets: int, tasks: int | None = None) -> DataFrame:
     """(doc_id, other, links): pairs of documents with other < doc_id, and the positions of their links, from packed entries."""
 
     def meet(batches):
@@ -353,7 +355,7 @@ def linked(entries: DataFrame, buckets: int) -> DataFrame:
             links = [places[a:b].tobytes() for a, b in zip(new[some].tolist(), ends[some].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0, new[some]]), pa.array(rows[1, new[some]]), pa.array(links, pa.binary())], names=["doc_id", "other", "links"])
 
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return entries.repartition(n, "bucket").mapInArrow(meet, _SEED).repartition(n, "bucket").mapInArrow(pairs, "doc_id long, other long, links binary")
 
 
@@ -741,17 +743,19 @@ def _open_texts(docs: DataFrame, entries: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """Passages of MIN_WORDS words or more that a document shares with another of smaller doc_id."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries, found, gaps = gather(docs, buckets), None, iter(GAPS)
+    entries, found, gaps, tasks = gather(docs, buckets), None, iter(GAPS), None
     while True:
-        pairs = materialize(linked(entries, buckets), "passage-pairs")
+        pairs = materialize(linked(entries, buckets, tasks), "passage-pairs")
         if found is not None and pairs.isEmpty():
             return found.distinct()
         judged = materialize(verify(docs, pairs, buckets, next(gaps, None)), "passages")
         new = judged.where("similarity is not null").select(_PASSAGE_NAMES)
         found = new if found is None else found.unionByName(new)
         entries = judged.where("similarity is null").select(_SEED_NAMES)
-        if entries.isEmpty():
+        left = entries.agg(F.sum(F.octet_length("at"))).first()[0]
+        if not left:
             return found.distinct()
+        tasks = min(buckets, 1 + left // 4 // WINDOWS_A_TASK)
         docs = _open_texts(docs, entries)  # the next round needs no other texts
 
 
