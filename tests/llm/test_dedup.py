@@ -204,9 +204,14 @@ def test_passages_find_what_repeats_and_nothing_else(spark):
 
 
 def test_links_of_a_hot_signature_stay_linear():
+    """Windows with equal surroundings collapse to one; of the rest all link to the smallest doc of their kind."""
     n = 5000
-    high, low, stand = substring.link_runs(np.zeros(n, np.uint64), np.arange(n, dtype=np.uint64) % np.uint64(7), np.arange(n))
-    assert len(high) < n and len(stand) == 7
+    key, none, doc = np.zeros(n, np.uint64), np.zeros(n, np.uint16), np.arange(n)[::-1].copy()
+    near = (np.arange(n) % 7).astype(np.uint32)
+    stand, (high, low, _, _) = substring._collapse(key, none, none, near, doc, np.arange(n, dtype=np.int32))
+    assert len(stand) == 7 and len(high) == n - 7 and set(doc[stand]) == set(range(7)) and set(low) == set(range(7))
+    head, heads = substring.star(key[stand], doc[stand])
+    assert len(heads) == 1 and set(doc[stand][head]) == {0}
 
 
 def test_cut_passages_leaves_one_copy_and_the_rest_untouched(spark):
