@@ -147,7 +147,7 @@ def rgb_to_opsin_yuv(spark, sf_dir):
 
 
 @query(f"SELECT image_id, y, x, ROUND(r / 255, 4) AS r, ROUND(g / 255, 4) AS g, ROUND(b / 255, 4) AS b FROM {_RGB}", "image_id:l y:l x:l r:d g:d b:d", 4)
-def opsin_yuv_round_trip(spark, sf_dir):
+def yuv_opsin_round_trip(spark, sf_dir):
     """The inverse at 30 bits, where rounding is out of the way."""
     rgb = _rgb(spark).select("*", *[c.cast("double").alias(n) for c, n in zip(color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255, 30), ("p", "q", "s"), strict=True)])
     back = color.opsin_yuv_to_rgb(F.col("p"), F.col("q"), F.col("s"), 30)
