@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, language_id, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm import collocations, exact, language_id, minmax, quality, runs, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
 from tessella.llm.production import FILE_END, TOKEN_LIMIT, pack_pieces, remainder, toxicity_model
 from tessella.llm.sql import oracle_sql  # noqa: F401  registered with the queries
 from tessella.storage import new_folder
@@ -70,6 +70,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_documents(spark, sf_dir), loops=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -84,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_language_id,
         op10_quality_rules,
+        op11_minmax_dedup,
+        op12_periodic_runs,
+        op13_collocations,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.collocations import INSIDE_OF_100, LEAST, ORDERS, SCALE, TOP
 from tessella.llm.quality import ERROR, LEVELS, RISK, RULES, WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,5 +45,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   base_failed, NOT base_failed AND NOT (CASE WHEN n_words > 0 THEN CASE level {reject} ELSE false END ELSE false END) AS kept FROM judged f LEFT JOIN chosen USING (stratum)"""
 
 
+def collocations() -> str:
+    """N-grams of pieces, the worst cut of each candidate, and the best of each language."""
+    orders = (1, *ORDERS)
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(0, len(w) - {k - 1})) AS i FROM pieces WHERE len(w) >= {k})" for k in orders)
+    inner = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i + 1 : i + {m}], ' ') AS phrase, a FROM (SELECT lang, w, a, unnest(range(0, len(w) - {m - 1})) AS i FROM candidates WHERE len(w) > {m})" for m in ORDERS[:-1])
+    return f"""WITH base AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+cut AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM base),
+pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM cut),
+f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(SUM(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k > 1 AND a >= {LEAST}),
+cuts AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM candidates),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, CAST(CAST(c.a AS HUGEINT) * {SCALE} // (x.a + y.a) AS BIGINT) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[c.k + 1 :], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (SELECT lang, phrase, MAX(a) AS longer FROM ({inner}) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM worst s LEFT JOIN within i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < {INSIDE_OF_100} * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+QUALIFY rank <= {TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT, "op10_quality_rules": quality()}
+    return {"op13_collocations": collocations(), "op8_exact_dedup": EXACT, "op10_quality_rules": quality()}

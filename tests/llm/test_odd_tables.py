@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import exact, language_id, packing, production, quality, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
+from tessella.llm import collocations, exact, language_id, minmax, packing, production, quality, runs, sentence_pieces, simhash, substring, token_counts, token_files, toxicity
 from tessella.storage import new_folder
 from tests.llm.fixtures import prose
 
 WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
-NAMES = "stays _cut_id _cut_spans score predicted h rank limit who fingerprint text_sha256 digest n_tokens fp node root component_id bucket links salt other stratum level quality toxic row chunk data tie ids decoded Stays SCORE_"
+NAMES = "stays _cut_id _cut_spans score predicted h rank limit who fingerprint text_sha256 digest n_tokens fp node root component_id bucket links salt other stratum level quality toxic row chunk data tie ids decoded sketch bands key first lead side cell n word n_runs start Stays SCORE_"
 
 
 def odd(spark):
@@ -35,6 +35,9 @@ OPERATORS = {
     "exact": lambda s, d: exact.exact_duplicates(d),
     "language": lambda s, d: language_id.predict(d, language_id.fit(d)),
     "quality": lambda s, d: quality.judge(d, labels(s)),
+    "minmax": lambda s, d: minmax.near_duplicates(d),
+    "runs": lambda s, d: runs.periodic_runs(d, loops=True),
+    "collocations": lambda s, d: collocations.collocations(d, least=2),
 }
 
 
@@ -42,7 +45,7 @@ OPERATORS = {
 def test_operator_takes_odd_tables(spark, name):
     docs = odd(spark)
     rows = OPERATORS[name](spark, docs).collect()
-    if name not in ("substring", "packing"):
+    if name not in ("substring", "packing", "collocations"):
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.collect())
     elif name == "packing":
         assert sum(r["count"] for r in rows) >= docs.count()

@@ -27,7 +27,7 @@ def run(spark, name, data=SMALL):
     return queries.queries()[name](spark, data)
 
 
-@pytest.mark.parametrize("name", ["op8_exact_dedup", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op8_exact_dedup", "op10_quality_rules", "op13_collocations"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels"):
