@@ -48,11 +48,15 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 def collocations() -> str:
     """N-grams of pieces, the worst cut of each candidate, and the best of each language."""
     orders = (1, *ORDERS)
-    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(0, len(w) - {k - 1})) AS i FROM pieces WHERE len(w) >= {k})" for k in orders)
+    ahead = ", ".join(f"lead(w, {k}) OVER p AS w{k}" for k in range(1, max(orders)))
+    gram = lambda k: " || ' ' || ".join(["w", *(f"w{i}" for i in range(1, k))])
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, {gram(k)} AS phrase FROM places WHERE w{k - 1 or ''} IS NOT NULL" for k in orders)
     inner = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i + 1 : i + {m}], ' ') AS phrase, a FROM (SELECT lang, w, a, unnest(range(0, len(w) - {m - 1})) AS i FROM candidates WHERE len(w) > {m})" for m in ORDERS[:-1])
     return f"""WITH base AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
 cut AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM base),
-pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM cut),
+pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w, row_number() OVER () AS piece FROM cut),
+each AS (SELECT lang, piece, unnest(w) AS w, unnest(range(len(w))) AS i FROM pieces),
+places AS (SELECT lang, w, {ahead} FROM each WINDOW p AS (PARTITION BY piece ORDER BY i)),
 f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, k, phrase),
 totals AS (SELECT lang, CAST(SUM(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k > 1 AND a >= {LEAST}),
