@@ -17,6 +17,8 @@ SLICE_BYTES = 3 << 20
 #: Bytes that part words everywhere: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
 
@@ -53,10 +55,10 @@ class Words(NamedTuple):
 def words(texts: pa.Array, seed: int = 0, parting: bytes = WHITE, lower: bool = True) -> Words:
     """Words of all texts: runs of bytes that are not in `parting`. Null texts have none; A-Z count as a-z if lower."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.ascii_lower(texts) if lower else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = int(offsets[0]), int(offsets[-1])
     data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+    data = _LOWER[data] if lower else data
     offsets = offsets - first
     table = np.ones(256, bool)
     table[list(parting)] = False

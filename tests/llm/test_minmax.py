@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.llm import minmax, queries
+from tessella.llm import minmax, queries, wordhash
 from tests.llm.fixtures import prose
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,3 +121,11 @@ def test_pairs_of_cells():
     assert earlier == [(0, 1), (0, 3)]
     group[3] = group[0]
     assert sorted(zip(*(x.tolist() for x in minmax.cell_pairs(cell, n, sketch, side, group, "all")))) == [(0, 1), (1, 3)]
+
+
+def test_slices_of_a_column_have_their_own_words():
+    texts = pa.array([f"Text {i} has A-Z" if i % 7 else None for i in range(500)])
+    whole, part = wordhash.words(texts), wordhash.words(texts.slice(200, 100))
+    here = (whole.doc >= 200) & (whole.doc < 300)
+    assert np.array_equal(whole.hashes[here], part.hashes) and np.array_equal(whole.doc[here] - 200, part.doc)
+    assert part.texts(np.array([0, 3, 1])).to_pylist() == ["text", "a-z", "200"]
