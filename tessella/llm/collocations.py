@@ -46,7 +46,7 @@ SCALE = 2_000_000
 #: Words that get ids.
 HEAD_WORDS = 1 << 20
 #: N-grams that a task counts in one filter.
-FILTER_GRAMS = 1 << 22
+FILTER_GRAMS = 1 << 21
 #: Counters of one quotient in all filters, about, and bits of the table of frequent pairs at most.
 QUOTIENT_GRAMS = 1 << 20
 LEAST_QUOTIENT_BITS, PAIR_TABLE_BITS = 6, 1 << 29
@@ -127,8 +127,8 @@ def _filters(docs: DataFrame, seed: int, head, orders: tuple[int, ...], shapes:
         def send(order):
             shape, parts = shapes[order], held[order]
             held[order] = []
-            if parts and sum(map(len, parts)):
-                found = list(shape.segments(*shape.counted(*shape.permute(np.concatenate(parts)))))
+            if sum(len(x) for x, _ in parts):
+                found = list(shape.segments(*shape.counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))))
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([order] * len(found), pa.int32()), *columns], names=["order", "quotient", "remainders", "counts"])
 
@@ -144,8 +144,8 @@ def _filters(docs: DataFrame, seed: int, head, orders: tuple[int, ...], shapes:
                 follows[both[frequent == 1]] = True
             for order in orders:
                 at = _grams(ids, follows, order, ids >= 0)
-                held[order].append(np.stack([ids[at + k] for k in range(order)], axis=1).astype(np.uint32))
-                if sum(map(len, held[order])) >= FILTER_GRAMS:
+                held[order].append(shapes[order].permute(np.stack([ids[at + k] for k in range(order)], axis=1)))
+                if sum(len(x) for x, _ in held[order]) >= FILTER_GRAMS:
                     yield from send(order)
         for order in orders:
             yield from send(order)

@@ -7,8 +7,11 @@ permutations, so four values, are a *band*; sets that agree in a band share a bu
 all bands miss with a probability of 5 in 100 million.
 
 Equal sets are one from the start. In the buckets candidate pairs are told by their sketches (a byte of each
-value): those whose number of equal bytes lies within six standard deviations of what similarity 0.8 gives.
-Then, round by round:
+value): those whose number of equal bytes lies within six standard deviations of what similarity 0.8 gives. Pairs
+that can't be similar are refuted there as well: a set's *tally* counts its elements by CELLS hash values, and two
+sets share no more elements than their tallies have in common, which is close to the truth for sets of up to a few
+times CELLS elements. A pair is taken in its first common
+band only, by the last half of the bands' keys. Then, round by round:
 
 1. every set of a bucket is paired with the most similar one that is not larger, and the smallest sets of the
    parts of a large bucket with each other;
@@ -16,7 +19,7 @@ Then, round by round:
    not connected to;
 3. in buckets that are still not connected, all candidate pairs that are not connected and not refuted.
 
-Pairs of all buckets are brought together, so that each is confirmed once, on the full sets of both. Links of
+Pairs of all buckets are brought together, and each is confirmed once, on the full sets of both. Links of
 each round connect sets for the next one, so that groups of copies cost a pair for each member. After the third
 round any two sets that share a bucket are connected, refuted, or told apart by their sketches. A bucket of more
 than PART sets is dealt out over parts in the first round, and over a grid of parts later, in which only sets
@@ -44,8 +47,11 @@ from tessella.storage import materialize
 
 WORDS, SIMILARITY_OF_100 = 2, 80
 PERMUTATIONS, BAND = 64, 2
+BANDS = PERMUTATIONS // BAND
 #: Equal bytes of two sketches from which on a pair is confirmed: at a similarity of 0.8 fewer are as rare as 1 in 10^8.
 LEAST_EQUAL = 76
+#: Hash values by which a set's elements are counted, and the largest count; sets that pass it anywhere have no tally.
+CELLS, LARGEST_COUNT = 512, 15
 #: Sets of a bucket that are compared with each other by one task at once.
 PART = 2048
 #: Documents whose shingles a permutation is evaluated for at once, in shingles.
@@ -121,6 +127,27 @@ def digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack(halves, axis=1)
 
 
+def tallies(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Counts of each set's elements by the last bits of their hashes, two counts a byte; 255 throughout where a count is too large."""
+    out = np.empty((len(sizes), CELLS // 2), np.uint8)
+    ends = np.cumsum(sizes)
+    for a in range(0, len(sizes), 512):
+        some = sizes[a : a + 512]
+        part = values[ends[a] - sizes[a] : ends[a + len(some) - 1]]
+        seat = np.repeat(np.arange(len(some)), some) * CELLS + (part % np.uint64(CELLS)).astype(np.int64)
+        counts = np.bincount(seat, minlength=len(some) * CELLS).reshape(-1, CELLS)
+        out[a : a + 512] = counts[:, ::2] + (counts[:, 1::2] << 4)
+        out[a : a + 512][counts.max(axis=1) >= LARGEST_COUNT] = 255
+    return out
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether what the tallies of two sets have in common would do for the similarity; true if either has none."""
+    low, high = np.minimum(a & 15, b & 15), np.minimum(a >> 4, b >> 4)
+    both = (low + high).sum(axis=1, dtype=np.int64)
+    return (100 * both >= SIMILARITY_OF_100 * (n_a + n_b - both)) | (a == 255).all(axis=1) | (b == 255).all(axis=1)
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     """Rows of bytes as an array of binary values."""
     rows = np.ascontiguousarray(rows)
@@ -134,7 +161,7 @@ def _rows(column: pa.Array, size: int) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, sketch, bands) of every row; the last three are null for texts without words."""
+    """(doc_id, n_shingles, key, sketch, marks, tally, bands) of every row; the last five are null for texts without words."""
 
     def run(batches):
         for batch in batches:
@@ -147,20 +174,20 @@ def prints(docs: DataFrame) -> DataFrame:
                 seat = pa.array(seat, mask=seat < 0)
                 keys = band_keys(signature).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                columns = [_fixed(digests(values, sizes[full])), _fixed((signature >> np.uint32(8)).astype(np.uint8)), bands]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), *(c.take(seat) for c in columns)], names=["doc_id", "n_shingles", "key", "sketch", "bands"])
+                columns = [_fixed(digests(values, sizes[full])), _fixed((signature >> np.uint32(8)).astype(np.uint8)), _fixed(keys.astype(np.uint32)), _fixed(tallies(values, sizes[full])), bands]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), *(c.take(seat) for c in columns)], names=["doc_id", "n_shingles", "key", "sketch", "marks", "tally", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary, marks binary, tally binary, bands array<long>")
 
 
-def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes of each row agree."""
-    bits = np.packbits(a == b, axis=1).view(np.uint64)
+def _equal_bytes(same: np.ndarray) -> np.ndarray:
+    """How many values of each row are true."""
+    bits = np.packbits(same, axis=1).view(np.uint64)
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def cell_pairs(cell: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.ndarray, group: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (places i < j) within runs of equal `cell`, whose rows stand by rising size n.
+def cell_pairs(cell: np.ndarray, band: np.ndarray, n: np.ndarray, sketch: np.ndarray, marks: np.ndarray, tally: np.ndarray, side: np.ndarray, group: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (places i < j) within runs of equal `cell`, whose rows stand by rising size n and share `band`.
 
     Rows of one group are connected already. Sides 0 and 1 are compared with each other only, 2 with all. how: `earlier`
     gives for each row the most similar one before it, `best` the most similar one anywhere, `all` every candidate.
@@ -179,9 +206,11 @@ def cell_pairs(cell: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.nda
         i, j = active[fit], other[fit]
         for at in range(0, len(i), 1 << 15):
             a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            equal = _equal_bytes(sketch[a], sketch[b])
-            good = equal >= LEAST_EQUAL
-            a, b, equal = a[good], b[good], equal[good]
+            same = sketch[a] == sketch[b]
+            good = np.flatnonzero(_equal_bytes(same) >= LEAST_EQUAL)
+            good = good[(marks[a[good]] == marks[b[good]]).argmax(axis=1) == band[a[good]]]
+            good = good[may_be_similar(tally[a[good]], tally[b[good]], n[a[good]], n[b[good]])]
+            a, b, equal = a[good], b[good], _equal_bytes(same[good])
             if how == "all":
                 out.append((a, b))
                 continue
@@ -194,11 +223,12 @@ def cell_pairs(cell: np.ndarray, n: np.ndarray, sketch: np.ndarray, side: np.nda
     return np.minimum(found, mate[found]), np.maximum(found, mate[found])
 
 
-_MEMBER = "bucket, cell, n_shingles, side, key, root, sketch"
+_CARRIED = ("band", "n_shingles", "key", "root", "sketch", "marks", "tally")
+_MEMBER = "bucket, cell, band, n_shingles, side, key, root, sketch, marks, tally"
 
 
 def _pairs(members: DataFrame, how: str) -> DataFrame:
-    """(a, b), a < b: candidate pairs of keys of members (bucket, cell, n_shingles, side, key, root, sketch), each once."""
+    """(a, b), a < b: candidate pairs of keys of members (the columns of _MEMBER), each once."""
     buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -207,9 +237,11 @@ def _pairs(members: DataFrame, how: str) -> DataFrame:
         def found(table: pa.Table):
             same = np.stack([table.column(c).to_numpy() for c in ("bucket", "cell")], axis=1)
             cell = np.cumsum(np.append(True, (same[1:] != same[:-1]).any(axis=1)))
-            keys, sketch, root = (_rows(table.column(c), size) for c, size in (("key", 16), ("sketch", 2 * PERMUTATIONS), ("root", 16)))
+            keys, sketch, tally, root = (_rows(table.column(c), size) for c, size in (("key", 16), ("sketch", 2 * PERMUTATIONS), ("tally", CELLS // 2), ("root", 16)))
             group = np.unique(np.ascontiguousarray(root).view(np.uint64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel()
-            i, j = cell_pairs(cell, table.column("n_shingles").to_numpy(), sketch, table.column("side").to_numpy(), group, how)
+            band, n, side = (table.column(c).to_numpy() for c in ("band", "n_shingles", "side"))
+            marks = np.ascontiguousarray(_rows(table.column("marks"), 4 * BANDS)).view(np.uint32)
+            i, j = cell_pairs(cell, band, n, sketch, marks, tally, side, group, how)
             return pa.RecordBatch.from_arrays([_fixed(keys[i]), _fixed(keys[j])], names=["a", "b"])
 
         for batch in batches:
@@ -266,7 +298,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _grid(members: DataFrame) -> DataFrame:
-    """Members (bucket, key, n_shingles, root, sketch) of buckets with several roots, dealt out to cells.
+    """Members (bucket, band, key, n_shingles, root, sketch, marks, tally) of buckets with several roots, dealt out to cells.
 
     A bucket of up to PART sets is one cell. Of a larger one each set is in one of its parts, and those outside the largest
     component come to all parts as the other side, in parts of their own.
@@ -275,27 +307,27 @@ def _grid(members: DataFrame) -> DataFrame:
     sizes = by_root.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     sizes = sizes.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("m") / PART).cast("long").alias("homes"), F.greatest(F.ceil((F.col("m") - F.col("top.k")) / PART), F.lit(1)).cast("long").alias("visits"))
     rows = members.join(sizes, "bucket")
-    small = rows.where("homes = 1").select("bucket", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "n_shingles", "key", "root", "sketch")
+    small = rows.where("homes = 1").select("bucket", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), *_CARRIED)
     large = rows.where("homes > 1")
     home, visit = F.pmod(F.xxhash64("key"), F.col("homes")), F.pmod(F.xxhash64("key", F.lit(1)), F.col("visits"))
-    stay = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits") - 1)).alias("v")).select("bucket", (home * F.col("visits") + F.col("v")).alias("cell"), F.lit(1).alias("side"), "n_shingles", "key", "root", "sketch")
-    move = large.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)).alias("h")).select("bucket", (F.col("h") * F.col("visits") + visit).alias("cell"), F.lit(0).alias("side"), "n_shingles", "key", "root", "sketch")
+    stay = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits") - 1)).alias("v")).select("bucket", (home * F.col("visits") + F.col("v")).alias("cell"), F.lit(1).alias("side"), *_CARRIED)
+    move = large.where("root != top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)).alias("h")).select("bucket", (F.col("h") * F.col("visits") + visit).alias("cell"), F.lit(0).alias("side"), *_CARRIED)
     return small.unionByName(stay).unionByName(move)
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the keys of sets (key, first, n_shingles, sketch, bands) that are linked with others."""
-    exploded = sets.select("key", F.explode("bands").alias("bucket"))
+    """(node, root) of the keys of sets (key, first, n_shingles, sketch, marks, tally, bands) that are linked with others."""
+    exploded = sets.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lead")).where("m > 1")
     members = materialize(exploded.join(shared, "bucket"), "members")
-    facts = sets.select("key", "n_shingles", "sketch")
-    dealt = members.join(facts, "key").select("bucket", F.pmod(F.xxhash64("bucket", "key"), F.ceil(F.col("m") / PART).cast("long")).alias("cell"), F.lit(2).alias("side"), "n_shingles", "key", F.col("key").alias("root"), "sketch", "m", "lead")
+    facts = sets.select("key", "n_shingles", "sketch", "marks", "tally")
+    dealt = members.join(facts, "key").select("bucket", F.pmod(F.xxhash64("bucket", "key"), F.ceil(F.col("m") / PART).cast("long")).alias("cell"), F.lit(2).alias("side"), "band", "n_shingles", "key", F.col("key").alias("root"), "sketch", "marks", "tally", "m", "lead")
     parts = dealt.where(F.col("m") > PART).groupBy("bucket", "cell", "lead").agg(F.min("key").alias("key")).where("key != lead")
     tested = materialize(_pairs(dealt, "earlier").unionByName(parts.select(F.col("lead").alias("a"), F.col("key").alias("b"))).distinct(), "pairs")
     links = materialize(confirmed(docs, sets, tested), "links")
     roots = components(links)
     for how in ("best", "all"):
-        placed = members.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+        placed = members.select("bucket", "band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
         candidates = materialize(_pairs(materialize(_grid(placed.join(facts, "key")), "cells"), how), "pairs")
         if candidates.isEmpty():
             break
@@ -312,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest doc_id reachable over links."""
     found = materialize(prints(docs), "prints")
     live = found.where("key is not null and doc_id is not null")
-    sets = materialize(live.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]), "distinct-sets")
+    sets = materialize(live.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "marks", "tally", "bands")]), "distinct-sets")
     roots = linked_sets(docs, sets)
     classes = sets.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))

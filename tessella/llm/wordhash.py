@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose words are hashed at once.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes that part words everywhere: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
 

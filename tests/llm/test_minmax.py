@@ -112,15 +112,20 @@ def test_pairs_of_cells():
     r = np.random.default_rng(5)
     base = r.integers(0, 256, (4, 128), dtype=np.uint8)
     sketch = base[[0, 0, 1, 0, 2, 0, 3, 3]].copy()
-    sketch[1, :20] += 1
+    sketch[1, 20:40] += 1
+    tally = np.full((8, minmax.CELLS // 2), 255, np.uint8)
+    band, marks = np.zeros(8, int), np.zeros((8, minmax.BANDS), np.uint32)
+    pairs = lambda how: sorted(zip(*(x.tolist() for x in minmax.cell_pairs(cell, band, n, sketch, marks, tally, side, group, how))))
     cell, n = np.array([1, 1, 1, 1, 1, 2, 2, 2]), np.array([10, 10, 11, 12, 13, 10, 10, 13])
     side, group = np.full(8, 2), np.arange(8)
-    every = sorted(zip(*(x.tolist() for x in minmax.cell_pairs(cell, n, sketch, side, group, "all"))))
+    every = pairs("all")
     assert every == [(0, 1), (0, 3), (1, 3)]  # 6 and 7 differ too much in size
-    earlier = sorted(zip(*(x.tolist() for x in minmax.cell_pairs(cell, n, sketch, side, group, "earlier"))))
+    earlier = pairs("earlier")
     assert earlier == [(0, 1), (0, 3)]
     group[3] = group[0]
-    assert sorted(zip(*(x.tolist() for x in minmax.cell_pairs(cell, n, sketch, side, group, "all")))) == [(0, 1), (1, 3)]
+    assert pairs("all") == [(0, 1), (1, 3)]
+    band[:] = 7
+    assert pairs("all") == []  # their first common band is 0
 
 
 def test_slices_of_a_column_have_their_own_words():
@@ -129,3 +134,22 @@ def test_slices_of_a_column_have_their_own_words():
     here = (whole.doc >= 200) & (whole.doc < 300)
     assert np.array_equal(whole.hashes[here], part.hashes) and np.array_equal(whole.doc[here] - 200, part.doc)
     assert part.texts(np.array([0, 3, 1])).to_pylist() == ["text", "a-z", "200"]
+
+
+def test_tallies_refute_only_what_is_not_similar():
+    r = np.random.default_rng(9)
+    refuted = 0
+    for n in (1, 5, 60, 300, 1500, 3000, 9000):
+        for share in (0, 0.5, 0.7, 0.78, 0.8, 0.81, 0.9, 1):
+            values = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            both = int(2 * n * share / (1 + share))
+            a, b = values[:n], values[n - min(both, n) : 2 * n - min(both, n)]
+            sizes = np.array([n, n])
+            t = minmax.tallies(np.concatenate((a, b)), sizes)
+            alike = 100 * min(both, n) >= 80 * (2 * n - min(both, n))
+            may = bool(minmax.may_be_similar(t[:1], t[1:], sizes[:1], sizes[1:])[0])
+            assert may or not alike
+            refuted += not may
+            if n <= 300 and share <= 0.7:
+                assert not may or n == 1 and share > 0
+    assert refuted > 15
