@@ -143,13 +143,13 @@ SELECT image_id, y, x, GREATEST(0, LEAST(255, FLOOR(0.5 + 255 * (0.0625 + 219 /
 )
 def rgb_to_opsin_yuv(spark, sf_dir):
     out = color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255)
-    return _rgb(spark).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(out, ("luma", "u", "v"), strict=True)])
+    return _rgb(spark, sf_dir).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(out, ("luma", "u", "v"), strict=True)])
 
 
 @query(f"SELECT image_id, y, x, ROUND(r / 255, 4) AS r, ROUND(g / 255, 4) AS g, ROUND(b / 255, 4) AS b FROM {_RGB}", "image_id:l y:l x:l r:d g:d b:d", 4)
 def yuv_opsin_round_trip(spark, sf_dir):
     """The inverse at 30 bits, where rounding is out of the way."""
-    rgb = _rgb(spark).select("*", *[c.cast("double").alias(n) for c, n in zip(color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255, 30), ("p", "q", "s"), strict=True)])
+    rgb = _rgb(spark, sf_dir).select("*", *[c.cast("double").alias(n) for c, n in zip(color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255, 30), ("p", "q", "s"), strict=True)])
     back = color.opsin_yuv_to_rgb(F.col("p"), F.col("q"), F.col("s"), 30)
     return rgb.select("image_id", "y", "x", *[F.round(v, 4).alias(n) for v, n in zip(back, "rgb", strict=True)])
 
@@ -157,13 +157,13 @@ def yuv_opsin_round_trip(spark, sf_dir):
 _TO_WIDE = color.between_spaces(names.PRIMARIES["SRG"], names.PRIMARIES["202"], names.WHITE_POINTS["D65"])
 
 
-@query(f"SELECT image_id, y, x, CAST(FLOOR(0.5 + LEAST(255, GREATEST(0, 12 * ({_TO_WIDE[0][0]!r} * r + {_TO_WIDE[0][1]!r} * g + {_TO_WIDE[0][2]!r} * b) / 12))) AS BIGINT) AS wide_r, {_TO_WIDE[1][0]!r} * r + {_TO_WIDE[1][1]!r} * g + {_TO_WIDE[1][2]!r} * b AS wide_g, {_TO_WIDE[2][0]!r} * r + {_TO_WIDE[2][1]!r} * g + {_TO_WIDE[2][2]!r} * b AS wide_b FROM {_RGB} WHERE x >= 4 AND x < 12 AND y >= 2 AND y < 8", "image_id:l y:l x:l wide_r:l wide_g:d wide_b:d")
+@query(f"SELECT image_id, y, x, CAST(FLOOR(0.5 + LEAST(255, GREATEST(0, 12 * ({_TO_WIDE[0][0]!r} * r + {_TO_WIDE[0][1]!r} * g + {_TO_WIDE[0][2]!r} * b) / 12))) AS BIGINT) AS wide_r, {_TO_WIDE[1][0]!r} * r + {_TO_WIDE[1][1]!r} * g + {_TO_WIDE[1][2]!r} * b AS wide_g, {_TO_WIDE[2][0]!r} * r + {_TO_WIDE[2][1]!r} * g + {_TO_WIDE[2][2]!r} * b AS wide_b FROM {_RGB}", "image_id:l y:l x:l wide_r:l wide_g:d wide_b:d")
 def wide_gamut(spark, sf_dir):
-    """A rectangle of linear light from sRGB's primaries to BT.2020's, one channel narrowed to bytes."""
+    """Linear light from sRGB's primaries to BT.2020's, one channel narrowed to bytes."""
     same = lambda v: v
     r, g, b = color.transform((F.col("r"), F.col("g"), F.col("b")), _TO_WIDE, same, same)
-    rect = _rgb(spark).where("x >= 4 and x < 12 and y >= 2 and y < 8")
-    return rect.select("image_id", "y", "x", F.floor(0.5 + F.least(F.lit(255.0), F.greatest(F.lit(0.0), r))).cast("long").alias("wide_r"), g.alias("wide_g"), b.alias("wide_b"))
+    light = _rgb(spark, sf_dir)
+    return light.select("image_id", "y", "x", F.floor(0.5 + F.least(F.lit(255.0), F.greatest(F.lit(0.0), r))).cast("long").alias("wide_r"), g.alias("wide_g"), b.alias("wide_b"))
 
 
 _QUAD, _EDGE = (1.0, 1.0, 20.0, 2.0, 2.0, 13.0, 22.0, 15.0), 23.0
@@ -174,7 +174,7 @@ _MAP = [f"((1 - x / 23.0) * (1 - y / 23.0) * {_QUAD[k]} + x / 23.0 * (1 - y / 23
 def warp_places(spark, sf_dir):
     """Where cells go, and where the way back leads."""
     fx, fy = grid.forward_coordinates(F.col("x"), F.col("y"), _QUAD, _EDGE)
-    placed = make(spark, "mix").select("image_id", "c", "y", "x", fx.alias("fx"), fy.alias("fy"))
+    placed = make(spark, sf_dir, "mix").select("image_id", "c", "y", "x", fx.alias("fx"), fy.alias("fy"))
     back = grid.reverse_coordinates(F.col("fx"), F.col("fy"), _QUAD, _EDGE)
     return placed.withColumn("back", back).select("image_id", "c", "y", "x", "fx", "fy", F.col("back.u").alias("u"), F.col("back.v").alias("v"))
 
@@ -187,7 +187,7 @@ _VP = "LEAST(GREATEST((19 * (y - 1) - (x - 1)) / 227.0, 0), 1) * 23"
 SELECT t.image_id, t.c, t.y, t.x, SUM(t.w * g.v) AS v FROM t JOIN {MIX} g ON g.image_id = t.image_id AND g.c = t.c AND g.x = t.px AND g.y = t.py GROUP BY ALL""", "image_id:l c:l y:l x:l v:d", 4)
 def warp_back(spark, sf_dir):
     """The way back from a parallelogram, whose inverse SQL can say in closed form."""
-    return grid.warp_back(make(spark, "mix"), W, H, (1.0, 1.0, 20.0, 2.0, 2.0, 13.0, 21.0, 14.0), 23.0)
+    return grid.warp_back(make(spark, sf_dir, "mix"), W, H, (1.0, 1.0, 20.0, 2.0, 2.0, 13.0, 21.0, 14.0), 23.0)
 
 
 # Blocks and strategies ----------------------------------------------------------------------------------
@@ -399,10 +399,10 @@ def prediction_residuals(spark, sf_dir):
     return coded.select("vec_id", "i", "residual", (F.col("residual") + F.col("guess")).alias("v"))
 
 
-@query(f"SELECT image_id, c, y, x, CAST(FLOOR((v - low) * 255 / (high - low) + 0.5) AS BIGINT) AS guide FROM {MIX} JOIN (SELECT c, MIN(v) AS low, MAX(v) AS high FROM {MIX} GROUP BY c) USING (c)", "image_id:l c:l y:l x:l guide:l")
+@query(f"SELECT image_id, c, y, x, CAST(FLOOR(CASE WHEN high > low THEN (v - low) * 255 / (high - low) ELSE 0 END + 0.5) AS BIGINT) AS guide FROM {MIX} JOIN (SELECT image_id, c, MIN(v) AS low, MAX(v) AS high FROM {MIX} GROUP BY image_id, c) USING (image_id, c)", "image_id:l c:l y:l x:l guide:l")
 def guide_image(spark, sf_dir):
     """Planes scaled to bytes by their ends."""
-    return grid.normalise(make(spark, "mix"), 255.0).select("image_id", "c", "y", "x", F.floor(F.col("v") + 0.5).cast("long").alias("guide"))
+    return grid.normalise(make(spark, sf_dir, "mix"), 255.0).select("image_id", "c", "y", "x", F.floor(F.col("v") + 0.5).cast("long").alias("guide"))
 
 
 #: Signal from which and up to which a strength falls from the first to the last entry of a table.
@@ -471,12 +471,12 @@ _TILE = f"(SELECT image_id, c, y // 8 AS ty, x // 8 AS tx, x % 8 - 3.5 AS dx, y
 @query(f"SELECT image_id, c, ty, tx, AVG(v) AS base, SUM(v * dx) / SUM(dx * dx) AS gx, SUM(v * dy) / SUM(dy * dy) AS gy FROM {_TILE} GROUP BY ALL", "image_id:l c:l ty:l tx:l base:d gx:d gy:d")
 def gradient_planes(spark, sf_dir):
     """The plane of least squares of every tile; over a whole tile its two slopes are independent."""
-    return _planes(spark)
+    return _planes(spark, sf_dir)
 
 
-def _planes(spark) -> DataFrame:
+def _planes(spark, sf_dir) -> DataFrame:
     at = lambda a: (F.col(a) % 8 - 3.5)
-    tiles = make(spark, "mix").select("image_id", "c", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx"), at("x").alias("dx"), at("y").alias("dy"), "v")
+    tiles = make(spark, sf_dir, "mix").select("image_id", "c", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx"), at("x").alias("dx"), at("y").alias("dy"), "v")
     slope = lambda d: F.sum(F.col("v") * F.col(d)) / F.sum(F.col(d) * F.col(d))
     return tiles.groupBy("image_id", "c", "ty", "tx").agg(F.avg("v").alias("base"), slope("dx").alias("gx"), slope("dy").alias("gy"))
 
@@ -484,17 +484,17 @@ def _planes(spark) -> DataFrame:
 @query(f"SELECT m.image_id, m.c, m.y, m.x, CASE WHEN (ty + tx) % 2 = 0 THEN base + gx * (m.x % 8 - 3.5) + gy * (m.y % 8 - 3.5) ELSE m.v END AS v FROM {MIX} m JOIN (SELECT image_id, c, ty, tx, AVG(v) AS base, SUM(v * dx) / SUM(dx * dx) AS gx, SUM(v * dy) / SUM(dy * dy) AS gy FROM {_TILE} GROUP BY ALL) p ON p.image_id = m.image_id AND p.c = m.c AND p.ty = m.y // 8 AND p.tx = m.x // 8", "image_id:l c:l y:l x:l v:d")
 def gradient_applied(spark, sf_dir):
     """Flagged tiles replaced by their planes."""
-    cells = make(spark, "mix").withColumn("ty", F.floor(F.col("y") / 8)).withColumn("tx", F.floor(F.col("x") / 8))
+    cells = make(spark, sf_dir, "mix").withColumn("ty", F.floor(F.col("y") / 8)).withColumn("tx", F.floor(F.col("x") / 8))
     plane = F.col("base") + F.col("gx") * (F.col("x") % 8 - 3.5) + F.col("gy") * (F.col("y") % 8 - 3.5)
-    return cells.join(_planes(spark), ["image_id", "c", "ty", "tx"]).select("image_id", "c", "y", "x", F.when((F.col("ty") + F.col("tx")) % 2 == 0, plane).otherwise(F.col("v")).alias("v"))
+    return cells.join(_planes(spark, sf_dir), ["image_id", "c", "ty", "tx"]).select("image_id", "c", "y", "x", F.when((F.col("ty") + F.col("tx")) % 2 == 0, plane).otherwise(F.col("v")).alias("v"))
 
 
-@query(f"SELECT image_id, y // 8 AS ty, x // 8 AS tx, AVG(COALESCE(ABS(v - nx), 0)) AS hf FROM (SELECT *, LEAD(v) OVER (PARTITION BY y, x // 8 ORDER BY x) AS nx FROM {MIX} WHERE c = 1) GROUP BY ALL", "image_id:l ty:l tx:l hf:d")
+@query(f"SELECT image_id, y // 8 AS ty, x // 8 AS tx, AVG(COALESCE(ABS(v - nx), 0)) AS hf FROM (SELECT *, LEAD(v) OVER (PARTITION BY image_id, y, x // 8 ORDER BY x) AS nx FROM {MIX} WHERE c = 1) GROUP BY ALL", "image_id:l ty:l tx:l hf:d")
 def high_frequency(spark, sf_dir):
     """Mean absolute difference to the next cell, by tile."""
     w = Window.partitionBy("image_id", "y", F.floor(F.col("x") / 8)).orderBy("x")
     gap = F.coalesce(F.abs(F.col("v") - F.lead("v").over(w)), F.lit(0.0))
-    return make(spark, "mix").where("c = 1").withColumn("gap", gap).groupBy("image_id", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx")).agg(F.avg("gap").alias("hf"))
+    return make(spark, sf_dir, "mix").where("c = 1").withColumn("gap", gap).groupBy("image_id", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx")).agg(F.avg("gap").alias("hf"))
 
 
 @query(f"SELECT vec_id, SUM(CASE WHEN i > 0 THEN v * v * (i // 8 + i % 8) ELSE 0 END) / SUM(v * v) AS energy FROM {_DCT} GROUP BY vec_id", "vec_id:l energy:d", 5)
@@ -509,7 +509,7 @@ def chroma_residuals(spark, sf_dir):
     """Steps of two planes along a row, less what the luminance's step says of them."""
     w = Window.partitionBy("image_id", "y").orderBy("x")
     step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    rows = _rgb(spark).select("image_id", "y", "x", step("r").alias("dr"), step("g").alias("dg"), step("b").alias("db"))
+    rows = _rgb(spark, sf_dir).select("image_id", "y", "x", step("r").alias("dr"), step("g").alias("dg"), step("b").alias("db"))
     return rows.select("image_id", "y", "x", (F.col("dr") - F.floor(F.col("dg") / 2)).cast("long").alias("x_res"), (F.col("db") - F.col("dg")).cast("long").alias("b_res"))
 
 
@@ -517,7 +517,7 @@ def chroma_residuals(spark, sf_dir):
 def chroma_restored(spark, sf_dir):
     """Both planes from their residuals and the luminance, by running sums along each row."""
     w = Window.partitionBy("image_id", "y").orderBy("x")
-    g = _rgb(spark).select("image_id", "y", "x", (F.col("g") - F.coalesce(F.lag("g").over(w), F.lit(0.0))).alias("dg"))
+    g = _rgb(spark, sf_dir).select("image_id", "y", "x", (F.col("g") - F.coalesce(F.lag("g").over(w), F.lit(0.0))).alias("dg"))
     both = chroma_residuals(spark, sf_dir).join(g, ["image_id", "y", "x"])
     return both.select("image_id", "y", "x", F.sum(F.col("x_res") + F.floor(F.col("dg") / 2)).over(w).cast("long").alias("r"), F.sum(F.col("b_res") + F.col("dg")).over(w).cast("long").alias("b"))
 
@@ -530,7 +530,7 @@ _METHOD_SQL = " UNION ALL ".join(f"SELECT image_id, '{name}' AS method, SUM(" +
 def plane_methods(spark, sf_dir):
     """Absolute sums of the planes under several ways of taking one off another."""
     costs = [F.sum(sum((F.abs(F.expr(p)) for p in parts[1:]), F.abs(F.expr(parts[0])))).alias(name) for name, parts in _METHODS.items()]
-    return _rgb(spark).groupBy("image_id").agg(*costs).select("image_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, _METHODS)), F.array(*_METHODS))).alias("method", "cost"))
+    return _rgb(spark, sf_dir).groupBy("image_id").agg(*costs).select("image_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, _METHODS)), F.array(*_METHODS))).alias("method", "cost"))
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b FROM {_CELLS} a JOIN {_CELLS} b ON a.vec_id // 16 = b.vec_id // 16 AND a.vec_id < b.vec_id AND a.i = b.i GROUP BY a.vec_id, b.vec_id HAVING SUM((a.v - b.v) * (a.v - b.v)) < 1.4", "a:l b:l")

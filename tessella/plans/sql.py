@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 #: Decimal places that both engines are rounded to.
 PLACES = 6
 
-GRIDS = {  # name: (expression over x, y, c; width; height; planes)
-    "mix": ("(x * 31 + y * 17 + c * 7) % 256", 24, 16, 3),
-    "mix_b": ("(x * 29 + y * 19 + c * 5) % 256", 24, 16, 3),
-    "odd": ("(x * 31 + y * 17 + c * 7) % 256", 13, 7, 3),
-    "dots": ("case when (x = 3 and y = 3) or (x = 10 and y = 6) then 200 else 0 end", 17, 12, 1),
-    "steps": ("10 * floor(x / 8.0) + floor(y / 8.0)", 32, 32, 1),
+_OF_VALUE, _OF_VECTOR = "value", "vector"
+GRIDS = {  # name: (what a cell is made of, its value as an expression over k, width, height, planes); k = floor(1000 |value|), or the sum of those of a vector
+    "mix": (_OF_VALUE, "k % 256", 24, 16, 3),
+    "mix_b": (_OF_VALUE, "(k * 3 + 31) % 256", 24, 16, 3),
+    "odd": (_OF_VECTOR, "k % 256", 13, 7, 3),
+    "dots": (_OF_VECTOR, "case when k % 7 = 0 then 200 else 0 end", 17, 12, 1),
+    "steps": (_OF_VECTOR, "k % 40", 32, 32, 1),
 }
 
 
@@ -43,8 +44,14 @@ def typed(sql: str, columns: str, places: int = PLACES) -> str:
 
 
 def grid_sql(name: str) -> str:
-    v, width, height, planes = GRIDS[name]
-    return f"(SELECT 0 AS image_id, c, y, x, CAST({v} AS DOUBLE) AS v FROM (SELECT range AS c FROM range({planes})), (SELECT range AS y FROM range({height})), (SELECT range AS x FROM range({width})))"
+    """Values of all embeddings in order, folded into images of one size; the last image is filled up with zeros."""
+    of, v, width, height, planes = GRIDS[name]
+    cells = width * height * planes
+    of_value = "SELECT vec_id * 64 + i - 1 AS nth, CAST(FLOOR(ABS(embedding[i]::DOUBLE) * 1000) AS BIGINT) AS k FROM embeddings, (SELECT range AS i FROM range(1, 65))"
+    of_vector = "SELECT vec_id AS nth, CAST(list_sum(list_transform(embedding, lambda e: FLOOR(ABS(e::DOUBLE) * 1000))) AS BIGINT) AS k FROM embeddings"
+    source = of_value if of == _OF_VALUE else of_vector
+    return f"""(SELECT f.image_id, p.pos // {width * height} AS c, p.pos % {width * height} // {width} AS y, p.pos % {width} AS x, COALESCE(s.v, 0.0) AS v
+FROM (SELECT DISTINCT nth // {cells} AS image_id FROM ({source})) f CROSS JOIN (SELECT range AS pos FROM range({cells})) p LEFT JOIN (SELECT nth, CAST({v} AS DOUBLE) AS v FROM ({source})) s ON s.nth = f.image_id * {cells} + p.pos)"""
 
 
 def fold_sql(at: str, n: int, policy: str) -> str:
