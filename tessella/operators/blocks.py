@@ -50,6 +50,12 @@ def idct2d(coefficients: Column, n: int = 8) -> Column:
     return _times(_times(values, basis, n), basis, n)
 
 
+def two_sided(block: Column, matrix: list[list[float]], n: int) -> Column:
+    """matrix * block * its transpose, for a square matrix of numbers."""
+    literal = basis_literal(matrix)
+    return _times(_times(F.transform(block, lambda x: x.cast("double")), literal, n), literal, n)
+
+
 def blocks_of(pixels: DataFrame, n: int = 8) -> DataFrame:
     """(image_id, c, by, bx, block) of a grid whose size is a multiple of n."""
     at = pixels.select("image_id", "c", F.floor(F.col("y") / n).cast("int").alias("by"), F.floor(F.col("x") / n).cast("int").alias("bx"), ((F.col("y") % n) * n + F.col("x") % n).alias("i"), "v")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.lanes import let
-from tessella.operators.blocks import dct2d, dct_basis, idct2d
+from tessella.operators.blocks import dct2d, dct_basis, idct2d, two_sided
 
 #: Strategies: number -> (name, side of the transformed parts of an 8 x 8 block; 0 for none).
 STRATEGIES = {0: ("dct", 8), 1: ("identity", 0), 2: ("dct2", 2), 3: ("dct4", 4), 4: ("dct16", 16), 5: ("dct32", 32), 6: ("lines", 8), 7: ("dct_flat", 8), 8: ("dct4_flat", 4)}
@@ -108,3 +108,20 @@ def best_strategy(rows: DataFrame, block: str, step: float, candidates: tuple[in
     choices = F.array(*[F.struct(F.round(F.col(f"_cost{s}"), 6).alias("cost"), F.lit(s).alias("strategy")) for s in candidates])
     return priced.withColumn("_best", F.array_min(choices)).select(*rows.columns, F.col("_best.strategy").alias("strategy"), F.col("_best.cost").alias("cost"))
 
+
+
+def rebase_matrix(n: int, small: int = 8) -> list[list[float]]:
+    """Row k, column j: how much coefficient j % small of part j // small adds to coefficient k of the whole, along one side."""
+    whole, part = dct_basis(n), dct_basis(small)
+    return [[sum(whole[k][j // small * small + i] * part[j % small][i] for i in range(small)) for j in range(n)] for k in range(n)]
+
+
+def rebase(coefficients: Column, n: int, small: int = 8) -> Column:
+    """Coefficients of an n x n block from those of its small x small parts, which stand where the parts do; no pixels are formed."""
+    return two_sided(coefficients, rebase_matrix(n, small), n)
+
+
+def unbase(coefficients: Column, n: int, small: int = 8) -> Column:
+    """Inverse of rebase: the matrix is orthonormal, so its transpose leads back."""
+    m = rebase_matrix(n, small)
+    return two_sided(coefficients, [[m[j][k] for j in range(n)] for k in range(n)], n)

@@ -1,4 +1,4 @@
-"""Queries on image files made of all embeddings, and on differences between images along lines."""
+"""Queries on image files made of all embeddings, differences along lines, coefficients of blocks of several sizes, and closed loops."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import lines
-from tessella.plans.grids import CELL, H, MIX, MIX_B, W, _embeddings, make
+from tessella.operators import blocks, lines, search, transforms
+from tessella.plans.codec import _BIG, _basis_sql, _mosaic
+from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, H, MIX, MIX_B, W, _embeddings, make
 from tessella.plans.sql import plain, typed
 from tessella.sources import chunks, images
 from tessella.storage import new_folder
@@ -127,3 +128,55 @@ def line_difference(spark, sf_dir):
     """How two images differ along lines of sixteen directions."""
     a, b = (make(spark, sf_dir, n).withColumn("v", F.col("v") - 128) for n in ("mix", "mix_b"))
     return lines.line_difference(a, b, W, H, _ABOVE, _BELOW, _NORM)
+
+
+# Coefficients of other block sizes ----------------------------------------------------------------------------
+
+
+def _small_coefficients(spark, sf_dir) -> DataFrame:
+    """(m, coefficients): four 8 x 8 blocks' coefficients, each quarter those of one block."""
+    parts = transforms.parts(F.col("block"), 16, 8)
+    return _mosaic(spark, sf_dir).select("m", transforms.joined(F.transform(parts, lambda b: blocks.dct2d(b, 8)), 16, 8).alias("coefficients"))
+
+
+@query(f"SELECT v.m, p.k * 16 + q.k AS i, SUM(v.v * p.b * q.b) AS v FROM {_BIG} v JOIN {_basis_sql(16)} p ON p.j = v.i // 16 JOIN {_basis_sql(16)} q ON q.j = v.i % 16 GROUP BY ALL", "m:l i:l v:d", 5)
+def rebased_coefficients(spark, sf_dir):
+    """Coefficients of 16 x 16 blocks from those of their quarters, without pixels."""
+    return _small_coefficients(spark, sf_dir).select("m", F.posexplode(transforms.rebase(F.col("coefficients"), 16)).alias("i", "v"))
+
+
+@query(f"SELECT vec_id, i, v FROM {_DCT} WHERE vec_id // 4 < (SELECT COUNT(*) // 4 FROM embeddings)", "vec_id:l i:l v:d", 5)
+def split_coefficients(spark, sf_dir):
+    """Coefficients of the quarters from those of the 16 x 16 block that they form."""
+    whole = _mosaic(spark, sf_dir).select("m", blocks.dct2d(F.col("block"), 16).alias("whole"))
+    quarters = whole.select("m", F.posexplode(transforms.parts(transforms.unbase(F.col("whole"), 16), 16, 8)).alias("part", "small"))
+    return quarters.select((F.col("m") * 4 + F.col("part")).alias("vec_id"), F.posexplode("small").alias("i", "v"))
+
+
+# Closed loop ----------------------------------------------------------------------------------------------------
+
+_TARGET = 0.05
+_STEP = f"({search.LEAST_STEP} * POW(2.0, {{}} / 4.0))"
+
+
+def _error_sql(state: str, level: str) -> str:
+    """(vec_id, error) of decoding with the step of each block's level."""
+    size = _STEP.format(level)
+    return f"""SELECT o.vec_id, MAX(ABS(o.v - d.v)) AS error FROM {_CELLS} o JOIN (SELECT c.vec_id, p.j * 8 + q.j AS i, SUM({size} * FLOOR(c.v / {size} + 0.5) * p.b * q.b) AS v
+FROM coefficients c JOIN {state} s USING (vec_id) JOIN {_BASIS} p ON p.k = c.i // 8 JOIN {_BASIS} q ON q.k = c.i % 8 GROUP BY ALL) d USING (vec_id, i) GROUP BY o.vec_id"""
+
+
+def _search_sql() -> str:
+    rounds = (search.LEVELS - 1).bit_length()
+    ctes = [f"coefficients AS MATERIALIZED (SELECT * FROM {_DCT})", f"s0 AS MATERIALIZED (SELECT vec_id, 0 AS low, {search.LEVELS} AS high FROM embeddings)"]
+    for k in range(rounds):
+        ctes.append(f"e{k} AS MATERIALIZED ({_error_sql(f's{k}', '((s.low + s.high) // 2)')})")
+        ctes.append(f"s{k + 1} AS MATERIALIZED (SELECT vec_id, CASE WHEN error <= {_TARGET} THEN (low + high) // 2 ELSE low END AS low, CASE WHEN error <= {_TARGET} THEN high ELSE (low + high) // 2 END AS high FROM s{k} JOIN e{k} USING (vec_id))")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, low AS level, {_STEP.format('low')} AS step, error, CAST(error <= {_TARGET} OR low = 0 AS BIGINT) AS settled, {rounds} AS rounds FROM s{rounds} JOIN ({_error_sql(f's{rounds}', 's.low')}) USING (vec_id)"
+
+
+@query(_search_sql(), "vec_id:l level:l step:d error:d settled:l rounds:l")
+def closed_loop_steps(spark, sf_dir):
+    """The largest quantisation step of each block that the search finds to keep the decoded error within target."""
+    found = search.largest_step(_embeddings(spark, sf_dir), "block", _TARGET)
+    return found.select("vec_id", "level", "step", "error", ((F.col("error") <= _TARGET) | (F.col("level") == 0)).cast("long").alias("settled"), "rounds")
