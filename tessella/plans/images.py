@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, lines, search, transforms
-from tessella.plans.codec import _BIG, _basis_sql, _mosaic
+from tessella.operators import blocks, clusters, lines, search, tokens, transforms
+from tessella.plans.codec import _BIG, _CONTEXT, _TOKENS, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, H, MIX, MIX_B, W, _embeddings, make
 from tessella.plans.sql import plain, typed
+from tessella.plans.tables import TABLE_BITS, clusters_sql
 from tessella.sources import chunks, images
 from tessella.storage import new_folder
 
@@ -180,3 +181,16 @@ def closed_loop_steps(spark, sf_dir):
     """The largest quantisation step of each block that the search finds to keep the decoded error within target."""
     found = search.largest_step(_embeddings(spark, sf_dir), "block", _TARGET)
     return found.select("vec_id", "level", "step", "error", ((F.col("error") <= _TARGET) | (F.col("level") == 0)).cast("long").alias("settled"), "rounds")
+
+
+# Contexts ---------------------------------------------------------------------------------------------------------
+
+_KINDS = f"SELECT 0 AS grp, context, value AS symbol, COUNT(*) AS n FROM (SELECT *, {_CONTEXT} AS context FROM {_TOKENS}) GROUP BY ALL"
+
+
+@query(clusters_sql(_KINDS, TABLE_BITS, 12), "grp:l context:l cluster:l symbols:l bits:d", 4)
+def context_clusters(spark, sf_dir):
+    """The contexts of coefficient tokens that share a table, by cost, and what each shared table codes."""
+    counts = tokens.context_histograms(_tokens(spark, sf_dir), "context", "value").select(F.lit(0).alias("grp"), "context", F.col("value").alias("symbol"), "n")
+    found = clusters.merge(counts, TABLE_BITS)
+    return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")

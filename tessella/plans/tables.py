@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import codes, lanes
-from tessella.operators import histogram, kernels, metrics, stats
+from tessella.operators import clusters, histogram, kernels, metrics, stats
 from tessella.plans.sql import plain, typed
 
 QUERIES: dict = {}
@@ -214,20 +214,38 @@ def histogram_remap(spark, sf_dir):
     return histogram.remap(histogram.symbols(items, "l_linenumber", "l_quantity"), histogram.symbols(items, "l_returnflag", "l_quantity"), "l_linenumber", "l_returnflag", "l_quantity")
 
 
-@query()
-def histogram_clusters(spark, sf_dir):
-    """Greedy clusters of the quantity histograms of suppliers, within each nation: a group per nation."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    counts = items.groupBy("s_nationkey", "s_suppkey", F.floor(F.col("l_quantity") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+_F = "({0}) * LOG2({0})"
 
-    def cluster(pdf):
-        import pandas as pd
 
-        wide = pdf.pivot_table(index="s_suppkey", columns="bin", values="n", fill_value=0).sort_index()
-        found = kernels.combine_histograms([[int(x) for x in row] for row in wide.to_numpy()])
-        return pd.DataFrame({"s_nationkey": pdf["s_nationkey"].iloc[0], "s_suppkey": wide.index, "cluster": found})
+def clusters_sql(counts: str, overhead: float, rounds: int) -> str:
+    """Rounds of mutual best pairs over counts (grp, context, symbol, n), as many as are written down; a round without a gain changes nothing."""
+    ctes = [f"c AS MATERIALIZED ({counts})", "m0 AS (SELECT DISTINCT grp, context, context AS cluster FROM c)"]
+    delta = f"SUM({_F.format('a.n + b.n')} - {_F.format('a.n')} - {_F.format('b.n')})"
+    for k in range(rounds):
+        ctes += [
+            f"h{k} AS MATERIALIZED (SELECT grp, cluster, symbol, SUM(n)::DOUBLE AS n FROM c JOIN m{k} USING (grp, context) GROUP BY ALL)",
+            f"t{k} AS (SELECT grp, cluster, SUM(n) AS t FROM h{k} GROUP BY ALL)",
+            f"d{k} AS (SELECT a.grp, a.cluster AS a, b.cluster AS b, {delta} AS common FROM h{k} a JOIN h{k} b ON a.grp = b.grp AND a.symbol = b.symbol AND a.cluster < b.cluster GROUP BY ALL)",
+            f"g{k} AS MATERIALIZED (SELECT d.grp, a, b, ROUND({overhead} - ({_F.format('x.t + y.t')} - {_F.format('x.t')} - {_F.format('y.t')} - common), 6) AS gain FROM d{k} d JOIN t{k} x ON x.grp = d.grp AND x.cluster = a JOIN t{k} y ON y.grp = d.grp AND y.cluster = b)",
+            f"b{k} AS MATERIALIZED (SELECT * FROM (SELECT grp, a AS x, b AS y, gain FROM g{k} WHERE gain > 0 UNION ALL SELECT grp, b, a, gain FROM g{k} WHERE gain > 0) QUALIFY ROW_NUMBER() OVER (PARTITION BY grp, x ORDER BY gain DESC, y) = 1)",
+            f"m{k + 1} AS MATERIALIZED (SELECT m.grp, m.context, COALESCE(b.x, m.cluster) AS cluster FROM m{k} m LEFT JOIN (SELECT p.grp, p.x, p.y FROM b{k} p JOIN b{k} q ON p.grp = q.grp AND p.x = q.y AND p.y = q.x AND p.x < p.y) b ON b.grp = m.grp AND b.y = m.cluster)",
+        ]
+    return f"""WITH {", ".join(ctes)}, h AS (SELECT grp, cluster, symbol, SUM(n)::DOUBLE AS n FROM c JOIN m{rounds} USING (grp, context) GROUP BY ALL)
+SELECT m.grp, m.context, m.cluster, b.symbols, b.bits FROM m{rounds} m JOIN (SELECT grp, cluster, SUM(n) AS symbols, {_F.format('SUM(n)')} - SUM({_F.format('n')}) AS bits FROM h GROUP BY ALL) b USING (grp, cluster)"""
+
 
-    return kernels.by_group(counts, ["s_nationkey"], cluster, "s_nationkey int, s_suppkey long, cluster int")
+_BINS = "SELECT s_nationkey AS grp, s_suppkey AS context, CAST(FLOOR(l_quantity / 10) AS BIGINT) AS symbol, COUNT(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+#: Bits that a table takes.
+TABLE_BITS = 24.0
+
+
+@query(clusters_sql(_BINS, TABLE_BITS, 12), "grp:l context:l cluster:l symbols:l bits:d", 4)
+def histogram_clusters(spark, sf_dir):
+    """Suppliers of each nation whose quantities are alike enough to share a table, and what each shared table codes."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = items.groupBy(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("context"), F.floor(F.col("l_quantity") / 10).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    found = clusters.merge(counts, TABLE_BITS)
+    return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")
 
 
 @query("WITH f AS (SELECT o_orderpriority, MIN(o_orderkey) AS first FROM orders GROUP BY 1) SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY 1) * 0 + code AS code FROM orders JOIN (SELECT o_orderpriority, ROW_NUMBER() OVER (ORDER BY first) - 1 AS code FROM f) USING (o_orderpriority)", "o_orderkey:l code:l")
