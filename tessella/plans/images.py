@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, clusters, lines, search, tokens, transforms
+from tessella.operators import blocks, clusters, lines, patches, search, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _TOKENS, _basis_sql, _mosaic, _tokens
-from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, H, MIX, MIX_B, W, _embeddings, make
+from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
 from tessella.plans.sql import plain, typed
 from tessella.plans.tables import TABLE_BITS, clusters_sql
 from tessella.sources import chunks, images
@@ -162,8 +162,8 @@ _STEP = f"({search.LEAST_STEP} * POW(2.0, {{}} / 4.0))"
 
 def _error_sql(state: str, level: str) -> str:
     """(vec_id, error) of decoding with the step of each block's level."""
-    size = _STEP.format(level)
-    return f"""SELECT o.vec_id, MAX(ABS(o.v - d.v)) AS error FROM {_CELLS} o JOIN (SELECT c.vec_id, p.j * 8 + q.j AS i, SUM({size} * FLOOR(c.v / {size} + 0.5) * p.b * q.b) AS v
+    width = _STEP.format(level)
+    return f"""SELECT o.vec_id, MAX(ABS(o.v - d.v)) AS error FROM {_CELLS} o JOIN (SELECT c.vec_id, p.j * 8 + q.j AS i, SUM({width} * FLOOR(c.v / {width} + 0.5) * p.b * q.b) AS v
 FROM coefficients c JOIN {state} s USING (vec_id) JOIN {_BASIS} p ON p.k = c.i // 8 JOIN {_BASIS} q ON q.k = c.i % 8 GROUP BY ALL) d USING (vec_id, i) GROUP BY o.vec_id"""
 
 
@@ -194,3 +194,37 @@ def context_clusters(spark, sf_dir):
     counts = tokens.context_histograms(_tokens(spark, sf_dir), "context", "value").select(F.lit(0).alias("grp"), "context", F.col("value").alias("symbol"), "n")
     found = clusters.merge(counts, TABLE_BITS)
     return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")
+
+
+# Patches ----------------------------------------------------------------------------------------------------------
+
+_SIDE, _USES, _ROUNDS = 3, 3, 14
+
+
+def _patches_sql() -> str:
+    """Windows of the sparse images, repeated ones in their order, and rounds in which those go that nothing better overlaps."""
+    join = "p.image_id = q.image_id AND p.c = q.c AND ABS(p.x - q.x) < 3 AND ABS(p.y - q.y) < 3"
+    ctes = [
+        f"g AS MATERIALIZED (SELECT * FROM {DOTS})",
+        "w AS MATERIALIZED (SELECT p.image_id, p.c, p.y, p.x, string_agg(CAST(q.v AS BIGINT), ',' ORDER BY q.y, q.x) AS content, MIN(q.v) AS low, MAX(q.v) AS high FROM g p JOIN g q ON p.image_id = q.image_id AND p.c = q.c AND q.x BETWEEN p.x AND p.x + 2 AND q.y BETWEEN p.y AND p.y + 2 WHERE p.x <= 14 AND p.y <= 9 GROUP BY ALL)",
+        f"a0 AS MATERIALIZED (SELECT w.*, uses, ROW_NUMBER() OVER (ORDER BY uses DESC, string_split(content, ',')::BIGINT[], y, x, image_id) AS r FROM w JOIN (SELECT content, COUNT(*) AS uses FROM w WHERE low < high GROUP BY content HAVING COUNT(*) >= {_USES}) USING (content))",
+    ]
+    for k in range(_ROUNDS):
+        ctes.append(f"c{k} AS MATERIALIZED (SELECT p.* FROM a{k} p JOIN (SELECT p.r, MIN(q.r) AS best FROM a{k} p JOIN a{k} q ON {join} GROUP BY p.r) b ON b.r = p.r AND b.best = p.r)")
+        ctes.append(f"a{k + 1} AS MATERIALIZED (SELECT p.* FROM a{k} p WHERE NOT EXISTS (SELECT 1 FROM c{k} q WHERE {join}))")
+    ctes.append("taken AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(_ROUNDS)) + ")")
+    return "WITH " + ", ".join(ctes)
+
+
+@query(_patches_sql() + " SELECT image_id, c, y, x, content, uses FROM taken", "image_id:l c:l y:l x:l content:s uses:l")
+def repeated_patches(spark, sf_dir):
+    """Where the patches of the dictionary are taken, and how often their content occurs."""
+    taken = patches.placements(make(spark, sf_dir, "dots"), *size("dots"), _SIDE, _USES)
+    return taken.withColumn("content", F.array_join(F.transform("content", lambda v: v.cast("long").cast("string")), ","))
+
+
+@query(_patches_sql() + f", hit AS (SELECT t.image_id, t.c, t.y + i // 3 AS y, t.x + i % 3 AS x, string_split(content, ',')[i + 1]::DOUBLE AS p FROM taken t, (SELECT range AS i FROM range(9))) SELECT g.image_id, g.c, g.y, g.x, g.v - COALESCE(p, 0) AS v FROM {DOTS} g LEFT JOIN hit USING (image_id, c, y, x)")
+def patches_subtracted(spark, sf_dir):
+    """Images without the patches that the dictionary holds."""
+    cells = make(spark, sf_dir, "dots")
+    return patches.subtract(cells, patches.placements(cells, *size("dots"), _SIDE, _USES), _SIDE)
