@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, clusters, lines, patches, search, tokens, transforms
-from tessella.plans.codec import _BIG, _CONTEXT, _TOKENS, _basis_sql, _mosaic, _tokens
+from tessella.operators import blocks, clusters, coefficients, lines, patches, search, tokens, transforms
+from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
 from tessella.plans.sql import plain, typed
 from tessella.plans.tables import TABLE_BITS, clusters_sql
-from tessella.sources import chunks, images
+from tessella.sources import chunks, images, spans
 from tessella.storage import new_folder
 
 QUERIES: dict = {}
@@ -196,6 +196,52 @@ def context_clusters(spark, sf_dir):
     return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")
 
 
+# Coefficients under contexts, and groups of them ----------------------------------------------------------------
+# 192 embeddings are an image of three planes of 8 x 8 blocks. Steps grow along the scan, so that runs of zeros do as well.
+
+_SCANNED = f"""SELECT vec_id, vec_id // 192 AS image_id, vec_id % 192 // 64 AS c, vec_id % 64 // 8 AS "by", vec_id % 8 AS bx, k - 1 AS place,
+CAST(SIGN(v) * FLOOR(ABS(v) * 24 / (1 + (k - 1) / 4.0::DOUBLE) + 0.5) AS BIGINT) AS q FROM (SELECT vec_id, k, embedding[{_ORDER}[k] + 1]::DOUBLE AS v FROM embeddings, (SELECT range AS k FROM range(1, 65)))"""
+_EXPECTED = "CASE WHEN top IS NOT NULL AND lft IS NOT NULL THEN (top + lft + 1) // 2 ELSE COALESCE(top, lft, 32) END"
+_LEFT = [0 if x is None else x for x in coefficients.LEFT_CONTEXT]
+_SYMBOLS = f"""WITH s AS MATERIALIZED ({_SCANNED}),
+b AS (SELECT vec_id, image_id, c, "by", bx, COUNT(*) FILTER (WHERE q <> 0 AND place > 0) AS n FROM s GROUP BY ALL),
+t AS (SELECT *, LAG(n) OVER (PARTITION BY image_id, c, bx ORDER BY "by") AS top, LAG(n) OVER (PARTITION BY image_id, c, "by" ORDER BY bx) AS lft FROM b),
+v AS (SELECT vec_id, c, place, COALESCE(LAG(place) OVER w, 0) AS prev, CASE WHEN q > 0 THEN 2 * q ELSE -2 * q - 1 END AS packed, COUNT(*) OVER (PARTITION BY vec_id ORDER BY place DESC) AS remaining FROM s WHERE q <> 0 AND place > 0 WINDOW w AS (PARTITION BY vec_id ORDER BY place)),
+e AS (SELECT *, (place - prev - 1) // 16 AS escapes, CAST(FLOOR(LOG2(packed + 1)) AS BIGINT) AS width, k FROM v, (SELECT range AS k FROM range(4)) WHERE k <= (place - prev - 1) // 16),
+symbols AS (SELECT vec_id, 3 * (({_EXPECTED}) // 2) + c AS context, n AS symbol, 0 AS nbits, 0 AS bits FROM t
+UNION ALL SELECT vec_id, 96 + 105 * c + {_LEFT}[remaining + 1] + {list(coefficients.PLACE_CONTEXT)}[prev + 16 * k + 1], CASE WHEN k = escapes THEN (place - prev - 1) % 16 * 16 + width ELSE 240 END, CASE WHEN k = escapes THEN width ELSE 0 END, CASE WHEN k = escapes THEN packed + 1 - (1 << width) ELSE 0 END FROM e)"""
+
+
+def _scanned_blocks(spark, sf_dir) -> DataFrame:
+    k = F.col("vec_id")
+    q = F.transform(tokens.scanned(F.col("block"), blocks.zigzag()), lambda v, i: (F.signum(v) * F.floor(F.abs(v) * 24 / (1 + i / 4) + 0.5)).cast("long"))
+    return _embeddings(spark, sf_dir).select("vec_id", F.floor(k / 192).alias("image_id"), F.floor(k % 192 / 64).alias("c"), F.floor(k % 64 / 8).alias("by"), (k % 8).alias("bx"), q.alias("q"))
+
+
+@query(f"{_SYMBOLS} SELECT vec_id, context, symbol, nbits, bits FROM symbols", "vec_id:l context:l symbol:l nbits:l bits:l")
+def block_symbols(spark, sf_dir):
+    """Counts and values of all blocks as symbols, with their contexts and the bits that follow them."""
+    return coefficients.block_symbols(_scanned_blocks(spark, sf_dir), "q").select("vec_id", F.explode("symbols").alias("t")).select("vec_id", "t.*")
+
+
+@query(f"{_SYMBOLS} SELECT context, SUM(n) AS symbols, SUM(extra) AS extra, SUM(n) * LOG2(SUM(n)) - SUM(n * LOG2(n)) AS bits FROM (SELECT context, symbol, COUNT(*) AS n, SUM(nbits) AS extra FROM symbols GROUP BY ALL) GROUP BY context", "context:l symbols:l extra:l bits:d", 4)
+def symbol_bits(spark, sf_dir):
+    """Symbols of every context, the bits that follow them, and those that a table of its own takes for them."""
+    counts = coefficients.histograms(coefficients.block_symbols(_scanned_blocks(spark, sf_dir), "q"))
+    total, n = F.sum("n"), F.col("n")
+    return counts.groupBy("context").agg(total.alias("symbols"), F.sum("extra").alias("extra"), (total * F.log2(total) - F.sum(n * F.log2(n))).alias("bits"))
+
+
+@query(f'SELECT image_id, c, "by", bx, place, q FROM ({_SCANNED}) WHERE q <> 0 AND place > 0', "image_id:l c:l by:l bx:l place:l q:l")
+def coded_groups(spark, sf_dir):
+    """Values of groups that were coded under shared tables into few files, and decoded group by group from their byte ranges."""
+    symbols = coefficients.block_symbols(_scanned_blocks(spark, sf_dir), "q")
+    context_map, shares = coefficients.tables(coefficients.histograms(symbols))
+    index = spans.write_spans(coefficients.encode_groups(symbols, context_map, shares), ["image_id"])
+    decoded = coefficients.decode_groups(spans.read_spans(index), context_map, shares)
+    return decoded.select("image_id", "c", "by", "bx", F.posexplode("values").alias("place", "q")).where("q <> 0")
+
+
 # Patches ----------------------------------------------------------------------------------------------------------
 
 _SIDE, _USES, _ROUNDS = 3, 3, 14
