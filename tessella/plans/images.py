@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, clusters, coefficients, lines, patches, search, tokens, transforms
+from tessella.operators import blocks, clusters, coefficients, lines, lowfreq, patches, search, stencil, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
 from tessella.plans.sql import plain, typed
@@ -242,6 +242,55 @@ def coded_groups(spark, sf_dir):
     return decoded.select("image_id", "c", "by", "bx", F.posexplode("values").alias("place", "q")).where("q <> 0")
 
 
+# Prediction between blocks --------------------------------------------------------------------------------------
+# 64 embeddings are an image of 8 x 8 blocks; the last one may lack some.
+
+_MEAN_STEP, _STEP_LOW = 0.04, 0.03
+
+
+def _values(matrix) -> str:
+    return "(VALUES " + ", ".join(f"({k}, {j}, {w!r}::DOUBLE)" for k, row in enumerate(matrix) for j, w in enumerate(row)) + ")"
+
+
+def _rounded(x: str, step: float) -> str:
+    return f"SIGN({x}) * FLOOR(ABS({x}) / {step!r}::DOUBLE + 0.5)"
+
+
+_BLUR = "(VALUES " + ", ".join(f"({dx}, {dy}, {w!r}::DOUBLE)" for dx, dy, w in stencil.symmetric3(*lowfreq.BLUR3)) + ")"
+_PREDICTED = f"""WITH d AS MATERIALIZED (SELECT vec_id, vec_id // 64 AS image_id, vec_id % 64 // 8 AS "by", vec_id % 8 AS bx, i, v FROM {_DCT}),
+f AS (SELECT vec_id, image_id, "by", bx, {_rounded('v', _MEAN_STEP)} AS q, {_rounded('v', _MEAN_STEP)} * {_MEAN_STEP}::DOUBLE AS v FROM d WHERE i = 0),
+h AS (SELECT image_id, "by" * 2 + j // 2 AS y, bx * 2 + j % 2 AS x, v / 8 AS m FROM f, (SELECT range AS j FROM range(4))),
+l AS (SELECT vec_id, j // 2 AS hy, j % 2 AS hx, SUM(w * COALESCE(m, 0)) AS m FROM (SELECT f.*, j, w, LEAST(GREATEST("by" * 2 + j // 2 + dy, 0), 15) AS y, LEAST(GREATEST(bx * 2 + j % 2 + dx, 0), 15) AS x FROM f, (SELECT range AS j FROM range(4)), {_BLUR} t(dx, dy, w)) LEFT JOIN h USING (image_id, y, x) GROUP BY ALL),
+e AS (SELECT vec_id, p.k * 8 + q.k AS i, SUM(m * p.w * q.w) AS e FROM l JOIN {_values(lowfreq.halves_to_low())} p(k, h, w) ON p.h = hy JOIN {_values(lowfreq.halves_to_low())} q(k, h, w) ON q.h = hx GROUP BY ALL),
+low AS MATERIALIZED (SELECT d.vec_id, image_id, "by", bx, i, {_rounded('(v - e)', _STEP_LOW)} AS q, e + {_rounded('(v - e)', _STEP_LOW)} * {_STEP_LOW}::DOUBLE AS v FROM d JOIN e USING (vec_id, i) WHERE i > 0 UNION ALL SELECT vec_id, image_id, "by", bx, 0, q, v FROM f),
+g AS (SELECT image_id, "by" * 2 + p.k AS y, bx * 2 + q.k AS x, SUM(v * p.w * q.w) AS m FROM low JOIN {_values(lowfreq.low_to_halves())} p(k, f, w) ON p.f = i // 8 JOIN {_values(lowfreq.low_to_halves())} q(k, f, w) ON q.f = i % 8 GROUP BY image_id, "by", bx, p.k, q.k),
+c AS (SELECT vec_id, j // 4 AS cy, j % 4 AS cx, COALESCE(m, 0) AS m FROM (SELECT f.vec_id, image_id, j, LEAST(GREATEST("by" * 2 + j // 4 - 1, 0), 15) AS y, LEAST(GREATEST(bx * 2 + j % 4 - 1, 0), 15) AS x FROM f, (SELECT range AS j FROM range(16))) LEFT JOIN g USING (image_id, y, x)),
+a AS (SELECT vec_id, p.k * 8 + q.k AS i, SUM(m * p.w * q.w) AS e FROM c JOIN {_values(lowfreq.enlarged_dct())} p(k, h, w) ON p.h = cy JOIN {_values(lowfreq.enlarged_dct())} q(k, h, w) ON q.h = cx GROUP BY ALL),
+high AS (SELECT vec_id, i, {_rounded('(v - e)', _STEP_LOW)} AS q, e + {_rounded('(v - e)', _STEP_LOW)} * {_STEP_LOW}::DOUBLE AS v FROM d JOIN a USING (vec_id, i) WHERE i >= 16 OR i % 8 >= 2)"""
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    k = F.col("vec_id")
+    rows = _embeddings(spark, sf_dir).select(F.floor(k / 64).alias("image_id"), F.lit(0).alias("c"), F.floor(k % 64 / 8).alias("by"), (k % 8).alias("bx"), blocks.dct2d(F.col("block")).alias("v"))
+    return lowfreq.encode(rows, "v", 8, 8, _MEAN_STEP, _STEP_LOW)
+
+
+def _numbered(values: str):
+    return (F.col("image_id") * 64 + F.col("by") * 8 + F.col("bx")).alias("vec_id"), F.posexplode(values).alias("i", values)
+
+
+@query(f"{_PREDICTED} SELECT vec_id, i, q FROM low UNION ALL SELECT vec_id, i, q FROM high", "vec_id:l i:l q:l")
+def neighbour_residuals(spark, sf_dir):
+    """What is left of frequencies after prediction from the blocks around, in steps."""
+    return _predicted(spark, sf_dir).select(*_numbered("q"))
+
+
+@query(f"{_PREDICTED} SELECT vec_id, i, v FROM low UNION ALL SELECT vec_id, i, v FROM high", "vec_id:l i:l v:d", 5)
+def neighbour_decoded(spark, sf_dir):
+    """Frequencies as a decoder predicts and corrects them."""
+    return lowfreq.decode(_predicted(spark, sf_dir), "q", 8, 8, _MEAN_STEP, _STEP_LOW).select(*_numbered("v"))
+
+
 # Patches ----------------------------------------------------------------------------------------------------------
 
 _SIDE, _USES, _ROUNDS = 3, 3, 14
