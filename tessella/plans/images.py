@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, clusters, coefficients, lines, lowfreq, patches, search, stencil, tokens, transforms
-from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _basis_sql, _mosaic, _tokens
+from tessella.operators import blocks, clusters, coefficients, lines, lowfreq, patches, quanttables, search, stencil, tokens, transforms
+from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
 from tessella.plans.sql import plain, typed
 from tessella.plans.tables import TABLE_BITS, clusters_sql
@@ -291,6 +293,73 @@ def neighbour_decoded(spark, sf_dir):
     return lowfreq.decode(_predicted(spark, sf_dir), "q", 8, 8, _MEAN_STEP, _STEP_LOW).select(*_numbered("v"))
 
 
+# Descriptions of tables ------------------------------------------------------------------------------------------
+# Each embedding gives one description of one to five bands; each four form a tile that chooses among four tables.
+
+_PARAMETER = "CASE WHEN k = 0 THEN 8 + FLOOR(ABS(embedding[1]::DOUBLE) * 1000) / 10 ELSE embedding[k + 1]::DOUBLE * 4 END"
+_UNITS = f"SELECT vec_id, k, 1 + vec_id % 5 AS n, CAST(FLOOR(({_PARAMETER}) * 64 + 0.5) AS BIGINT) AS u FROM embeddings, (SELECT range AS k FROM range(5)) WHERE k <= vec_id % 5"
+_CANDIDATES = ((quanttables.BANDS, (24.0, -0.5, -1.0, -0.25)), (quanttables.BANDS, (12.0,)), (quanttables.OCTAVES, (40.0, 20.0, 8.0, 3.0)), (quanttables.BANDS, (6.0, -1.0, -1.0)))
+_PER_ERROR = 300.0
+
+
+def _candidate_weights(kind: int, parameters: tuple) -> list[float]:
+    if kind == quanttables.OCTAVES:
+        return [parameters[max(i % 8, i // 8).bit_length()] for i in range(64)]
+    bands = _bands(*parameters)
+    places = [math.hypot(i % 8, i // 8) / 7 * (len(bands) - 1) / quanttables.FARTHEST for i in range(64)]
+    return [bands[int(p)] * ((bands + bands[-1:])[int(p) + 1] / bands[int(p)]) ** (p - int(p)) for p in places]
+
+
+_CHOICES = f"""SELECT tile, choice, cost FROM (SELECT tile, choice, SUM(CASE WHEN q = 0 THEN 0 ELSE 2 * FLOOR(LOG2(CASE WHEN q > 0 THEN 2 * q ELSE -2 * q - 1 END + 1)) + 1 END + {_PER_ERROR} * (v - q / w) * (v - q / w)) AS cost
+FROM (SELECT vec_id // 4 AS tile, t.k AS choice, v, w, SIGN(v) * FLOOR(ABS(v) * w + 0.5) AS q FROM {_DCT} d JOIN {_values([_candidate_weights(*c) for c in _CANDIDATES])} t(k, i, w) ON t.i = d.i) GROUP BY tile, choice) QUALIFY ROW_NUMBER() OVER (PARTITION BY tile ORDER BY cost, choice) = 1"""
+
+
+def _descriptions(spark, sf_dir) -> DataFrame:
+    first = 8 + F.floor(F.abs(F.get("block", F.lit(0))) * 1000) / 10
+    parameters = F.concat(F.array(first), F.transform(F.slice("block", F.lit(2), (F.col("vec_id") % 5).cast("int")), lambda v: v * 4))
+    return _embeddings(spark, sf_dir).select("vec_id", quanttables.table_bytes(F.lit(quanttables.BANDS), parameters).alias("bytes"))
+
+
+def _choices(spark, sf_dir) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 4).alias("tile"), blocks.dct2d(F.col("block")).alias("v"))
+    return quanttables.best_tables(rows, ["tile"], "v", _CANDIDATES, _PER_ERROR)
+
+
+@query(f"SELECT vec_id, printf('00%02x', MAX(n)) || string_agg(printf('%02x%02x', (u + 65536) % 256, (u + 65536) % 65536 // 256), '' ORDER BY k) AS bytes FROM ({_UNITS}) GROUP BY vec_id", "vec_id:l bytes:s")
+def table_bytes(spark, sf_dir):
+    """Descriptions of quantisation tables as they are written."""
+    return _descriptions(spark, sf_dir).select("vec_id", F.lower(F.hex("bytes")).alias("bytes"))
+
+
+@query(
+    f"""WITH b AS (SELECT vec_id, n, k, PRODUCT(CASE WHEN k = 0 THEN p WHEN p > 0 THEN 1 + p ELSE 1 / (1 - p) END) OVER (PARTITION BY vec_id ORDER BY k) AS band FROM (SELECT *, u / 64.0::DOUBLE AS p FROM ({_UNITS}))),
+a AS (SELECT vec_id, i, SQRT((i % 8) * (i % 8) + (i // 8) * (i // 8)) / 7.0::DOUBLE * (vec_id % 5) / {quanttables.FARTHEST!r}::DOUBLE AS pos FROM embeddings, (SELECT range AS i FROM range(64)))
+SELECT a.vec_id, a.i, GREATEST(x.band * POW(COALESCE(y.band, x.band) / x.band, pos - FLOOR(pos)), {quanttables.LEAST_WEIGHT}) AS w FROM a JOIN b x ON x.vec_id = a.vec_id AND x.k = FLOOR(pos) LEFT JOIN b y ON y.vec_id = a.vec_id AND y.k = FLOOR(pos) + 1""",
+    "vec_id:l i:l w:d", 7,
+)
+def table_weights(spark, sf_dir):
+    """Weights of the tables whose descriptions were read from their bytes."""
+    read = _descriptions(spark, sf_dir).select("vec_id", quanttables.read_table(F.col("bytes")).alias("t"))
+    return read.select("vec_id", F.posexplode(quanttables.weights(F.col("t.kind"), F.col("t.parameters"))).alias("i", "w"))
+
+
+@query(_CHOICES, "tile:l choice:l cost:d", 4)
+def best_tables(spark, sf_dir):
+    """The table that each tile's blocks cost least under, in bits and error."""
+    return _choices(spark, sf_dir)
+
+
+@query(f"""WITH t AS (SELECT tile // 16 AS image_id, tile, choice, CASE WHEN choice = LAG(choice) OVER (PARTITION BY tile // 16 ORDER BY tile) THEN 0 ELSE 1 END AS new FROM ({_CHOICES})),
+r AS (SELECT image_id, choice, MIN(tile) AS first, COUNT(*) AS n FROM (SELECT *, SUM(new) OVER (PARTITION BY image_id ORDER BY tile) AS run FROM t) GROUP BY image_id, run, choice)
+SELECT image_id, string_agg(printf('%02x%02x', n - 1, choice), '' ORDER BY first) AS code, SUM(n) AS tiles, SUM(n * choice) AS total FROM r GROUP BY image_id""", "image_id:l code:s tiles:l total:l")
+def table_fields(spark, sf_dir):
+    """Which table the tiles of an image take, as runs; and how many tiles and choices are read back from them."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("tile", "choice"))), lambda s: s["choice"])
+    fields = _choices(spark, sf_dir).groupBy(F.floor(F.col("tile") / 16).alias("image_id")).agg(quanttables.field_bytes(in_order).alias("code"))
+    read = quanttables.read_field(F.col("code"))
+    return fields.select("image_id", "code", F.size(read).alias("tiles"), F.aggregate(read, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
 # Patches ----------------------------------------------------------------------------------------------------------
 
 _SIDE, _USES, _ROUNDS = 3, 3, 14
