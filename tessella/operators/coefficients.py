@@ -3,7 +3,7 @@
 A block gives one symbol for how many values other than 0 it has, whose context is what the blocks above and to the left let
 expect, and one symbol per value, whose context is how many values are left and how far the scan is; every 16 zeros in a row
 are an escape. Symbols are made inside the row. Histograms are one aggregate per (context, symbol), contexts
-share tables by `clusters.merge`, and the tables, at most `CONTEXTS` x 256 numbers whatever the input, go to every task.
+that are alike share a table, and the tables, at most `CONTEXTS` x 256 numbers whatever the input, go to every task.
 A group is an image's planes within a bounded rectangle: it is coded and decoded by one call, with no other group.
 """
 
@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.codes import pack_signed, varlen_bits, varlen_payload
 from tessella.functions.lanes import let
-from tessella.operators import clusters
 from tessella.operators.kernels import BitReader, BitWriter, normalise_counts, read_varint, write_varint
 from tessella.operators.tokens import NO_NEIGHBOUR, from_top_and_left, neighbours
 
@@ -89,14 +89,40 @@ def histograms(symbols: DataFrame) -> DataFrame:
     return rows.groupBy("t.context", "t.symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("t.nbits").alias("extra"))
 
 
+def _merged(counts: np.ndarray, overhead: float) -> list[int]:
+    """Cluster of each row: the two that gain most are merged until none gains; the first pair of equals."""
+    term = lambda x: np.where(x > 0, x * np.log2(np.maximum(x, 1)), 0.0)
+    entropy = lambda h: term(h.sum(-1)) - term(h).sum(-1)
+    sums, alone, of = counts.astype(float), entropy(counts.astype(float)), list(range(len(counts)))
+    gain = np.full((len(counts), len(counts)), -np.inf)
+    for i in range(len(counts) - 1):
+        gain[i, i + 1 :] = overhead - (entropy(sums[i] + sums[i + 1 :]) - alone[i] - alone[i + 1 :])
+    while len(counts) > 1 and gain.max() > 0:
+        i, j = divmod(int(gain.argmax()), len(counts))
+        sums[i] += sums[j]
+        alone[i] = entropy(sums[i])
+        of = [i if k == j else k for k in of]
+        gain[j, :] = gain[:, j] = -np.inf
+        kept = np.array(sorted(set(of) - {i}), dtype=int)
+        fresh = overhead - (entropy(sums[i] + sums[kept]) - alone[i] - alone[kept])
+        gain[np.minimum(kept, i), np.maximum(kept, i)] = fresh
+    return of
+
+
 def tables(counts: DataFrame, overhead: float = TABLE_BITS) -> tuple[dict[int, int], dict[int, list[int]]]:
-    """The map of contexts and the counts of each shared table: bounded by CONTEXTS and 256 symbols, so they come to the driver."""
-    keyed = counts.select(F.lit(0).alias("grp"), "context", "symbol", "n")
-    found = clusters.merge(keyed, overhead)
-    shared: dict[int, list[int]] = {}
-    for r in clusters.cluster_histograms(keyed, found).select("cluster", "symbol", "n").toLocalIterator():
-        shared.setdefault(r["cluster"], [0] * 256)[r["symbol"]] = r["n"]
-    return {r["context"]: r["cluster"] for r in found.toLocalIterator()}, {k: normalise_counts(v, SHARE_BITS) for k, v in shared.items()}
+    """The map of contexts and the shares of each shared table.
+
+    The counts are at most CONTEXTS x 256 numbers, whatever they count, so the driver takes them and merges the
+    best pair of all at a time; `clusters.merge` is the same for groups without such a bound. overhead is what a table costs.
+    """
+    rows = counts.select("context", "symbol", "n").collect()  # bounded by CONTEXTS x 256
+    contexts = sorted({r["context"] for r in rows})
+    whole = np.zeros((len(contexts), 256), dtype=np.int64)
+    for r in rows:
+        whole[contexts.index(r["context"]), r["symbol"]] = r["n"]
+    of = _merged(whole, overhead)
+    members = {k: [i for i, x in enumerate(of) if x == k] for k in set(of)}
+    return dict(zip(contexts, of)), {k: normalise_counts(whole[m].sum(axis=0).tolist(), SHARE_BITS) for k, m in members.items()}
 
 
 def _starts(shares: Sequence[int]) -> list[int]:

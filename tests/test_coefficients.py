@@ -81,6 +81,22 @@ def test_groups_decode_from_their_spans(spark, rows):
     assert promised <= sum(r["length"] for r in found) <= promised * 1.01 + 3 * (12 + 3 * 48)
 
 
+def test_shared_tables_are_the_greedy_ones():
+    r = np.random.default_rng(4)
+    counts = np.array([r.multinomial(r.integers(1, 400), shares) for shares in r.dirichlet(np.ones(256) * 0.03, 4) for _ in range(5)])
+    bits = lambda h: h.sum() * math.log2(h.sum()) - sum(n * math.log2(n) for n in h if n)
+    groups = [[i] for i in range(len(counts))]
+    while True:
+        cost = [bits(counts[g].sum(axis=0)) for g in groups]
+        best = max((90.0 - (bits(counts[groups[i] + groups[j]].sum(axis=0)) - cost[i] - cost[j]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if best[0] <= 0:
+            break
+        groups[-best[1]] += groups.pop(-best[2])
+    of = co._merged(counts, 90.0)
+    assert sorted(sorted(g) for g in groups) == sorted([i for i, x in enumerate(of) if x == k] for k in set(of)) and 1 < len(groups) < 20
+    assert co._merged(counts[:1], 90.0) == [0] and co._merged(counts[:0], 90.0) == []
+
+
 def test_sparse_grids_and_no_blocks(spark):
     rows = [r for r in made(7, images=2) if (r[2] * 5 + r[3] * 3) % 4]
     symbols = co.block_symbols(spark.createDataFrame(rows, SCHEMA), "q")
