@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import blocks, clusters, coefficients, lines, lowfreq, patches, quanttables, search, stencil, tokens, transforms
+from tessella.operators import blocks, clusters, coefficients, fits, lines, lowfreq, patches, predict, quanttables, search, stencil, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
 from tessella.plans.sql import plain, typed
@@ -360,6 +360,70 @@ def table_fields(spark, sf_dir):
     return fields.select("image_id", "code", F.size(read).alias("tiles"), F.aggregate(read, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
+# Lines with knots ------------------------------------------------------------------------------------------------
+
+_SPAN, _EVERY, _KNOT_STEP = 4320, 8, 2
+
+
+def _fit_ctes(name: str, points: str, keys: str) -> str:
+    """CTEs that end in `name` (keys, knot, h): the fit of points (keys, p, v), p in steps; keys are joined by commas."""
+    near = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    return f"""{name}_s AS MATERIALIZED (SELECT {keys}, knot, SUM(own) AS own, SUM(nxt) AS nxt, SUM(v) AS v FROM (SELECT {keys}, CAST(FLOOR(p) AS BIGINT) AS knot, (1 - p + FLOOR(p)) * (1 - p + FLOOR(p)) AS own, (1 - p + FLOOR(p)) * (p - FLOOR(p)) AS nxt, (1 - p + FLOOR(p)) * v AS v FROM ({points})
+UNION ALL SELECT {keys}, CAST(FLOOR(p) AS BIGINT) + 1, (p - FLOOR(p)) * (p - FLOOR(p)), 0, (p - FLOOR(p)) * v FROM ({points}) WHERE p > FLOOR(p)) GROUP BY ALL),
+{name}_k AS MATERIALIZED (SELECT {of('r')}, r.knot, r.last, COALESCE(own, 0) AS own, COALESCE(nxt, 0) AS nxt, COALESCE(v, 0) AS v FROM (SELECT {keys}, last, UNNEST(range(last + 1)) AS knot FROM (SELECT {keys}, MAX(knot) AS last FROM {name}_s GROUP BY ALL)) r LEFT JOIN {name}_s s ON {near('r', 's')} AND r.knot = s.knot),
+{name}_f AS (SELECT {keys}, knot, last, nxt / (own + {fits.RIDGE}) AS link, v / (own + {fits.RIDGE}) AS up, nxt FROM {name}_k WHERE knot = 0
+UNION ALL SELECT {of('k')}, k.knot, k.last, k.nxt / (k.own + {fits.RIDGE} - f.nxt * f.link), (k.v - f.nxt * f.up) / (k.own + {fits.RIDGE} - f.nxt * f.link), k.nxt FROM {name}_f f JOIN {name}_k k ON {near('f', 'k')} AND k.knot = f.knot + 1),
+{name}_b AS (SELECT {keys}, knot, up AS h FROM {name}_f WHERE knot = last UNION ALL SELECT {of('f')}, f.knot, f.up - f.link * b.h FROM {name}_b b JOIN {name}_f f ON {near('f', 'b')} AND f.knot = b.knot - 1),
+{name} AS MATERIALIZED (SELECT {of('b')}, b.knot, CASE WHEN own > 0 THEN h END AS h FROM {name}_b b JOIN {name}_k k ON {near('b', 'k')} AND b.knot = k.knot)"""
+
+
+_MINUTES = f"SELECT event_type, date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts) / {_SPAN}.0::DOUBLE AS p, value AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL"
+_LINES_OF_EVENTS = f"WITH RECURSIVE {_fit_ctes('fit', _MINUTES, 'event_type')}"
+_KNOTS = f"""WITH RECURSIVE {_fit_ctes('along', f"SELECT image_id, c, y, x / {_EVERY}.0::DOUBLE AS p, v FROM {MIX} WHERE v <> 0", 'image_id, c, y')},
+{_fit_ctes('down', f"SELECT image_id, c, knot AS x, y / {_EVERY}.0::DOUBLE AS p, h AS v FROM along WHERE h IS NOT NULL", 'image_id, c, x')}"""
+
+
+def _minutes(spark, sf_dir) -> DataFrame:
+    minute = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", minute.cast("double").alias("minute"), "value")
+
+
+def _knots(spark, sf_dir) -> DataFrame:
+    return fits.plane_knots(make(spark, sf_dir, "mix"), _EVERY, exclude=0.0)
+
+
+@query(f"{_LINES_OF_EVENTS} SELECT event_type, knot, h FROM fit", "event_type:s knot:l h:d", 5)
+def event_lines(spark, sf_dir):
+    """Values of each type of event over time as a line with a knot every three days."""
+    fitted = fits.knot_fit(_minutes(spark, sf_dir), ["event_type"], "minute", "value", _SPAN)
+    return fitted.select("event_type", F.posexplode("heights").alias("knot", "h"))
+
+
+@query(f"{_LINES_OF_EVENTS} SELECT event_type, COUNT(*) AS n, AVG((v - e) * (v - e)) AS error FROM (SELECT m.*, a.h * (1 - p + FLOOR(p)) + COALESCE(b.h, 0) * (p - FLOOR(p)) AS e FROM ({_MINUTES}) m JOIN fit a ON a.event_type = m.event_type AND a.knot = FLOOR(p) LEFT JOIN fit b ON b.event_type = m.event_type AND b.knot = FLOOR(p) + 1) GROUP BY event_type", "event_type:s n:l error:d", 4)
+def event_line_errors(spark, sf_dir):
+    """How far values are from their type's line, squared and on average."""
+    points = _minutes(spark, sf_dir).where("value is not null and minute is not null")
+    fitted = fits.knot_fit(points, ["event_type"], "minute", "value", _SPAN)
+    off = F.col("value") - fits.height_at(F.col("heights"), F.col("minute"), _SPAN)
+    return points.join(fitted, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(off * off).alias("error"))
+
+
+@query(f"{_KNOTS} SELECT image_id, c, knot AS y, x, h AS v FROM down", CELL, 5)
+def plane_knots(spark, sf_dir):
+    """Heights of a smooth surface through the cells of an image that aren't 0."""
+    return _knots(spark, sf_dir)
+
+
+@query(f"""{_KNOTS}, q AS (SELECT image_id, c, knot AS y, x, CAST(FLOOR(h / {_KNOT_STEP} + 0.5) AS BIGINT) AS v FROM down),
+r AS (SELECT q.*, n.v AS n, w.v AS w, d.v AS nw FROM q LEFT JOIN q n ON n.image_id = q.image_id AND n.c = q.c AND n.x = q.x AND n.y = q.y - 1 LEFT JOIN q w ON w.image_id = q.image_id AND w.c = q.c AND w.y = q.y AND w.x = q.x - 1 LEFT JOIN q d ON d.image_id = q.image_id AND d.c = q.c AND d.x = q.x - 1 AND d.y = q.y - 1)
+SELECT image_id, c, y, x, v - CASE WHEN nw IS NULL THEN COALESCE(w, n, 0) ELSE LEAST(GREATEST(n + w - nw, LEAST(n, w, nw)), GREATEST(n, w, nw)) END AS v FROM r""", "image_id:l c:l y:l x:l v:l")
+def plane_knot_residuals(spark, sf_dir):
+    """The surface's heights as they are written: in steps, less what the heights before let expect."""
+    q = _knots(spark, sf_dir).withColumn("v", F.floor(F.col("v") / _KNOT_STEP + 0.5).cast("long"))
+    return predict.gradient_residual(q).withColumn("v", F.col("v").cast("long"))
+
+
 # Patches ----------------------------------------------------------------------------------------------------------
 
 _SIDE, _USES, _ROUNDS = 3, 3, 14
