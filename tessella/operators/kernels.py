@@ -27,7 +27,8 @@ def half_sample_mode(values: Sequence[float], counts: Sequence[int] | None = Non
 
     Of all windows of half the sample's ranks the one whose values lie closest is taken, and its half in turn, until
     two are left; the mode is their mean. Of equally narrow windows the lowest is taken. A narrowest window begins
-    with the first of a value or ends with the last of one, so a step looks at two windows a distinct value.
+    with the first of a value or ends with the last of one, so a step looks at two windows a distinct value. Definitions
+    that look around the centre found so far, and take the median of windows that are nearly as narrow, may end elsewhere.
     """
     v = np.asarray(values, float)
     n = np.ones(len(v), np.int64) if counts is None else np.asarray(counts, np.int64)

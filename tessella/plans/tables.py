@@ -149,7 +149,20 @@ def p_norm7(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.p_norm(F.col("l_quantity"), 7).alias("p_norm"))
 
 
-@query()
+def _mode_sql(rounds: int = 24) -> str:
+    """Rounds that take the narrowest window of half the ranks that are left, among all windows, until two are left."""
+    ctes = [
+        "r AS MATERIALIZED (SELECT event_type, value AS v, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rank FROM events WHERE value IS NOT NULL)",
+        "s0 AS MATERIALIZED (SELECT event_type, 0 AS low, COUNT(*) AS high FROM r GROUP BY event_type)",
+    ]
+    for k in range(rounds):
+        ctes.append(f"""s{k + 1} AS MATERIALIZED (SELECT event_type, low, high FROM s{k} WHERE high - low <= 2 UNION ALL
+SELECT event_type, a, a + take FROM (SELECT s.event_type, a.rank AS a, take, b.v - a.v AS width FROM (SELECT *, (high - low + 1) // 2 AS take FROM s{k} WHERE high - low > 2) s JOIN r a ON a.event_type = s.event_type AND a.rank BETWEEN low AND high - take JOIN r b ON b.event_type = s.event_type AND b.rank = a.rank + take - 1)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY width, a) = 1)""")
+    return f"WITH {', '.join(ctes)} SELECT s.event_type, (a.v + b.v) / 2 AS mode FROM s{rounds} s JOIN r a ON a.event_type = s.event_type AND a.rank = low JOIN r b ON b.event_type = s.event_type AND b.rank = high - 1"
+
+
+@query(_mode_sql(), "event_type:s mode:d")
 def half_sample_mode(spark, sf_dir):
     """Robust mode of each event type's values, from its distinct values and their counts."""
     counted = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
