@@ -2,7 +2,7 @@
 
 A description is a kind and its parameters, kept in 64ths of a whole so that writing it loses nothing more. It is one row, and
 everything about it is an expression inside the row. The choice among candidates, a parameter of the operator and so
-bounded, prices each block under every candidate where the block is; only (tile, candidate) sums are shuffled.
+bounded, prices each block under every candidate where the block is; only a tile's sums, one per candidate, are shuffled.
 """
 
 from __future__ import annotations
@@ -106,10 +106,10 @@ def best_tables(blocks: DataFrame, keys: Sequence[str], coefficients: str, candi
     if any(t is None for t in tables):
         raise ValueError("a candidate has too few parameters")
     v = F.col(coefficients)
-    costs = F.array(*[priced(v, F.array(*map(F.lit, t)), per_error) for t in tables])
-    sums = blocks.select(*keys, F.posexplode(costs).alias("choice", "cost")).groupBy(*keys, "choice").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
-    best = sums.groupBy(*keys).agg(F.min(F.struct("cost", "choice")).alias("_best"))
-    return best.select(*keys, F.col("_best.choice").alias("choice"), F.col("_best.cost").alias("cost"))
+    rows = blocks.select(*keys, F.array(*[priced(v, F.array(*map(F.lit, t)), per_error) for t in tables]).alias("_costs"))
+    sums = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(F.get("_costs", F.lit(k))), F.lit(0.0)).alias(f"_cost{k}") for k in range(len(tables))])
+    best = F.array_min(F.array(*[F.struct(F.col(f"_cost{k}").alias("cost"), F.lit(k).alias("choice")) for k in range(len(tables))]))
+    return sums.withColumn("_best", best).select(*keys, F.col("_best.choice").alias("choice"), F.col("_best.cost").alias("cost"))
 
 
 def field_bytes(choices: Column) -> Column:
