@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import names
-from tessella.operators import blocks, clusters, coefficients, fits, lines, lowfreq, patches, predict, quanttables, search, stencil, tokens, transforms
+from tessella.functions import color, names
+from tessella.operators import blocks, clusters, coefficients, colorspace, fits, lines, lowfreq, patches, predict, quanttables, search, stencil, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
-from tessella.plans.grids import _BASIS, _CELLS, _DCT, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, make, size
+from tessella.plans.grids import _BASIS, _CELLS, _DCT, _RGB, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, _rgb, make, size
 from tessella.plans.sql import plain, typed
 from tessella.plans.tables import TABLE_BITS, clusters_sql
 from tessella.sources import chunks, images, spans
@@ -133,6 +134,100 @@ def line_difference(spark, sf_dir):
     return lines.line_difference(a, b, W, H, _ABOVE, _BELOW, _NORM)
 
 
+# Colours of described encodings ----------------------------------------------------------------------------
+# The source of a cell goes by its image and row, its target by its column.
+
+_SOURCES = ("RGB_D65_SRG_Rel_SRG", "RGB_D65_202_Per_PeQ", "RGB_D50_Ado_Rel_g0.4547069", "RGB_EER_DCI_Abs_Lin", "RGB_D60_AP0_Rel_HLG")
+_TARGETS = ("RGB_D65_202_Rel_HLG", "RGB_D60_AP1_Rel_PeQ", "RGB_D50_AP1_Abs_Lin", "Gra_D50_Rel_g0.5", "RGB_EER_SRG_Sat_SRG", "RGB_D65_Ado_Per_g0.4547069")
+_CONES = np.array(colorspace.BRADFORD)
+_white = lambda x, y: np.array([x / y, 1, (1 - x - y) / y])
+_D50 = _white(*colorspace.CONNECTION_WHITE)
+
+
+def _light(name: str, adapted: bool) -> np.ndarray:
+    """Linear light of a described space to XYZ."""
+    _, white, primaries, *_ = name.split("_")
+    six, w = names.PRIMARIES[primaries], _white(*names.WHITE_POINTS[white])
+    p = np.array([_white(*six[k : k + 2]) for k in (0, 2, 4)]).T
+    own = p * np.linalg.solve(p, w)
+    return np.linalg.inv(_CONES) @ np.diag(_CONES @ _D50 / (_CONES @ w)) @ _CONES @ own if adapted else own
+
+
+def _between(source: str, target: str) -> np.ndarray:
+    adapted = "_Abs_" not in target
+    return np.tile((0.0, 1.0, 0.0), (3, 1)) @ _light(source, adapted) if target.startswith("Gra") else np.linalg.inv(_light(target, adapted)) @ _light(source, adapted)
+
+
+def _curve(v: str, name: str, decode: bool) -> str:
+    """The transfer function of a described encoding in SQL."""
+    kind = name.split("_")[-1]
+    hlg, pq = (color.HLG_A, color.HLG_B, color.HLG_C), (color.PQ_M1, color.PQ_M2, color.PQ_C1, color.PQ_C2, color.PQ_C3)
+    if kind == "Lin":
+        return v
+    if kind == "SRG":
+        knee = color.SRGB_KNEE / 255
+        return f"CASE WHEN {v} <= {knee} THEN {v} / 12.92 ELSE POW(({v} + 0.055) / 1.055, 2.4) END" if decode else f"CASE WHEN {v} <= {knee / 12.92} THEN {v} * 12.92 ELSE 1.055 * POW({v}, 1 / 2.4) - 0.055 END"
+    if kind == "HLG":
+        a, b, c = hlg
+        return f"CASE WHEN {v} <= 0.5 THEN {v} * {v} / 3 ELSE (EXP(({v} - {c}) / {a}) + {b}) / 12 END" if decode else f"CASE WHEN {v} <= 1.0 / 12 THEN SQRT(3 * {v}) ELSE {a} * LN(GREATEST(12 * {v} - {b}, 1e-9)) + {c} END"
+    if kind == "PeQ":
+        m, n, a, b, c = pq
+        power = f"POW({v}, 1 / {n}::DOUBLE)"
+        return f"POW(GREATEST({power} - {a}, 0) / ({b} - {c} * {power}), 1 / {m}::DOUBLE)" if decode else f"CASE WHEN {v} = 0 THEN 0 ELSE POW(({a} + {b} * POW({v}, {m}::DOUBLE)) / (1 + {c} * POW({v}, {m}::DOUBLE)), {n}::DOUBLE) END"
+    return f"POW({v}, {'1 / ' if decode else ''}{float(kind[1:])}::DOUBLE)"
+
+
+def _curves(by: str, v: str, encodings: tuple, decode: bool) -> str:
+    return f"SIGN({v}) * CASE {by} " + " ".join(f"WHEN {k} THEN {_curve(f'ABS({v})', name, decode)}" for k, name in enumerate(encodings)) + " END"
+
+
+_PAIRS = ", ".join(f"({i}, {j}, " + ", ".join(f"{x!r}::DOUBLE" for x in _between(a, b).ravel().tolist()) + ")" for i, a in enumerate(_SOURCES) for j, b in enumerate(_TARGETS))
+
+
+@query(
+    f"""WITH p AS (SELECT image_id, y, x, (image_id + y) % {len(_SOURCES)} AS s, x % {len(_TARGETS)} AS t, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM {_RGB}),
+l AS (SELECT image_id, y, x, s, t, {', '.join(f"{_curves('s', c, _SOURCES, True)} AS {c}" for c in 'rgb')} FROM p),
+m AS (SELECT image_id, y, x, t, {', '.join(f"m{3 * k} * r + m{3 * k + 1} * g + m{3 * k + 2} * b AS {c}" for k, c in enumerate('rgb'))} FROM l JOIN (VALUES {_PAIRS}) k(s, t, {', '.join(f'm{k}' for k in range(9))}) USING (s, t))
+SELECT image_id, y, x, {', '.join(f"{_curves('t', c, _TARGETS, False)} AS {c}" for c in 'rgb')} FROM m""",
+    "image_id:l y:l x:l r:d g:d b:d", 5,
+)
+def converted_colours(spark, sf_dir):
+    """Cells of images in five encodings, turned into six others, one of them gray and one as measured."""
+    pick = lambda at, values: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    cells = _rgb(spark, sf_dir).select("image_id", "y", "x", *[(F.col(c) / 255).alias(c) for c in "rgb"], pick(F.col("image_id") + F.col("y"), _SOURCES).alias("source"), pick(F.col("x"), _TARGETS).alias("target"))
+    return colorspace.convert(cells).select("image_id", "y", "x", "r", "g", "b")
+
+
+_OWN_PRIMARIES = ("SRG", "202", "AP1")
+_MOVED = lambda k: f"FLOOR(ABS(embedding[{k + 1}]::DOUBLE) * 1000) % 50 / 10000"
+_DET = "({0} * ({5} - {4}) - {1} * ({5} - {3}) + {2} * ({4} - {3}))".format  # of a matrix whose middle row is ones
+_SEEN = [" + ".join(f"{float(_CONES[k][i])!r} * o{3 * i + j}" for i in range(3)) for k in range(3) for j in range(3)]
+_COFACTOR = lambda i, j: "(a{} * a{} - a{} * a{})".format(*[3 * ((i + p) % 3) + (j + q) % 3 for p, q in ((1, 1), (2, 2), (1, 2), (2, 1))])
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, vec_id % 7 = 0 AS gray, {', '.join(f"{names.WHITE_POINTS['D65'][k]} + {_MOVED(k)} AS w{k}" for k in range(2))}, {', '.join(f"{[float(names.PRIMARIES[n][k]) for n in _OWN_PRIMARIES]!r}[vec_id % 3 + 1] + {_MOVED(2 + k)} AS p{k}" for k in range(6))} FROM embeddings),
+c AS (SELECT vec_id, gray, w0 / w1 AS wx, (1 - w0 - w1) / w1 AS wz, {', '.join(f"p{2 * k} / p{2 * k + 1} AS x{c}, (1 - p{2 * k} - p{2 * k + 1}) / p{2 * k + 1} AS z{c}" for k, c in enumerate('rgb'))} FROM e),
+d AS (SELECT *, {_DET('wx', 'xg', 'xb', 'wz', 'zg', 'zb')} / {_DET('xr', 'xg', 'xb', 'zr', 'zg', 'zb')} AS sr, {_DET('xr', 'wx', 'xb', 'zr', 'wz', 'zb')} / {_DET('xr', 'xg', 'xb', 'zr', 'zg', 'zb')} AS sg, {_DET('xr', 'xg', 'wx', 'zr', 'zg', 'wz')} / {_DET('xr', 'xg', 'xb', 'zr', 'zg', 'zb')} AS sb FROM c),
+o AS (SELECT vec_id, gray, wx, wz, {', '.join(f"CASE WHEN gray THEN {w} / 3 ELSE {(row + c + ' * ' if row else '') + 's' + c} END AS o{3 * i + j}" for i, (row, w) in enumerate((('x', 'wx'), ('', '1.0::DOUBLE'), ('z', 'wz'))) for j, c in enumerate('rgb'))} FROM d),
+q AS (SELECT *, {', '.join(f"({_SEEN[3 * k + j]}) * {float((_CONES @ _D50)[k])!r} / ({float(_CONES[k][0])!r} * wx + {float(_CONES[k][1])!r} + {float(_CONES[k][2])!r} * wz) AS q{3 * k + j}" for k in range(3) for j in range(3))} FROM o),
+a AS (SELECT *, {', '.join(' + '.join(f"({float(np.linalg.inv(_CONES)[i][k])!r}) * q{3 * k + j}" for k in range(3)) + f" AS a{3 * i + j}" for i in range(3) for j in range(3))} FROM q),
+b AS (SELECT *, [{', '.join(f'o{k}' for k in range(9))}] AS own, [{', '.join(f'a{k}' for k in range(9))}] AS adapted, CASE WHEN gray THEN [0.0, 1, 0, 0, 1, 0, 0, 1, 0] ELSE [{', '.join(f"{_COFACTOR(j, i)} / (a0 * {_COFACTOR(0, 0)} + a1 * {_COFACTOR(0, 1)} + a2 * {_COFACTOR(0, 2)})" for i in range(3) for j in range(3))}] END AS back FROM a)
+SELECT vec_id, i, own[i + 1] AS own, adapted[i + 1] AS adapted, back[i + 1] AS back FROM b, (SELECT range AS i FROM range(9))""",
+    "vec_id:l i:l own:d adapted:d back:d", 6,
+)
+def profile_matrices(spark, sf_dir):
+    """Matrices of spaces with chromaticities of their own, every seventh gray, to the connection space and back."""
+    moved = lambda k: F.floor(F.abs(F.get("block", F.lit(k))) * 1000) % 50 / 10000
+    base = lambda k: F.element_at(F.array(*[F.lit(float(names.PRIMARIES[n][k])) for n in _OWN_PRIMARIES]), (F.col("vec_id") % 3 + 1).cast("int"))
+    own = _embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("name"), F.array(*[F.lit(names.WHITE_POINTS["D65"][k]) + moved(k) for k in range(2)]).alias("white"), F.array(*[base(k) + moved(2 + k) for k in range(6)]).alias("primaries"),
+        F.lit("Lin").alias("transfer"), F.lit(None).cast("double").alias("gamma"), F.lit(False).alias("absolute"), (F.col("vec_id") % 7 == 0).alias("gray"),
+    )
+    rows = colorspace.profiles(own).select("name", F.posexplode(F.arrays_zip("own", "adapted", "adapted_back")).alias("i", "m"))
+    return rows.select(F.col("name").alias("vec_id"), "i", "m.own", "m.adapted", F.col("m.adapted_back").alias("back"))
+
+
 # Coefficients of other block sizes ----------------------------------------------------------------------------
 
 
