@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels, metrics, stencil
+from tessella.operators import kernels, lines, metrics, stencil
 from tessella.operators.grid import KEY
 from tessella.operators.linalg import minimise
+from tessella.storage import materialize
 
 BLOCK_KEY = ["image_id", "c", "by", "bx"]
 
@@ -152,17 +155,27 @@ def apply_factors(pixels: DataFrame, factors: DataFrame, sign: float, main: int
 #: Blurs that part the bands, wide to narrow, and the bands' weights in the distance.
 BAND_SIGMAS = (7.0, 3.2, 1.6)
 BAND_WEIGHTS = (0.5, 1.0, 1.5, 2.0)
+#: Weights above and below and the norm of differences along lines.
+LINE_LIMITS = (1.1, 0.9, 70.0)
+#: Planes of the second image, and of each further band, are numbered from here.
+_OTHER = 1 << 10
+
 
+def bands(pixels: DataFrame, width: int, height: int, sigmas: Sequence[float] | None = None) -> DataFrame:
+    """(image_id, c, y, x, band, v): what each blur takes from the one before; the bands sum to the image.
 
-def bands(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, c, y, x, band, v): what each blur takes from the one before; the bands sum to the image."""
+    What a blur leaves is read twice, so it is written in between: the work grows with the number of bands, not with its power.
+    """
+    sigmas = BAND_SIGMAS if sigmas is None else sigmas
     rest, out = pixels.select(*KEY, "v"), None
-    for k, sigma in enumerate(BAND_SIGMAS):
-        low = stencil.blur(rest, width, height, sigma)
-        part = low.withColumn("band", F.lit(k))
+    for k, sigma in enumerate(sigmas):
+        low = stencil.blur(rest, width, height, sigma).withColumnRenamed("v", "w")
+        both = materialize(rest.join(low, KEY), f"band{k}")
+        part = both.select(*KEY, F.col("w").alias("v"), F.lit(k).alias("band"))
         out = part if out is None else out.unionByName(part)
-        rest = rest.join(low.withColumnRenamed("v", "w"), KEY).select(*KEY, (F.col("v") - F.col("w")).alias("v"))
-    return out.unionByName(rest.withColumn("band", F.lit(len(BAND_SIGMAS))))
+        rest = both.select(*KEY, (F.col("v") - F.col("w")).alias("v"))
+    last = rest.withColumn("band", F.lit(len(sigmas)))
+    return last if out is None else out.unionByName(last)
 
 
 def distance_map(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
@@ -179,6 +192,38 @@ def distance(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
     return metrics.score(distance_map(a, b, width, height), ["image_id"])
 
 
+def line_distance_map(a: DataFrame, b: DataFrame, width: int, height: int, sigmas: Sequence[float] | None = None, line_bands: int = 2, limits: tuple[float, float, float] = LINE_LIMITS) -> DataFrame:
+    """(image_id, y, x, v): as distance_map, but the line_bands finest bands differ along lines, and the flatter of both images masks.
+
+    Both images go through the blurs together, as planes of one: each pass shuffles once for the two of them. The bands of a cell meet
+    in one aggregate, and so do all fine bands in the one shuffle of their lines. Null cells and cells that one image lacks count as 0.
+    """
+    sigmas = BAND_SIGMAS if sigmas is None else sigmas
+    plane = F.expr(f"pmod(c, {_OTHER})").cast("int").alias("c")
+    filled = lambda p, add: p.select("image_id", (F.col("c") + add).cast("int").alias("c"), "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    both = materialize(filled(a, 0).unionByName(filled(b, _OTHER)), "both")
+    of = lambda side: F.coalesce(F.max(F.when((F.col("c") >= _OTHER) == side, F.col("v"))), F.lit(0.0))
+    pairs = bands(both, width, height, sigmas).groupBy("image_id", plane, "y", "x", "band").agg(of(False).alias("v"), of(True).alias("w"))
+    pairs, first = materialize(pairs, "pairs"), len(sigmas) + 1 - line_bands
+    # a plane per band, so that one shuffle serves all lines
+    fine = pairs.where(F.col("band") >= first).select("image_id", (F.col("c") + _OTHER * F.col("band")).alias("c"), "y", "x", lines.weighed_difference(F.col("v"), F.col("w"), *limits).alias("v"))
+    fine = lines.line_energy(fine, width, height).select("image_id", plane, "y", "x", F.expr(f"c div {_OTHER}").cast("int").alias("band"), "v")
+    coarse = pairs.where(F.col("band") < first).select(*KEY, "band", F.pow(F.col("v") - F.col("w"), F.lit(2)).alias("v"))
+    weight = F.element_at(F.array(*map(F.lit, BAND_WEIGHTS)), F.col("band") + 1)
+    squared = fine.unionByName(coarse).groupBy(*KEY).agg(F.sum(weight * F.col("v")).alias("d"))
+    flat = stencil.blur(activity(both, 255.0), width, height, 2.0).groupBy("image_id", plane, "y", "x").agg(masking(F.min("v"), 1.0, 0.1).alias("m"))
+    return squared.join(flat, KEY).groupBy("image_id", "y", "x").agg(metrics.difference_map(F.sum(F.col("d") * F.col("m"))).alias("v"))
+
+
+def line_distance(a: DataFrame, b: DataFrame, width: int, height: int, sigmas: Sequence[float] | None = None) -> DataFrame:
+    """(image_id, score, norm): the largest value of the map, and the mean of its 3rd, 6th and 12th power norms.
+
+    Equal images are 0 apart but for the rounding of sums, whose parts arrive in any order (below 1e-12).
+    """
+    power = [F.pow(F.avg(F.pow(F.col("v"), F.lit(k))), F.lit(1 / k)) for k in (3.0, 6.0, 12.0)]
+    return line_distance_map(a, b, width, height, sigmas).groupBy("image_id").agg(F.max("v").alias("score"), ((power[0] + power[1] + power[2]) / 3).alias("norm"))
+
+
 def distance_over_backgrounds(a: DataFrame, b: DataFrame, alpha: DataFrame, opaque: int, width: int, height: int) -> DataFrame:
     """With opacity (image_id, y, x, a): the larger of the distances over black and over white."""
     from tessella.functions.color import alpha_blend

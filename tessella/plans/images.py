@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, names
-from tessella.operators import blocks, clusters, coefficients, colorspace, fits, lines, lowfreq, patches, predict, quanttables, search, stencil, tokens, transforms
+from tessella.operators import blocks, clusters, coefficients, colorspace, fits, lines, lowfreq, patches, perceptual, predict, quanttables, search, stencil, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, _RGB, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, _rgb, make, size
 from tessella.plans.sql import plain, typed
@@ -134,6 +134,45 @@ def line_difference(spark, sf_dir):
     return lines.line_difference(a, b, W, H, _ABOVE, _BELOW, _NORM)
 
 
+# Distance of images ------------------------------------------------------------------------------------------
+
+_SIGMAS = (3.2, 1.6)
+
+
+def _blur_ctes(name: str, source: str, sigma: float) -> str:
+    """CTEs that end in `name`: the blur of `source` along rows, then along columns, weights normalised at the borders."""
+    radius = max(1, math.ceil(2.25 * sigma))
+    taps = ", ".join(f"({k - radius}, {w!r}::DOUBLE)" for k, w in enumerate(stencil.gaussian(radius, sigma)))
+    along = lambda of, at, n: f"SELECT image_id, c, {'y, x + d AS x' if at == 'x' else 'y + d AS y, x'}, SUM(w * v) / SUM(w) AS v FROM {of}, (VALUES {taps}) k(d, w) WHERE {at} + d >= 0 AND {at} + d < {n} GROUP BY ALL"
+    return f"{name}_x AS MATERIALIZED ({along(source, 'x', W)}), {name} AS MATERIALIZED ({along(name + '_x', 'y', H)})"
+
+
+_GAPS = ", ".join(f"ABS(v - {f}(v) OVER (PARTITION BY image_id, c, {a} ORDER BY {b}))" for f in ("LAG", "LEAD") for a, b in (("y", "x"), ("x", "y")))
+_DISTANCE = f"""WITH r0 AS MATERIALIZED (SELECT image_id, c, y, x, v FROM {MIX} UNION ALL SELECT image_id, c + 10, y, x, v FROM {MIX_B}),
+{_blur_ctes('l0', 'r0', _SIGMAS[0])}, r1 AS MATERIALIZED (SELECT image_id, c, y, x, r.v - l.v AS v FROM r0 r JOIN l0 l USING (image_id, c, y, x)),
+{_blur_ctes('l1', 'r1', _SIGMAS[1])}, r2 AS (SELECT image_id, c, y, x, r.v - l.v AS v FROM r1 r JOIN l1 l USING (image_id, c, y, x)),
+n AS MATERIALIZED (SELECT p.band, p.image_id, p.c, p.y, p.x, p.v AS a, q.v AS b FROM (SELECT 0 AS band, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM r2) p JOIN (SELECT 0 AS band, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM r2) q ON q.band = p.band AND q.image_id = p.image_id AND q.c = p.c + 10 AND q.y = p.y AND q.x = p.x),
+d AS (SELECT band, image_id, c, y, x, {_PART(lines.WEIGHT, _ABOVE)} * (a - b) + CASE WHEN a < b THEN -1 ELSE 1 END * {_PART(lines.SURCHARGE, _BELOW)} * GREATEST({lines.LEAST_SHARE} * ABS(a) - seen, seen - {lines.LARGEST_SHARE} * ABS(a), 0) AS d FROM (SELECT *, CASE WHEN a < 0 THEN -b ELSE b END AS seen FROM n WHERE band > 0)),
+s AS (SELECT band, image_id, c, y - dy AS y, x - dx AS x, line, SUM(d) AS s FROM d, (VALUES {_LINES}) t(line, dx, dy) GROUP BY ALL),
+e AS (SELECT image_id, c, y, x, SUM(w * e) AS e FROM (SELECT band, image_id, c, y, x, SUM(s * s) AS e FROM s WHERE x >= 0 AND y >= 0 AND x < {W} AND y < {H} GROUP BY ALL UNION ALL SELECT band, image_id, c, y, x, (a - b) * (a - b) FROM n WHERE band = 0) JOIN (VALUES {', '.join(f'({k}, {w}::DOUBLE)' for k, w in enumerate(perceptual.BAND_WEIGHTS))}) k(band, w) USING (band) GROUP BY ALL),
+gaps AS (SELECT image_id, c, y, x, LEAST(list_avg([{_GAPS}]), 255) AS v FROM r0),
+{_blur_ctes('calm', 'gaps', 2.0)},
+m AS (SELECT image_id, c % 10 AS c, y, x, 1 / (1 + 0.1 * MIN(v)) AS m FROM calm GROUP BY ALL),
+cells AS (SELECT image_id, y, x, CASE WHEN d < 1e-4 THEN 100 * d ELSE SQRT(d) END AS v FROM (SELECT image_id, y, x, SUM(e * m) AS d FROM e JOIN m USING (image_id, c, y, x) GROUP BY ALL))"""
+
+
+@query(f"{_DISTANCE} SELECT image_id, y, x, v FROM cells", "image_id:l y:l x:l v:d", 5)
+def distance_cells(spark, sf_dir):
+    """How far apart two images look, cell by cell: blurred bands by squares, fine ones along lines, masked by what is around."""
+    return perceptual.line_distance_map(make(spark, sf_dir, "mix"), make(spark, sf_dir, "mix_b"), W, H, _SIGMAS)
+
+
+@query(f"{_DISTANCE} SELECT image_id, MAX(v) AS score, (" + " + ".join(f"POW(AVG(POW(v, {k})), 1 / {k}.0::DOUBLE)" for k in (3, 6, 12)) + ") / 3 AS norm FROM cells GROUP BY image_id", "image_id:l score:d norm:d", 5)
+def image_distance(spark, sf_dir):
+    """The distance of two images as one figure: the worst cell, and norms over all cells."""
+    return perceptual.line_distance(make(spark, sf_dir, "mix"), make(spark, sf_dir, "mix_b"), W, H, _SIGMAS)
+
+
 # Colours of described encodings ----------------------------------------------------------------------------
 # The source of a cell goes by its image and row, its target by its column.
 

@@ -23,6 +23,29 @@ def test_distance_is_zero_for_equal_images_only(image):
     assert same == 0 < far
 
 
+def test_line_distance_sees_edges_more_than_scattered_errors(spark, image):
+    flat = grid.generate(spark, 16, 16, 1, F.lit(128.0))
+    cells = [(3, 2), (7, 11), (12, 5), (9, 14), (1, 9), (14, 1), (5, 7)]
+    edge, dots = F.col("x").between(4, 10) & (F.col("y") == 8), F.lit(False)
+    for x, y in cells:
+        dots = dots | ((F.col("x") == x) & (F.col("y") == y))
+    far = {name: perceptual.line_distance(flat, flat.withColumn("v", F.when(hit, 168.0).otherwise(F.col("v"))), 16, 16).first() for name, hit in (("edge", edge), ("dots", dots))}
+    assert far["edge"]["score"] > far["dots"]["score"] > 0 and far["edge"]["norm"] < far["edge"]["score"]
+    same = perceptual.line_distance(image, image, 16, 16).first()
+    assert max(same["score"], same["norm"]) < 1e-12  # sums are rounded in the order in which parts arrive
+
+
+def test_line_distance_is_masked_by_the_flatter_image_and_takes_nulls_as_0(spark):
+    flat = grid.generate(spark, 16, 16, 1, F.lit(0.0))
+    busy = flat.withColumn("v", F.when((F.col("x") + F.col("y")) % 2 == 0, 200.0).otherwise(0.0))
+    hurt = lambda p: p.withColumn("v", F.col("v") + F.when((F.col("x") == 8) & (F.col("y") == 8), 30).otherwise(0))
+    on_flat, on_busy = (perceptual.line_distance(p, hurt(p), 16, 16).first()["score"] for p in (flat, busy))
+    assert on_flat > 2 * on_busy > 0
+    gone = busy.withColumn("v", F.when(F.col("v") > 0, F.col("v")))
+    assert perceptual.line_distance(busy, gone, 16, 16).first()["score"] < 1e-12
+    assert perceptual.line_distance(busy.limit(0), busy.limit(0), 16, 16).count() == 0
+
+
 def test_bands_sum_to_the_image(image):
     back = perceptual.bands(image, 16, 16).groupBy(*grid.KEY).agg(F.sum("v").alias("v"))
     assert grid.relative_error(image, back).first()["max_abs"] < 1e-9
