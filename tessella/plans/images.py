@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, names
-from tessella.operators import blocks, clusters, coefficients, colorspace, fits, lines, lowfreq, patches, perceptual, predict, quanttables, search, stencil, tokens, transforms
+from tessella.operators import blocks, clusters, coefficients, colorspace, factormaps, fits, lines, lowfreq, patches, perceptual, predict, quanttables, search, stencil, tokens, transforms
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, _RGB, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, _rgb, make, size
 from tessella.plans.sql import plain, typed
@@ -173,6 +173,47 @@ def image_distance(spark, sf_dir):
     return perceptual.line_distance(make(spark, sf_dir, "mix"), make(spark, sf_dir, "mix_b"), W, H, _SIGMAS)
 
 
+# Factors between planes ----------------------------------------------------------------------------------------
+
+_TILE, _ZERO_STEP = 8, 40.0
+_SIGNED = f"(SELECT image_id, c, y, x, v - 128 AS v FROM {MIX})"
+_FACTORS = f"""WITH p AS MATERIALIZED (SELECT o.image_id, o.c, o.y // {_TILE} AS ty, o.x // {_TILE} AS tx, CEIL(LEAST((o.v - {_ZERO_STEP} / 2) / m.v, (o.v + {_ZERO_STEP} / 2) / m.v) * 64 + 128) AS first, FLOOR(GREATEST((o.v - {_ZERO_STEP} / 2) / m.v, (o.v + {_ZERO_STEP} / 2) / m.v) * 64 + 128) AS last
+FROM {_SIGNED} o JOIN {_SIGNED} m ON o.c <> 1 AND m.c = 1 AND m.image_id = o.image_id AND m.y = o.y AND m.x = o.x AND m.v <> 0),
+n AS MATERIALIZED (SELECT image_id, c, ty, tx, f, COUNT(*) AS n FROM p JOIN (SELECT range AS f FROM range(256)) ON f BETWEEN first AND last GROUP BY ALL),
+own AS (SELECT image_id, c, ty, tx, ARG_MIN(f, f - n * 1000) AS f, MAX(n) AS n FROM n GROUP BY ALL),
+whole AS (SELECT image_id, c, ARG_MIN(f, f - n * 1000) AS f, MAX(n) AS n FROM (SELECT image_id, c, f, SUM(n) AS n FROM n GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT DISTINCT image_id, c, y // {_TILE} AS ty, x // {_TILE} AS tx FROM {MIX} WHERE c <> 1),
+j AS (SELECT t.*, o.f, COALESCE(o.n, 0) AS n, w.f AS wf, COALESCE(w.n, 0) AS wn, COALESCE(h.n, 0) AS hn, SUM(COALESCE(o.n, 0)) OVER (PARTITION BY t.image_id, t.c) > 1.25 * COALESCE(w.n, 0) AS better FROM t LEFT JOIN own o USING (image_id, c, ty, tx) LEFT JOIN whole w USING (image_id, c) LEFT JOIN n h ON h.image_id = t.image_id AND h.c = t.c AND h.ty = t.ty AND h.tx = t.tx AND h.f = w.f),
+found AS MATERIALIZED (SELECT image_id, c, ty, tx, COALESCE(CASE WHEN better THEN f ELSE wf END, 128) AS factor, CASE WHEN better THEN n ELSE hn END AS zeros FROM j)"""
+
+
+def _signed(spark, sf_dir) -> DataFrame:
+    return make(spark, sf_dir, "mix").withColumn("v", F.col("v") - 128)
+
+
+@query(f"{_FACTORS} SELECT * FROM found", "image_id:l c:l ty:l tx:l factor:l zeros:l")
+def factor_maps(spark, sf_dir):
+    """The factor of the main plane that quantises most cells of each tile to zero, or of the whole plane if that is nearly as good."""
+    return factormaps.best_factors(_signed(spark, sf_dir), _ZERO_STEP, tile=_TILE)
+
+
+@query(f"""{_FACTORS}, d AS (SELECT image_id, c, ty * 1000 + tx AS k, (factor - COALESCE(LAG(factor) OVER (PARTITION BY image_id, c ORDER BY ty, tx), 128) + 256) % 256 AS d FROM found),
+u AS (SELECT image_id, c, k, CASE WHEN d < 128 THEN 2 * d ELSE 511 - 2 * d END AS u FROM d),
+r AS (SELECT *, SUM(new) OVER (PARTITION BY image_id, c ORDER BY k) AS run FROM (SELECT *, CASE WHEN u = LAG(u) OVER (PARTITION BY image_id, c ORDER BY k) THEN 0 ELSE 1 END AS new FROM u))
+SELECT image_id, c, {W // _TILE} AS across, string_agg(printf('%02x%02x', n - 1, u), '' ORDER BY run) AS code FROM (SELECT image_id, c, run, u, COUNT(*) AS n FROM r GROUP BY ALL) GROUP BY image_id, c""", "image_id:l c:l across:l code:s")
+def factor_map_codes(spark, sf_dir):
+    """Those maps as they are written."""
+    return factormaps.map_bytes(factormaps.best_factors(_signed(spark, sf_dir), _ZERO_STEP, tile=_TILE))
+
+
+@query(f"{_FACTORS} SELECT o.image_id, o.c, o.y, o.x, o.v - COALESCE((factor - 128) / 64.0::DOUBLE * m.v, 0) AS v FROM {_SIGNED} o LEFT JOIN found f ON f.image_id = o.image_id AND f.c = o.c AND f.ty = o.y // {_TILE} AND f.tx = o.x // {_TILE} LEFT JOIN {_SIGNED} m ON m.c = 1 AND m.image_id = o.image_id AND m.y = o.y AND m.x = o.x")
+def planes_less_main(spark, sf_dir):
+    """Planes less what their written and read maps predict from the main one."""
+    cells = _signed(spark, sf_dir)
+    read = factormaps.read_map(factormaps.map_bytes(factormaps.best_factors(cells, _ZERO_STEP, tile=_TILE)))
+    return factormaps.apply_map(cells, read, -1, tile=_TILE)
+
+
 # Colours of described encodings ----------------------------------------------------------------------------
 # The source of a cell goes by its image and row, its target by its column.
 
