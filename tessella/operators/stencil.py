@@ -74,8 +74,13 @@ def convolve(pixels: DataFrame, width: int, height: int, taps: Taps, policy: str
         xs, ys = _readers(F.col("x"), dx, width, policy), _readers(F.col("y"), dy, height, policy)
         return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y"), F.lit(float(w)).alias("w")))))
 
-    steps = [targets(*tap) for tap in taps]
-    sent = pixels.select("image_id", "c", "v", F.explode(F.concat(*steps)).alias("t"))
+    if policy == "drop":  # nothing is folded back inside: the taps are one constant array
+        taps_at = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for dx, dy, w in taps])
+        to = pixels.select("image_id", "c", "y", "x", "v", F.explode(taps_at).alias("k"))
+        to = to.select("image_id", "c", "v", (F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), F.col("k.w").alias("w"))
+        sent = to.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height)).select("image_id", "c", "v", F.struct("x", "y", "w").alias("t"))
+    else:
+        sent = pixels.select("image_id", "c", "v", F.explode(F.concat(*[targets(*tap) for tap in taps])).alias("t"))
     cells = sent.groupBy("image_id", "c", F.col("t.y").alias("y"), F.col("t.x").alias("x"))
     total = F.sum(F.col("t.w") * F.col("v"))
     return cells.agg((total / F.sum("t.w") if normalise else total).alias("v")).select(*KEY, "v")
