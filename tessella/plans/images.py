@@ -13,7 +13,7 @@ from tessella.operators import blocks, clusters, coefficients, colorspace, facto
 from tessella.plans.codec import _BIG, _CONTEXT, _ORDER, _TOKENS, _bands, _basis_sql, _mosaic, _tokens
 from tessella.plans.grids import _BASIS, _CELLS, _DCT, _RGB, CELL, DOTS, H, MIX, MIX_B, W, _embeddings, _rgb, make, size
 from tessella.plans.sql import plain, typed
-from tessella.plans.tables import TABLE_BITS, clusters_sql
+from tessella.plans.tables import CLUSTER_ROUNDS, TABLE_BITS, clusters_sql
 from tessella.sources import chunks, images, spans
 from tessella.storage import new_folder
 
@@ -365,11 +365,11 @@ def closed_loop_steps(spark, sf_dir):
 _KINDS = f"SELECT 0 AS grp, context, value AS symbol, COUNT(*) AS n FROM (SELECT *, {_CONTEXT} AS context FROM {_TOKENS}) GROUP BY ALL"
 
 
-@query(clusters_sql(_KINDS, TABLE_BITS, 12), "grp:l context:l cluster:l symbols:l bits:d", 4)
+@query(clusters_sql(_KINDS, TABLE_BITS, CLUSTER_ROUNDS), "grp:l context:l cluster:l symbols:l bits:d", 4)
 def context_clusters(spark, sf_dir):
     """The contexts of coefficient tokens that share a table, by cost, and what each shared table codes."""
     counts = tokens.context_histograms(_tokens(spark, sf_dir), "context", "value").select(F.lit(0).alias("grp"), "context", F.col("value").alias("symbol"), "n")
-    found = clusters.merge(counts, TABLE_BITS)
+    found = clusters.merge(counts, TABLE_BITS, CLUSTER_ROUNDS)
     return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")
 
 

@@ -59,3 +59,26 @@ def test_nothing_to_merge(spark):
     counts = spark.createDataFrame([(0, 1, 0, 50), (0, 2, 1, 50)], "grp int, context int, symbol int, n long")
     assert {(r["context"], r["cluster"]) for r in clusters.merge(counts, 24.0).collect()} == {(1, 1), (2, 2)}
     assert clusters.merge(counts.where("false"), 24.0).count() == 0
+
+
+def test_rounds_stop_where_told(spark):
+    counts = spark.createDataFrame([(0, i, k, 40) for i in range(4) for k in range(2)], "grp int, context int, symbol int, n long")
+    assert {r["cluster"] for r in clusters.merge(counts, 24.0, 0).collect()} == {0, 1, 2, 3}
+    assert {(r["context"], r["cluster"]) for r in clusters.merge(counts, 24.0, 1).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+    assert {r["cluster"] for r in clusters.merge(counts, 24.0).collect()} == {0}
+
+
+def test_more_rounds_than_the_sql_writes_down(spark, tmp_path):
+    """All suppliers of one nation alike: a pair merges per round, so that SQL's rounds don't reach the end."""
+    import duckdb
+
+    from tessella.plans import tables
+
+    spark.range(20).selectExpr("id as s_suppkey", "0 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(20 * 40).selectExpr("id % 20 as l_suppkey", "cast(id div 20 % 40 + 1 as double) as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    with duckdb.connect() as con:
+        for name in ("supplier", "lineitem"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        expected = sorted(con.execute(tables.SQL["histogram_clusters"]).fetchall())
+    found = sorted(tuple(r) for r in tables.QUERIES["histogram_clusters"](spark, str(tmp_path)).collect())
+    assert found == expected and len({r[2] for r in found}) > 1
