@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,20 +132,24 @@ def describe(space: Column, white: Column, primaries: Column, intent: Column, tr
 # the scales of its channels, and the toe of its transfer function.
 OPSIN_YUV = ((0.355028246972028, 0.589422218034148, 0.055549534993826), (0.250871605395556, 0.714937756329137, 0.034190638275308), (0.091915449087840, 0.165250230906774, 0.742834320005384))
 OPSIN_YUV_RED, OPSIN_YUV_CENTRE, OPSIN_YUV_RADIUS = 1.001746913108605, 0.008714601398, 0.035065606236
-OPSIN_YUV_SCALES = (219 / 255, 112 / 255 * 0.5, 112 / 255 * 0.3 / OPSIN_YUV_RADIUS)
+OPSIN_YUV_SCALES = (219 / 255, 56 / 255, 33.6 / 255)
 OPSIN_TOE, OPSIN_SLOPE = 0.04, 29.16
 
 
-def opsin_yuv(r: Column, g: Column, b: Column, bits: int = 8) -> tuple[Column, ...]:
-    """Opponent luma and differences of gamma-coded r, g, b from 0 to 1, rounded and clamped to the bit depth."""
-    linear = [srgb_to_linear(255 * x) / 255 for x in (r, g, b)]
+def opsin_yuv(r: Column, g: Column, b: Column, bits: int = 8, cube_root: Callable[[Column], Column] = F.cbrt) -> tuple[Column, ...]:
+    """Opponent luma and differences of gamma-coded r, g, b from 0 to 1, rounded and clamped to the bit depth.
+
+    Gray lies on the edge between two values of u, so the last bit of the cube root decides there.
+    """
+    # in this order of operations and from 0 to 1 throughout: gray lies on the edge between two values
+    linear = [F.when(x <= 0, 0.0).when(x <= SRGB_KNEE / 255, x / 12.92).when(x >= 1, 1.0).otherwise(F.pow((x + 0.055) / 1.055, 2.4)) for x in (r, g, b)]
     response = []
     for row in OPSIN_YUV:
         v = sum((row[k] * linear[k] for k in (1, 2)), row[0] * linear[0])
-        response.append(F.when(v < OPSIN_TOE / OPSIN_SLOPE, v * OPSIN_SLOPE).otherwise(F.cbrt(v) * 1.08 - 0.08))
+        response.append(F.when(v < OPSIN_TOE / OPSIN_SLOPE, v * OPSIN_SLOPE).otherwise(cube_root(v) * 1.08 - 0.08))
     red, green = OPSIN_YUV_RED * response[0], (2 - OPSIN_YUV_RED) * response[1]
-    luma = (red + green) * 0.5
-    parts = (0.0625 + OPSIN_YUV_SCALES[0] * luma, 0.5 + OPSIN_YUV_SCALES[1] * (response[2] - luma), 0.5 + OPSIN_YUV_SCALES[2] * ((red - green) * 0.5 - OPSIN_YUV_CENTRE))
+    both, axis = red + green, (red - green) / 2 - OPSIN_YUV_CENTRE
+    parts = (0.0625 + OPSIN_YUV_SCALES[0] * both / 2, 0.5 + OPSIN_YUV_SCALES[1] * (response[2] - both / 2), 0.5 + OPSIN_YUV_SCALES[2] * axis / OPSIN_YUV_RADIUS)
     top = (1 << bits) - 1
     return tuple(F.greatest(F.lit(0), F.least(F.lit(top), F.floor(0.5 + top * x))).cast("int") for x in parts)
 
@@ -151,7 +157,7 @@ def opsin_yuv(r: Column, g: Column, b: Column, bits: int = 8) -> tuple[Column, .
 def opsin_yuv_to_rgb(y: Column, u: Column, v: Column, bits: int = 8) -> tuple[Column, ...]:
     """Inverse of opsin_yuv, from 0 to 1."""
     top = (1 << bits) - 1
-    luma, blue, axis = (y / top - 0.0625) / OPSIN_YUV_SCALES[0], (u / top - 0.5) / OPSIN_YUV_SCALES[1], (v / top - 0.5) / OPSIN_YUV_SCALES[2]
+    luma, blue, axis = (y / top - 0.0625) / OPSIN_YUV_SCALES[0], (u / top - 0.5) / OPSIN_YUV_SCALES[1], (v / top - 0.5) / OPSIN_YUV_SCALES[2] * OPSIN_YUV_RADIUS
     responses = (luma + axis + OPSIN_YUV_CENTRE) / OPSIN_YUV_RED, (luma - axis - OPSIN_YUV_CENTRE) / (2 - OPSIN_YUV_RED), blue + luma
     cones = [F.when(x < OPSIN_TOE, x / OPSIN_SLOPE).otherwise(F.pow((x + 0.08) / 1.08, F.lit(3))) for x in responses]
     return tuple(linear_to_srgb(255 * sum((row[k] * cones[k] for k in (1, 2)), row[0] * cones[0])) / 255 for row in inverse3(OPSIN_YUV))

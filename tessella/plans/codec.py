@@ -142,7 +142,7 @@ SELECT image_id, y, x, GREATEST(0, LEAST(255, FLOOR(0.5 + 255 * (0.0625 + 219 /
     "image_id:l y:l x:l luma:l u:l v:l",
 )
 def rgb_to_opsin_yuv(spark, sf_dir):
-    out = color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255)
+    out = color.opsin_yuv(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255, cube_root=approx.libm_cube_root)
     return _rgb(spark, sf_dir).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(out, ("luma", "u", "v"), strict=True)])
 
 

@@ -216,3 +216,18 @@ def test_fuzzy_class_inverts():
         near = (2 / (1 + np.exp((at - 1) * metrics.CLASS_DOWN)) - 1) * (2 - metrics.CLASS_LEVEL) + metrics.CLASS_LEVEL
         far = 2 / (1 + np.exp((at - 1) * metrics.CLASS_UP)) * metrics.CLASS_LEVEL
         assert abs((near if at < 1 else far) - value) < 1e-6
+
+
+def test_opsin_yuv_of_gray_equals_sql(spark, tmp_path):
+    """Every gray lies on the edge between two values of u: 24 x 16 x 3 cells of one gray are an image."""
+    import duckdb
+
+    from tessella.plans import codec
+
+    levels = spark.range(256 * 18).selectExpr("id as vec_id", "array_repeat(cast((id div 18 + 0.5) / 1000 as float), 64) as embedding")
+    levels.write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        expected = sorted(set(con.execute(f"SELECT DISTINCT image_id, luma, u, v FROM ({codec.SQL['rgb_to_opsin_yuv']})").fetchall()))
+    found = codec.QUERIES["rgb_to_opsin_yuv"](spark, str(tmp_path)).select("image_id", "luma", "u", "v").distinct().collect()
+    assert sorted(tuple(r) for r in found) == expected and len(expected) == 256
