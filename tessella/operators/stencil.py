@@ -1,9 +1,9 @@
 """Stencils: weighted neighbourhoods of a grid under a border policy.
 
-A pixel is sent to the cells that read it (its *scatter* targets), and one aggregate per cell sums what
-arrives; nothing is joined with itself. Each plane of each image is a key of its own, so a stencil
-partitions by position and combines partial sums before the shuffle. Separable kernels run as two
-one-dimensional passes: 2(2r+1) copies of a pixel instead of (2r+1)^2.
+Weighted sums work on tiles (tessella/operators/tiles.py): a pixel is shuffled once, with copies only near the edges of tiles, and
+both passes of a separable kernel run where it lies. Where something other than a sum is formed (largest values,
+medians, weights by value) a pixel is sent to the cells that read it, and one aggregate per cell takes what arrives. Nothing is
+joined with itself.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.borders import POLICIES
+from tessella.operators import tiles
 from tessella.operators.grid import KEY
 
 Taps = Sequence[tuple[int, int, float]]  # (dx, dy, weight): a cell reads (x + dx, y + dy)
@@ -69,34 +70,45 @@ def _readers(at: Column, d: int, n: int, policy: str) -> Column:
 
 def convolve(pixels: DataFrame, width: int, height: int, taps: Taps, policy: str = "mirror", normalise: bool = False) -> DataFrame:
     """Sum of weight times neighbour; with normalise, divided by the weights that fell inside."""
+    return _passes(pixels, width, height, [taps], policy, normalise)
 
-    def targets(dx: int, dy: int, w: float) -> Column:
-        xs, ys = _readers(F.col("x"), dx, width, policy), _readers(F.col("y"), dy, height, policy)
-        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y"), F.lit(float(w)).alias("w")))))
 
-    if policy == "drop":  # nothing is folded back inside: the taps are one constant array
-        taps_at = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for dx, dy, w in taps])
-        to = pixels.select("image_id", "c", "y", "x", "v", F.explode(taps_at).alias("k"))
-        to = to.select("image_id", "c", "v", (F.col("x") - F.col("k.dx")).alias("x"), (F.col("y") - F.col("k.dy")).alias("y"), F.col("k.w").alias("w"))
-        sent = to.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height)).select("image_id", "c", "v", F.struct("x", "y", "w").alias("t"))
-    else:
-        sent = pixels.select("image_id", "c", "v", F.explode(F.concat(*[targets(*tap) for tap in taps])).alias("t"))
-    cells = sent.groupBy("image_id", "c", F.col("t.y").alias("y"), F.col("t.x").alias("x"))
-    total = F.sum(F.col("t.w") * F.col("v"))
-    return cells.agg((total / F.sum("t.w") if normalise else total).alias("v")).select(*KEY, "v")
+def _passes(pixels: DataFrame, width: int, height: int, passes: Sequence[Taps], policy: str, normalise: bool) -> DataFrame:
+    """Stencils one after another, in one shuffle of the cells."""
 
+    def work(given, place):
+        (p,) = given
+        for taps in passes:
+            p = tiles.convolved(p, taps, place, policy, normalise)
+        return [p]
 
-def separable(pixels: DataFrame, width: int, height: int, along_x: Sequence[float], along_y: Sequence[float], policy: str = "mirror", normalise: bool = False) -> DataFrame:
+    return tiles.over_tiles(pixels, width, height, reach(passes), ["v"], work, ["v"])
+
+
+def reach(passes: Sequence[Taps]) -> tuple[int, int]:
+    """How far stencils one after another look along x and along y."""
+    return tuple(sum(max((abs(t[k]) for t in taps), default=0) for taps in passes) for k in range(2))
+
+
+def along_axes(along_x: Sequence[float], along_y: Sequence[float]) -> list[Taps]:
+    """The two passes of a separable kernel."""
     rx, ry = len(along_x) // 2, len(along_y) // 2
-    first = convolve(pixels, width, height, [(k - rx, 0, w) for k, w in enumerate(along_x)], policy, normalise)
-    return convolve(first, width, height, [(0, k - ry, w) for k, w in enumerate(along_y)], policy, normalise)
+    return [[(k - rx, 0, w) for k, w in enumerate(along_x)], [(0, k - ry, w) for k, w in enumerate(along_y)]]
 
 
-def blur(pixels: DataFrame, width: int, height: int, sigma: float, policy: str = "drop") -> DataFrame:
-    """Gaussian blur; with the default policy the weights are normalised again at the borders."""
+def separable(pixels: DataFrame, width: int, height: int, along_x: Sequence[float], along_y: Sequence[float], policy: str = "mirror", normalise: bool = False) -> DataFrame:
+    return _passes(pixels, width, height, along_axes(along_x, along_y), policy, normalise)
+
+
+def blur_passes(sigma: float) -> list[Taps]:
     radius = max(1, int(math.ceil(2.25 * sigma)))
     w = gaussian(radius, sigma)
-    return separable(pixels, width, height, w, w, policy, normalise=policy == "drop")
+    return along_axes(w, w)
+
+
+def blur(pixels: DataFrame, width: int, height: int, sigma: float, policy: str = "drop") -> DataFrame:
+    """Gaussian blur; with the default policy the weights are normalised again at the borders."""
+    return _passes(pixels, width, height, blur_passes(sigma), policy, normalise=policy == "drop")
 
 
 def smooth(pixels: DataFrame, width: int, height: int) -> DataFrame:

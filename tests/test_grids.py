@@ -231,3 +231,29 @@ def test_opsin_yuv_of_gray_equals_sql(spark, tmp_path):
         expected = sorted(set(con.execute(f"SELECT DISTINCT image_id, luma, u, v FROM ({codec.SQL['rgb_to_opsin_yuv']})").fetchall()))
     found = codec.QUERIES["rgb_to_opsin_yuv"](spark, str(tmp_path)).select("image_id", "luma", "u", "v").distinct().collect()
     assert sorted(tuple(r) for r in found) == expected and len(expected) == 256
+
+
+@pytest.mark.parametrize("policy", ["mirror", "mirror_inner", "clamp", "drop"])
+def test_stencils_across_tiles(spark, policy):
+    """A grid of several tiles along both axes, by a plain loop; one tile has a null and a gap."""
+    from tessella.operators import tiles
+
+    w, h, seed = 2 * tiles.TILE + 3, tiles.TILE + 1, np.random.default_rng(5)
+    taps = [(-3, 0, 0.5), (0, 2, -1.0), (1, -1, 2.0), (0, 0, 1.0), (3, 1, 0.25)]
+    image = seed.integers(0, 256, (h, w)).astype(float)
+    rows = [(0, 0, y, x, None if (y, x) == (3, 4) else float(image[y, x])) for y in range(h) for x in range(w) if (y, x) != (20, tiles.TILE)]
+    pixels = spark.createDataFrame(rows, "image_id long, c int, y int, x int, v double")
+    fold = {"mirror": lambda p, n: p if 0 <= p < n else -1 - p if p < 0 else 2 * n - 1 - p, "mirror_inner": lambda p, n: p if 0 <= p < n else -p if p < 0 else 2 * n - 2 - p, "clamp": lambda p, n: min(max(p, 0), n - 1), "drop": lambda p, n: p if 0 <= p < n else None}[policy]
+    held, expected = {(y, x): v for _, _, y, x, v in rows}, {}
+    for y in range(h):
+        for x in range(w):
+            reads = [((fold(y + dy, h), fold(x + dx, w)), k) for dx, dy, k in taps]
+            reads = [(held[at], k) for at, k in reads if at in held]
+            expected[y, x] = sum(k * v for v, k in reads if v is not None) / sum(k for _, k in reads)
+    out = stencil.convolve(pixels, w, h, taps, policy, normalise=True).collect()
+    assert len(out) == len(expected) and all(abs(r["v"] - expected[r["y"], r["x"]]) < 1e-9 for r in out)
+
+
+def test_a_stencil_sends_each_pixel_once(spark):
+    plan = stencil.sharpen(spark.range(24 * 16).selectExpr("0L as image_id", "0 as c", "int(id div 24) as y", "int(id % 24) as x", "double(id) as v"), 24, 16)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and plan.count("RepartitionByExpression") >= 1
