@@ -2,17 +2,19 @@
 
 An error along an edge is seen more easily than the same amount of noise. The difference of two images, with a
 surcharge where the second leaves what the first allows, is summed along short lines in sixteen directions through each
-cell; the squares of those sums add up. Every cell's difference is sent once to each cell that has it on a line,
-with a number that says which lines those are, and one aggregate forms all sixteen sums.
+cell; the squares of those sums add up. Every cell's difference is sent once to its tile (tessella/operators/tiles.py), where all
+sixteen sums are formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import tiles
 from tessella.operators.grid import KEY
 
 Line = tuple[tuple[int, int], ...]  # (dx, dy) of the cells on it
@@ -47,21 +49,35 @@ def weighed_difference(a: Column, b: Column, above: float, below: float, norm: f
     return weight(WEIGHT, above) * (a - b) + F.when(a < b, -1).otherwise(1) * weight(SURCHARGE, below) * outside
 
 
+def weighed_differences(a: np.ndarray, b: np.ndarray, above: float, below: float, norm: float) -> np.ndarray:
+    """The same of the values of a block."""
+    weight = lambda share, w: FACTOR * (share * w) ** 0.5 / (2 * HALF_LENGTH + 1) * norm / (norm + 0.5 * (np.abs(a) + np.abs(b)))
+    size, seen = np.abs(a), np.where(a < 0, -b, b)
+    outside = np.maximum(np.maximum(LEAST_SHARE * size - seen, seen - LARGEST_SHARE * size), 0.0)
+    return weight(WEIGHT, above) * (a - b) + np.where(a < b, -1, 1) * weight(SURCHARGE, below) * outside
+
+
 def line_energy(pixels: DataFrame, width: int, height: int, lines: Sequence[Line] | None = None) -> DataFrame:
     """Sum over all lines of the squared sum along the line through each cell; beyond the border there is nothing."""
     lines = directions() if lines is None else lines
-    at = sorted({cell for line in lines for cell in line})
-    which = lambda cell: sum(1 << k for k, line in enumerate(lines) if cell in line)
-    targets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(which((dx, dy))).cast("long").alias("on")) for dx, dy in at])
-    sent = pixels.select("image_id", "c", "y", "x", "v", F.explode(targets).alias("t"))
-    sent = sent.select("image_id", "c", (F.col("y") - F.col("t.dy")).alias("y"), (F.col("x") - F.col("t.dx")).alias("x"), F.col("t.on").alias("on"), "v")
-    sent = sent.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
-    sums = [F.sum(F.when(F.col("on").bitwiseAND(F.lit(1 << k)) != 0, F.col("v")).otherwise(0.0)).alias(f"line{k}") for k in range(len(lines))]
-    energy = sum((F.col(f"line{k}") * F.col(f"line{k}") for k in range(1, len(lines))), F.col("line0") * F.col("line0"))
-    return sent.groupBy(*KEY).agg(*sums).select(*KEY, energy.alias("v"))
+    work = lambda given, place: [block_energy(given[0], lines, place)]
+    return tiles.over_tiles(pixels, width, height, reach(lines), ["v"], work, ["v"])
+
+
+def reach(lines: Sequence[Line]) -> tuple[int, int]:
+    return tuple(max((abs(cell[k]) for line in lines for cell in line), default=0) for k in range(2))
+
+
+def block_energy(p: tiles.Planes, lines: Sequence[Line], place: tuple[tiles.Axis, tiles.Axis]) -> tiles.Planes:
+    """line_energy of a block of tiles: a cell where any line has one."""
+    energy = np.zeros(p.v.shape)
+    for line in lines:
+        energy += tiles.shifted(p.v, [(dx, dy, 1.0) for dx, dy in line], place, "drop") ** 2
+    seen = (tiles.shifted(p.seen, [(dx, dy, 1.0) for dx, dy in sorted({cell for line in lines for cell in line})], place, "drop") > 0).astype(float)
+    return tiles.Planes(energy, seen, seen)
 
 
 def line_difference(a: DataFrame, b: DataFrame, width: int, height: int, above: float, below: float, norm: float) -> DataFrame:
-    """(image_id, c, y, x, v): how much b differs from a along lines through each cell. One join of the images, one aggregate."""
+    """(image_id, c, y, x, v): how much b differs from a along lines through each cell. One join of the images, one shuffle to tiles."""
     both = a.join(b.withColumnRenamed("v", "w"), KEY)
     return line_energy(both.select(*KEY, weighed_difference(F.col("v"), F.col("w"), above, below, norm).alias("v")), width, height)
