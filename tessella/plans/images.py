@@ -15,7 +15,7 @@ from tessella.plans.grids import _BASIS, _CELLS, _DCT, _RGB, CELL, DOTS, H, MIX,
 from tessella.plans.sql import plain, typed
 from tessella.plans.tables import CLUSTER_ROUNDS, TABLE_BITS, clusters_sql
 from tessella.sources import chunks, images, spans
-from tessella.storage import new_folder
+from tessella.storage import materialize, new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,7 +72,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hurt = hurt.when(i % 19 == 7, F.substring("content", F.lit(1), F.octet_length("content") - 30)).otherwise(F.col("content"))
     folder = new_folder(spark, "png")
     images.write_files(whole.select("path", hurt.alias("content")), folder)
-    return images.files(spark, folder, "*.png")
+    return images.files(spark, folder, "*.png", tasks=4 * spark.sparkContext.defaultParallelism)
 
 
 def _vec():
@@ -95,7 +95,7 @@ CASE WHEN planes < 3 THEN 'Gra_' ELSE 'RGB_' END || CASE WHEN vec_id % 13 = 5 TH
 )
 def png_properties(spark, sf_dir):
     """What the chunks of intact files say of size, gray, transparency, gamma and colour encoding."""
-    found = chunks.chunks(_files(spark, sf_dir))
+    found = materialize(chunks.chunks(_files(spark, sf_dir)), "chunks")  # read twice, walked once
     kept = chunks.properties(found.join(chunks.refused(found).select("path"), "path", "left_anti"))
     return kept.select(_vec(), "width", "height", "depth", F.col("gray").cast("long").alias("gray"), F.col("alpha").cast("long").alias("alpha"), "gamma", "encoding")
 
@@ -103,7 +103,7 @@ def png_properties(spark, sf_dir):
 @query(f"SELECT vec_id, 'Comment' AS keyword, printf('vector %d begins with %d', vec_id, {_MILLI.format(1)}) AS text FROM embeddings WHERE NOT ({_HURT}) UNION ALL SELECT vec_id, 'Title', printf('%d', {_MILLI.format(2)}) FROM embeddings WHERE vec_id % 6 = 0 AND NOT ({_HURT})", "vec_id:l keyword:s text:s")
 def png_texts(spark, sf_dir):
     """All texts of intact files."""
-    found = chunks.chunks(_files(spark, sf_dir))
+    found = materialize(chunks.chunks(_files(spark, sf_dir)), "chunks")  # read twice, walked once
     return chunks.texts(found.join(chunks.refused(found).select("path"), "path", "left_anti")).select(_vec(), "keyword", "text")
 
 

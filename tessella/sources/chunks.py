@@ -19,6 +19,8 @@ from tessella.functions import names
 from tessella.sources.images import PNG_MAGIC
 
 COLUMNS = "path string, seq int, kind string, start long, length long, crc long, intact boolean, data binary, problem string"
+#: Rows, or bytes of files, that are put out together.
+ROWS, BYTES = 1 << 12, 1 << 24
 #: Chunks whose bytes are not kept in rows.
 BULK = (b"IDAT",)
 #: Bytes of the magic and the first chunk, after which other chunks may stand.
@@ -52,10 +54,18 @@ def chunks(blobs: DataFrame) -> DataFrame:
     def run(batches):
         parts = COLUMNS.split(", ")
         kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, kinds[p.split()[1]]) for v, p in zip(zip(*rows, strict=True), parts, strict=True)], names=[p.split()[0] for p in parts])
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = [(path, *row) for row in walk(content.as_py() or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[p.split()[1]]) for v, p in zip(zip(*rows, strict=True), parts, strict=True)], names=[p.split()[0] for p in parts])
+                content = content.as_py() or b""
+                rows += [(path, *row) for row in walk(content)]
+                held += len(content)
+                if len(rows) >= ROWS or held >= BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return blobs.select("path", "content").mapInArrow(run, COLUMNS)
 

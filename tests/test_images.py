@@ -101,3 +101,28 @@ def test_line_difference_is_a_plain_loop(spark, w, h):
                 want[y, x] += sum(d[y + dy, x + dx] for dx, dy in line if 0 <= y + dy < h and 0 <= x + dx < w) ** 2
     got = lines.line_difference(frame(a), frame(b), w, h, above, below, norm).collect()
     assert len(got) == w * h and all(abs(g["v"] - want[g["y"], g["x"]]) < 1e-9 for g in got)
+
+
+def test_many_small_files_take_few_tasks_and_are_walked_once(spark, tmp_path):
+    from tessella.plans import images as plans
+
+    (spark.range(300).selectExpr("id as vec_id", "transform(sequence(1, 64), k -> cast(sin(id * 64 + k) as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet")))
+    read = plans._files(spark, str(tmp_path))
+    assert read.count() == 300 and read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    texts = plans.QUERIES["png_texts"](spark, str(tmp_path))
+    assert "MapInArrow" not in texts._jdf.queryExecution().toString() and texts.count() > 250
+
+
+def test_encoding_is_that_of_each_image(spark):
+    r = np.random.default_rng(3)
+    made = {f"{k}.png": r.integers(0, 256, (1 + k % 4, 5, 1 + k % 7)).astype(float) for k in range(40)}
+    rows = [(path, 8, c, y, planes[c, y].tolist()) for path, planes in made.items() for c in range(len(planes)) for y in range(5)]
+    r.shuffle(rows)
+    rows = spark.createDataFrame([(p, int(b), int(c), int(y), [float(v) for v in row]) for p, b, c, y, row in rows], "path string, bits int, c int, y int, row array<double>")
+    for size in ("7", "10000"):  # images that go on in the next batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {x["path"]: bytes(x["content"]) for x in images.encode(rows, "png").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {path: images.encode_png(planes, 8) for path, planes in made.items()}
