@@ -50,6 +50,21 @@ def test_word_encoder_is_the_library_on_any_characters():
         assert flat[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_word_encoder_looks_each_word_up_once_and_keeps_it(monkeypatch):
+    learned, learn = [], WordEncoder._learn
+    monkeypatch.setattr(WordEncoder, "_learn", lambda self, parts: (learned.append(set(parts)), learn(self, parts))[1])
+    encoder = WordEncoder(WORD, 4)
+    texts = ["Élan élan, ÉLAN.", "élan one two", "élan"]
+    for t in texts:
+        flat, _ = encoder.encode(pa.array([t]))
+        assert flat.tolist() == library_ids(WORD, t)
+    assert learned[0] == {"élan", ",", "."} and not any("élan" in x for x in learned[1:])
+    # texts without white space between them, signs that are no letters, and marks that join what is before
+    texts = ["abc", "Ab", "", "x×Y÷z", "É\u0301 E\u0301.", "don't", "ß.A", "aª.", "aª"]
+    flat, counts = encoder.encode(pa.array(["dropped", *texts]).slice(1))
+    assert flat.tolist() == [i for t in texts for i in library_ids(WORD, t)] and counts.tolist() == [len(library_ids(WORD, t)) for t in texts]
+
+
 def test_packing_places_each_id_once(spark, texts):
     texts = texts + [prose(4000, 5), prose(9000, 6)]
     docs = frame(spark, texts)
