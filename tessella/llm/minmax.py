@@ -223,7 +223,7 @@ def cell_pairs(cell: np.ndarray, band: np.ndarray, n: np.ndarray, sketch: np.nda
     return np.minimum(found, mate[found]), np.maximum(found, mate[found])
 
 
-_CARRIED = ("band", "n_shingles", "key", "root", "sketch", "marks", "tally")
+_CARRIED = ("band", "key", "root")
 _MEMBER = "bucket, cell, band, n_shingles, side, key, root, sketch, marks, tally"
 
 
@@ -298,7 +298,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _grid(members: DataFrame) -> DataFrame:
-    """Members (bucket, band, key, n_shingles, root, sketch, marks, tally) of buckets with several roots, dealt out to cells.
+    """Members (bucket, band, key, root) of buckets with several roots, dealt out to cells: (bucket, cell, side, band, key, root).
 
     A bucket of up to PART sets is one cell. Of a larger one each set is in one of its parts, and those outside the largest
     component come to all parts as the other side, in parts of their own.
@@ -317,18 +317,20 @@ def _grid(members: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of the keys of sets (key, first, n_shingles, sketch, marks, tally, bands) that are linked with others."""
-    exploded = sets.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lead")).where("m > 1")
+    # The counts and the join read one shuffle, since both ask for the same columns of it.
+    exploded = sets.select("key", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
+    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "band")).alias("lead")).where("m > 1").select("bucket", "m", F.col("lead.key").alias("lead"))
     members = materialize(exploded.join(shared, "bucket"), "members")
-    facts = sets.select("key", "n_shingles", "sketch", "marks", "tally")
-    dealt = members.join(facts, "key").select("bucket", F.pmod(F.xxhash64("bucket", "key"), F.ceil(F.col("m") / PART).cast("long")).alias("cell"), F.lit(2).alias("side"), "band", "n_shingles", "key", F.col("key").alias("root"), "sketch", "marks", "tally", "m", "lead")
+    # What is wide travels for sets that share a bucket only, and not before their cells are known.
+    facts = materialize(sets.select("key", "n_shingles", "sketch", "marks", "tally").join(members.select("key").distinct(), "key", "left_semi"), "facts")
+    dealt = members.select("bucket", F.pmod(F.xxhash64("bucket", "key"), F.ceil(F.col("m") / PART).cast("long")).alias("cell"), F.lit(2).alias("side"), "band", "key", F.col("key").alias("root"), "m", "lead")
     parts = dealt.where(F.col("m") > PART).groupBy("bucket", "cell", "lead").agg(F.min("key").alias("key")).where("key != lead")
-    tested = materialize(_pairs(dealt, "earlier").unionByName(parts.select(F.col("lead").alias("a"), F.col("key").alias("b"))).distinct(), "pairs")
+    tested = materialize(_pairs(dealt.join(facts, "key"), "earlier").unionByName(parts.select(F.col("lead").alias("a"), F.col("key").alias("b"))).distinct(), "pairs")
     links = materialize(confirmed(docs, sets, tested), "links")
     roots = components(links)
     for how in ("best", "all"):
         placed = members.select("bucket", "band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("root"))
-        candidates = materialize(_pairs(materialize(_grid(placed.join(facts, "key")), "cells"), how), "pairs")
+        candidates = materialize(_pairs(materialize(_grid(placed), "cells").join(facts, "key"), how), "pairs")
         if candidates.isEmpty():
             break
         pairs = materialize(candidates.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -153,3 +153,19 @@ def test_tallies_refute_only_what_is_not_similar():
             if n <= 300 and share <= 0.7:
                 assert not may or n == 1 and share > 0
     assert refuted > 15
+
+
+def test_cells_are_dealt_without_sketches(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "PART", 2)
+    keys = [bytes([i]) * 16 for i in range(6)]
+    # bucket 1 is connected, bucket 2 is one cell, bucket 3 has two parts and one set outside its largest component
+    rows = [(1, 0, keys[0], keys[0]), (1, 0, keys[1], keys[0]), (2, 0, keys[0], keys[0]), (2, 0, keys[2], keys[2])]
+    rows += [(3, 0, keys[3], keys[3]), (3, 0, keys[4], keys[3]), (3, 0, keys[5], keys[5])]
+    got = minmax._grid(spark.createDataFrame(rows, "bucket long, band int, key binary, root binary"))
+    assert sorted(got.columns) == ["band", "bucket", "cell", "key", "root", "side"]
+    cells = {}
+    for r in got.collect():
+        cells.setdefault((r["bucket"], r["cell"]), []).append((bytes(r["key"]), r["side"]))
+    assert sorted(cells[2, 0]) == [(keys[0], 2), (keys[2], 2)] and not any(bucket == 1 for bucket, _ in cells)
+    met = {(min(a, b), max(a, b)) for cell in cells.values() for a, x in cell for b, y in cell if a != b and (x != y or x == 2)}
+    assert {(keys[3], keys[5]), (keys[4], keys[5])} <= met
