@@ -180,3 +180,21 @@ def test_odd_tables(spark):
     found = {(r["doc_id"], r["other"], r["start"], r["end"]) for r in substring.passages(docs).collect()}
     assert found == {(9, 3, 30_000, 30_070)}
     assert substring.passages(docs.where("false")).count() == 0
+
+
+def test_a_pair_met_again_is_not_compared_again(spark, monkeypatch):
+    """Two documents share a passage and, elsewhere, a line: a round that links them by the line alone knows the passage already."""
+    monkeypatch.setattr(substring, "BROADCAST_PAIRS", 0)
+    passage, line = " ".join(f"p{k}" for k in range(60)), " ".join(f"l{k}" for k in range(12))
+    texts = [f"{' '.join(f'{x}{k}' for k in range(80))} {line} {' '.join(f'{x}{k}' for k in range(80, 160))} {passage}" for x in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine, theirs = (substring.tokens(x) for x in reversed(texts))
+    at = [int(np.flatnonzero(x == substring.tokens(line)[4])[0]) for x in (mine, theirs)]
+    pairs = spark.createDataFrame([(1, 0, bytearray(np.array([at], np.int32).tobytes()))], "doc_id long, other long, links binary")
+    first = substring.verify(docs, pairs, 4)
+    rows = first.where("similarity is not null").collect()
+    assert [(r["doc_id"], r["other"], r["end"] - r["start"]) for r in rows] == [(1, 0, 60)]
+    again = substring.verify(docs, pairs, 4, met=first.where("digest is not null").select("doc_id", "other", "digest", "covered"))
+    assert again.where("similarity is not null or digest is not null").count() == 0
+    keys = [sorted(bytes(r["key"]) for r in x.where("bucket is not null").collect()) for x in (first, again)]
+    assert keys[0] and keys[0] == keys[1]  # the line's windows go round again either way
