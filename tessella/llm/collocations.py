@@ -45,8 +45,8 @@ INSIDE_OF_100 = 80
 SCALE = 2_000_000
 #: Words that get ids.
 HEAD_WORDS = 1 << 20
-#: N-grams that a task counts in one filter.
-FILTER_GRAMS = 1 << 21
+#: N-grams that a task holds, of all orders, before it counts those of the order with the most in one filter.
+FILTER_GRAMS = 1 << 19
 #: Counters of one quotient in all filters, about, and bits of the table of frequent pairs at most.
 QUOTIENT_GRAMS = 1 << 20
 LEAST_QUOTIENT_BITS, PAIR_TABLE_BITS = 6, 1 << 29
@@ -61,9 +61,9 @@ class _Slice(NamedTuple):
     joined: np.ndarray  #: whether a word is followed by the next one in its piece
 
 
-def _slices(batches, seed: int):
+def _slices(batches, seed: int, most: int = SLICE_BYTES):
     for batch in batches:
-        for part in by_bytes(batch, "text", SLICE_BYTES):
+        for part in by_bytes(batch, "text", most):
             found = words(part.column("text"), seed, BLANKS + STOPS)
             langs = part.column("lang").to_pylist()
             marks = np.array([xxhash.xxh64_intdigest(x.encode(), seed) for x in langs], np.uint64)
@@ -122,17 +122,17 @@ def _filters(docs: DataFrame, seed: int, head, orders: tuple[int, ...], shapes:
     """(order, quotient, remainders, counts): segments of the filters of all tasks. pairs: broadcast (bit table, its bits)."""
 
     def run(batches):
-        known, held = head.value, {order: [] for order in orders}
+        known, held, sizes = head.value, {order: [] for order in orders}, dict.fromkeys(orders, 0)
 
         def send(order):
             shape, parts = shapes[order], held[order]
-            held[order] = []
-            if sum(len(x) for x, _ in parts):
+            held[order], filled, sizes[order] = [], sizes[order], 0
+            if filled:
                 found = list(shape.segments(*shape.counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))))
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([order] * len(found), pa.int32()), *columns], names=["order", "quotient", "remainders", "counts"])
 
-        for part, _ in _slices(batches, seed):
+        for part, _ in _slices(batches, seed, SLICE_BYTES // 4):
             ids = _ids(part.keys, known)
             follows = part.joined
             if pairs is not None:
@@ -145,8 +145,9 @@ def _filters(docs: DataFrame, seed: int, head, orders: tuple[int, ...], shapes:
             for order in orders:
                 at = _grams(ids, follows, order, ids >= 0)
                 held[order].append(shapes[order].permute(np.stack([ids[at + k] for k in range(order)], axis=1)))
-                if sum(len(x) for x, _ in held[order]) >= FILTER_GRAMS:
-                    yield from send(order)
+                sizes[order] += len(at)
+                if sum(sizes.values()) >= FILTER_GRAMS:
+                    yield from send(max(sizes, key=sizes.get))
         for order in orders:
             yield from send(order)
 

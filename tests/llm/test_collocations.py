@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import collocations, quotient
@@ -80,3 +81,25 @@ def test_every_seed_tells_words_and_languages_apart(spark):
     counted, seed = collocations.word_counts(docs)
     assert seed == 0 and {(r["lang"], r["word"], r["n"]) for r in counted.collect()} == {("en", "a", 2), ("en", "b", 2), ("de", "a", 1), ("de", "c", 1)}
     assert counted.select("key").distinct().count() == 4
+
+
+def test_a_task_holds_a_bounded_number_of_ngrams_of_all_orders(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "FILTER_GRAMS", 900)
+    words = prose(800, 1, 50).split()
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(words[k : k + 100])]}) for k in range(0, 800, 100)]
+
+    class Local:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter(batches)))
+
+    class Head:
+        value = np.unique(np.concatenate([part.keys for part, _ in collocations._slices(batches, 0)]))
+
+    shapes = {order: quotient.Shape(order, 6, 6) for order in (3, 4)}
+    sent = [(b.column("order")[0].as_py(), sum(int(np.frombuffer(x, "<u4").sum()) for x in b.column("counts").to_pylist())) for b in collocations._filters(Local(), 0, Head, (3, 4), shapes)]
+    for order in (3, 4):
+        assert sum(n for k, n in sent if k == order) == 8 * (100 - order + 1)
+    assert sum(n for _, n in sent[-2:]) < 900
