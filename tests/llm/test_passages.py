@@ -198,3 +198,46 @@ def test_a_pair_met_again_is_not_compared_again(spark, monkeypatch):
     assert again.where("similarity is not null or digest is not null").count() == 0
     keys = [sorted(bytes(r["key"]) for r in x.where("bucket is not null").collect()) for x in (first, again)]
     assert keys[0] and keys[0] == keys[1]  # the line's windows go round again either way
+
+
+def test_every_pair_of_small_kinds():
+    r = np.random.default_rng(3)
+    kind, doc = r.integers(0, 40, 150).astype(np.uint64), r.integers(0, 60, 150)
+    of, to, rest = substring._every_pair(kind, doc, 4)
+    sizes = np.bincount(kind.astype(np.int64))
+    small = {i for i in range(150) if sizes[int(kind[i])] <= 4}
+    assert set(rest.tolist()) == set(range(150)) - small
+    assert (doc[of] >= doc[to]).all()
+    assert sorted(tuple(sorted(p)) for p in zip(of.tolist(), to.tolist())) == [(i, j) for i in sorted(small) for j in sorted(small) if i < j and kind[i] == kind[j]]
+    assert not any(len(x) for x in substring._every_pair(kind[:0], doc[:0], 4))
+
+
+def test_a_later_round_picks_its_texts_without_a_shuffle(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "string(id) as text")
+    few = substring._likely(docs, docs.where("doc_id % 1000 = 7").unionByName(docs.where("doc_id % 1000 = 7")).select("doc_id"))
+    found = {r["doc_id"] for r in few.collect()}
+    assert few.columns == docs.columns and few.count() == len(found) <= 25
+    assert set(range(7, 20_000, 1000)) <= found
+    assert substring._likely(docs, docs.where("false").select("doc_id")).count() == 0
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_released_shuffle_files_go_with_the_write(spark):
+    from tessella.storage import materialize
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    seen = []
+
+    class Docs:
+        sparkSession, schema = spark, spark.range(1).schema
+
+        class write:
+            @staticmethod
+            def parquet(path):
+                seen.append(spark.conf.get(setting))
+                spark.range(9).repartition(3).write.parquet(path)
+
+    assert materialize(Docs, "released", release=True).count() == 9 and materialize(Docs, "kept").count() == 9
+    assert seen == ["true", before] and spark.conf.get(setting) == before
