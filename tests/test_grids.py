@@ -85,6 +85,15 @@ def test_codes_round_trip(spark):
         assert bytes.fromhex(r["b"]) == kernels.write_varint(r["id"])
 
 
+def test_varint_of_four_and_more_bytes(spark):
+    """Each byte holds seven bits and says whether another follows, however long the number is; varint_bytes' SQL stops at three bytes."""
+    want = [(1 << (7 * k)) + d for k in range(1, 9) for d in (-1, 0, 1)]
+    x = F.col("x")
+    for r in spark.createDataFrame([(v,) for v in want], "x long").select(x, codes.varint_bytes(x).alias("n"), codes.varint(x).alias("b")).collect():
+        data = bytes.fromhex(r["b"])
+        assert data == kernels.write_varint(r["x"]) and len(data) == r["n"] and kernels.read_varint(data) == (r["x"], len(data))
+
+
 def test_lanes(spark):
     row = spark.range(1).select(
         lanes.add_wrap(F.lit(2**31 - 1), F.lit(1), 32).alias("w"), lanes.add_saturated(F.lit(30000), F.lit(10000), 16).alias("s"), lanes.shift_left(F.lit(1), F.lit(40), 32).alias("z"), lanes.median5(*map(F.lit, (5, 1, 4, 2, 3))).alias("m"),
