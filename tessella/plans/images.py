@@ -369,8 +369,7 @@ _KINDS = f"SELECT 0 AS grp, context, value AS symbol, COUNT(*) AS n FROM (SELECT
 def context_clusters(spark, sf_dir):
     """The contexts of coefficient tokens that share a table, by cost, and what each shared table codes."""
     counts = tokens.context_histograms(_tokens(spark, sf_dir), "context", "value").select(F.lit(0).alias("grp"), "context", F.col("value").alias("symbol"), "n")
-    found = clusters.merge(counts, TABLE_BITS, CLUSTER_ROUNDS)
-    return found.join(clusters.bits(clusters.cluster_histograms(counts, found)), ["grp", "cluster"]).select("grp", "context", "cluster", "symbols", "bits")
+    return clusters.merge_and_price(counts, TABLE_BITS, CLUSTER_ROUNDS)
 
 
 # Coefficients under contexts, and groups of them ----------------------------------------------------------------

@@ -82,3 +82,47 @@ def test_more_rounds_than_the_sql_writes_down(spark, tmp_path):
         expected = sorted(con.execute(tables.SQL["histogram_clusters"]).fetchall())
     found = sorted(tuple(r) for r in tables.QUERIES["histogram_clusters"](spark, str(tmp_path)).collect())
     assert found == expected and len({r[2] for r in found}) > 1
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    nothing = gateway.jvm.java.util.ArrayList()
+    return {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing))}
+
+
+def test_no_pair_is_a_row(spark):
+    """600 clusters of one group are 179,700 pairs; what is shuffled goes by clusters."""
+    counts = spark.range(600).selectExpr("0 as grp", "id as context", "explode(sequence(0, 2)) as symbol").selectExpr("*", "40 + (context * 7 + symbol * 5) % 11 as n")
+    before = set(shuffled_rows(spark))
+    found = clusters.merge(counts, 24.0, 1)
+    rows = sum(n for stage, n in shuffled_rows(spark).items() if stage not in before)
+    assert found.count() == 600 and found.select("cluster").distinct().count() < 600
+    assert rows < 20000
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_blocks_change_nothing(spark, monkeypatch, kind):
+    """Clusters dealt to many blocks, some of them empty, with rare, missing and unknown symbols, against all pairs one by one."""
+    r = np.random.default_rng(8)
+    tables = np.array([r.multinomial(r.integers(1, 60), p) for p in r.dirichlet(np.ones(7) * 0.4, 3)[r.integers(0, 3, 60)]])
+    tables[30:45] = tables[:15]  # ties
+    rows = [(0, f"{i:03d}", None if k == 6 else f"s{k}", int(n)) for i, t in enumerate(tables) for k, n in enumerate(t) if n]
+    counts = spark.createDataFrame(rows, "grp int, context string, symbol string, n long")
+    if kind == "int":
+        counts = counts.selectExpr("grp", "int(context) as context", "int(substr(symbol, 2)) as symbol", "n")
+    of = list(range(len(tables)))
+    for _ in range(3):
+        sums = {c: sum(tables[i] for i in range(len(of)) if of[i] == c) for c in set(of)}
+        best = {}
+        for x in sums:
+            gains = [(-round(24.0 - term(sums[x].sum() + sums[y].sum()) + term(sums[x].sum()) + term(sums[y].sum()) + sum(term(a + b) - term(a) - term(b) for a, b in zip(sums[x][:6].tolist(), sums[y][:6].tolist())), 6), y) for y in sums if y != x and (sums[x] * sums[y])[:6].any()]
+            if gains and min(gains)[0] < 0:
+                best[x] = min(gains)[1]
+        into = {y: x for x, y in best.items() if x < y and best.get(y) == x}
+        of = [into.get(c, c) for c in of]
+    assert len(set(of)) < len(of) - 10
+    for size in (2048, 25, 3):
+        monkeypatch.setattr(clusters, "BLOCK_CLUSTERS", size)
+        found = {int(r["context"]): int(r["cluster"]) for r in clusters.merge(counts, 24.0, 3).collect()}
+        assert [found[i] for i in range(len(of))] == of
