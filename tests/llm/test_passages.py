@@ -1,6 +1,7 @@
 """Verification of passages against brute force over all windows, and what of planted passages is found."""
 
 import numpy as np
+import pytest
 
 from tessella.llm import substring
 from tests.llm.fixtures import prose
@@ -212,6 +213,42 @@ def test_every_pair_of_small_kinds():
     assert not any(len(x) for x in substring._every_pair(kind[:0], doc[:0], 4))
 
 
+def test_small_kinds_go_by_documents(spark):
+    """Three documents with fifty windows each of one kind: every two of them are linked once and for all, in both orders of rows."""
+    r = np.random.default_rng(5)
+    n = 150
+    doc, at, near = np.arange(n) % 3 + 7, np.arange(n, dtype=np.int32), r.permutation(n).astype(np.uint32)
+    for order in (np.arange(n), np.arange(n)[::-1]):
+        rows = substring._entry_rows(np.full(n, 5 << 32, np.uint64), np.full(n, 9, np.uint16), np.zeros(n, np.uint16), near[order], doc[order], at[order], 2)
+        entries = spark.createDataFrame(substring._packed(rows).to_pylist(), substring._SEED)
+        found = {(x["doc_id"], x["other"]): np.frombuffer(x["links"], np.int32).reshape(-1, 2) for x in substring.linked(entries, 2, whole=4).collect()}
+        assert found.keys() == {(8, 7), (9, 7), (9, 8)}
+        assert all(len(x) == 1 and x[0, 1] < 0 and doc[x[0, 0]] == a and doc[~x[0, 1]] == b for (a, b), x in found.items())
+    kind, doc = r.integers(0, 40, 400).astype(np.uint64), r.integers(0, 9, 400)
+    of, to, rest = substring._whole_kinds(kind, doc, 6)
+    docs = {k: sorted(set(doc[kind == k].tolist())) for k in range(40)}
+    assert set(rest.tolist()) == {i for i in range(400) if len(docs[int(kind[i])]) > 6}
+    assert sorted((int(kind[i]), int(doc[j]), int(doc[i])) for i, j in zip(of, to)) == [(k, a, b) for k, x in docs.items() if len(x) <= 6 for a in x for b in x if a < b]
+    assert (kind[of] == kind[to]).all() and not any(len(x) for x in substring._whole_kinds(kind[:0], doc[:0], 4))
+
+
+@pytest.mark.parametrize("kinds", [2, 9, 400])
+def test_diagonals_are_all_runs_of_equal_tokens(kinds):
+    r = np.random.default_rng(kinds)
+    a, b = (r.integers(1, kinds + 1, n).astype(np.uint64) for n in (60, 47))
+    b[5:25] = a[30:50]
+    i, j, n = substring._diagonals(a, substring.Sorted(b), np.ones(len(a), bool))
+    want = []
+    for p in range(len(a)):
+        for q in range(len(b)):
+            if a[p] == b[q] and (p == 0 or q == 0 or a[p - 1] != b[q - 1]):
+                k = 0
+                while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k]:
+                    k += 1
+                want.append((p, q, k))
+    assert sorted(zip(i.tolist(), j.tolist(), n.tolist())) == want
+
+
 def test_a_later_round_picks_its_texts_without_a_shuffle(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "string(id) as text")
     few = substring._likely(docs, docs.where("doc_id % 1000 = 7").unionByName(docs.where("doc_id % 1000 = 7")).select("doc_id"))
